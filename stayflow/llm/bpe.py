@@ -3,14 +3,15 @@
 The encoding of a byte string ends, for each of its prefixes, in exactly one token, and two tokens may stand side by
 side exactly if encoding their concatenation gives the two again. So a nondeterministic transducer that has read a
 prefix is in one state for each way to go on: the last token of a shorter prefix and the bytes read since, as long as
-some token begins with them. Its subsets become deterministic states when a text first needs them. A state holds for
-each way the tokens that the others do not share; what all share is emitted with the step that makes it common, which
-is at most a few tokens' length after it was read.
+some token begins with them. Its subsets become deterministic states when a text first needs them. A step from state to
+state gives the token that ends with the byte read. Tokens are emitted as soon as all ways still open go back to the
+same end of a token, which is at most a few tokens' length after it was read.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 #: Splits a text before the merges; GPT-2's public pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Deterministic states and known pieces that a worker keeps before it begins anew.
-STATES, PIECES = 60_000, 120_000
+STATES, PIECES = 150_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,6 +39,7 @@ class Transducer:
             raise ValueError(f"no token for {len(missing)} single bytes")
         self.ranks, self.limit = ranks, states
         self.token = {rank: token for token, rank in ranks.items()}
+        self.length = {rank: len(token) for token, rank in ranks.items()}
         self.proper = {token[:n] for token in ranks for n in range(1, len(token))}
         self.pairs: dict[tuple[int, int], bool] = {}
         self._clear()
@@ -45,9 +47,8 @@ class Transducer:
     def _clear(self) -> None:
         self.known: dict[tuple, int] = {}
         self.content: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.ends: list[tuple[int, ...]] = []
-        self.start = self._state((((), -1, b""),))
+        self.moves: list[dict[int, tuple[int, int]]] = []
+        self.start = self._state(((-1, b""),))
 
     def _state(self, ways: tuple) -> int:
         at = self.known.get(ways)
@@ -55,7 +56,6 @@ class Transducer:
             at = self.known[ways] = len(self.content)
             self.content.append(ways)
             self.moves.append({})
-            self.ends.append(next(out for out, _, part in ways if not part))
         return at
 
     def merged(self, data: bytes) -> list[int]:
@@ -81,37 +81,55 @@ class Transducer:
             self.pairs[last, token] = found
         return found
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        ways = []
-        for out, last, part in self.content[state]:
-            read = part + bytes((byte,))
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        ways, ended, read_byte = [], -1, bytes((byte,))
+        for last, part in self.content[state]:
+            read = part + read_byte
             if read in self.proper:
-                ways.append((out, last, read))
+                ways.append((last, read))
             token = self.ranks.get(read)
-            if token is not None and self.fits(last, token):
-                ways.append(((*out, token), token, b""))
-        shared = min((out for out, _, _ in ways), key=len)
-        for out, _, _ in ways:
-            n = 0
-            while n < len(shared) and out[n] == shared[n]:
-                n += 1
-            shared = shared[:n]
-        ways = tuple((out[len(shared) :], last, part) for out, last, part in ways)
+            if token is not None and ended < 0 and self.fits(last, token):
+                ended = token
+        ways = (*ways, (ended, b""))
         if len(self.content) >= self.limit and ways not in self.known:
             self._clear()
-            return self._state(ways), shared
-        found = self.moves[state][byte] = self._state(ways), shared
+            return self._state(ways), ended
+        found = self.moves[state][byte] = self._state(ways), ended
         return found
 
-    def encode(self, data: bytes) -> list[int]:
-        state, out = self.start, []
-        for byte in data:
-            moved = self.moves[state].get(byte) or self._move(state, byte)
-            state = moved[0]
-            if moved[1]:
-                out += moved[1]
-        out += self.ends[state]
-        return out
+    def settled(self, state: int, ended: list[int]) -> int:
+        """The end of the last token that all ways open in state have in common, after the bytes that gave ended."""
+        starts = sorted(len(ended) - len(part) for _, part in self.content[state])
+        chain, at = {0}, starts[0]
+        while at > 0:
+            chain.add(at)
+            at -= self.length[ended[at - 1]]
+        common = starts[0]
+        for at in starts:
+            while at not in chain:
+                at -= self.length[ended[at - 1]]
+            common = min(common, at)
+        return common
+
+    def encode(self, data: bytes, at_once: int = 1 << 16) -> list[int]:
+        state, ended, out = self.start, [], []
+        for at in range(0, len(data), at_once):
+            for byte in data[at : at + at_once]:
+                state, token = self.moves[state].get(byte) or self._move(state, byte)
+                ended.append(token)
+            if at + at_once < len(data):
+                cut = self.settled(state, ended)
+                out += self._back(ended[:cut])
+                del ended[:cut]
+        return out + self._back(ended)
+
+    def _back(self, ended: list[int]) -> list[int]:
+        at, tokens = len(ended), []
+        while at > 0:
+            tokens.append(token := ended[at - 1])
+            at -= self.length[token]
+        tokens.reverse()
+        return tokens
 
 
 class Encoder(dict):
@@ -121,8 +139,7 @@ class Encoder(dict):
         self.machine, self.find, self.limit = Transducer(ranks, states), regex.compile(pattern).findall, pieces
 
     def __missing__(self, piece: str) -> bytes:
-        ids = pa.array(self.machine.encode(piece.encode("utf-8", "surrogatepass")), "int32").buffers()[1].to_pybytes()
-        ids = ids[: len(ids) // 4 * 4]
+        ids = array("i", self.machine.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= 64:
             if len(self) >= self.limit:
                 self.clear()
