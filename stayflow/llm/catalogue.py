@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayflow.llm import bpe, langid, simhash
+from stayflow.llm import bpe, langid, license, linededup, quality, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,21 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "lines.n_lines", "lines.n_removed", "text")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.rules(_documents(spark, sf_dir).select("doc_id", "text", "source"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "n_removed_words")
+    return found.select("doc_id", *[f"quality.{n}" for n in names])
+
+
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -41,6 +56,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_bpe": op3_bpe,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_quality": op6_quality,
+    "op9_license": op9_license,
     "op10_simhash": op10_simhash,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_line_dedup": linededup.SQL,
+    "op6_quality": quality.SQL + "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_lines, n_removed_words from q_all",
+}
