@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayflow.llm import bpe, chat, langid, license, linededup, quality, sharding, simhash, warc
+from stayflow.llm import bpe, chat, decontaminate, langid, license, linededup, quality, sharding, simhash, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), vocabulary, keep_text=False)
+    encoded = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), vocabulary).drop("text")
     return bpe.decode(encoded, vocabulary).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
@@ -62,6 +62,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"quality.{n}" for n in names])
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("copy").withColumn("contaminated", F.lit(True))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     ours = spark.sql(f"select * from values (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') as c(conv_id, turn, role, text)")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
+    "op7_decontaminate": op7_decontaminate,
     "op8_chat": op8_chat,
     "op9_license": op9_license,
     "op10_simhash": op10_simhash,
