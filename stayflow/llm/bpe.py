@@ -11,7 +11,11 @@ same end of a token, which is at most a few tokens' length after it was read.
 from __future__ import annotations
 
 import base64
+import gc
+import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,10 +23,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stayflow.llm.common import free_name
+
 #: Splits a text before the merges; GPT-2's public pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Deterministic states and known pieces that a worker keeps before it begins anew.
-STATES, PIECES = 150_000, 250_000
+#: PATTERN for texts that have characters up to U+00FF only, of which it spells out the classes.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+LATIN_PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+#: Deterministic states, known pieces of a generation, and pairs of tokens that a worker keeps before it begins anew.
+STATES, PIECES, PAIRS = 200_000, 100_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,17 +54,18 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
+        # A state is a multiple of 256; with a byte added it is a key of moves. Its content is the longest of the runs of
+        # bytes read since the end of a token, then for each way the last token and how many of these bytes came since.
         self.known: dict[tuple, int] = {}
         self.content: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, int]]] = []
-        self.start = self._state(((-1, b""),))
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.start = self._state((b"", -1, 0))
 
     def _state(self, ways: tuple) -> int:
         at = self.known.get(ways)
         if at is None:
-            at = self.known[ways] = len(self.content)
+            at = self.known[ways] = len(self.content) << 8
             self.content.append(ways)
-            self.moves.append({})
         return at
 
     def merged(self, data: bytes) -> list[int]:
@@ -74,7 +84,7 @@ class Transducer:
         """May token follow last? -1 stands for the beginning."""
         found = self.pairs.get((last, token))
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             before = self.token[last] if last >= 0 else b""
             found = self.merged(before + self.token[token]) == ([last, token] if last >= 0 else [token])
@@ -82,24 +92,26 @@ class Transducer:
         return found
 
     def _move(self, state: int, byte: int) -> tuple[int, int]:
-        ways, ended, read_byte = [], -1, bytes((byte,))
-        for last, part in self.content[state]:
-            read = part + read_byte
-            if read in self.proper:
-                ways.append((last, read))
-            token = self.ranks.get(read)
+        since, *old = self.content[state >> 8]
+        read, ways, ended = since + bytes((byte,)), [], -1
+        for last, n in zip(old[::2], old[1::2], strict=True):
+            part = read[len(since) - n :]
+            if part in self.proper:
+                ways += (last, n + 1)
+            token = self.ranks.get(part)
             if token is not None and ended < 0 and self.fits(last, token):
                 ended = token
-        ways = (*ways, (ended, b""))
+        longest = ways[1] if ways else 0
+        ways = (read[len(read) - longest :], *ways, ended, 0)
         if len(self.content) >= self.limit and ways not in self.known:
             self._clear()
             return self._state(ways), ended
-        found = self.moves[state][byte] = self._state(ways), ended
+        found = self.moves[state + byte] = self._state(ways), ended
         return found
 
     def settled(self, state: int, ended: list[int]) -> int:
         """The end of the last token that all ways open in state have in common, after the bytes that gave ended."""
-        starts = sorted(len(ended) - len(part) for _, part in self.content[state])
+        starts = sorted(len(ended) - n for n in self.content[state >> 8][2::2])
         chain, at = {0}, starts[0]
         while at > 0:
             chain.add(at)
@@ -115,7 +127,7 @@ class Transducer:
         state, ended, out = self.start, [], []
         for at in range(0, len(data), at_once):
             for byte in data[at : at + at_once]:
-                state, token = self.moves[state].get(byte) or self._move(state, byte)
+                state, token = self.moves.get(state + byte) or self._move(state, byte)
                 ended.append(token)
             if at + at_once < len(data):
                 cut = self.settled(state, ended)
@@ -133,19 +145,35 @@ class Transducer:
 
 
 class Encoder(dict):
-    """Token ids of whole texts. A dictionary of the pieces met, each with its ids as 32-bit integers."""
+    """Token ids of whole texts. A dictionary of the pieces met, each with its ids as 32-bit integers.
+
+    When it is full, its pieces become the older generation, of which those met again are kept.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, states: int = STATES, pieces: int = PIECES):
-        self.machine, self.find, self.limit = Transducer(ranks, states), regex.compile(pattern).findall, pieces
+        self.machine, self.limit = Transducer(ranks, states), pieces
+        self.any = regex.compile(pattern).findall
+        self.latin = re.compile(LATIN_PATTERN).findall if pattern == PATTERN else self.any
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("i", self.machine.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.machine.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= 64:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
+    def find(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any(text)
+        return self.latin(text)
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.find(text)))
 
@@ -205,7 +233,7 @@ class Decoder:
     def _bytes(self, i: int | None) -> bytes:
         return self.token[i] if i is not None and 0 <= i < len(self.token) else b"\xef\xbf\xbd"
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | array) -> str:
         machine, out = Utf8Machine(), []
         for at in range(0, len(ids), self.at_once):
             part = ids[at : at + self.at_once]
@@ -227,23 +255,48 @@ def _decoder(path: str) -> Decoder:
     return Decoder(load_ranks(path))
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "token_ids", pattern: str = PATTERN) -> DataFrame:
+@contextmanager
+def _no_gc() -> Iterator[None]:
+    """The states and pieces hold no cycles, and looking for some in them takes long."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "token_ids", pattern: str = PATTERN, keep_text: bool = True, decoded: str | None = None) -> DataFrame:
     """Add the token ids of each whole text as array<int>; a null or empty text has none.
 
     vocabulary: the path of a rank file that every executor can open. Rows, repeats and other columns stay as they are
-    (a column named `out` is replaced).
+    (columns named `out` or `decoded` are replaced); the text goes if keep_text is false. With `decoded`, the ids are
+    decoded again in the same pass, to a column of that name.
     """
-
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        encoder, data, offsets = _encoder(vocabulary, pattern), [], [0]
-        for t in texts:
-            data.append(encoder.encode(t.as_py() or ""))
-            offsets.append(offsets[-1] + len(data[-1]) // 4)
-        flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(data))])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-
-    return docs.withColumn(out, ids(F.col(text)))
+    new = [out, *[decoded] * bool(decoded)]
+    others = [c for c in docs.columns if c.lower() not in {n.lower() for n in new} and (keep_text or c.lower() != text.lower())]
+    kept = [F.col(f"`{c}`") for c in others]
+    schema = docs.select(*kept, F.lit(None).cast("array<int>").alias(out), *[F.lit(None).cast("string").alias(n) for n in new[1:]]).schema
+    at = free_name(docs, "encoded_text")
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(vocabulary, pattern), _decoder(vocabulary) if decoded else None
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                data, offsets = [], [0]
+                with _no_gc():
+                    for t in batch.column(len(others)).to_pylist():
+                        data.append(encoder.encode(t or ""))
+                        offsets.append(offsets[-1] + len(data[-1]) // 4)
+                flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(data))])
+                columns = [*batch.columns[: len(others)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
+                if decoder:
+                    columns.append(pa.array([decoder.decode(array("i", d)) for d in data], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.select(*kept, F.col(text).alias(at)).mapInArrow(ids, schema)
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

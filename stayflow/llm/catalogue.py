@@ -36,8 +36,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), vocabulary).drop("text")
-    return bpe.decode(encoded, vocabulary).select(
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.encode(docs, vocabulary, keep_text=False, decoded="decoded").select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
