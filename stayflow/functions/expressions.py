@@ -38,9 +38,9 @@ def bin_of(edges: Column, value: Column) -> Column:
 
 
 def gap_token(minutes: Column, edges: list[int] | None = None) -> Column:
-    """The token of a time gap; null under the first edge (a minute)."""
+    """The token of a time gap; null under a minute and without a gap."""
     edges = edges or C.GAP_EDGES
-    found = F.when(minutes < 1, None)
+    found = F.when(minutes.isNull() | (minutes < 1), None)
     for low, high in pairwise(edges):
         found = found.when(minutes <= high, f"DT//{low}-{high}")
     return found.otherwise(f"DT//{edges[-1]}+")
