@@ -14,11 +14,11 @@ def quantile_ctes(name: str, values: str, key: str = "code", n_bins: int = 10) -
     """{name}_q: (key, i, edge) and {name}_edges: (key, edge_idx, edge), distinct edges in order."""
     return f"""
 {name}_v as ({values}),
-{name}_r as (select {key}, value, row_number() over (partition by {key} order by value) - 1 as r, count(*) over (partition by {key}) as n from {name}_v where value is not null),
-{name}_h as (select distinct {key}, n, i, (n - 1) * ((100.0::double * i / {n_bins}) / 100) as h from {name}_r, range(0, {n_bins} + 1) t(i) where n >= {n_bins}),
+{name}_r as materialized (select {key}, value, row_number() over w - 1 as r, lead(value, 1, value) over w as next from {name}_v where value is not null window w as (partition by {key} order by value)),
+{name}_h as materialized (select {key}, n, i, (n - 1) * ((100.0::double * i / {n_bins}) / 100) as h from (select {key}, count(*) as n from {name}_v where value is not null group by 1) t, range(0, {n_bins} + 1) b(i) where n >= {n_bins}),
 {name}_q as (
-  select h.{key}, i, case when h - floor(h) < 0.5 then a.value + (b.value - a.value) * (h - floor(h)) else b.value - (b.value - a.value) * (1 - (h - floor(h))) end as edge
-  from {name}_h h join {name}_r a on a.{key} = h.{key} and a.r = floor(h.h)::bigint join {name}_r b on b.{key} = h.{key} and b.r = least(floor(h.h)::bigint + 1, h.n - 1)),
+  select h.{key}, i, case when h - floor(h) < 0.5 then value + (next - value) * (h - floor(h)) else next - (next - value) * (1 - (h - floor(h))) end as edge
+  from {name}_r r join {name}_h h on r.{key} = h.{key} and r.r = floor(h.h)::bigint),
 {name}_edges as (select {key}, row_number() over (partition by {key} order by edge) - 1 as edge_idx, edge from (select distinct {key}, edge from {name}_q))"""
 
 
