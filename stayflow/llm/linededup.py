@@ -72,7 +72,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = docs.drop(out)
     cid, ccopy, gone, own, lines = (free_name(base, n) for n in ("covered_id", "covered_copy", "gone", "copy_key", "all_lines"))
     covered = covered.select(F.col("id").alias(cid), F.col("copy").alias(ccopy), F.col("gone").alias(gone))
-    joined = base.withColumn(own, key).join(covered, F.col(doc_id).eqNullSafe(F.col(cid)) & (F.col(own) == F.col(ccopy)), "left")
+    # the same plan at every size: the text is shuffled once, and nothing is broadcast
+    joined = base.withColumn(own, key).join(covered.hint("merge"), F.col(doc_id).eqNullSafe(F.col(cid)) & (F.col(own) == F.col(ccopy)), "left")
     joined = joined.withColumn(lines, F.split(F.col(text), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     left = F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n")
