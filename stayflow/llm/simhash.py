@@ -83,7 +83,7 @@ def stars(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 def bucket_links(bucket: np.ndarray, fp: np.ndarray, count: np.ndarray, radius: int) -> np.ndarray:
     """The root of each row, for rows in order of (bucket, population count), linked within buckets and the radius."""
-    us, vs, at = [], [], np.arange(len(fp))
+    us, vs, at, held = [], [], np.arange(len(fp)), 0
     for shift in range(1, len(fp)):
         at = at[: np.searchsorted(at, len(fp) - shift)]
         at = at[(bucket[at] == bucket[at + shift]) & (count[at + shift] - count[at] <= radius)]
@@ -92,6 +92,11 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray, count: np.ndarray, radius:
         near = at[np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius]
         us.append(near)
         vs.append(near + shift)
+        held += len(near)
+        if held > 1 << 18:  # the stars so far say the same as all these pairs
+            root = stars(np.concatenate(us), np.concatenate(vs), len(fp))
+            moved = np.flatnonzero(root != np.arange(len(fp)))
+            us, vs, held = [moved], [root[moved]], 0
     return stars(np.concatenate(us), np.concatenate(vs), len(fp)) if us else np.arange(len(fp))
 
 
