@@ -100,4 +100,5 @@ SQL: dict[str, str] = {
     "op5_line_dedup": linededup.SQL,
     "op6_quality": quality.SQL + "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_lines, n_removed_words from q_all",
     "op8_chat": chat.SQL,
+    "op9_license": license.sql(),
 }

@@ -42,8 +42,9 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _grams(spark: SparkSession, phrases, templates) -> tuple[DataFrame, list[str], dict[int, tuple]]:
-    """The k-grams of all templates (template, tpos, gram), the words that begin two-word phrases, and the templates."""
+def _template_grams(phrases, templates) -> tuple[list[tuple[int, int, str]], list[str], dict[int, tuple]]:
+    """The k-grams of all templates (template, tpos, gram), the words that begin two-word phrases, and the templates
+    (label, is it a phrase, words, k-grams)."""
     known = {}
     for i, (label, phrase) in enumerate([*phrases, *templates]):
         found = re.sub(SEPARATORS, " ", phrase.lower()).split()
@@ -56,8 +57,8 @@ def _grams(spark: SparkSession, phrases, templates) -> tuple[DataFrame, list[str
         places = [(t, w[t : t + (2 if w[t] in short else 3)]) for t in range(len(w))]
         places = [(t, g) for t, g in places if len(g) == (2 if g[0] in short else 3)]
         totals[i] = (label, base, len(w), len(places))
-        rows += [f"({i}, {t}, '{' '.join(g)}')" for t, g in places]
-    return spark.sql(f"select * from values {', '.join(rows)} as g(template, tpos, gram)"), short, totals
+        rows += [(i, t, " ".join(g)) for t, g in places]
+    return rows, short, totals
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", phrases=PHRASES, templates=TEMPLATES, slack: int = 3, least: float = 0.8) -> DataFrame:
@@ -70,7 +71,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", phrases=PH
     Rows with equal id and text are scanned as one and each get the result; a null id is kept.
     """
     spark = docs.sparkSession
-    grams, short, totals = _grams(spark, phrases, templates)
+    rows, short, totals = _template_grams(phrases, templates)
+    grams = spark.sql("select * from values " + ", ".join(f"({i}, {t}, '{g}')" for i, t, g in rows) + " as g(template, tpos, gram)")
     k3 = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     k2 = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))
     gram_at = lambda w, i: F.when(F.get(w, i).isin(short), k2(w, i)).otherwise(k3(w, i)) if short else k3(w, i)
@@ -115,4 +117,31 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", phrases=PH
     joined = rows.select("doc_id", "copy", "n_words").join(found, same, "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
-#: The same in DuckDB SQL is given for the phrases only, by tests; templates are tested against a brute-force version.
+
+def sql(phrases=PHRASES, templates=TEMPLATES, slack: int = 3, least: float = 0.8) -> str:
+    """scan() of documents in DuckDB SQL."""
+    rows, short, totals = _template_grams(phrases, templates)
+    grams = ", ".join(f"({i}, {t}, '{g}')" for i, t, g in rows)
+    facts = ", ".join(f"({i}, '{label}', {base}, {n}, {total})" for i, (label, base, n, total) in totals.items())
+    two = ", ".join(f"'{w}'" for w in short) or "''"
+    return rf"""
+with w as (
+  select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from documents
+), g as (
+  select rid, i - 1 as pos, case when ws[i] in ({two}) then concat_ws(' ', ws[i], ws[i + 1]) else concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) end as gram from (select rid, ws, unnest(range(1, len(ws) + 1)) as i from w)
+), t(template, tpos, tgram) as (values {grams}), f(template, label, base, size, total) as (values {facts}
+), v as (select rid, template, pos - tpos as diagonal, count(*) as votes, min(pos) as low, max(pos) as high from g join t on gram = tgram group by all
+), n as (
+  select v.*, f.* exclude (template), case when not base and diagonal - lag(diagonal) over o <= {slack} and low <= lag(high) over o + size and high >= lag(low) over o - size then 0 else 1 end as new
+  from v join f using (template) window o as (partition by rid, template order by diagonal)
+), k as (select *, sum(new) over (partition by rid, template order by diagonal) as grp from n
+), s as (select rid, label, base, size, least(1.0::double, sum(votes)::double / total) as share, min(diagonal) as start from k group by rid, template, label, base, size, total, grp
+), p as (select *, share >= case when base or size < 8 then 1.0::double else {least}::double end as full_ from s
+), r as (
+  select rid, count(*) filter (full_ and base) as n_base, min(start) filter (full_ and base) as first_word, max(start) filter (full_ and base) as last_word,
+         array_to_string(list_sort(list_distinct(list(label) filter (full_ and base))), ',') as base_labels, array_to_string(list_sort(list_distinct(list(label) filter (full_))), ',') as labels, max(share) as score
+  from p group by rid
+)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score
+from w left join r using (rid)
+"""
