@@ -25,6 +25,7 @@ from stayflow.llm.components import components
 
 #: Fingerprints in a tile; buckets of up to so many are one tile.
 TILE = 1024
+EDGES = "u long, v long, distance int"
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -81,49 +82,69 @@ def stars(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def bucket_links(bucket: np.ndarray, fp: np.ndarray, count: np.ndarray, radius: int) -> np.ndarray:
-    """The root of each row, for rows in order of (bucket, population count), linked within buckets and the radius."""
-    us, vs, at, held = [], [], np.arange(len(fp)), 0
+def forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of edges between 0..n-1 with lengths d a spanning forest of the shortest ones, as (u, v, d)."""
+    root, taken = np.arange(n), []
+    at = np.arange(len(u))
+    while len(at := at[root[u[at]] != root[v[at]]]):
+        key = d[at].astype(np.int64) * len(u) + at
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, root[u[at]], key)
+        np.minimum.at(best, root[v[at]], key)
+        chosen = np.unique(best[best < np.iinfo(np.int64).max] % len(u))
+        taken.append(chosen)
+        root = stars(root[u[chosen]], root[v[chosen]], n)[root]
+    chosen = np.concatenate(taken) if taken else at
+    return u[chosen], v[chosen], d[chosen]
+
+
+def bucket_links(bucket: np.ndarray, fp: np.ndarray, count: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (u, v, distance) between rows in order of (bucket, population count): a forest of the pairs within buckets
+    and the radius."""
+    none = np.zeros(0, np.int64)
+    found, at, held = [(none, none, none)], np.arange(len(fp)), 0
     for shift in range(1, len(fp)):
         at = at[: np.searchsorted(at, len(fp) - shift)]
         at = at[(bucket[at] == bucket[at + shift]) & (count[at + shift] - count[at] <= radius)]
         if not len(at):
             break
-        near = at[np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius]
-        us.append(near)
-        vs.append(near + shift)
+        apart = np.bitwise_count(fp[at] ^ fp[at + shift])
+        near = at[apart <= radius]
+        found.append((near, near + shift, apart[apart <= radius].astype(np.int64)))
         held += len(near)
-        if held > 1 << 18:  # the stars so far say the same as all these pairs
-            root = stars(np.concatenate(us), np.concatenate(vs), len(fp))
-            moved = np.flatnonzero(root != np.arange(len(fp)))
-            us, vs, held = [moved], [root[moved]], 0
-    return stars(np.concatenate(us), np.concatenate(vs), len(fp)) if us else np.arange(len(fp))
+        if held > 1 << 18:  # the forest so far says the same as all these pairs
+            found, held = [forest(*map(np.concatenate, zip(*found, strict=True)), len(fp))], 0
+    return forest(*map(np.concatenate, zip(*found, strict=True)), len(fp))
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges of the graph that links each of a with each of b within the radius (both are made distinct)."""
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest (u, v, distance) of the graph that links each of a with each of b within the radius."""
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    us, vs = [], []
+    found = []
     for at in range(0, len(a), 256):
-        x, y = np.nonzero(np.bitwise_count(a[at : at + 256, None] ^ b[None, :]) <= radius)
-        us.append(inverse[x + at])
-        vs.append(inverse[y + len(a)])
-    root = stars(np.concatenate(us), np.concatenate(vs), len(nodes))
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[moved], nodes[root[moved]]
+        apart = np.bitwise_count(a[at : at + 256, None] ^ b[None, :])
+        x, y = np.nonzero(apart <= radius)
+        found.append(forest(inverse[x + at], inverse[y + len(a)], apart[x, y].astype(np.int64), len(nodes)))
+    u, v, d = forest(*map(np.concatenate, zip(*found, strict=True)), len(nodes))
+    return nodes[u], nodes[v], d
 
 
-def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """prints (fp long, distinct) -> (u, v): edges whose connected components are those of all pairs within the radius."""
+def links(prints: DataFrame, radius: int = 3, tile: int = TILE, blocks: int | None = None) -> DataFrame:
+    """prints (fp long, distinct) -> (u, v, distance): edges whose connected components are those of all pairs within the
+    radius, the shortest ones of each bucket.
+
+    With fewer than radius + 1 blocks, pairs further apart than blocks - 1 are found if a block of theirs is equal.
+    """
     if not 0 <= radius < 16:
         raise ValueError("radius must be from 0 to 15")
-    edges = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
+    blocks = blocks or radius + 1
+    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     keys = [
         F.shiftrightunsigned(F.col("fp"), a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
         for a, b in zip(edges, edges[1:], strict=False)
     ]
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), k.alias("value")) for i, k in enumerate(keys)])
-    rows = prints.where("fp is not null").select("fp", F.inline(blocks)).withColumn("pc", F.bit_count("fp").cast("int"))
+    keyed = F.array(*[F.struct(F.lit(i).alias("block"), k.alias("value")) for i, k in enumerate(keys)])
+    rows = prints.where("fp is not null").select("fp", F.inline(keyed)).withColumn("pc", F.bit_count("fp").cast("int"))
     sizes = rows.groupBy("block", "value", "pc").agg(F.count("*").alias("n"))
     full = sizes.groupBy("block", "value").agg(
         F.sum("n").alias("n"), F.collect_list(F.struct("pc", F.ceil(F.col("n") / tile).cast("int").alias("subs"))).alias("tiles")
@@ -131,7 +152,7 @@ def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     full = written(full.where(F.col("n") > tile).select("block", "value", "tiles"), "buckets")
     small = rows.join(full, ["block", "value"], "left_anti")
     small = small.repartition("block", "value").sortWithinPartitions("block", "value", "pc")
-    edges_small = small.select("block", "value", "pc", "fp").mapInArrow(lambda it: _small_buckets(it, radius), "u long, v long")
+    edges_small = small.select("block", "value", "pc", "fp").mapInArrow(lambda it: _small_buckets(it, radius), EDGES)
     return edges_small.unionByName(_large_buckets(rows.join(full, ["block", "value"]), radius))
 
 
@@ -139,9 +160,8 @@ def _small_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[p
     kept: tuple[np.ndarray, ...] = ()
 
     def out(block, value, pc, fp):
-        root = bucket_links(value * 16 + block, fp.view(np.uint64), pc, radius)
-        moved = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[root[moved]])], names=["u", "v"])
+        u, v, d = bucket_links(value * 16 + block, fp.view(np.uint64), pc, radius)
+        return pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v]), pa.array(d.astype(np.int32))], names=["u", "v", "distance"])
 
     for batch in batches:
         got = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
@@ -174,10 +194,58 @@ def _large_buckets(rows: DataFrame, radius: int) -> DataFrame:
         fp = part["fp"].to_numpy().view(np.uint64)
         first = part["first"].to_numpy()
         a, b = (fp, fp) if part["own"].iloc[0] else (fp[first], fp[~first])
-        u, v = tile_links(a, b, radius) if len(a) and len(b) else (fp[:0], fp[:0])
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+        u, v, d = tile_links(a, b, radius) if len(a) and len(b) else (fp[:0], fp[:0], fp[:0])
+        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64), "distance": d.astype(np.int32)})
+
+    return pairs.groupBy("block", "value", "a", "b").applyInPandas(compare, EDGES)
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, words as for the fingerprint."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    parts = {b" ".join(found[i : i + size]) for i in range(max(len(found) - size + 1, min(1, len(found))))}
+    return np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts)).view(np.int64)
+
+
+def similar(edges: DataFrame, nodes: DataFrame, named: DataFrame, size: int, least: float) -> DataFrame:
+    """Of edges (u, v) between fingerprints those whose texts' shingle sets have a Jaccard similarity of `least` or more.
 
-    return pairs.groupBy("block", "value", "a", "b").applyInPandas(compare, "u long, v long")
+    A fingerprint stands for the texts of its smallest document (nodes: fp, low, copy). Only texts on edges are shuffled.
+    """
+    ends = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    chosen = nodes.join(ends, "fp", "left_semi").select("fp", F.col("low").alias("doc_id"), F.col("low_copy").alias("copy"))
+    texts = named.join(chosen.hint("merge"), named.doc_id.eqNullSafe(chosen.doc_id) & (named.copy == chosen.copy)).select("fp", "text").dropDuplicates(["fp"])
+
+    @F.pandas_udf("array<long>")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, size) for t in texts])
+
+    sets = written(texts.select("fp", hashed("text").alias("set")), "shingles")
+    pairs = edges.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("set").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.where(both >= least * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
+def _groups(docs: DataFrame, doc_id: str, text: str, size: int, radius: int, tile: int, wide: tuple[int, int, float] | None) -> DataFrame:
+    """(doc_id, copy, fingerprint, component_id), a row per document; copy is xxhash64 of the text."""
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("copy"))
+    prints = written(with_fingerprint(named, size=size).select("doc_id", "copy", "fingerprint"), "prints")
+    lows = [F.min("doc_id").alias("low"), F.min_by("copy", F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("low_copy"), F.count("*").alias("n")]
+    nodes = written(prints.groupBy(F.col("fingerprint").alias("fp")).agg(*lows), "nodes")
+    if wide is None:
+        edges = links(nodes.select("fp"), radius, tile).select("u", "v")
+    else:
+        reach, words, least = wide
+        found = written(links(nodes.select("fp"), reach, tile, min(reach, 7) + 1), "links")
+        far = found.where(F.col("distance") > radius).select("u", "v").distinct()
+        edges = found.where(F.col("distance") <= radius).select("u", "v").unionByName(similar(far, nodes, named, words, least))
+    reached = components(edges)
+    rooted = nodes.join(reached, nodes.fp == reached.node, "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    grouped = rooted.join(lowest, "root").where((F.col("n") > 1) | F.col("node").isNotNull())
+    grouped = written(grouped.select(F.col("fp").alias("fingerprint"), "component_id"), "groups")
+    joined = prints.join(grouped, "fingerprint", "left")
+    return joined.select("doc_id", "copy", "fingerprint", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(
@@ -189,28 +257,20 @@ def near_duplicates(
     links within `radius` bits. Null and blank texts have fingerprint 0 and are linked like any other. Repeated rows stay
     repeated; a null id is never the smallest unless its component has no other. An empty table gives an empty table.
     """
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    prints = written(with_fingerprint(named, size=size).select("doc_id", "fingerprint"), "prints")
-    nodes = written(
-        prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes"
-    )
-    reached = components(links(nodes.select("fp"), radius, tile))
-    rooted = nodes.join(reached, nodes.fp == reached.node, "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    grouped = rooted.join(lows, "root").where((F.col("n") > 1) | F.col("node").isNotNull())
-    grouped = written(grouped.select(F.col("fp").alias("fingerprint"), "component_id"), "groups")
-    joined = prints.join(grouped, "fingerprint", "left")
-    return joined.select("doc_id", "fingerprint", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _groups(docs, doc_id, text, size, radius, tile, None).select("doc_id", "fingerprint", "component_id")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3, tile: int = 8 * TILE, wide: tuple[int, int, float] | None = (10, 5, 0.8)) -> DataFrame:
     """The documents that stay when one of each near-duplicate group does: that of the smallest id. Columns as they came.
 
-    Of rows that repeat that id, one of each text stays. Rows with a null id stay if their whole group has null ids.
+    Besides all links within `radius` bits, wide = (reach, words, similarity) takes links within `reach` bits whose
+    texts' sets of word shingles have at least that Jaccard similarity; None takes none. Of rows that repeat the smallest
+    id, one of each text stays. Rows with a null id stay if their whole group has null ids.
     """
-    found = near_duplicates(docs, doc_id, text, size, radius)
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    key = free_name(docs, "kept_id")
-    kept = docs.join(ids.withColumnRenamed("doc_id", key), F.col(doc_id).eqNullSafe(F.col(key)), "left_semi")
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    found = _groups(docs, doc_id, text, size, radius, tile, wide)
+    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "copy").distinct()
+    key, copy = free_name(docs, "kept_id"), free_name(docs, "kept_copy")
+    ids = written(ids, "kept").withColumnsRenamed({"doc_id": key, "copy": copy})
+    kept = docs.join(ids.hint("merge"), F.col(doc_id).eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text)) == F.col(copy)), "left_semi")
+    repeated = found.groupBy("doc_id", "copy").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return kept.dropDuplicates([doc_id, text]) if repeated else kept
