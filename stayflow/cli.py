@@ -17,6 +17,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("command", choices=sorted(COMMANDS))
     p.add_argument("--config", help="settings as JSON or YAML")
     p.add_argument("--tables", help="folder of the source tables")
+    p.add_argument("--prefix", help="what stands before a table's name in its file name")
     p.add_argument("--ecg-csv", help="waveform prototypes")
     p.add_argument("--output", help="folder of the results")
     p.add_argument("--n-patients", type=int, help="about so many patients, in proportion to the split")
@@ -26,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     config = Config.load(args.config)
-    for name, value in (("tables", args.tables), ("ecg_csv", args.ecg_csv), ("output", args.output)):
+    for name, value in (("tables", args.tables), ("prefix", args.prefix), ("ecg_csv", args.ecg_csv), ("output", args.output)):
         if value:
             setattr(config.data, name, value)
     if args.n_patients:

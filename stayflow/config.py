@@ -12,7 +12,7 @@ from stayflow.functions import constants as C
 @dataclass
 class DataConfig:
     tables: str = "data"
-    prefix: str = "clif_"
+    prefix: str = ""
     ecg_csv: str | None = None
     output: str = "output"
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayflow.functions import constants as C
 
+SLICES = 64
 UNK, PAD, CONT = (C.SPECIAL_TOKENS.index(t) for t in ("[UNK]", "[PAD]", "[CONT]"))
 
 
@@ -106,10 +107,14 @@ def token_batches(chunk_rows: DataFrame, budget: int, seed: int | None = None) -
                 done, used, filled = done + take, used + take * length, True
         yield pd.DataFrame(out, columns=["length", "from", "upto", "first", "each"])
 
-    from pyspark.sql import Window
-
     steps = counts.coalesce(1).mapInPandas(plan, "length int, `from` long, upto long, first long, each long")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length").orderBy("hospitalization_id", "chunk")) - 1)
+    # a length may hold most chunks, so they are numbered in slices, and slices are counted up within their length
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("hospitalization_id", "chunk"), F.lit(SLICES)).cast("int"))
+    sizes = rows.groupBy("length", "slice").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("length").alias("sl"), F.col("slice").alias("ss"), (F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("length", "slice").orderBy("hospitalization_id", "chunk"))
+    ranked = rows.withColumn("place", place).join(before, (F.col("length") == F.col("sl")) & (F.col("slice") == F.col("ss")))
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("place") - 1).drop("slice", "sl", "ss", "before", "place")
     steps = steps.withColumnRenamed("length", "l")
     placed = ranked.join(steps, (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("upto")))
     batch = F.col("first") + F.floor((F.col("rank") - F.col("from")) / F.col("each"))

@@ -40,7 +40,7 @@ class Catalog:
         self.own = {name: set(df.columns) for name, df in self.tables.items()}
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, folder: str, prefix: str = "clif_") -> Catalog:
+    def from_parquet(cls, spark: SparkSession, folder: str, prefix: str = "") -> Catalog:
         """Every <prefix><name>.parquet of a folder whose name is declared."""
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(folder)

@@ -62,8 +62,8 @@ def test_cli_help(capsys):
 
 
 def test_catalog_from_folder(spark, mini, tmp_path):
-    mini.tables["vitals"].write.parquet(str(tmp_path / "clif_vitals.parquet"))
-    t = Catalog.from_parquet(spark, str(tmp_path))
+    mini.tables["vitals"].write.parquet(str(tmp_path / "site_vitals.parquet"))
+    t = Catalog.from_parquet(spark, str(tmp_path), "site_")
     assert t.has("vitals") and not t.has("labs") and t["vitals"].count() == 30
     kept = t.preload(spark.createDataFrame([("H001",), ("none",)], "hospitalization_id string"), ["vitals"])
     assert kept["vitals"].count() == 10
