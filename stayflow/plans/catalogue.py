@@ -31,7 +31,9 @@ class Run:
 
     @cached_property
     def t(self) -> Catalog:
-        return event_catalog(self.spark, self.sf_dir)
+        """Stays are made of all events and joined to everything, so they are written once."""
+        made = event_catalog(self.spark, self.sf_dir)
+        return Catalog(self.spark, made.tables | {"hospitalization": written(made["hospitalization"], "stays")})
 
     @cached_property
     def stays(self) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, is_dataclass
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Declared columns of each source table. Columns that a file lacks are added as nulls of their type.
 SCHEMAS: dict[str, str] = {
@@ -31,6 +33,11 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+@cache
+def declared(name: str) -> StructType:
+    return StructType.fromDDL(SCHEMAS[name])
+
+
 class Catalog:
     """Tables by name. A table that is not there is empty with its declared columns, or an error if it is asked for strictly."""
 
@@ -38,6 +45,7 @@ class Catalog:
         self.spark, self.tables = spark, dict(tables)
         #: Columns that the files have, before declared ones were added.
         self.own = {name: set(df.columns) for name, df in self.tables.items()}
+        self.typed: dict[str, DataFrame] = {}
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str, prefix: str = "") -> Catalog:
@@ -55,13 +63,17 @@ class Catalog:
         """The table with its declared columns, cast, then any others."""
         if name not in SCHEMAS:
             raise KeyError(name)
-        declared = self.spark.createDataFrame([], SCHEMAS[name])
+        if name not in self.typed:
+            self.typed[name] = self._typed(name, declared(name))
+        return self.typed[name]
+
+    def _typed(self, name: str, schema: StructType) -> DataFrame:
         if not self.has(name):
-            return declared
-        df = self.tables[name]
-        others = [c for c in df.columns if c not in declared.columns]
-        typed = [(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared.schema]
-        return df.select(*typed, *[F.col(f"`{c}`") for c in others])
+            return self.spark.createDataFrame([], schema)
+        df, own = self.tables[name], self.own[name]
+        others = [c for c in df.columns if c not in schema.names]
+        columns = [(F.col(f"`{f.name}`") if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        return df.select(*columns, *[F.col(f"`{c}`") for c in others])
 
     def strict(self, name: str) -> DataFrame:
         if not self.has(name):
@@ -93,7 +105,7 @@ class Catalog:
 
 def read_ecg_csv(spark: SparkSession, path: str) -> DataFrame:
     """Waveform prototypes from CSV; shifted_ecg_time is the time of the recording."""
-    schema = spark.createDataFrame([], SCHEMAS["ecg"]).schema
+    schema = declared("ecg")
     raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     time = "shifted_ecg_time" if "shifted_ecg_time" in raw.columns else "ecg_time"
     named = raw.withColumn("ecg_time", F.try_to_timestamp(F.col(time)).cast("timestamp_ntz"))
