@@ -88,7 +88,8 @@ def rules(docs: DataFrame, text: str = "text", host: str = "source", out: str =
         cleaned.alias("text"),
     )
     q = free_name(named, "figures")
-    rows = rows.withColumn(q, figures)
+    # generated, not projected: a filter on the figures would else be pushed below them and compute them again
+    rows = rows.select("*", F.explode(F.array(figures)).alias(q))
     f = F.col(q)
     failed = (f.n_words < min_words) | (100 * f.n_repeat_words > max_repeat * f.n_words)
     whole = F.struct(
