@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,13 @@ UNKNOWN = "und"
 class Model:
     """levels[0] has words, levels[n] n-grams: text -> [(language, log frequency above the language's floor)]."""
 
-    def __init__(self, langs: list[str], levels: list[dict[str, list[tuple[int, float]]]], floors: list[list[float]], common: int, cache: int = 100_000):
-        self.langs, self.levels, self.floors, self.common, self.limit = langs, levels, floors, common, cache
-        self.words: dict[str, tuple[int, list[tuple[int, float]]] | None] = {}
+    def __init__(self, langs: list[str], levels: list[dict[str, list[tuple[int, float]]]], floors: list[list[float]], common: int, cells: int = 1_000_000):
+        self.langs, self.levels, self.floors, self.common = langs, levels, floors, common
+        # words met have a row of the table: their scores by language, then a 1 for the level that scored them
+        self.width = len(langs) + len(levels)
+        self.limit = max(1000, cells // max(1, self.width))
+        self.rows: dict[str, int] = {}
+        self.table: np.ndarray | None = None
 
     def word(self, word: str) -> tuple[int, list[tuple[int, float]]] | None:
         """The level that scores a word and its scores above that level's floors; None if not even a letter is known."""
@@ -39,38 +44,45 @@ class Model:
             known = self.levels[n]
             hits = [h for i in range(len(padded) - n + 1) if (h := known.get(padded[i : i + n]))]
             if hits:
-                total: Counter = Counter()
+                total: dict[int, float] = {}
                 for h in hits:
                     for lang, above in h:
-                        total[lang] += above / len(hits)
-                return n, list(total.items())
+                        total[lang] = total.get(lang, 0.0) + above
+                return n, [(lang, above / len(hits)) for lang, above in total.items()]
         return None
 
+    def _row(self, word: str) -> int:
+        at = self.rows[word] = len(self.rows)
+        row = [0.0] * self.width
+        if scored := self.word(word):
+            row[len(self.langs) + scored[0]] = 1.0
+            for lang, above in scored[1]:
+                row[lang] = above
+        self.table[at] = row
+        return at
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """The most likely language (of equals the first by name) and its share, from the mean score of a word."""
         found = Counter(LETTERS(text.lower())) if text else {}
         if not found or not self.langs:
             return UNKNOWN, 0.0
-        total, per_level, known = [0.0] * len(self.langs), [0] * len(self.levels), self.words
-        for word, times in found.items():
-            try:
-                scored = known[word]
-            except KeyError:
-                if len(known) >= self.limit:
-                    known.clear()
-                scored = self.word(word)
-                if len(word) <= 40:
-                    known[word] = scored
-            if scored:
-                per_level[scored[0]] += times
-                for lang, above in scored[1]:
-                    total[lang] += times * above
-        n = sum(per_level)
+        if self.table is None:
+            self.table = np.zeros((self.limit, self.width))
+        total, known = np.zeros(self.width), self.rows
+        words, times = list(found), np.fromiter(found.values(), np.float64, len(found))
+        for start in range(0, len(words), self.limit // 2):
+            part = words[start : start + self.limit // 2]
+            if len(known) + len(part) > self.limit:
+                known.clear()
+            at = [known[w] if w in known else self._row(w) for w in part]
+            total += times[start : start + len(part)] @ self.table[at]
+        k = len(self.langs)
+        per_level, n = total[k:], total[k:].sum()
         if not n:
-            return self.langs[self.common], 1 / len(self.langs)
-        mean = [(t + sum(k * f[i] for k, f in zip(per_level, self.floors, strict=True) if k)) / n for i, t in enumerate(total)]
-        best = max(range(len(mean)), key=lambda i: (mean[i], -i))
-        return self.langs[best], 1 / sum(math.exp(m - mean[best]) for m in mean)
+            return self.langs[self.common], 1 / k
+        mean = (total[:k] + per_level @ np.array(self.floors)) / n
+        best = int(np.argmax(mean))
+        return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, words: int = WORDS, grams: int = GRAMS, longest: int = 5, langs: int = LANGS) -> Model:
