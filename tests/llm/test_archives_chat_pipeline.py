@@ -62,9 +62,9 @@ def test_archives_of_none_and_of_others(spark, tmp_path):
     assert {bytes(r["payload"]) for r in rows} == {b"abc", b"a: b\r\n"}
 
 
-def test_parts_of_a_file(spark, monkeypatch):
+def test_parts_of_a_file(tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "PART", 200)
-    writer = warc.WarcWriter(warc.shared_dir(spark) + "/parts", warc.SCHEMA, True, False)
+    writer = warc.WarcWriter(str(tmp_path / "parts"), warc.SCHEMA, True, False)
     import pyarrow as pa
 
     rows = [(f"urn:page:{i}", "response", "u", "d", "D", 5, b"hello", None) for i in range(50)]
@@ -72,7 +72,7 @@ def test_parts_of_a_file(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({f.name: [r[names.index(f.name)] for r in rows] for f in warc.SCHEMA.fields})
     writer.write(iter([batch]))  # a task that failed: not in the manifest
     writer.commit([writer.write(iter([batch])), None])
-    reader = warc.WarcReader(warc.shared_dir(spark) + "/parts", warc.SCHEMA, [], False)
+    reader = warc.WarcReader(str(tmp_path / "parts"), warc.SCHEMA, [], False)
     parts = reader.partitions()
     assert len(parts) > 5
     ids = [r["record_id"] for p in parts for b in reader.read(p) for r in b.to_pylist()]
