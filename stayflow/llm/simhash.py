@@ -207,38 +207,123 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts)).view(np.int64)
 
 
-def similar(edges: DataFrame, nodes: DataFrame, named: DataFrame, size: int, least: float) -> DataFrame:
-    """Of edges (u, v) between fingerprints those whose texts' shingle sets have a Jaccard similarity of `least` or more.
-
-    A fingerprint stands for the texts of its smallest document (nodes: fp, low, copy). Only texts on edges are shuffled.
+def joins(fp: np.ndarray, part: np.ndarray, side: np.ndarray, sets: list[np.ndarray], reach: int, least: float) -> list[tuple[int, int]]:
+    """Pairs of fingerprints that join parts: of all pairs of different parts within `reach` bits and with a Jaccard
+    similarity of `least` or more, as many as connect what they all connect. Rows of the same side other than 0 are not compared.
+    """
+    n, root, bits = len(fp), np.unique(part, return_inverse=True)[1], fp.view(np.uint64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    found = [(np.zeros(0, np.int64),) * 3]
+    for at in range(0, n, 256):
+        x = slice(at, at + 256)
+        apart = np.bitwise_count(bits[x, None] ^ bits[None, :])
+        near = (apart <= reach) & (root[x, None] != root) & ((side[x, None] == 0) | (side[x, None] != side))
+        near &= (np.arange(n) > np.arange(n)[x, None]) & (np.minimum(sizes[x, None], sizes) >= least * np.maximum(sizes[x, None], sizes))
+        u, v = np.nonzero(near)
+        found.append((apart[u, v].astype(np.int64), u + at, v))
+    d, u, v = map(np.concatenate, zip(*found, strict=True))
+    order, step, out = np.argsort(d, kind="stable"), 64, []
+    while len(order := order[root[u[order]] != root[v[order]]]):
+        for i, j in zip(u[order[:step]].tolist(), v[order[:step]].tolist(), strict=True):
+            if root[i] != root[j]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= least * (sizes[i] + sizes[j] - both):
+                    out.append((int(fp[i]), int(fp[j])))
+                    root[root == root[j]] = root[i]
+        order, step = order[step:], min(2 * step, 1 << 14)
+    return out
+
+
+def _joined(rows: DataFrame, reach: int, least: float) -> DataFrame:
+    """rows (family, a, b, side, part, fp, set) -> (u, v): `joins` of each group (family, a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out():
+            side, part, fp = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:3])
+            pairs = np.array(joins(fp, part, side, [h[3] for h in held], reach, least), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+        for batch in batches:
+            family, a, b, side, part, fp = (batch.column(i).to_pylist() for i in range(6))
+            sets = batch.column(6)
+            values, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
+            for i in range(len(fp)):
+                if (now := (family[i], a[i], b[i])) != key:
+                    if len(held) > 1:
+                        yield out()
+                    key, held = now, []
+                held.append((side[i], part[i], fp[i], values[ends[i] : ends[i + 1]].copy()))
+        if len(held) > 1:
+            yield out()
+
+    rows = rows.select("family", "a", "b", "side", "part", "fp", "set")
+    return rows.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def similar(found: DataFrame, prints: DataFrame, named: DataFrame, radius: int, reach: int, size: int, least: float, tile: int) -> DataFrame:
+    """found (u, v, distance), links within `reach` -> (u, v): those within `radius`, and more, so that the components
+    are those of all pairs of a family within `radius`, or within `reach` and with shingle sets of a Jaccard similarity of
+    `least` or more.
+
+    A family is a component of all of `found`, verified or not, so nothing is thinned before it is verified: pairs of a
+    family are compared exactly unless links already verified join them. Texts of one fingerprint are members of their
+    own if their sets differ; only texts of families that links within `radius` leave apart are shuffled. A family of more
+    than `tile` is first compared in tiles by hash, with a few members that all tiles have; then what is outside of its
+    largest part is compared with all members, tile against tile.
     """
-    ends = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    chosen = nodes.join(ends, "fp", "left_semi").select("fp", F.col("low").alias("doc_id"), F.col("low_copy").alias("copy"))
-    texts = named.join(chosen.hint("merge"), named.doc_id.eqNullSafe(chosen.doc_id) & (named.copy == chosen.copy)).select("fp", "text").dropDuplicates(["fp"])
+    near = found.where(F.col("distance") <= radius).select("u", "v")
+    families = components(found.select("u", "v")).select(F.col("node").alias("fp"), F.col("root").alias("family"))
+    parts = components(near).select(F.col("node").alias("fp"), F.col("root").alias("part"))
+    members = written(families.join(parts, "fp", "left").withColumn("part", F.coalesce("part", "fp")), "families")
+    apart = members.groupBy("family").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    members = written(members.join(apart.select("family"), "family"), "apart")
+
+    chosen = prints.withColumnRenamed("fingerprint", "fp").join(members.select("fp"), "fp", "left_semi").groupBy("fp", "copy").agg(F.min("doc_id").alias("doc_id"))
+    texts = named.join(chosen.hint("merge"), named.doc_id.eqNullSafe(chosen.doc_id) & (named.copy == chosen.copy)).select("fp", "text")
 
     @F.pandas_udf("array<long>")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, size) for t in texts])
-
-    sets = written(texts.select("fp", hashed("text").alias("set")), "shingles")
-    pairs = edges.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("set").alias("b")), "v")
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.where(both >= least * (F.size("a") + F.size("b") - both)).select("u", "v")
+        return pd.Series([np.sort(shingles(t, size)) for t in texts])
+
+    sets = texts.select("fp", hashed("text").alias("set")).withColumn("own", F.xxhash64("set"))
+    sets = written(sets.dropDuplicates(["fp", "own"]), "shingles")
+    members = written(members.join(sets.select("fp", "own"), "fp"), "members")
+    tiles = members.groupBy("family").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    members = members.join(tiles, "family").withColumn("a", F.pmod(F.xxhash64(F.lit("tile"), "fp", "own"), "tiles").cast("int"))
+    members = written(members, "tiles")
+    large = members.where("tiles > 1")
+    common = large.groupBy("family", F.pmod(F.xxhash64(F.lit("common"), "fp"), F.lit(8))).agg(F.min(F.struct("fp", "own")).alias("m")).select("m.*")
+    common = large.join(common, ["fp", "own"]).withColumn("home", F.col("a")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("a <> home").drop("home")
+    compared = members.unionByName(common).withColumns({"b": F.lit(-1), "side": F.lit(0)})
+    verified = near.unionByName(written(_joined(compared.join(sets, ["fp", "own"]), reach, least), "verified"))
+    if not large.limit(1).count():
+        return verified
+
+    parts = components(verified).select(F.col("node").alias("fp"), F.col("root").alias("part"))
+    large = written(large.drop("part").join(parts, "fp", "left").withColumn("part", F.coalesce("part", "fp")), "families")
+    sizes = large.groupBy("family", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    large = large.join(sizes.select("family", "largest", F.ceil(F.col("rest") / tile).cast("int").alias("others")), "family")
+    all_of = large.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("side", F.lit(1))
+    rest = large.where("part <> largest").withColumn("b", F.pmod(F.xxhash64(F.lit("rest"), "fp", "own"), "others").cast("int"))
+    rest = rest.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(2))
+    return verified.unionByName(written(_joined(all_of.unionByName(rest).join(sets, ["fp", "own"]), reach, least), "verified"))
 
 
 def _groups(docs: DataFrame, doc_id: str, text: str, size: int, radius: int, tile: int, wide: tuple[int, int, float] | None) -> DataFrame:
     """(doc_id, copy, fingerprint, component_id), a row per document; copy is xxhash64 of the text."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("copy"))
     prints = written(with_fingerprint(named, size=size).select("doc_id", "copy", "fingerprint"), "prints")
-    lows = [F.min("doc_id").alias("low"), F.min_by("copy", F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("low_copy"), F.count("*").alias("n")]
+    lows = [F.min("doc_id").alias("low"), F.count("*").alias("n")]
     nodes = written(prints.groupBy(F.col("fingerprint").alias("fp")).agg(*lows), "nodes")
     if wide is None:
         edges = links(nodes.select("fp"), radius, tile).select("u", "v")
     else:
         reach, words, least = wide
         found = written(links(nodes.select("fp"), reach, tile, min(reach, 7) + 1), "links")
-        far = found.where(F.col("distance") > radius).select("u", "v").distinct()
-        edges = found.where(F.col("distance") <= radius).select("u", "v").unionByName(similar(far, nodes, named, words, least))
+        edges = similar(found, prints, named, radius, reach, words, least, min(tile, TILE))
     reached = components(edges)
     rooted = nodes.join(reached, nodes.fp == reached.node, "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -264,8 +349,8 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The documents that stay when one of each near-duplicate group does: that of the smallest id. Columns as they came.
 
     Besides all links within `radius` bits, wide = (reach, words, similarity) takes links within `reach` bits whose
-    texts' sets of word shingles have at least that Jaccard similarity; None takes none. Of rows that repeat the smallest
-    id, one of each text stays. Rows with a null id stay if their whole group has null ids.
+    texts' sets of word shingles have at least that Jaccard similarity, among the members of a family (`similar`); None
+    takes none. Of rows that repeat the smallest id, one of each text stays. Rows with a null id stay if their whole group has null ids.
     """
     found = _groups(docs, doc_id, text, size, radius, tile, wide)
     ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "copy").distinct()

@@ -113,6 +113,35 @@ def test_wider_links_are_verified(spark):
     assert len(a) == 2 and len(a & b) == 2 and len(simhash.shingles("", 5)) == 0 and len(simhash.shingles("a b", 5)) == 1
 
 
+@pytest.mark.parametrize("tile", [8, 8192])
+def test_wider_links_of_many_copies(spark, tile):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=rng.randint(2, 7)))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(200)]
+        for _ in range(31):
+            text = list(base)
+            for at in rng.sample(range(200), rng.randint(2, 9)):
+                text[at] = word()
+            texts.append(" ".join(text))
+    rng.shuffle(texts)
+    prints = [simhash.fingerprint(t) for t in texts]
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            x = prints[i] ^ prints[j]
+            meet = x.bit_count() <= 10 and any(not x >> 8 * b & 255 for b in range(8))
+            if x.bit_count() <= 3 or meet and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"] for r in simhash.representatives(df, tile=tile).collect()}
+    # pairs of a family without an equal block are compared as well
+    assert left <= set(root) and len(left) > 11 and len(set(root)) - len(left) <= 3
+
+
 # --- byte-level BPE ---
 
 
