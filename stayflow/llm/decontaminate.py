@@ -2,8 +2,12 @@
 
 Numbers, names and units of a text become typed placeholders, so that a question with other values has the same template.
 Windows of template tokens of the benchmark and of the documents are hashed and joined; an item is found in a document
-if enough of its tokens lie in common windows and its slots are consistent: each value of the item stands for one value
-of the document and the other way round, among numbers, names and units each.
+if enough of its tokens lie in the common windows of one occurrence and the slots of these are consistent: each value of
+the item stands for one value of the document and the other way round, among numbers, names and units each.
+
+Occurrences are told apart by their diagonals, the place in the document less that in the item: a diagonal by itself,
+those at most 3 apart, those at most half of the item apart, and all together. An item is found if any of these passes,
+so that one occurrence does not hide another and words put into an occurrence do not hide it.
 
 The benchmark's windows are sent to the executors to pass over what no item has, in blocks of a bounded number of
 windows: a larger benchmark takes more passes over the documents, not more memory.
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayflow.llm.common import free_name, written
@@ -110,8 +114,9 @@ def document_hits(docs: DataFrame, block, doc_id: str, text: str) -> DataFrame:
 def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 8, shortest: int = 5, least: float = 0.6, block: int = 50_000) -> DataFrame:
     """(doc_id, copy, item_id, share, first_word, last_word, n_slots): the items that each document has.
 
-    share is the part of the item's template tokens that lie in common windows, at least `least`; first_word and
-    last_word are the first and last template token of the document in them; copy is xxhash64 of the document's text.
+    share is the part of the item's template tokens that lie in the common windows of an occurrence, at least `least`;
+    first_word and last_word are the first and last template token of the document in them. Of occurrences that pass, a
+    row has the one of the largest share, the one of more diagonals, the first; copy is xxhash64 of the document's text.
     Windows have `width` tokens, those of shorter items all of the item's; items of fewer than `shortest` tokens and null
     texts are never found, and no text is found in a null document. Rows with equal id and text are one document (or
     item); a null id is kept. Empty tables give an empty table.
@@ -136,8 +141,17 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     hits = written(hits, "hits")
     k = known.select(F.col("item"), F.col("copy").alias("item_copy"), "size", F.col("width").alias("w"), F.col("place").alias("item_place"), F.col("hash").alias("h"), F.col("slots").alias("item_slots"))
     meets = hits.join(k, (F.col("hash") == F.col("h")) & (F.col("width") == F.col("w")) & (F.size("slots") == F.size("item_slots")))
+    # hits of one occurrence have the same or neighbouring diagonals (place - item_place)
+    key = ["doc", "copy", "item", "item_copy", "size"]
+    meets = meets.withColumn("diagonal", F.col("place") - F.col("item_place"))
+    order = Window.partitionBy(*key).orderBy("diagonal", "place")
+    step = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(0))
+    near = [F.lit(0), F.lit(3), F.floor(F.col("size") / 2).cast("int")]
+    starts = [F.sum(F.when(F.col("step") > n, 1).otherwise(0)).over(order) for n in near]
+    tried = F.array(*[F.struct(F.lit(i).alias("way"), n.cast("long").alias("occurrence")) for i, n in enumerate([*starts, F.lit(0)])])
+    meets = meets.withColumn("step", step).withColumn("tried", tried).select("*", F.inline("tried"))
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    by_item = meets.groupBy("doc", "copy", "item", "item_copy", "size").agg(
+    by_item = meets.groupBy(*key, "way", "occurrence").agg(
         F.collect_set("item_place").alias("places"), F.first("width").alias("width"), F.min("place").alias("first_word"), F.max(F.col("place") + F.col("width") - 1).alias("last_word"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
     )
@@ -145,7 +159,9 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     n = F.size("pairs")
     consistent = (F.size(F.array_distinct(F.transform("pairs", lambda p: p.a))) == n) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p.b))) == n)
     found = by_item.withColumns({"share": covered / F.col("size"), "n_slots": n}).where(consistent & (F.col("share") >= least))
-    return found.select(F.col("doc").alias("doc_id"), "copy", F.col("item").alias("item_id"), "share", F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), F.col("n_slots").cast("long").alias("n_slots")).distinct()
+    best = F.struct("share", "way", (-F.col("first_word")).alias("early"), (-F.col("last_word")).alias("short"), "n_slots")
+    found = found.groupBy(*key).agg(F.max(best).alias("best")).select("*", "best.*")
+    return found.select(F.col("doc").alias("doc_id"), "copy", F.col("item").alias("item_id"), "share", (-F.col("early")).cast("long").alias("first_word"), (-F.col("short")).cast("long").alias("last_word"), F.col("n_slots").cast("long").alias("n_slots")).distinct()
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

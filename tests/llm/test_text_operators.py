@@ -183,6 +183,19 @@ def test_templates_catch_new_values_only_if_consistent(spark, items):
     assert kept == {1, 4, 5, 6, 7, 8}
 
 
+def test_occurrences_do_not_hide_each_other(spark, items):
+    same = "Then {a} walks {n} {u} in {h} hours and {a} rests; how fast does {a} walk on average over the whole day?"
+    plain, boris, carl = (same.format(a=a, n=n, u=u, h=h) for a, n, u, h in (("Anna", 12, "km", 3), ("Boris", 40, "miles", 8), ("Carl", 7, "yards", 5)))
+    part = " and so on, how fast does Dora walk on average over the whole day?"
+    later = boris.replace("; how fast", " a little while under the old green trees; how fast")
+    mixed = "Then Boris walks 40 miles in 8 hours and Carl rests; how fast does Dora walk on average over the whole day?"
+    texts = [f"{boris} {carl}", f"{plain} Again: {boris}", f"{carl}{part * 3}", later, f"{part * 3} {boris} {part}", mixed, f"{mixed} {mixed}"]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find(docs(spark, texts), items).collect()}
+    assert set(got) == {(d, i) for d in range(5) for i in (1, 6)}
+    assert (got[0, 1]["share"], got[0, 1]["first_word"]) == (1.0, 0)
+    assert {r["doc_id"] for r in decontaminate.clean(docs(spark, texts), items).collect()} == {5, 6}
+
+
 def test_blocks_give_the_same(spark, items):
     texts = ["Then Anna walks 12 km in 3 hours and Anna rests; how fast does Anna walk on average over the whole day?", "six words are in this item"]
     one, many = ({tuple(r) for r in decontaminate.find(docs(spark, texts), items, block=b).collect()} for b in (50_000, 3))
