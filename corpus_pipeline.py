@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayflow.llm import bpe, decontaminate, linededup, quality, simhash
-from stayflow.llm.common import BLANKS, free_name, written
+from stayflow.llm.common import BLANKS, free_name
+from stayflow.sources.store import written
 
 
 def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (local runs and tests)."""
+    """A folder of this application under spark.checkpoint.dir.
+
+    Where that is unset, local runs get a folder of their own; a cluster has none that all its machines see, so there it
+    is an error.
+    """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not context.getCheckpointDir():
             context.setCheckpointDir(tempfile.mkdtemp(prefix="stayflow-"))
         root = context.getCheckpointDir()
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/stayflow-{context.applicationId}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -29,4 +41,54 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    if (made := _made.get()) is not None:
+        made.append(found)
+    return found
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """What written() gives inside is deleted at the end, but for the tables that the function yielded is called with.
+
+    A plan that is run after the end must read kept tables alone.
+    """
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    token = _made.set(made)
+    try:
+        yield lambda *tables: kept.extend(tables)
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _made.reset(token)
+        release(*[t for t in made if not any(t is k for k in kept)])
+        if (outer := _made.get()) is not None:
+            outer.extend(kept)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that written() gave and that nothing reads any more."""
+    for table in tables:
+        if path := vars(table).get("written_at"):
+            delete(table.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder; results that read it must be stored by then."""
+    delete(spark, shared_dir(spark))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, resolved as Spark does it: without one it lies in the default file system."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
