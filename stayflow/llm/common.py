@@ -1,11 +1,8 @@
-"""What the corpus operators share: the shared folder, written tables and word columns."""
+"""What the corpus operators share: word columns and free names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters between words, as a regular expression and as a string to trim.
@@ -13,29 +10,6 @@ GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local runs and tests)."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="stayflow-"))
-        root = context.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back.
-
-    Lost executors lose nothing of it, and Spark knows its size, so that joins with it are broadcast only under
-    spark.sql.autoBroadcastJoinThreshold; beyond it they are sort-merge joins whose hot partitions AQE splits.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The words of a text, split at white space of ASCII; null and blank texts have none."""
     trimmed = F.btrim(text, F.lit(BLANKS))

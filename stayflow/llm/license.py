@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stayflow.llm.common import ascii_lower, free_name, written
+from stayflow.llm.common import ascii_lower, free_name
 from stayflow.llm.quality import bound
+from stayflow.sources.store import written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed phrases and their labels.

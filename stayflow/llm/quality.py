@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayflow.llm.common import BLANKS, free_name, words, written
+from stayflow.llm.common import BLANKS, free_name, words
+from stayflow.sources.store import written
 
 SYMBOLS = "#*$%&|<>"
 

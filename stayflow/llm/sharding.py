@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stayflow.llm.common import BLANKS, written
+from stayflow.llm.common import BLANKS
+from stayflow.sources.store import written
 
 DIMENSIONS = ("bytes", "tokens", "rows")
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from stayflow.llm.common import shared_dir, written
+from stayflow.sources.store import shared_dir, written
 
 MANIFEST = "_warc_manifest.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"

@@ -1,5 +1,6 @@
 """SimHash, byte-level BPE, language ID and sharding."""
 
+import math
 import random
 import re
 import zlib
@@ -54,8 +55,8 @@ def slow_components(prints, radius):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
-def test_links_against_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "blocks"), [(4, 4), (1024, 4), (1024, 6)])
+def test_links_against_brute_force(spark, tile, blocks):
     rng = random.Random(tile)
     prints = {}
     for base in [0, (1 << 64) - 1, *[rng.getrandbits(64) for _ in range(8)]]:
@@ -67,7 +68,7 @@ def test_links_against_brute_force(spark, tile):
     for v in [rng.getrandbits(64) for _ in range(60)]:
         prints[len(prints)] = v
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in set(prints.values())]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long").repartition(5), 3, tile)
+    edges = simhash.links(spark.createDataFrame(signed, "fp long").repartition(5), 3, tile, blocks)
     found = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in components.components(edges).collect()}
     want = slow_components({v: v for v in set(prints.values())}, 3)
     groups = lambda m: Counter(frozenset(k for k in m if m[k] == r) for r in set(m.values()))
@@ -94,52 +95,108 @@ def test_near_duplicates_odd_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.representatives(df.limit(0)).count() == 0
 
 
-def test_wider_links_are_verified(spark):
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choices("abcdefghijkl", k=rng.randint(2, 7)))
-    rows = []
-    for g in range(12):
-        base = [word() for _ in range(400)]
-        for k, n in enumerate((0, 4, 60)):  # the last has under half of the shingles left
-            text = list(base)
-            for at in rng.sample(range(400), n):
-                text[at] = word()
-            rows.append((10 * g + k, " ".join(text)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    left = {r["doc_id"] for r in simhash.representatives(df).collect()}
-    assert {10 * g for g in range(12)} | {10 * g + 2 for g in range(12)} <= left
-    assert sum(10 * g + 1 in left for g in range(12)) <= 1
-    a, b = (set(simhash.shingles(t, 5).tolist()) for t in ("a b c d e f", "x A b c d e f"))
-    assert len(a) == 2 and len(a & b) == 2 and len(simhash.shingles("", 5)) == 0 and len(simhash.shingles("a b", 5)) == 1
-
-
-@pytest.mark.parametrize("tile", [8, 8192])
-def test_wider_links_of_many_copies(spark, tile):
+def test_bucket_tiles_against_all_pairs():
+    rng = np.random.default_rng(3)
+    bases = rng.integers(0, 1 << 63, 40, np.uint64)
+    fp = np.unique(bases[rng.integers(0, 40, 900)] ^ (np.uint64(1) << rng.integers(0, 64, 900, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 900, np.uint64)))
+    bucket = rng.integers(0, 5, len(fp))
+    count = np.bitwise_count(fp).astype(np.int64)
+    order = np.lexsort((count, bucket))
+    bucket, fp, count = bucket[order], fp[order], count[order]
+    for side in (3, 64, 2000):
+        u, v = simhash.bucket_links(bucket, fp, count, 3, side)
+        near = (np.bitwise_count(fp[:, None] ^ fp) <= 3) & (bucket[:, None] == bucket)
+        x, y = np.nonzero(np.triu(near, 1))
+        assert (simhash.stars(u, v, len(fp)) == simhash.stars(x, y, len(fp))).all() and len(u) < len(fp)
+
+
+def test_blocks_grow_with_the_fingerprints():
+    assert [simhash.blocks_for(n, 3) for n in (0, 1000, 1 << 24, 1 << 25, 1 << 33, 1 << 34, 1 << 40)] == [4, 4, 4, 5, 5, 6, 6]
+    assert simhash.blocks_for(10**6, 0) == 1
+
+
+def similar_pairs(texts, least=0.8):
+    """All pairs whose sets of five-word shingles (as strings) have that Jaccard similarity, exactly: such pairs share one of
+    the first elements in any order of all shingles."""
+    sets = []
+    for t in texts:
+        w = split_low(t)
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    held, pairs = {}, set()
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        n = len(sets[i])
+        first = sorted(sets[i])[: n - math.ceil(least * n) + 1]
+        for j in {j for s in first for j in held.get(s, ())}:
+            both = len(sets[i] & sets[j])
+            if both >= least * (n + len(sets[j]) - both):
+                pairs.add((min(i, j), max(i, j)))
+        for s in first:
+            held.setdefault(s, []).append(i)
+    return pairs
+
+
+def split_low(text):
+    return [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+
+
+def grouped_texts(spark, texts, **how):
+    """component_id of each text, the operator's and that of brute force (all pairs within 3 bits or similar)."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in simhash._groups(df, "doc_id", "text", 3, 3, how.get("tile", 1024), 5, 0.8).collect()}
+    prints = np.array([simhash.fingerprint(t) for t in texts], np.uint64)
+    u, v = [], []
+    for at in range(0, len(prints), 500):
+        x, y = np.nonzero(np.bitwise_count(prints[at : at + 500, None] ^ prints) <= 3)
+        u.append(x + at)
+        v.append(y)
+    pairs = np.array(sorted(similar_pairs(texts)), np.int64).reshape(-1, 2)
+    root = simhash.stars(np.concatenate([*u, pairs[:, 0]]), np.concatenate([*v, pairs[:, 1]]), len(texts))
+    return found, dict(enumerate(root.tolist()))
+
+
+def test_all_similar_pairs_are_linked_whole_table(spark):
+    """Recall on sf0.1: every pair within 3 bits or with a five-word similarity of 0.8 or more, and no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null").select("text").distinct()
+    texts = sorted(r["text"] for r in docs.collect())
+    found, want = grouped_texts(spark, texts)
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) > 40 and all(found[i] == found[want[i]] for i in linked)
+    # an edited copy may be linked through documents that only its family joins, never without such a pair
+    assert sum(found[i] != i for i in want) == len(linked)
+
+
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_similar_texts_of_many_copies(spark, tile):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefghijkl", k=rng.randint(2, 7)))
     texts = []
-    for _ in range(12):
-        base = [word() for _ in range(200)]
+    for n in (3, 7, 8, 12, 60, 200, 400):
+        base = [word() for _ in range(n)]
         for _ in range(31):
             text = list(base)
-            for at in rng.sample(range(200), rng.randint(2, 9)):
+            for at in rng.sample(range(n), rng.randint(0, max(1, n // 25))):
                 text[at] = word()
             texts.append(" ".join(text))
     rng.shuffle(texts)
-    prints = [simhash.fingerprint(t) for t in texts]
-    sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
-    root = list(range(len(texts)))
-    for j in range(len(texts)):
-        for i in range(j):
-            x = prints[i] ^ prints[j]
-            meet = x.bit_count() <= 10 and any(not x >> 8 * b & 255 for b in range(8))
-            if x.bit_count() <= 3 or meet and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
+    found, want = grouped_texts(spark, texts, tile=tile)
+    assert found == want and len(set(want.values())) > 20
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    left = {r["doc_id"] for r in simhash.representatives(df, tile=tile).collect()}
-    # pairs of a family without an equal block are compared as well
-    assert left <= set(root) and len(left) > 11 and len(set(root)) - len(left) <= 3
+    assert {r["doc_id"] for r in simhash.representatives(df, tile=tile).collect()} == set(want.values())
+
+
+def test_shingles_and_bands():
+    one = lambda t: set(simhash.shingles(t).tolist())
+    a, b = one("a b c d e f"), one("x A b c d e f")
+    assert len(a) == 2 and len(a & b) == 2 and not one("") and len(one("a b")) == len(one("a b c d")) == 1
+    assert len({*one("a b c d"), *one("a b c"), *one("b c d"), *one("a b c e"), *one("a c b d")}) == 5
+    rng = random.Random(0)
+    hits = 0
+    for _ in range(300):
+        text = [str(rng.random()) for _ in range(120)]
+        other = text[:107] + [str(rng.random()) for _ in range(13)]  # similarity 103 / 129
+        keys = [simhash.band_keys(simhash.shingles(" ".join(t)).view(np.uint64)) for t in (text, other)]
+        hits += (keys[0] == keys[1]).any()
+    assert hits >= 299 and len(simhash.band_keys(np.zeros(0, np.uint64))) == 0
 
 
 # --- byte-level BPE ---
