@@ -1,12 +1,13 @@
 """Removal of passages that stand elsewhere already, by overlapping windows of three lines. DataFrame functions only.
 
-A window is three consecutive lines, or one or two of them with at least `long_blanks` blanks (a passage of over 50 words
-in fewer lines). Windows with equal lines (trimmed) are one passage; that of the smallest (doc_id, text hash, position)
-stays, and the lines that the others cover are removed. Two 64-bit hashes stand for a window's lines.
+A window is three consecutive lines. Windows with equal lines (trimmed) are one passage; that of the smallest (doc_id, text
+hash, position) stays, and the lines that the others cover are removed. Two 64-bit hashes stand for a window's lines.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,58 +16,45 @@ from stayflow.llm.quality import bound
 from stayflow.sources.store import written
 
 
-def _windows(rows: DataFrame, width: int, long_blanks: int) -> DataFrame:
-    """rows (id, copy, text) -> (id, copy, at, size, a, b), a window each."""
+def _windows(rows: DataFrame, width: int) -> DataFrame:
+    """rows (id, copy, text) -> (id, copy, at, a, b), a window each; windows without a word are left out."""
 
     def hashes(lines: Column) -> Column:
         def one(x: Column) -> Column:
             line = F.btrim(x, F.lit(BLANKS))
-            gaps = F.length(line) - F.length(F.translate(line, BLANKS, ""))
-            return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second"), line).alias("b"), gaps.alias("gaps"), (line != "").alias("word"))
+            return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second"), line).alias("b"), (line != "").alias("word"))
 
         return F.transform(lines, one)
 
     def windows(h: Column) -> Column:
         def at(i: Column) -> Column:
-            def of(size: int) -> Column:
-                parts = [F.get(h, i + k) for k in range(size)]
-                return F.struct(
-                    i.cast("int").alias("at"), F.lit(size).alias("size"), F.xxhash64(F.lit(size), *[p.a for p in parts]).alias("a"), F.xxhash64(*[p.b for p in parts], F.lit(size)).alias("b"),
-                    (parts[-1].a.isNotNull() & (parts[0].word | parts[-1].word if size < width else sum_(p.word.cast("int") for p in parts) > 0) & (F.lit(size == width) | (sum_(p.gaps for p in parts) >= long_blanks))).alias("is"),
-                )
-
-            return F.array(*[of(size) for size in range(1, width + 1)])
+            parts = [F.get(h, i + k) for k in range(width)]
+            some = reduce(lambda x, y: x | y, [p.word for p in parts])
+            return F.struct(i.cast("int").alias("at"), F.xxhash64(*[p.a for p in parts]).alias("a"), F.xxhash64(*[p.b for p in parts]).alias("b"), some.alias("word"))
 
-        return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(h) - 1), at)), lambda w: w["is"])
+        starts = F.when(F.size(h) >= width, F.sequence(F.lit(0), F.size(h) - width)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(starts, at), lambda w: w["word"])
 
     split = rows.select("id", "copy", F.split("text", "\n").alias("lines"))
-    found = split.select("id", "copy", F.inline(bound(hashes(F.col("lines")), windows)))
-    return found.drop("is")
-
-
-def sum_(columns) -> Column:
-    first, *rest = columns
-    for c in rest:
-        first = first + c
-    return first
+    return split.select("id", "copy", F.inline(bound(hashes(F.col("lines")), windows))).drop("word")
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "lines", width: int = 3, long_blanks: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "lines", width: int = 3) -> DataFrame:
     """Replace the text by what stays of it, and add a struct `out` (replaced if there): n_lines, n_removed.
 
     Lines of the window that stays are never removed for its own repeats, also where the two overlap. Texts with fewer
-    than three lines have no three-line window; lines without a word make none by themselves. Rows with equal id and text
+    than `width` lines have no window and stay whole; lines without a word make none by themselves. Rows with equal id and text
     are one document: each of them gets the same result. A null text stays null (n_lines 0); a null id is smallest.
     """
     key = F.xxhash64(F.col(text))
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), key.alias("copy"), F.col(text).alias("text"))
-    windows = _windows(rows, width, long_blanks)
+    windows = _windows(rows, width)
     first = windows.groupBy("a", "b").agg(F.min(F.struct("id", "copy", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = written(first.select("a", "b", "first"), "passages")
     later = windows.join(first, ["a", "b"])
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("copy") == F.col("first.copy"))
-    start = F.when(same, F.greatest(F.col("at"), F.col("first.at") + F.col("size"))).otherwise(F.col("at"))
-    later = later.where(~(same & (F.col("at") == F.col("first.at")))).select("id", "copy", start.alias("a"), (F.col("at") + F.col("size") - 1).alias("z")).where("a <= z")
+    start = F.when(same, F.greatest(F.col("at"), F.col("first.at") + width)).otherwise(F.col("at"))
+    later = later.where(~(same & (F.col("at") == F.col("first.at")))).select("id", "copy", start.alias("a"), (F.col("at") + (width - 1)).alias("z")).where("a <= z")
     covered = later.select("id", "copy", F.explode(F.sequence("a", "z")).alias("line")).distinct()
     covered = written(covered.groupBy("id", "copy").agg(F.collect_list("line").alias("gone")), "covered")
 
@@ -92,17 +80,14 @@ SQL = r"""
 with l as (
   select doc_id, text, pos, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as norm
   from (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null)
-), g as (select *, length(norm) - length(regexp_replace(norm, '[\x20\x09-\x0D]', '', 'g')) as gaps from l
 ), n as (
-  select *, lead(norm) over w as norm2, lead(norm, 2) over w as norm3, lead(gaps) over w as gaps2 from g window w as (partition by doc_id order by pos)
+  select *, lead(norm) over w as norm2, lead(norm, 2) over w as norm3 from l window w as (partition by doc_id order by pos)
 ), win as (
-  select doc_id, pos, 1 as size, [norm] as body from n where norm <> '' and gaps >= 50
-  union all select doc_id, pos, 2, [norm, norm2] from n where norm2 is not null and (norm <> '' or norm2 <> '') and gaps + gaps2 >= 50
-  union all select doc_id, pos, 3, [norm, norm2, norm3] from n where norm3 is not null and (norm <> '' or norm2 <> '' or norm3 <> '')
+  select doc_id, pos, [norm, norm2, norm3] as body from n where norm3 is not null and (norm <> '' or norm2 <> '' or norm3 <> '')
 ), f as (
   select *, first_value(doc_id) over w as first_doc, first_value(pos) over w as first_pos from win window w as (partition by body order by doc_id nulls first, pos)
 ), c as (
-  select distinct doc_id, unnest(range(case when doc_id = first_doc then greatest(pos, first_pos + size) else pos end, pos + size)) as pos
+  select distinct doc_id, unnest(range(case when doc_id = first_doc then greatest(pos, first_pos + 3) else pos end, pos + 3)) as pos
   from f where not (doc_id = first_doc and pos = first_pos)
 ), k as (
   select l.doc_id, count(*) as n_lines, count(c.pos) as n_removed, coalesce(string_agg(line, chr(10) order by l.pos) filter (c.pos is null), '') as text

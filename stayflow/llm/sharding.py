@@ -23,11 +23,13 @@ from stayflow.llm.common import BLANKS
 from stayflow.sources.store import scratch, written
 
 DIMENSIONS = ("bytes", "tokens", "rows")
+#: What the dimensions count in the dot product; the law is that bytes are near equal.
+WEIGHTS = np.array([4.0, 1.0, 1.0])
 #: The heaviest piece of a class weighs up to so many times the lightest.
 STEP = 16
 
 
-def pack(sizes: np.ndarray, shards: int, first: int = 0, left: np.ndarray | None = None) -> np.ndarray:
+def pack(sizes: np.ndarray, shards: int, first: int = 0, left: np.ndarray | None = None, weights: np.ndarray = WEIGHTS) -> np.ndarray:
     """The shard of each piece. sizes: a row per piece, a column per dimension. left: the share of the pieces' total that
     each shard is to get, a row per shard (equal shares if None). Of equal shards the next after `first` is taken."""
     if not len(sizes):
@@ -39,7 +41,7 @@ def pack(sizes: np.ndarray, shards: int, first: int = 0, left: np.ndarray | None
     left = left[turn]
     result = np.empty(len(sizes), np.int64)
     for i in np.argsort(-shares.max(axis=1), kind="stable"):
-        best = int(np.argmax(left @ shares[i]))
+        best = int(np.argmax(left @ (shares[i] * weights)))
         left[best] -= shares[i]
         result[i] = best
     return turn[result]

@@ -25,26 +25,20 @@ def split_words(text):
 # --- line dedup ---
 
 
-def brute_dedup(rows, long_blanks=50):
+def brute_dedup(rows):
     first, covered = {}, {}
     windows = []
     for i, t in rows:
         if t is None:
             continue
         lines = [x.strip(WS) for x in t.split("\n")]
-        gaps = [sum(c in WS for c in x) for x in lines]
-        for at in range(len(lines)):
-            for size in (1, 2, 3):
-                part = lines[at : at + size]
-                if len(part) < size or not any(part) or (size < 3 and sum(gaps[at : at + size]) < long_blanks):
-                    continue
-                windows.append((tuple(part), i, at, size))
-    for w, i, at, size in sorted(windows, key=lambda x: (x[1], x[2])):
+        windows += [(tuple(lines[at : at + 3]), i, at) for at in range(len(lines) - 2) if any(lines[at : at + 3])]
+    for w, i, at in sorted(windows, key=lambda x: (x[1], x[2])):
         first.setdefault(w, (i, at))
-    for w, i, at, size in windows:
+    for w, i, at in windows:
         if first[w] != (i, at):
-            start = max(at, first[w][1] + size) if first[w][0] == i else at
-            covered.setdefault(i, set()).update(range(start, at + size))
+            start = max(at, first[w][1] + 3) if first[w][0] == i else at
+            covered.setdefault(i, set()).update(range(start, at + 3))
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in covered.get(i, ())) for i, t in rows}
 
 
@@ -56,7 +50,8 @@ def test_line_dedup_against_brute_force(spark):
     got = {r["doc_id"]: r["text"] for r in found.collect()}
     want = brute_dedup(list(enumerate(texts)))
     assert got == want
-    assert got[1] == "intro\nend" and got[2] == "a\na\na" and got[10] == "" and got[4] == "y" and got[8] == "\n\n\n\n"
+    assert got[1] == "intro\nend" and got[2] == "a\na\na" and got[10] == "" and got[8] == "\n\n\n\n"
+    assert got[4] == texts[4]  # a long line by itself is no window
     stats = {r["doc_id"]: r["lines"] for r in found.collect()}
     assert stats[1]["n_removed"] == 3 and stats[5]["n_lines"] == 0
 
