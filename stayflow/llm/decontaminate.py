@@ -5,12 +5,17 @@ Windows of template tokens of the benchmark and of the documents are hashed and
 if enough of its tokens lie in the common windows of one occurrence and the slots of these are consistent: each value of
 the item stands for one value of the document and the other way round, among numbers, names and units each.
 
+A number is written in digits or as a word; number words and names that follow each other are one slot. A name is a
+capitalised word that is no function word. A unit is the word after a number unless it is a function word, or one of the
+signs of SIGNS; plurals in s are equal to the singular. Windows of fewer than two plain words say nothing without their
+values, so their values are hashed as well.
+
 Occurrences are told apart by their diagonals, the place in the document less that in the item: a diagonal by itself,
 those at most 3 apart, those at most half of the item apart, and all together. An item is found if any of these passes,
 so that one occurrence does not hide another and words put into an occurrence do not hide it.
 
-The benchmark's windows are sent to the executors to pass over what no item has, in blocks of a bounded number of
-windows: a larger benchmark takes more passes over the documents, not more memory.
+Documents are read once, whatever the size of the benchmark: a bitmap of bounded size, on which no window of the benchmark
+is missed, passes over most of what no item has, and the join is exact.
 """
 
 from __future__ import annotations
@@ -18,130 +23,199 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayflow.llm.common import free_name
-from stayflow.sources.store import written
-
-#: Units that may follow a number.
-UNITS = ("cm", "dollars", "euros", "feet", "g", "hours", "hrs", "inches", "kg", "km", "kmh", "l", "lbs", "litres", "m", "meters", "metres", "mg", "miles", "min", "minutes", "ml", "mm", "mph", "percent", "pounds", "seconds", "yards", "years")
-_NUMBER = re.compile(rf"(?<!\w)(\d+(?:[.,]\d+)*)(?:\s?({'|'.join(UNITS)})(?!\w)|(?!\w))")
-_NAME = re.compile(r"(?<=[a-zß-öø-ÿ,;] )[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?!\w)")
-_SLOT = re.compile(r"\d|[a-zß-öø-ÿ,;] [A-ZÀ-ÖØ-Þ]").search
-#: ASCII that is neither letter nor digit divides tokens; \x01 begins a placeholder.
-_DIVIDE = bytes(c if c >= 128 or c == 1 or chr(c).isalnum() else 32 for c in range(256))
-
+from stayflow.sources.store import scratch, written
+
+#: Number words with their values, signs that are units, and words that are neither names nor units.
+NUMBERS = {
+    **{w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split())},
+    **{w: 10 * i for i, w in enumerate("thirty forty fifty sixty seventy eighty ninety hundred".split(), 3)},
+    "thousand": 1000,
+    "million": 1000000,
+    "billion": 1000000000,
+}
+SIGNS = "$€£¥%°"
+FUNCTION_WORDS = frozenset(
+    """a about after all also an and any are as at be because been before being both but by can could did do does during each either
+    else every few find for from had has have he her here his how i if in into is it its many may more most much must my no nor not
+    of on once or other our over per she should since so some such than that the their then there these they this those though to
+    under until was we were what when where which while who whom whose why will with would you your""".split()
+)
+_TOKENS = re.compile(rf"\d+(?:[.,]\d+)*(?:[eE][+-]?\d+(?![^\W_]))?|[^\W\d_]+|[{SIGNS}]").findall
+WORD, NUMBER, NUMBER_WORD, NAME, SIGN, FUNCTION = range(6)
+#: What stands for a slot in a template, by kind (none, number, name, unit).
+SLOTS = np.array([0, *(xxhash.xxh64_intdigest(k, 42) for k in ("number", "name", "unit"))], np.uint64)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+
+
+class Codes(dict):
+    """token -> hash of its value, of which the last three bits are its kind; begun anew when it has met `most` tokens."""
+
+    def __init__(self, most: int = 1_000_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, token: str) -> int:
+        low = token.lower()
+        if token[0].isdigit():
+            kind = NUMBER
+        elif low in NUMBERS:
+            kind, low = NUMBER_WORD, str(NUMBERS[low])
+        elif token in SIGNS:
+            kind = SIGN
+        elif low in FUNCTION_WORDS:
+            kind = FUNCTION
+        else:
+            kind = NAME if len(token) > 1 and token[0].isupper() and token[1].islower() else WORD
+        if len(self) >= self.most:
+            self.clear()
+        code = self[token] = _hash(low) & ~7 | kind
+        return code
+
+
+def template(text: str | None, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, values, kinds): hashes of the template tokens and of what stands there, and the kind of slot (0: a plain word)."""
+    found = _TOKENS(text) if text else []
+    code = np.fromiter(map(codes.__getitem__, found), np.uint64, len(found))
+    if not len(code):
+        return code, code, code.astype(np.int8)
+    is_ = (code & np.uint64(7)).astype(np.int8)
+    before = np.r_[np.int8(-1), is_[:-1]]
+    after_number = (before == NUMBER) | (before == NUMBER_WORD)
+    unit = (is_ == SIGN) | (is_ == WORD) & after_number
+    starts = np.flatnonzero(~((is_ == before) & ((is_ == NAME) | (is_ == NUMBER_WORD))))
+    values = np.add.reduceat(code & ~np.uint64(7), starts)
+    unit, is_ = unit[starts], is_[starts]
+    kinds = np.where(unit, 3, np.where(is_ == NAME, 2, np.where((is_ == NUMBER) | (is_ == NUMBER_WORD), 1, 0))).astype(np.int8)
+    for i in np.flatnonzero(unit).tolist():
+        word = found[starts[i]].lower()
+        values[i] = _hash(word[:-1] if len(word) > 2 and word[-1] == "s" else word)
+    values += SLOTS[kinds]
+    return np.where(kinds > 0, SLOTS[kinds], values), values, kinds
+
+
+def _rolled(tokens: np.ndarray, width: int, seed: int) -> np.ndarray:
+    found = np.full(len(tokens) - width + 1, seed, np.uint64)
+    for k in range(width):
+        found = (found ^ tokens[k : k + len(found)]) * ODD
+        found ^= found >> np.uint64(29)
+    return found
+
+
+def windows(tokens: np.ndarray, values: np.ndarray, kinds: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each window: of its template, or of its values if it has fewer than two plain words."""
+    if len(tokens) < width:
+        return tokens[:0]
+    found = _rolled(tokens, width, width)
+    plain = np.cumsum(np.r_[0, kinds == 0])
+    few = plain[width:] - plain[:-width] < 2
+    return np.where(few, _rolled(values, width, 1000 + width), found) if few.any() else found
+
+
+def _emit(rows: pa.RecordBatch, picks: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], keys: list[str]) -> pa.RecordBatch:
+    """Rows for picks (row, width, places, hashes, values, kinds) of texts: the keys of the row, then WINDOW."""
+    at = np.concatenate([np.full(len(p[2]), p[0]) for p in picks]) if picks else np.zeros(0, np.int64)
+    width = np.concatenate([np.full(len(p[2]), p[1], np.int32) for p in picks]) if picks else np.zeros(0, np.int32)
+    size = np.concatenate([np.full(len(p[2]), len(p[4]), np.int32) for p in picks]) if picks else np.zeros(0, np.int32)
+    place = np.concatenate([p[2].astype(np.int32) for p in picks]) if picks else np.zeros(0, np.int32)
+    hashes = np.concatenate([p[3][p[2]] for p in picks]).view(np.int64) if picks else np.zeros(0, np.int64)
+    slots = [v[i : i + w][k[i : i + w] > 0].view(np.int64) for _, w, places, _, v, k in picks for i in places.tolist()]
+    columns = [rows.column(c).take(pa.array(at)) for c in keys]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(size), pa.array(width), pa.array(place), pa.array(hashes), pa.array(slots, pa.list_(pa.int64()))], names=[*keys, "size", "width", "place", "hash", "slots"])
+
+
+WINDOW = "size int, width int, place int, hash long, slots array<long>"
+
+
+def _windows_of(rows: DataFrame, pick) -> DataFrame:
+    """rows (id, copy, text) -> (id, copy, WINDOW); pick gets a template and yields (width, places, hashes)."""
 
-def tokens(text: str | None) -> tuple[list[bytes], dict[int, bytes]]:
-    """Template tokens (\\x01n, \\x01p and \\x01u for numbers, names and units), and the values of the slots by place."""
-    text = text or ""
-    values: list[str] = []
-    if _SLOT(text):
-
-        def put(kind: str, value: str) -> str:
-            values.append(value.lower())
-            return f" \x01{kind}{len(values) - 1} "
-
-        text = text.replace("\x01", " ")
-        # a word that is a name once is one wherever it stands
-        if names := set(_NAME.findall(text)):
-            text = re.sub(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names)))})(?!\w)", lambda m: put("p", m[0]), text)
-        text = _NUMBER.sub(lambda m: put("n", m[1]) + (put("u", m[2]) if m[2] else ""), text)
-    found = text.lower().encode("utf-8", "surrogatepass").translate(_DIVIDE).split()
-    slots = {}
-    if values:
-        for i, t in enumerate(found):
-            if t[:1] == b"\x01" and len(t) > 2:
-                slots[i], found[i] = values[int(t[2:])].encode("utf-8", "surrogatepass"), t[:2]
-    return found, slots
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                part, picks = whole.slice(at, 500), []
+                for row, text in enumerate(part.column("text").to_pylist()):
+                    tokens, values, kinds = template(text, codes)
+                    picks += [(row, width, places, hashes, values, kinds) for width, places, hashes in pick(tokens, values, kinds) if len(places)]
+                yield _emit(part, picks, ["id", "copy"])
 
+    return rows.mapInArrow(emit, f"id {rows.schema['id'].dataType.simpleString()}, copy long, {WINDOW}")
 
-def _windows(found: list[bytes], width: int) -> Iterator[tuple[bytes, ...]]:
-    return zip(*[found[i:] for i in range(width)], strict=False)
 
+def item_windows(items: DataFrame, item_id: str, text: str, width: int, shortest: int) -> DataFrame:
+    """(id, copy, WINDOW) for each window; items under `shortest` tokens have none, and those under `width` are one window."""
 
-def _hash(window: tuple[bytes, ...]) -> int:
-    h = xxhash.xxh64_intdigest(b" ".join(window), 42)
-    return h - (1 << 64) if h >> 63 else h
+    def pick(tokens, values, kinds):
+        if len(tokens) >= max(1, shortest):
+            wide = min(width, len(tokens))
+            found = windows(tokens, values, kinds, wide)
+            yield wide, np.arange(len(found)), found
 
+    return _windows_of(items.select(F.col(item_id).alias("id"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text")), pick)
 
-WINDOW = "width int, place int, hash long, slots array<binary>"
-ITEM_FIELDS = ("item", "copy", "size", "width", "place", "hash", "slots")
 
+def bitmap(hashes: DataFrame, n: int, most: int = 29) -> tuple[int, np.ndarray]:
+    """(m, words) of 2^m bits, of which those are set that the first m bits of a hash name: 32 or more for each of n hashes,
+    2^most at most. Executors unite the bits; the driver gets as many words as are not 0."""
+    m = min(max(16, int(n * 32 - 1).bit_length()), most)
+    top = F.shiftrightunsigned("hash", 64 - m)
+    bits = hashes.groupBy(F.shiftright(top, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - m}) & 63 as int))")).alias("bits"))
+    found = bits.toPandas()
+    words = np.zeros(1 << (m - 6), np.uint64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return m, words
 
-def item_windows(items: DataFrame, item_id: str, text: str, width: int, shortest: int) -> DataFrame:
-    """(item, copy, size, width, place, hash, slots) for each window; items under `shortest` tokens have none."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for item, copy, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                found, slots = tokens(t)
-                wide = min(width, len(found))
-                if wide >= shortest:
-                    rows += [(item, copy, len(found), wide, i, _hash(w), [slots[i + k] for k in range(wide) if i + k in slots]) for i, w in enumerate(_windows(found, wide))]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=ITEM_FIELDS)
+def document_windows(docs: DataFrame, known, widths: list[int], doc_id: str, text: str) -> DataFrame:
+    """(id, copy, WINDOW) for the windows of whole texts that the broadcast bitmap does not rule out."""
 
-    rows = items.select(F.col(item_id).cast("long").alias("item"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text"))
-    return rows.mapInArrow(emit, f"item long, copy long, size int, {WINDOW}")
+    def pick(tokens, values, kinds):
+        m, words = known.value
+        for width in widths:
+            found = windows(tokens, values, kinds, width)
+            bit = found >> np.uint64(64 - m)
+            yield width, np.flatnonzero(words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)), found
 
+    return _windows_of(docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text")), pick)
 
-def document_hits(docs: DataFrame, block, doc_id: str, text: str) -> DataFrame:
-    """(doc, copy, width, place, hash, slots) for the windows of whole texts that the block (a broadcast {width: set of windows}) has."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = block.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                rows = []
-                for doc, copy, t in zip(*[c.to_pylist() for c in whole.slice(at, 1000).columns], strict=True):
-                    found, slots = tokens(t)
-                    for width, known in wanted.items():
-                        if not known.isdisjoint(_windows(found, width)):
-                            rows += [(doc, copy, width, i, _hash(w), [slots[i + k] for k in range(width) if i + k in slots]) for i, w in enumerate(_windows(found, width)) if w in known]
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc", "copy", "width", "place", "hash", "slots"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text"))
-    return rows.mapInArrow(emit, f"doc long, copy long, {WINDOW}")
-
-
-def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 8, shortest: int = 5, least: float = 0.6, block: int = 50_000) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 8, shortest: int = 1, least: float = 0.6) -> DataFrame:
     """(doc_id, copy, item_id, share, first_word, last_word, n_slots): the items that each document has.
 
     share is the part of the item's template tokens that lie in the common windows of an occurrence, at least `least`;
     first_word and last_word are the first and last template token of the document in them. Of occurrences that pass, a
     row has the one of the largest share, the one of more diagonals, the first; copy is xxhash64 of the document's text.
     Windows have `width` tokens, those of shorter items all of the item's; items of fewer than `shortest` tokens and null
-    texts are never found, and no text is found in a null document. Rows with equal id and text are one document (or
-    item); a null id is kept. Empty tables give an empty table.
+    or empty texts are never found, and no text is found in a null document. Rows with equal id and text are one document
+    (or item); a null id is kept. Empty tables give an empty table.
     """
     spark = docs.sparkSession
-    known = written(item_windows(items, item_id, item_text, width, shortest).distinct(), "items")
-    total = known.select("hash").distinct().count()
-    blocks = max(1, -(-total // block))
-    texts = items.select(F.col(item_id).cast("long").alias("item"), F.xxhash64(F.col(item_text)).alias("copy"), F.col(item_text).alias("text"))
-    hits = None
-    for b in range(blocks):
-        # at most about `block` windows, whatever the size of the benchmark
-        part = known.where(F.pmod("hash", F.lit(blocks)) == b).select("item", "copy", "width", "place").join(texts.distinct(), ["item", "copy"])
-        part = part.groupBy("text", "width").agg(F.collect_set("place").alias("places"))
-        sets: dict[int, set[tuple[bytes, ...]]] = {}
-        shared: dict[bytes, bytes] = {}
-        for r in part.toLocalIterator():
-            found = [shared.setdefault(t, t) for t in tokens(r["text"])[0]]
-            sets.setdefault(r["width"], set()).update(tuple(found[p : p + r["width"]]) for p in r["places"])
-        more = document_hits(docs, spark.sparkContext.broadcast(sets), doc_id, text)
-        hits = more if hits is None else hits.unionByName(more)
-    hits = written(hits, "hits")
-    k = known.select(F.col("item"), F.col("copy").alias("item_copy"), "size", F.col("width").alias("w"), F.col("place").alias("item_place"), F.col("hash").alias("h"), F.col("slots").alias("item_slots"))
-    meets = hits.join(k, (F.col("hash") == F.col("h")) & (F.col("width") == F.col("w")) & (F.size("slots") == F.size("item_slots")))
+    with scratch() as keep:
+        known = written(item_windows(items, item_id, item_text, width, shortest).distinct(), "items")
+        hashes = known.select("hash").distinct()
+        widths = sorted(r["width"] for r in known.select("width").distinct().collect())  # at most `width` of them
+        sent = spark.sparkContext.broadcast(bitmap(hashes, hashes.count()))
+        hits = document_windows(docs, sent, widths, doc_id, text).drop("size").withColumnsRenamed({"id": "doc"})
+        k = known.select(F.col("id").alias("item"), F.col("copy").alias("item_copy"), "size", F.col("width").alias("w"), F.col("place").alias("item_place"), F.col("hash").alias("h"), F.col("slots").alias("item_slots"))
+        meets = written(hits.distinct().join(k, (F.col("hash") == F.col("h")) & (F.col("width") == F.col("w"))).drop("hash", "h", "w"), "meets")
+        found = written(_occurrences(meets, least), "occurrences")
+        keep(found)
+    return found.select(F.col("doc").alias("doc_id"), "copy", F.col("item").alias("item_id"), "share", "first_word", "last_word", "n_slots")
+
+
+def _occurrences(meets: DataFrame, least: float) -> DataFrame:
+    """The best occurrence that passes of each document and item."""
     # hits of one occurrence have the same or neighbouring diagonals (place - item_place)
     key = ["doc", "copy", "item", "item_copy", "size"]
     meets = meets.withColumn("diagonal", F.col("place") - F.col("item_place"))
@@ -150,19 +224,24 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     near = [F.lit(0), F.lit(3), F.floor(F.col("size") / 2).cast("int")]
     starts = [F.sum(F.when(F.col("step") > n, 1).otherwise(0)).over(order) for n in near]
     tried = F.array(*[F.struct(F.lit(i).alias("way"), n.cast("long").alias("occurrence")) for i, n in enumerate([*starts, F.lit(0)])])
-    meets = meets.withColumn("step", step).withColumn("tried", tried).select("*", F.inline("tried"))
-    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.xxhash64(a, b))
+    meets = meets.withColumns({"step": step, "pairs": pairs}).withColumn("tried", tried).select("*", F.inline("tried"))
+    each = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
     by_item = meets.groupBy(*key, "way", "occurrence").agg(
-        F.collect_set("item_place").alias("places"), F.first("width").alias("width"), F.min("place").alias("first_word"), F.max(F.col("place") + F.col("width") - 1).alias("last_word"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
-    )
+        F.collect_set("item_place").alias("places"),
+        F.first("width").alias("width"),
+        F.min("place").alias("first"),
+        F.max(F.col("place") + F.col("width") - 1).alias("last"),
+        each("pairs").alias("n_slots"),
+        each("item_slots").alias("n_item"),
+        each("slots").alias("n_doc"),
+    )
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1)))))
-    n = F.size("pairs")
-    consistent = (F.size(F.array_distinct(F.transform("pairs", lambda p: p.a))) == n) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p.b))) == n)
-    found = by_item.withColumns({"share": covered / F.col("size"), "n_slots": n}).where(consistent & (F.col("share") >= least))
-    best = F.struct("share", "way", (-F.col("first_word")).alias("early"), (-F.col("last_word")).alias("short"), "n_slots")
+    consistent = (F.col("n_slots") == F.col("n_item")) & (F.col("n_slots") == F.col("n_doc"))
+    found = by_item.withColumn("share", covered / F.col("size")).where(consistent & (F.col("share") >= least))
+    best = F.struct("share", "way", (-F.col("first")).alias("early"), (-F.col("last")).alias("short"), "n_slots")
     found = found.groupBy(*key).agg(F.max(best).alias("best")).select("*", "best.*")
-    return found.select(F.col("doc").alias("doc_id"), "copy", F.col("item").alias("item_id"), "share", (-F.col("early")).cast("long").alias("first_word"), (-F.col("short")).cast("long").alias("last_word"), F.col("n_slots").cast("long").alias("n_slots")).distinct()
+    return found.select("doc", "copy", "item", "share", (-F.col("early")).cast("long").alias("first_word"), (-F.col("short")).cast("long").alias("last_word"), F.col("n_slots").cast("long").alias("n_slots")).distinct()
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -171,4 +250,4 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     found = written(found, "contaminated")
     a, b = free_name(docs, "found_id"), free_name(docs, "found_copy")
     found = found.withColumnsRenamed({"doc_id": a, "copy": b})
-    return docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(F.col(text)) == F.col(b)), "left_anti")
+    return docs.join(found, F.col(doc_id).eqNullSafe(F.col(a)) & (F.xxhash64(F.col(text)) == F.col(b)), "left_anti")

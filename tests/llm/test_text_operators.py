@@ -212,10 +212,11 @@ def test_templates_catch_new_values_only_if_consistent(spark, items):
         "Then Boris walks 40 miles. Something else entirely follows here and goes on for a while.",
     ]
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find(docs(spark, texts), items).collect()}
-    assert set(got) == {(0, 1), (0, 6), (2, 1), (2, 6), (3, 5)}
+    assert set(got) == {(0, 1), (0, 6), (2, 1), (2, 6), (3, 5), (6, 2)}
     assert got[3, 5]["share"] == 1.0 and (got[3, 5]["first_word"], got[3, 5]["last_word"]) == (1, 6)
     kept = {r["doc_id"] for r in decontaminate.clean(docs(spark, texts), items).collect()}
-    assert kept == {1, 4, 5, 6, 7, 8}
+    assert kept == {1, 4, 5, 7, 8}
+    assert {r["doc_id"] for r in decontaminate.clean(docs(spark, texts), items, shortest=5).collect()} == {1, 4, 5, 6, 7, 8}
 
 
 def test_occurrences_do_not_hide_each_other(spark, items):
@@ -231,14 +232,131 @@ def test_occurrences_do_not_hide_each_other(spark, items):
     assert {r["doc_id"] for r in decontaminate.clean(docs(spark, texts), items).collect()} == {5, 6}
 
 
-def test_blocks_give_the_same(spark, items):
-    texts = ["Then Anna walks 12 km in 3 hours and Anna rests; how fast does Anna walk on average over the whole day?", "six words are in this item"]
-    one, many = ({tuple(r) for r in decontaminate.find(docs(spark, texts), items, block=b).collect()} for b in (50_000, 3))
-    assert one == many and len(one) == 3
+def slow_template(text):
+    """[(token or kind of slot, value)] by a plain scan."""
+    found, number = [], False
+    for m in re.finditer(r"\d+(?:[.,]\d+)*(?:[eE][+-]?\d+(?![^\W_]))?|[^\W\d_]+|[$€£¥%°]", text or ""):
+        raw, low = m[0], m[0].lower()
+        if raw[0].isdigit():
+            new = ["<n>", low, "digits"]
+        elif low in decontaminate.NUMBERS:
+            new = ["<n>", str(decontaminate.NUMBERS[low]), "word"]
+        elif raw in decontaminate.SIGNS:
+            new = ["<u>", low, ""]
+        elif low in decontaminate.FUNCTION_WORDS:
+            new = [low, "", ""]
+        elif len(raw) > 1 and raw[0].isupper() and raw[1].islower():
+            new = ["<p>", low, "name"]
+        elif number:
+            new = ["<u>", low.removesuffix("s") if len(low) > 2 else low, ""]
+        else:
+            new = [low, "", ""]
+        if found and new[2] in ("word", "name") and found[-1][2] == new[2]:
+            found[-1][1] += " " + new[1]
+        else:
+            found.append(new)
+        number = new[0] == "<n>"
+    return [(t, v) for t, v, _ in found]
+
+
+def slow_find(texts, items, width=8, least=0.6):
+    def windows(t, w):
+        for i in range(len(t) - w + 1):
+            part = t[i : i + w]
+            yield i, tuple(part) if sum(not v for _, v in part) < 2 else tuple(x for x, _ in part)
+
+    found = set()
+    known = {i: slow_template(t) for i, t in items.items()}
+    for d, text in enumerate(texts):
+        mine = slow_template(text)
+        for i, item in known.items():
+            w = min(width, len(item))
+            if not w:
+                continue
+            of = {}
+            for p, x in windows(mine, w):
+                of.setdefault(x, []).append(p)
+            hits = sorted((q - p, q, p) for p, x in windows(item, w) for q in of.get(x, ()))
+            for gap in (0, 3, len(item) // 2, 10**9):
+                runs = []
+                for h in hits:
+                    if runs and h[0] - runs[-1][-1][0] <= gap:
+                        runs[-1].append(h)
+                    else:
+                        runs.append([h])
+                for run in runs:
+                    covered = {p + k for _, _, p in run for k in range(w)}
+                    pairs = {((item[p + k]), (mine[q + k])) for _, q, p in run for k in range(w) if item[p + k][1]}
+                    if len(covered) >= least * len(item) and len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                        found.add((d, i))
+    return found
+
+
+QUESTIONS = (
+    "{p} has {n} {u} and buys {m} more {u}. How many {u} does {p} have now that the shop is closed?",
+    "A train leaves {p} at a speed of {n} km per hour and reaches {q} after {m} hours without a stop on the way. How far is {q} from {p}?",
+    "If {p} can paint a fence in {n} days and {q} needs {m} days, how long do they need together when both work at the same pace?",
+    "The price of a book rises from ${n} to ${m}. By what percent does the price rise, rounded to the nearest whole number?",
+    "A tank holds {n} litres of water and a pipe fills it at {m} litres a minute; how long until the tank is full to the brim?",
+    "{p} and {q} share {n} {u} in the ratio of their ages. {p} is {m} years old. How many does {q} get in the end?",
+    "At a temperature of {n} °C the pressure is {m} Pa inside the vessel, find the volume of the gas that was let in before",
+)
+
+
+def asked(rng, template, n=None):
+    words = ("apples", "coins", "marbles", "stamps", "shells", "cards")
+    names = ("Maria", "Jon", "Anna Lee", "Boris", "Carla", "Ines", "Tom", "Yusuf", "Li Wei", "Zoë")
+    p, q = rng.sample(names, 2)
+    numbers = rng.sample([*map(str, range(2, 90)), "1,200", "3.5", "1e5", "2.5e3", "seven", "twenty five"], 2)
+    return template.format(p=p, q=q, n=numbers[0], m=numbers[1], u=rng.choice(words))
+
+
+def test_reparameterised_questions_are_found(spark):
+    """Recall over random questions with other names, numbers and units, and precision over ones whose slots do not agree."""
+    rng = random.Random(11)
+    known = {i: asked(rng, q) for i, q in enumerate(QUESTIONS)}
+    other = [(asked(rng, QUESTIONS[k % len(QUESTIONS)]), k % len(QUESTIONS)) for k in range(140)]
+    fill = lambda: " ".join(rng.choices("lorem ipsum dolor sit amet elit sed".split(), k=30))
+    texts = [f"{fill()}. {t} {fill()}" for t, _ in other]
+    wrong = "{p} has {n} {u} and buys {m} more {v}. How many {w} does {q} have now that the shop is closed?"
+    texts += [wrong.format(p="Ada", q="Bob", n=4, m=9, u="pens", v="cups", w="hats")]
+    df = spark.createDataFrame(list(known.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs(spark, texts), df).collect()}
+    assert got == slow_find(texts, known)
+    assert sum((d, k) in got for d, (_, k) in enumerate(other)) / len(other) >= 0.9
+    assert not any(d == len(other) for d, _ in got)
+
+
+def test_decontamination_of_the_table_against_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    texts = [r["text"] for r in rows]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs(spark, texts), items).collect()}
+    assert got == slow_find(texts, {r["item_id"]: r["text"] for r in items.collect()}) and len(got) >= 3
+
+
+def test_texts_of_many_numbers(spark):
+    rng = random.Random(2)
+    numbers = lambda n: " ".join(str(rng.randint(0, 99)) for _ in range(n))
+    some = numbers(30)
+    texts = [numbers(3000), numbers(3000), f"{numbers(500)} {some} {numbers(500)}", "Bo has 3 pens and 4 cups. " * 400]
+    items = {1: some, 2: "Al has 5 nuts and 6 figs.", 3: numbers(3000)}
+    df = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs(spark, texts), df).collect()}
+    assert got == {(2, 1), (3, 2)} == slow_find(texts, items)
+
+
+def test_bitmap_keeps_every_window(spark):
+    df = spark.range(3000).select(F.xxhash64("id").alias("hash"))
+    for most in (16, 29):
+        m, words = decontaminate.bitmap(df, 3000, most)
+        bits = [(r["hash"] % (1 << 64)) >> (64 - m) for r in df.collect()]
+        assert all(int(words[b >> 6]) >> (b & 63) & 1 for b in bits) and int(sum(map(int.bit_count, map(int, words)))) == len(set(bits))
+    assert not decontaminate.bitmap(df.limit(0), 0)[1].any()
 
 
 def test_decontamination_odd_rows(spark, items):
-    df = spark.createDataFrame([(None, "six words are in this item"), (1, "six words are in this item"), (1, "six words are in this item"), (1, "clean")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("found_id", "copy", "hash", "slots", "item_id", "doc")})
+    df = spark.createDataFrame([(None, "six words are in this item"), (1, "six words are in this item"), (1, "six words are in this item"), (1, "clean")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("found_id", "copy", "hash", "slots", "item_id", "doc", "id", "place", "size")})
     assert decontaminate.find(df, items).count() == 2
     left = decontaminate.clean(df, items)
     assert left.columns == df.columns and [r["text"] for r in left.collect()] == ["clean"]
