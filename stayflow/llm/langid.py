@@ -1,28 +1,39 @@
 """Language identification, words first: a known word counts with its log frequency in each language, an unseen word
 with that of its longest known character n-grams.
 
-The model is fitted on a bounded sample of labelled documents (docs_per_lang) and keeps a bounded number of words and
-n-grams, so what is sent to the executors does not grow with the corpus. Predictions read whole texts and nothing else.
+A word is a run of letters and combining marks that begins with a letter, in lower case; fitting and prediction cut texts
+by the same function. The model is fitted on a bounded sample of labelled documents of each language (docs_per_lang) and
+keeps a bounded number of words and n-grams of each, so it grows with the number of languages and not with the corpus.
+Predictions read whole texts and nothing else.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Bounds of the sample and the model; documented parameters of fit().
-DOCS_PER_LANG, WORDS, GRAMS, LANGS = 3000, 40_000, 20_000, 500
-LETTERS = re.compile(r"[^\W\d_]+").findall
+from stayflow.sources.store import scratch, written
+
+#: Bounds of the sample and the model, each by language; documented parameters of fit().
+DOCS_PER_LANG, WORDS, GRAMS = 3000, 20_000, 5_000
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 UNKNOWN = "und"
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text in lower case; none if it has no letter."""
+    return _WORDS(text.lower()) if text else []
+
+
 class Model:
     """levels[0] has words, levels[n] n-grams: text -> [(language, log frequency above the language's floor)]."""
 
@@ -63,7 +74,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The most likely language (of equals the first by name) and its share, from the mean score of a word."""
-        found = Counter(LETTERS(text.lower())) if text else {}
+        found = Counter(words_of(text))
         if not found or not self.langs:
             return UNKNOWN, 0.0
         if self.table is None:
@@ -85,46 +96,58 @@ class Model:
         return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, words: int = WORDS, grams: int = GRAMS, longest: int = 5, langs: int = LANGS) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, words: int = WORDS, grams: int = GRAMS, longest: int = 5) -> Model:
     """Learn from rows with text and language; others are ignored.
 
-    Of each language about docs_per_lang whole texts are drawn by a hash of the text (all, if there are no more); of
-    more than `langs` languages those with most documents are learned. The `words` most frequent words and the `grams`
-    most frequent n-grams of each length up to `longest` are kept, frequency being relative to the language.
-    No labelled rows give a model without languages.
+    Of each language about docs_per_lang whole texts are drawn by a hash of the text (all, if there are no more). Of each
+    language the `words` most frequent words and the `grams` most frequent n-grams of each length up to `longest` are kept,
+    of equally frequent ones the first; the driver gets no more than these. No labelled rows give a model without languages.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
-    if not sizes:
-        return Model([], [{}], [[]], 0)
-    most, names = sizes[0]["lang"], sorted(r["lang"] for r in sizes)
+    with scratch():
+        sizes = written(rows.groupBy("lang").agg(F.count("*").alias("docs")), "languages")
+        counts = {r["lang"]: r["docs"] for r in sizes.collect()}
+        if not counts:
+            return Model([], [{}], [[]], 0)
+        names = sorted(counts)
+        scale = 1 << 30
+        share = F.least(F.lit(scale), F.ceil(F.lit(scale * docs_per_lang) / F.col("docs")))
+        sample = rows.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(scale)) < share)
+        terms = written(_terms(sample, longest), "terms")
+        totals = {(r["lang"], r["level"]): (r["t"], r["v"]) for r in terms.groupBy("lang", "level").agg(F.sum("n").alias("t"), F.count("*").alias("v")).collect()}
+        order = Window.partitionBy("lang", "level").orderBy(F.desc("n"), "term")
+        top = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("level") == 0, words).otherwise(grams)).drop("rank").toPandas()
     index = {name: i for i, name in enumerate(names)}
-    scale = 1 << 30
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(scale, math.ceil(scale * docs_per_lang / r["n"])))])
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(scale)) < share[F.col("lang")])
-    counted = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term")).where("term <> ''")
-    counted = counted.groupBy("lang", "term").agg(F.count("*").alias("n")).persist()
-    try:
-        levels, floors = [], []
-        for n in range(longest + 1):
-            level = counted
-            if n:
-                padded = F.concat(F.lit(" "), "term", F.lit(" "))
-                starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("term") + 3 - n))
-                parts = counted.select("lang", "n", padded.alias("padded"), F.explode(starts).alias("at")).select("lang", F.col("padded").substr(F.col("at"), F.lit(n)).alias("term"), "n")
-                level = parts.where(F.length("term") == n).groupBy("lang", "term").agg(F.sum("n").alias("n"))
-            totals = {r["lang"]: (r["t"], r["v"]) for r in level.groupBy("lang").agg(F.sum("n").alias("t"), F.count("*").alias("v")).collect()}
-            in_all = F.create_map(*[F.lit(x) for name, (t, _) in totals.items() for x in (name, float(t))]) if totals else None
-            top = level.withColumn("f", F.col("n") / in_all[F.col("lang")]).orderBy(F.desc("f"), "term", "lang").limit(grams if n else words).toPandas() if totals else pd.DataFrame({"lang": [], "term": [], "n": []})
-            size = {name: math.log(totals.get(name, (0, 0))[0] + 0.5 * (totals.get(name, (0, 0))[1] + 1)) for name in names}
-            floors.append([math.log(0.5) - size[name] for name in names])
-            found: dict[str, list[tuple[int, float]]] = {}
-            for name, term, times in zip(top["lang"], top["term"], top["n"], strict=True):
-                found.setdefault(term, []).append((index[name], math.log(times + 0.5) - math.log(0.5)))
-            levels.append(found)
-    finally:
-        counted.unpersist()
-    return Model(names, levels, floors, index[most])
+    size = {(name, n): math.log(t + 0.5 * (v + 1)) for name in names for n in range(longest + 1) for t, v in [totals.get((name, n), (0, 0))]}
+    floors = [[math.log(0.5) - size[name, n] for name in names] for n in range(longest + 1)]
+    levels: list[dict[str, list[tuple[int, float]]]] = [{} for _ in floors]
+    for name, n, term, times in top.sort_values(["level", "lang", "term"])[["lang", "level", "term", "n"]].itertuples(index=False):
+        levels[n].setdefault(term, []).append((index[name], math.log(times + 0.5) - math.log(0.5)))
+    return Model(names, levels, floors, index[max(names, key=lambda name: counts[name])])
+
+
+def _terms(sample: DataFrame, longest: int) -> DataFrame:
+    """(lang, level, term, n): how often a language has each word (level 0) and each n-gram of a word between blanks (level n)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, Counter] = {}
+            for name, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found.setdefault(name, Counter()).update(words_of(text))
+            rows = [(name, term, n) for name, c in found.items() for term, n in c.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "term", "n"])
+
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    padded = F.concat(F.lit(" "), "term", F.lit(" "))
+
+    def parts(n: int) -> Column:
+        starts = F.when(F.length(padded) >= n, F.sequence(F.lit(1), F.length(padded) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.struct(F.lit(n).alias("level"), padded.substr(at, F.lit(n)).alias("term")))
+
+    whole = F.array(F.struct(F.lit(0).alias("level"), F.col("term").alias("term")))
+    found = counted.select("lang", "n", F.inline(F.concat(whole, *[parts(n) for n in range(1, longest + 1)])))
+    return found.groupBy("lang", "level", "term").agg(F.sum("n").alias("n"))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "predicted") -> DataFrame:

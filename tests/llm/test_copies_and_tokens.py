@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -285,10 +286,29 @@ def test_held_out_accuracy_and_odd_rows(spark, sf_dir):
     odd = spark.createDataFrame([(None, None), (1, ""), (2, "123 !"), (3, "the of and " * 50_000), (3, "the")], "doc_id long, text string").withColumn("predicted", F.lit(1))
     got = {(r["doc_id"], r["text"] and r["text"][:5]): r["predicted"]["lang_pred"] for r in langid.predict(odd, model).collect()}
     assert [got[k] for k in ((None, None), (1, ""), (2, "123 !"))] == ["und"] * 3 and got[3, "the o"] == "en"
+    for text in ("½ ²", "١٢٣", "\u0301", "_ -", "IV\u0301"):
+        assert (model.predict(text)[0] == "und") == (not any(unicodedata.category(c)[0] == "L" for c in text)), text
+    assert langid.words_of("Ḿa\u0301 हिन्दी x2y ½") == ["ḿa\u0301", "हिन्दी", "x", "y"]
     empty = langid.fit(docs.limit(0))
     assert langid.predict(odd, empty).where("predicted.lang_pred <> 'und'").count() == 0
 
 
+def test_fit_against_counts(spark):
+    """Each language keeps its own most frequent words and n-grams, however many languages there are."""
+    rng = random.Random(3)
+    rows = [(f"l{k:03}", " ".join(f"w{k}{'abcdef'[rng.randint(0, 5)]}q" for _ in range(30))) for k in range(600)] + [(None, "x"), ("l001", None)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), words=2, grams=3, longest=2)
+    assert len(model.langs) == 600 and model.predict("w599")[1] > 0
+    for k in (0, 321, 599):
+        for level in range(3):
+            counts = Counter()
+            for w in langid.words_of(rows[k][1]):
+                counts.update([w] if not level else [f" {w} "[i : i + level] for i in range(len(w) + 3 - level)])
+            best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: 3 if level else 2]
+            assert {t: h for t, hits in model.levels[level].items() for i, h in hits if i == k} == pytest.approx({t: math.log((n + 0.5) / 0.5) for t, n in best})
+            assert model.floors[level][k] == pytest.approx(math.log(0.5 / (sum(counts.values()) + 0.5 * (len(counts) + 1))))
+
+
 # --- sharding ---
 
 
