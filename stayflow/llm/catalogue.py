@@ -17,13 +17,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
-    found = warc.read(spark, path)
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
-    # responses are digested anew; revisits have the digest and length that their headers state
-    digest = F.when(F.col("record_type") == "response", warc.base32(F.unhex(F.sha1("payload")))).otherwise(F.col("payload_digest"))
-    length = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
-    return found.select(
-        number("record_id").alias("page_id"), length.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to")
+    names = ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
+    # responses are digested anew; of revisits only the headers are read, which state digest and length
+    responses = warc.read(spark, path, ["record_id", "record_type", "payload"], {"record_type": ["response"]})
+    digest, length = warc.base32(F.unhex(F.sha1("payload"))), F.octet_length("payload").cast("long")
+    responses = responses.withColumns({"refers_to": F.lit(None).cast("string"), "payload_bytes": length, "payload_digest": digest})
+    revisits = warc.read(spark, path, names, {"record_type": ["revisit"]})
+    return responses.select(*names).unionByName(revisits).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
     )
 
 
@@ -71,7 +73,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     ours = spark.sql(f"select * from values (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') as c(conv_id, turn, role, text)")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return chat.digests(chat.format_turns(turns.unionByName(ours)))
+    return chat.digests(chat.format_turns(turns.unionByName(ours)), in_place=True)
 
 
 def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:

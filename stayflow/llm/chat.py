@@ -136,13 +136,20 @@ class Reader:
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_out_of_order long"
 
 
-def digests(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """Read formatted conversations back, without a shuffle: segments as format_turns() gives them -> DIGESTS."""
+def digests(segments: DataFrame, template: Template | None = None, in_place: bool = False) -> DataFrame:
+    """Read formatted conversations back: segments of format_turns(), stored or not and in any order -> DIGESTS.
+
+    in_place says that they come as format_turns() left them, so that they need not be shuffled and sorted again. A segment
+    that is missing or out of its place is an error.
+    """
+    if not in_place:
+        segments = segments.repartition("conv_id").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "part")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
         done: list[tuple] = []
+        place = (0, 0)
         open_: list = []  # conv_id, reader, turns, hash of turns, loss characters, hash of loss, characters, out of order
 
         def close() -> None:
@@ -158,11 +165,14 @@ def digests(segments: DataFrame, template: Template | None = None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_out_of_order"])
 
         for batch in batches:
-            for conv, text, loss, part, fits in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "text", "loss", "part", "in_order")], strict=True):
+            for conv, turn, text, loss, part, fits in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "turn", "text", "loss", "part", "in_order")], strict=True):
                 if not open_ or open_[0] != conv:
                     if open_:
                         close()
-                    open_ = [conv, Reader(template), 0, sha256(), 0, sha256(), 0, 0]
+                    open_, place = [conv, Reader(template), 0, sha256(), 0, sha256(), 0, 0], (0, 0)
+                if (turn, part) != place:
+                    raise ValueError(f"conversation {conv}: segment {(turn, part)} is out of order, {place} should come")
+                place = (turn, part + 1) if part < 2 else (turn + 1, 0)
                 for role, said, masked in open_[1].feed(text, loss):
                     open_[2] += 1
                     open_[3].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))

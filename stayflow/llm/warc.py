@@ -1,10 +1,14 @@
 """WARC archives as a Python data source: spark.read.format("warc") and df.write.format("warc").
 
 Files hold one gzip member per record (.warc.gz) or plain records (.warc). A writing task writes a file of its own under a
-new name; the commit lists the files and where reading may begin in them in a manifest, so what failed or repeated tasks
-left behind is not read. The reader plans a partition for each such part, parses a record's headers first, tests record
-type and header predicates on them, and passes over the payload (by seeking, in plain files) unless the row is wanted and
-the query reads its payload.
+new name; each commit lists its files and where reading may begin in them in a manifest of its own, so what failed or
+repeated tasks left behind is not read, and concurrent appends do not meet. A written member states its length in an extra
+field of its gzip header, which other readers ignore. The reader plans a partition for each part of a file, parses a
+record's headers first, tests record type and header predicates on them, and passes over the payload unless the row is
+wanted and the query reads its payload: by seeking, or by inflating where a gzip member does not state its length.
+
+An archive that is damaged or cut off is an error that names the file and the place; with the option damaged "skip" what
+follows in that part of the file is left out.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import hashlib
 import json
 import posixpath
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from stayflow.sources.store import shared_dir, written
+from stayflow.sources.store import qualified, shared_dir, written
 
-MANIFEST = "_warc_manifest.json"
+MANIFEST = "_warc_manifest"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Columns of a record; header columns can be pushed down, payload is what is decoded last.
 SCHEMA = T.StructType(
@@ -53,6 +58,26 @@ def store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith(("/", "file:")) else posixpath.abspath(path))
 
 
+class Damaged(ValueError):
+    """An archive that does not hold whole records."""
+
+
+def member(data: bytes, level: int = 1) -> bytes:
+    """data as a gzip member whose extra field SL states the member's length in bytes."""
+    machine = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = machine.compress(data) + machine.flush()
+    length = 10 + 2 + 12 + len(body) + 8
+    head = b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H2sHQ", 12, b"SL", 8, length)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def member_length(head: bytes) -> int | None:
+    """The length that a member's first bytes state, or None."""
+    if len(head) < 24 or head[:4] != b"\x1f\x8b\x08\x04" or head[10:16] != struct.pack("<H2sH", 12, b"SL", 8):
+        return None
+    return struct.unpack("<Q", head[16:24])[0]
+
+
 def uri_safe(url: str) -> str:
     """One line: what would end or break a header is percent-encoded."""
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
@@ -101,8 +126,7 @@ class WarcWriter(DataSourceArrowWriter):
                     record_id, kind, url, date, digest, refers, length, payload = row
                     data = record(record_id, kind, url, date, digest, length, payload or b"", refers)
                     if self.packed:
-                        machine = zlib.compressobj(1, zlib.DEFLATED, 31)
-                        data = machine.compress(data) + machine.flush()
+                        data = member(data)
                     if at - parts[-1] >= PART:
                         parts.append(at)
                     if out is None:
@@ -117,14 +141,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = store(self.path)
         fs.create_dir(root, recursive=True)
-        at, old = posixpath.join(root, MANIFEST), []
-        if not self.overwrite and fs.get_file_info(at).type == pyarrow.fs.FileType.File:
-            with fs.open_input_stream(at) as f:
-                old = json.loads(f.read())
+        old = manifests(fs, root) if self.overwrite else []
         files = [{"name": m.name, "parts": m.parts, "size": m.size} for m in messages if m and m.name]
+        at = posixpath.join(root, f"{MANIFEST}-{uuid.uuid4().hex}.json")
         with fs.open_output_stream(f"{at}.new") as f:
-            f.write(json.dumps([*old, *files]).encode())
+            f.write(json.dumps(files).encode())
         fs.move(f"{at}.new", at)
+        for path in old:
+            fs.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = store(self.path)
@@ -133,6 +157,12 @@ class WarcWriter(DataSourceArrowWriter):
                 fs.delete_file(posixpath.join(root, m.name))
 
 
+def manifests(fs: pyarrow.fs.FileSystem, root: str) -> list[str]:
+    if fs.get_file_info(root).type != pyarrow.fs.FileType.Directory:
+        return []
+    return sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(root)) if re.fullmatch(rf"{MANIFEST}-\w+\.json", x.base_name))
+
+
 @dataclass
 class Part(InputPartition):
     name: str
@@ -144,36 +174,19 @@ class Part(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType, tests: list[tuple[str, set | None]], pushdown: bool):
-        self.path, self.names, self.tests, self.pushdown = path, schema.names, tests, pushdown
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality, membership and presence of header columns are tested on the headers; the rest goes back to Spark.
-
-        Spark 4.1 keeps what one query pushes with the loaded table, so that another query on the same DataFrame would
-        lose rows. So nothing is taken unless the option pushdown says that this load serves one query only.
-        """
-        for f in filters:
-            if not self.pushdown:
-                yield f
-                continue
-            column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
-            if column in HEADERS and isinstance(f, EqualTo | EqualNullSafe) and f.value is not None:
-                self.tests.append((column, {f.value}))
-            elif column in HEADERS and isinstance(f, In):
-                self.tests.append((column, {v for v in f.value if v is not None}))
-            elif column in HEADERS and isinstance(f, IsNotNull):
-                self.tests.append((column, None))
-            else:
-                yield f
+    def __init__(self, path: str, schema: T.StructType, tests: list[tuple[str, set | None]], damaged: str = "error"):
+        if damaged not in ("error", "skip"):
+            raise ValueError(f"damaged must be error or skip: {damaged!r}")
+        self.path, self.names, self.tests, self.damaged = path, schema.names, tests, damaged
 
     def partitions(self) -> list[Part]:
         fs, root = store(self.path)
-        at = posixpath.join(root, MANIFEST)
-        if fs.get_file_info(at).type == pyarrow.fs.FileType.File:
+        files = []
+        listed = manifests(fs, root)
+        for at in listed:
             with fs.open_input_stream(at) as f:
-                files = json.loads(f.read())
-        else:  # archives of others: each file is one part
+                files += json.loads(f.read())
+        if not listed:  # archives of others: each file is one part
             found = fs.get_file_info(pyarrow.fs.FileSelector(root)) if fs.get_file_info(root).type == pyarrow.fs.FileType.Directory else [fs.get_file_info(root)]
             files = [{"name": x.path, "parts": [0], "size": x.size} for x in found if re.search(r"\.warc(\.gz)?$", x.path)]
         parts = [Part(posixpath.join(root, f["name"]), a, b) for f in files for a, b in zip(f["parts"], [*f["parts"][1:], f["size"]], strict=True) if b > a]
@@ -193,7 +206,7 @@ class WarcReader(DataSourceReader):
 
         with fs.open_input_file(part.name) as f:
             source = Packed(f, part.start, part.end) if part.name.endswith(".gz") else Plain(f, part.start, part.end)
-            while (row := self._record(source)) is not False:
+            while (row := self._next(source, part)) is not False:
                 if row:
                     rows.append(row)
                     held += len(row[self.names.index("payload")] or b"") if "payload" in self.names else 0
@@ -203,6 +216,15 @@ class WarcReader(DataSourceReader):
         if rows:
             yield batch()
 
+    def _next(self, source, part: Part) -> tuple | None | bool:
+        at = source.place()
+        try:
+            return self._record(source)
+        except (Damaged, zlib.error) as e:
+            if self.damaged == "skip":
+                return False
+            raise Damaged(f"{part.name} at byte {at}: {e}") from e
+
     def _record(self, source) -> tuple | None | bool:
         """The next record's row; None if it is not wanted; False at the end."""
         head = source.headers()
@@ -213,16 +235,21 @@ class WarcReader(DataSourceReader):
             value[c] = value[c].strip("<>") if value[c] else None
         if value["payload_digest"]:
             value["payload_digest"] = value["payload_digest"].removeprefix("sha1:")
-        length = int(head.get("content-length", "0"))
+        stated = head.get("content-length", "")
+        if not (stated.isascii() and stated.isdigit()):
+            raise Damaged(f"a record without a length: {stated!r}")
+        length = int(stated)
         if any(value[c] is None or wanted is not None and value[c] not in wanted for c, wanted in self.tests):
             source.skip(length)
             return None
         value |= {"payload_bytes": None, "payload": None}
         if "http" in head.get("content-type", ""):
             http, used = source.block_headers(length)
-            if "content-length" in http:
+            if http.get("content-length", "").isdigit():
                 value["payload_bytes"] = int(http["content-length"])
             rest = length - used
+            if rest < 0:
+                raise Damaged("the headers of a block go beyond its length")
             if value["record_type"] == "revisit" or "payload" not in self.names:
                 source.skip(rest)
             else:
@@ -238,6 +265,28 @@ class WarcReader(DataSourceReader):
         return tuple(value[n] for n in self.names)
 
 
+class PushingReader(WarcReader):
+    """Takes filters that Spark pushes down: equality, membership and presence of header columns are tested on the headers;
+    the rest goes back to Spark.
+
+    Spark 4.1 keeps what one query pushes with the loaded table, so that another query on the same DataFrame would lose
+    rows. So this reader is used only if the option pushdown says that a load serves one query only; Spark then wants
+    spark.sql.python.filterPushdown.enabled.
+    """
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            if column in HEADERS and isinstance(f, EqualTo | EqualNullSafe) and f.value is not None:
+                self.tests.append((column, {f.value}))
+            elif column in HEADERS and isinstance(f, In):
+                self.tests.append((column, {v for v in f.value if v is not None}))
+            elif column in HEADERS and isinstance(f, IsNotNull):
+                self.tests.append((column, None))
+            else:
+                yield f
+
+
 def parse_headers(data: bytes) -> dict[str, str]:
     """Header lines to a dictionary by lower-case name; lines that begin with white space go on."""
     found: dict[str, str] = {}
@@ -256,7 +305,10 @@ class Plain:
     """Records one after the other; payloads that are not wanted are passed over by seeking."""
 
     def __init__(self, f, start: int, end: int):
-        self.f, self.at, self.end, self.buffer = f, start, end, b""
+        self.f, self.at, self.end, self.buffer = f, start, end, bytearray()
+
+    def place(self) -> int:
+        return self.at
 
     def _fill(self, n: int) -> bool:
         self.f.seek(self.at + len(self.buffer))
@@ -265,18 +317,34 @@ class Plain:
         return bool(more)
 
     def _until_blank(self) -> bytes | None:
-        while (end := self.buffer.find(b"\r\n\r\n")) < 0:
+        """What comes before the next empty line, with it; None if nothing but line ends is left."""
+        seen = 0
+        while (end := self.buffer.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(self.buffer) - 3)
             if not self._fill(1 << 14):
+                if self.buffer.strip(b"\r\n"):
+                    raise Damaged("headers that do not end")
                 return None
-        head, self.buffer = self.buffer[: end + 4], self.buffer[end + 4 :]
-        self.at += end + 4
-        return head
+        return self._take(end + 4)
+
+    def _take(self, n: int) -> bytes:
+        data = bytes(self.buffer[:n])
+        del self.buffer[:n]
+        self.at += n
+        return data
 
     def headers(self) -> dict[str, str] | None:
         if self.at >= self.end:
             return None
         head = self._until_blank()
-        return None if head is None else parse_headers(head.lstrip(b"\r\n"))
+        while head is not None and not head.strip(b"\r\n"):
+            head = self._until_blank()
+        if head is None:
+            return None
+        head = head.lstrip(b"\r\n")
+        if not head.startswith(b"WARC/"):
+            raise Damaged(f"no record begins with {head[:20]!r}")
+        return parse_headers(head)
 
     def block_headers(self, length: int) -> tuple[dict[str, str], int]:
         head = self._until_blank() or b""
@@ -285,14 +353,17 @@ class Plain:
     def read(self, n: int) -> bytes:
         while len(self.buffer) < n and self._fill(n - len(self.buffer)):
             pass
-        data, self.buffer = self.buffer[:n], self.buffer[n:]
-        self.at += len(data)
-        return data
+        if len(self.buffer) < n:
+            raise Damaged(f"{n - len(self.buffer)} bytes of a block are missing")
+        return self._take(n)
 
     def skip(self, n: int) -> None:
         """Over n bytes and the end of the record."""
         n += 4
-        self.buffer, self.at = self.buffer[n:], self.at + n
+        if len(self.buffer) < n and self.at + n > self.f.size():
+            raise Damaged(f"{self.at + n - self.f.size()} bytes of a block or its end are missing")
+        del self.buffer[:n]
+        self.at += n
 
 
 class Packed(Plain):
@@ -301,14 +372,17 @@ class Packed(Plain):
     def __init__(self, f, start: int, end: int):
         super().__init__(f, start, end)
         f.seek(start)
-        self.packed, self.machine, self.buffer = b"", None, b""
+        self.packed, self.machine, self.next = b"", None, None
+
+    def place(self) -> int:
+        return self.f.tell() - len(self.packed)
 
     def _fill(self, n: int) -> bool:
         while not self.machine.eof:
             if not self.packed:
                 self.packed = self.f.read(1 << 16)
                 if not self.packed:
-                    return False
+                    raise Damaged("a gzip member is cut off")
             more = self.machine.decompress(self.packed, max(n, 1 << 12))
             self.packed = self.machine.unconsumed_tail or self.machine.unused_data
             if more:
@@ -317,22 +391,42 @@ class Packed(Plain):
         return False
 
     def headers(self) -> dict[str, str] | None:
-        if not self.packed and self.f.tell() >= self.end or self.f.tell() - len(self.packed) >= self.end:
+        at = self.place()
+        if at >= self.end:
             return None
-        self.machine, self.buffer = zlib.decompressobj(31), b""
+        while len(self.packed) < 24 and (more := self.f.read(1 << 16)):
+            self.packed += more
+        if not self.packed:
+            raise Damaged("the file is shorter than its manifest says")
+        length = member_length(self.packed)
+        self.next = at + length if length else None
+        self.machine, self.buffer = zlib.decompressobj(31), bytearray()
         head = self._until_blank()
-        return None if head is None else parse_headers(head)
+        if head is None or not head.startswith(b"WARC/"):
+            raise Damaged("a gzip member without a record")
+        return parse_headers(head)
 
     def skip(self, n: int) -> None:
-        """To the next member; inflating is the only way there, but nothing is kept."""
-        self.buffer = b""
-        while self._fill(1 << 18):
-            self.buffer = b""
+        """To the next member: at once if this one states its length; else inflating is the only way there, but nothing is kept."""
+        self.buffer = bytearray()
+        if self.next is None or self.machine.eof:
+            while self._fill(1 << 18):
+                self.buffer = bytearray()
+            return
+        if self.next > self.f.size():
+            raise Damaged("a gzip member is cut off")
+        ahead = self.next - self.place()
+        if ahead <= len(self.packed):
+            self.packed = self.packed[ahead:]
+        else:
+            self.packed = b""
+            self.f.seek(self.next)
 
 
 class WarcDataSource(DataSource):
     """Options: path; compression "gzip" (the default when writing) or "none"; predicates, a JSON list of [header column,
-    list of values or null for any]; pushdown "true" to take Spark's filters as well. Schema: any columns of SCHEMA."""
+    list of values or null for any]; damaged "error" (the default) or "skip"; pushdown "true" to take Spark's filters as
+    well. Schema: any columns of SCHEMA."""
 
     @classmethod
     def name(cls) -> str:
@@ -345,7 +439,8 @@ class WarcDataSource(DataSource):
         tests = [(c, set(v) if v is not None else None) for c, v in json.loads(self.options.get("predicates", "[]"))]
         if unknown := {c for c, _ in tests} - set(HEADERS):
             raise ValueError(f"no header columns: {sorted(unknown)}")
-        return WarcReader(self.options["path"], schema, tests, self.options.get("pushdown", "false") == "true")
+        kind = PushingReader if self.options.get("pushdown", "false") == "true" else WarcReader
+        return kind(self.options["path"], schema, tests, self.options.get("damaged", "error"))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
         if missing := set(SCHEMA.names) - set(schema.names):
@@ -355,16 +450,15 @@ class WarcDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read(spark: SparkSession, path: str, columns: list[str] | None = None, where: dict[str, list[str] | None] | None = None) -> DataFrame:
-    """Records of archives. With `columns` only those are made, and payloads are not decoded unless asked for; `where`
+def read(spark: SparkSession, path: str, columns: list[str] | None = None, where: dict[str, list[str] | None] | None = None, damaged: str = "error") -> DataFrame:
+    """Records of archives. A path without a scheme lies in Spark's default file system. With `columns` only those are made, and payloads are not decoded unless asked for; `where`
     gives header columns the values that they may have (None: any value), tested before a payload is touched."""
     register(spark)
     schema = T.StructType([f for f in SCHEMA.fields if columns is None or f.name in columns])
     predicates = json.dumps([[c, v] for c, v in (where or {}).items()])
-    return spark.read.format("warc").schema(schema).option("predicates", predicates).load(path)
+    return spark.read.format("warc").schema(schema).option("predicates", predicates).option("damaged", damaged).load(qualified(spark, path))
 
 
 def write(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", least_revisit: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> str:
@@ -377,7 +471,7 @@ def write(pages: DataFrame, path: str | None = None, page_id: str = "page_id", u
     """
     spark = pages.sparkSession
     register(spark)
-    path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = qualified(spark, path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "length": F.octet_length("payload").cast("long")})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stayflow.llm import catalogue, chat, warc
+from stayflow.sources.store import written
 
 ROWS = [(1, "http://a", None), (2, None, ""), (None, "u\r\nWARC-Type: evil", "abc"), (3, "u", "abc"), (3, "u", "abc"), (4, "v", "é" * 100_000), (None, None, "zz"), (5, "q", "a\r\n\r\nWARC/1.1\r\n")]
 
@@ -33,7 +34,7 @@ def test_archives_round_trip(spark, compression):
 
 def test_predicates_reach_the_reader(spark):
     path = warc.write(spark.createDataFrame(ROWS, "page_id long, url string, html string"))
-    reader = warc.WarcReader(path, warc.SCHEMA, [("record_type", {"revisit"})], False)
+    reader = warc.WarcReader(path, warc.SCHEMA, [("record_type", {"revisit"})])
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2
     few = warc.read(spark, path, ["record_id", "target_uri"], {"target_uri": ["u"]})
     assert few.columns == ["record_id", "target_uri"] and few.count() == 2
@@ -72,13 +73,101 @@ def test_parts_of_a_file(tmp_path, monkeypatch):
     batch = pa.RecordBatch.from_pydict({f.name: [r[names.index(f.name)] for r in rows] for f in warc.SCHEMA.fields})
     writer.write(iter([batch]))  # a task that failed: not in the manifest
     writer.commit([writer.write(iter([batch])), None])
-    reader = warc.WarcReader(str(tmp_path / "parts"), warc.SCHEMA, [], False)
+    reader = warc.WarcReader(str(tmp_path / "parts"), warc.SCHEMA, [])
     parts = reader.partitions()
     assert len(parts) > 5
     ids = [r["record_id"] for p in parts for b in reader.read(p) for r in b.to_pylist()]
     assert sorted(ids) == sorted(r[0] for r in rows)
 
 
+def whole_archive(tmp_path, packed, n=40):
+    records = [warc.record(f"urn:{i}", "response", "http://x", "d", "D", 3000, bytes([97 + i % 26]) * 3000, None) for i in range(n)]
+    path = tmp_path / f"a.warc{'.gz' * packed}"
+    path.write_bytes(b"".join(map(warc.member, records) if packed else records))
+    return path
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_payloads_are_passed_over_by_seeking(tmp_path, packed):
+    path = whole_archive(tmp_path, packed)
+    assert not packed or gzip.decompress(path.read_bytes()).count(b"WARC/1.1") == 40  # other readers read it as well
+    reader = warc.WarcReader(str(path), warc.T.StructType(warc.SCHEMA.fields[:2]), [])
+    read = []
+    original = warc.Plain.read
+    warc.Plain.read = lambda self, n: read.append(n) or original(self, n)
+    try:
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    finally:
+        warc.Plain.read = original
+    assert [r["record_id"] for r in rows] == [f"urn:{i}" for i in range(40)] and not read
+    # a member that does not state its length is inflated instead
+    if packed:
+        path.write_bytes(path.read_bytes() + gzip.compress(warc.record("urn:z", "response", "u", "d", "D", 3, b"abc", None)) + warc.member(warc.record("urn:y", "response", "u", "d", "D", 3, b"abc", None)))
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        assert [r["record_id"] for r in rows][-2:] == ["urn:z", "urn:y"] and len(rows) == 42
+
+
+@pytest.mark.parametrize("packed", [True, False])
+@pytest.mark.parametrize("columns", [2, 8])
+def test_damaged_archives_are_errors(tmp_path, packed, columns):
+    path = whole_archive(tmp_path, packed)
+    data = path.read_bytes()
+    schema = warc.T.StructType(warc.SCHEMA.fields[:columns])
+
+    def rows(**how):
+        reader = warc.WarcReader(str(path), schema, [], **how)
+        return sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+
+    assert rows() == 40
+    for cut in (len(data) // 2, len(data) - 1, 30):
+        path.write_bytes(data[:cut])
+        with pytest.raises(warc.Damaged, match="at byte"):
+            rows()
+        assert rows(damaged="skip") < 40
+    path.write_bytes(data + b"rubbish here\r\n\r\n and more")
+    with pytest.raises(warc.Damaged):
+        rows()
+    assert rows(damaged="skip") == 40
+    with pytest.raises(ValueError):
+        rows(damaged="no")
+
+
+def test_damage_reaches_the_query(spark, tmp_path):
+    path = whole_archive(tmp_path, True)
+    path.write_bytes(path.read_bytes()[:-100])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read(spark, str(tmp_path)).count()
+    assert warc.read(spark, str(tmp_path), damaged="skip").count() == 39
+
+
+def test_filters_that_spark_pushes(spark):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull
+
+    path = warc.write(spark.createDataFrame(ROWS, "page_id long, url string, html string"))
+    reader = warc.PushingReader(path, warc.SCHEMA, [])
+    back = list(reader.pushFilters([EqualTo(("record_type",), "revisit"), In(("target_uri",), ("u", None, "v")), IsNotNull(("date",)), GreaterThan(("payload_bytes",), 3), EqualTo(("payload",), b"x")]))
+    assert [type(f).__name__ for f in back] == ["GreaterThan", "EqualTo"]
+    assert reader.tests == [("record_type", {"revisit"}), ("target_uri", {"u", "v"}), ("date", None)]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        load = lambda: spark.read.format("warc").option("pushdown", "true").load(path)
+        assert load().where("record_type = 'revisit'").count() == 2 and load().where("target_uri in ('u', 'v') and payload_bytes > 3").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    with pytest.raises(Exception, match="PUSHDOWN_DISABLED"):
+        load().count()
+
+
+def test_appends_do_not_meet(spark, tmp_path):
+    path = str(tmp_path / "both")
+    for i in (1, 2):
+        assert warc.write(spark.createDataFrame([(i, "u", "x")], "page_id long, url string, html string"), path).startswith("file:")
+    assert warc.read(spark, path).count() == 2 and len(list((tmp_path / "both").glob("_warc_manifest-*.json"))) == 2
+    warc.read(spark, path).where("record_id = 'urn:page:1'").write.format("warc").mode("overwrite").save(f"file://{path}-new")
+    warc.read(spark, path).write.format("warc").mode("overwrite").save(f"file://{path}-new")
+    assert warc.read(spark, f"{path}-new").count() == 2
+
+
 # --- chat ---
 
 
@@ -96,6 +185,11 @@ def test_turns_and_loss(spark):
     one = [(r["text"], r["loss"]) for r in segments.where("conv_id = 1").orderBy("turn", "part").collect()]
     assert one[4] == (chat.escape(said), True) and [loss for _, loss in one] == [False] * 4 + [True, False]
     got = {r["conv_id"]: r for r in chat.digests(segments).collect()}
+    stored = written(segments.repartition(7), "segments")  # in any order
+    assert {r["conv_id"]: r for r in chat.digests(stored).collect()} == got
+    with pytest.raises(Exception, match="out of order"):
+        chat.digests(stored, in_place=True).collect()
+    assert {r["conv_id"]: r for r in chat.digests(segments, in_place=True).collect()} == got
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1]["turns_sha256"] == sha(f"user\n{said}\nassistant\n{said}\n") and got[1]["loss_sha256"] == sha(said) and got[1]["loss_chars"] == len(said)
     assert got[2]["turns_sha256"] == sha("assistant\nx\nassistant\nno <|\nassistant\nno <|\n") and got[2]["n_out_of_order"] == 3
@@ -132,7 +226,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, {r["doc_id"] for r in docs.collect()}
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, SF), "test")
+        docs = written(stage(spark, docs, SF), "test")
         ids = [r["doc_id"] for r in docs.collect()]
         assert docs.columns == columns and set(ids) <= before and len(ids) == len(set(ids))
         before = set(ids)
@@ -147,7 +241,7 @@ def test_pipeline_takes_odd_documents(spark, sf_dir):
     for empty in (df, df.limit(0)):
         docs = empty
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs = corpus_pipeline.written(stage(spark, docs, sf_dir), "odd")
+            docs = written(stage(spark, docs, sf_dir), "odd")
             assert docs.columns == df.columns
         last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
         assert last.count() == docs.count() and (empty is not df or last.count() > 0)
