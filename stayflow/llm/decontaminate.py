@@ -166,9 +166,9 @@ def item_windows(items: DataFrame, item_id: str, text: str, width: int, shortest
 
 
 def bitmap(hashes: DataFrame, n: int, most: int = 29) -> tuple[int, np.ndarray]:
-    """(m, words) of 2^m bits, of which those are set that the first m bits of a hash name: 32 or more for each of n hashes,
+    """(m, words) of 2^m bits, of which those are set that the first m bits of a hash name: 4096 or more for each of n hashes,
     2^most at most. Executors unite the bits; the driver gets as many words as are not 0."""
-    m = min(max(16, int(n * 32 - 1).bit_length()), most)
+    m = min(max(16, int(n * 4096 - 1).bit_length()), most)
     top = F.shiftrightunsigned("hash", 64 - m)
     bits = hashes.groupBy(F.shiftright(top, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - m}) & 63 as int))")).alias("bits"))
     found = bits.toPandas()
