@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayflow.functions import constants as C
+from stayflow.functions.expressions import bin_of
 from stayflow.sources.catalog import Catalog
 
 NUMERIC_SOURCES = (
@@ -17,6 +18,9 @@ NUMERIC_SOURCES = (
     ("medication_admin_intermittent", "med_category", "MED_BOLUS", "med_dose"),
 )
 
+#: Waveform branches and the columns of their similarities.
+BRANCHES = {"1D": "1d_similarity", "2D_Morphology": "2d_partial_similarity", "2D_Global": "2d_global_similarity"}
+
 
 def numeric_values(t: Catalog, ids: DataFrame | None = None) -> DataFrame:
     """(code, value), values that are not null."""
@@ -28,26 +32,33 @@ def numeric_values(t: Catalog, ids: DataFrame | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(*s) for s in NUMERIC_SOURCES])
 
 
-def quantile_edges(values: DataFrame, n_bins: int = 10, key: str = "code") -> DataFrame:
+def quantile_edges(values: DataFrame, n_bins: int = 10, key: str = "code", ranges: int = 100) -> DataFrame:
     """(key, edges array<double>): distinct values of the linear-interpolated percentiles, for keys with n_bins values or more.
 
-    Values are counted before they are ordered, so a window has a row per distinct value of its key; the two values on
-    either side of each percentile are picked from the running counts and interpolated exactly as
-    a + d*t for t < 0.5, else b - d*(1 - t).
+    Values are counted before they are ordered. Approximate percentiles cut the values of a key into ranges of about equal
+    numbers; the counts of the ranges say which of them hold the two values on either side of each percentile, and only
+    these ranges are ordered, each by itself. The two values are interpolated exactly as a + d*t for t < 0.5, else
+    b - d*(1 - t).
     """
     counted = values.where(F.col("value").isNotNull()).groupBy(key, "value").agg(F.count("*").alias("n"))
-    by = Window.partitionBy(key)
-    counted = counted.withColumns({"upto": F.sum("n").over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(by)})
-    counted = counted.where(F.col("total") >= n_bins)
-    q = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(100.0 * i / n_bins / 100).alias("p")) for i in range(n_bins + 1)]))
+    cuts = F.approx_percentile("value", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges))
+    known = counted.groupBy(F.col(key).alias("known")).agg(F.sum("n").alias("total"), cuts.alias("cuts")).where(F.col("total") >= n_bins)
+    ranged = counted.join(known, F.col(key) == F.col("known")).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).select(key, "value", "n", "total", "range")
+    sums = ranged.groupBy(F.col(key).alias("known"), F.col("range").alias("at"), "total").agg(F.sum("n").alias("held"))
+    sums = sums.withColumn("before", F.sum("held").over(Window.partitionBy("known").orderBy("at")) - F.col("held"))
+    rank = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(100.0 * i / n_bins / 100).alias("p")) for i in range(n_bins + 1)])
     h = (F.col("total") - 1) * F.col("q.p")
-    low = F.floor(h)
-    # a row answers for the ranks [upto - n, upto)
-    rows = counted.withColumn("q", q).withColumns({"low": low, "t": h - low})
-    has = lambda rank: (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
-    high = F.least(F.col("low") + 1, F.col("total") - 1)
-    rows = rows.where(has(F.col("low")) | has(high))
-    ends = rows.groupBy(key, "q.i").agg(F.max(F.when(has(F.col("low")), F.col("value"))).alias("a"), F.max(F.when(has(high), F.col("value"))).alias("b"), F.first("t").alias("t"))
+    ranks = {"low": F.floor(h), "t": h - F.floor(h), "high": F.least(F.floor(h) + 1, F.col("total") - 1)}
+    # a range answers for the ranks [before, before + held), and so does a row
+    in_range = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("held"))
+    wanted = sums.withColumn("q", F.explode(rank)).withColumns(ranks).where(in_range(F.col("low")) | in_range(F.col("high")))
+    wanted = wanted.groupBy("known", "at", "before").agg(F.collect_list(F.struct("q.i", "low", "high", "t")).alias("ranks"))
+    by = Window.partitionBy(key, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.join(wanted, (F.col(key) == F.col("known")) & (F.col("range") == F.col("at")))
+    rows = rows.withColumn("upto", F.col("before") + F.sum("n").over(by)).select(key, "value", "n", "upto", F.inline("ranks"))
+    has = lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto"))
+    rows = rows.where(has(F.col("low")) | has(F.col("high")))
+    ends = rows.groupBy(key, "i").agg(F.max(F.when(has(F.col("low")), F.col("value"))).alias("a"), F.max(F.when(has(F.col("high")), F.col("value"))).alias("b"), F.first("t").alias("t"))
     d = F.col("b") - F.col("a")
     edge = F.when(F.col("t") < 0.5, F.col("a") + d * F.col("t")).otherwise(F.col("b") - d * (1 - F.col("t")))
     return ends.groupBy(key).agg(F.array_sort(F.collect_set(edge)).alias("edges"))
@@ -75,12 +86,24 @@ def bin_edges(values: DataFrame, mode: str = "hybrid", n_bins: int = 10) -> Data
 
 def ecg_similarity_edges(ecg: DataFrame, n_bins: int = 10) -> DataFrame:
     """(branch, edges) of the three similarity columns."""
-    branches = {"1D": "1d_similarity", "2D_Morphology": "2d_partial_similarity", "2D_Global": "2d_global_similarity"}
-    long = ecg.select(F.inline(F.array(*[F.struct(F.lit(b).alias("branch"), F.col(f"`{c}`").alias("value")) for b, c in branches.items()])))
+    long = ecg.select(F.inline(F.array(*[F.struct(F.lit(b).alias("branch"), F.col(f"`{c}`").alias("value")) for b, c in BRANCHES.items()])))
     return quantile_edges(long, n_bins, "branch")
 
 
-def with_bins(df: DataFrame, edges: DataFrame, bin_of, code: str = "code", value: Column | None = None) -> DataFrame:
+def similarity_bin(edges: Column, value: Column, default: int = 5) -> Column:
+    """The bin of a waveform similarity; `default` where its branch has no edges."""
+    return F.when(edges.isNull(), F.lit(default)).otherwise(bin_of(edges, value))
+
+
+def with_similarity_bins(ecg: DataFrame, edges: DataFrame) -> DataFrame:
+    """(hadm_id, ecg_time, branch, similarity, bin): a row per recording and branch with a similarity."""
+    long = F.array(*[F.struct(F.lit(b).alias("branch"), F.col(f"`{c}`").alias("similarity")) for b, c in BRANCHES.items()])
+    rows = ecg.select("hadm_id", "ecg_time", F.inline(long)).where("similarity is not null")
+    known = edges.withColumnRenamed("branch", "known")
+    return rows.join(known, F.col("branch") == F.col("known"), "left").select("hadm_id", "ecg_time", "branch", "similarity", similarity_bin(F.col("edges"), F.col("similarity")).alias("bin"))
+
+
+def with_bins(df: DataFrame, edges: DataFrame, bin_of=bin_of, code: str = "code", value: Column | None = None) -> DataFrame:
     """Add `bin`, null where the code has no edges."""
     joined = df.join(edges.withColumnRenamed("code", "edge_code"), F.col(code) == F.col("edge_code"), "left")
     return joined.withColumn("bin", bin_of(F.col("edges"), F.col("value") if value is None else value)).drop("edge_code", "edges")

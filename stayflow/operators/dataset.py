@@ -119,9 +119,20 @@ def token_batches(chunk_rows: DataFrame, budget: int, seed: int | None = None) -
     placed = ranked.join(steps, (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("upto")))
     batch = F.col("first") + F.floor((F.col("rank") - F.col("from")) / F.col("each"))
     placed = placed.withColumn("batch", batch.cast("long")).drop("l", "rank", "from", "upto", "first", "each")
-    if seed is not None:
-        placed = placed.withColumn("batch", F.dense_rank().over(Window.orderBy(F.xxhash64(F.lit(seed), "batch"))) - 1)
-    return placed
+    return placed if seed is None else shuffled(placed, seed)
+
+
+def shuffled(batch_rows: DataFrame, seed: int) -> DataFrame:
+    """Batches numbered anew in the order of a seeded hash. Batches, not rows, are numbered: in ranges of the hash, and
+    ranges are counted up, so that no task orders all batches."""
+    batches = batch_rows.select("batch").distinct().withColumn("hash", F.xxhash64(F.lit(seed), "batch"))
+    batches = batches.withColumn("range", F.shiftright("hash", 52))
+    sizes = batches.groupBy(F.col("range").alias("r")).agg(F.count("*").alias("n"))
+    before = sizes.select("r", (F.sum("n").over(Window.orderBy("r")) - F.col("n")).alias("before"))  # 4096 rows at most
+    place = F.row_number().over(Window.partitionBy("range").orderBy("hash", "batch")) - 1
+    numbered = batches.withColumn("place", place).join(before, F.col("range") == F.col("r"))
+    numbered = numbered.select(F.col("batch").alias("old"), (F.col("before") + F.col("place")).cast("long").alias("new"))
+    return batch_rows.join(numbered, F.col("batch") == F.col("old")).withColumn("batch", F.col("new")).drop("old", "new")
 
 
 def padded(batch_rows: DataFrame) -> DataFrame:

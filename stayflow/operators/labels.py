@@ -204,9 +204,9 @@ def readmission(t: Catalog, days: int) -> DataFrame:
     stays = t["hospitalization"]
     ends = stays.where("discharge_dttm is not null").select("patient_id", "hospitalization_id", F.col("discharge_dttm").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("admit"))
     begins = stays.where("admission_dttm is not null").select("patient_id", F.lit(None).cast("string").alias("hospitalization_id"), F.col("admission_dttm").alias("at"), F.lit(0).alias("kind"), F.col("admission_dttm").alias("admit"))
-    # an admission at the very time of the discharge is not after it, and sorts before
-    by = Window.partitionBy("patient_id").orderBy("at", "kind").rowsBetween(1, Window.unboundedFollowing)
-    marks = ends.unionByName(begins).withColumn("next", F.first("admit", ignorenulls=True).over(by))
+    # from the last to the first, so that the frame only grows; an admission at the time of the discharge is not after it
+    by = Window.partitionBy("patient_id").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    marks = ends.unionByName(begins).withColumn("next", F.last("admit", ignorenulls=True).over(by))
     hit = (F.col("kind") == 1) & (F.col("next") <= F.col("at") + F.expr(f"interval '{days}' day")) & F.col("patient_id").isNotNull()
     return marks.where(hit).select("hospitalization_id", F.lit(f"LABEL//readmit_{days}d").alias("code"), F.col("at").alias("time")).distinct()
 

@@ -2,88 +2,146 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUP = ["label", "horizon_hours"]
+#: Ranges of scores within a group; running sums go through ranges first, so that no task orders a whole group.
+RANGES = 1024
 
 
 def _scores(preds: DataFrame, by: list[str]) -> DataFrame:
-    """Counts per distinct score: what ranking metrics need, and as many rows as there are scores."""
-    y = F.col("actual_positive").cast("long")
-    return preds.groupBy(*by, "predicted_prob").agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
+    """Counts per distinct score: what all metrics need, and as many rows as there are scores."""
+    return preds.groupBy(*by, "predicted_prob").agg(F.sum(F.col("actual_positive").cast("long")).alias("pos"), F.count("*").alias("n"))
 
 
-def auroc(preds: DataFrame, by: list[str] = GROUP) -> DataFrame:
-    """Probability that a positive has a higher score than a negative, ties counting half; null if either is missing."""
-    w = Window.partitionBy(*by).orderBy("predicted_prob").rowsBetween(Window.unboundedPreceding, 0)
+def _range(score: Column) -> Column:
+    """A number that grows with the score."""
+    return F.coalesce(F.least(F.lit(RANGES), F.greatest(F.lit(0), F.floor(score * RANGES))), F.lit(-1)).cast("int")
+
+
+def _ranked(preds: DataFrame, by: list[str]) -> DataFrame:
+    """Scores with `below`, the negatives under each, and tp and seen, the positives and rows at or above it."""
+    s = _scores(preds, by).withColumn("range", _range(F.col("predicted_prob")))
     neg = F.col("n") - F.col("pos")
-    s = _scores(preds, by).withColumn("below", F.sum(neg).over(w) - neg)
-    wins = F.sum(F.col("pos") * F.col("below") + F.col("pos") * neg * 0.5)
-    return s.groupBy(*by).agg(F.when((F.sum("pos") > 0) & (F.sum(neg) > 0), wins / (F.sum("pos") * F.sum(neg))).alias("auroc"))
+    totals = s.groupBy(*by, "range").agg(F.sum(neg).alias("t_neg"), F.sum("pos").alias("t_pos"), F.sum("n").alias("t_n"))
+    under = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    totals = totals.select(*[F.col(c).alias(f"g_{c}") for c in (*by, "range")], zero("t_neg", under).alias("under"), zero("t_pos", over).alias("over_pos"), zero("t_n", over).alias("over_n"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in (*by, "range")])
+    here = Window.partitionBy(*by, "range")
+    up = here.orderBy("predicted_prob").rowsBetween(Window.unboundedPreceding, 0)
+    down = here.orderBy(F.desc("predicted_prob")).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumns({"in_neg": F.sum(neg).over(up) - neg, "in_pos": F.sum("pos").over(down), "in_n": F.sum("n").over(down)}).join(totals, same)
+    return s.select(*by, "predicted_prob", "pos", "n", (F.col("under") + F.col("in_neg")).alias("below"), (F.col("over_pos") + F.col("in_pos")).alias("tp"), (F.col("over_n") + F.col("in_n")).alias("seen"))
+
+
+def _bin(score: Column, n_bins: int) -> Column:
+    """Index of the last lower edge that a score of [0, 1] reaches; null for others."""
+    edges = [i * (1.0 / n_bins) for i in range(n_bins)]
+    at = F.lit(None).cast("int")
+    for i in range(n_bins):
+        at = F.when((score >= edges[i]) & (score <= 1.0), i).otherwise(at)
+    return at
+
+
+def calibration(preds: DataFrame, by: list[str] = GROUP, n_bins: int = 10) -> DataFrame:
+    """(by, bin, n, mean_predicted, mean_actual) of equal bins on [0, 1], the last one closed; empty bins are left out."""
+    rows = preds.withColumn("bin", _bin(F.col("predicted_prob"), n_bins)).where("bin is not null")
+    return rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("predicted_prob").alias("mean_predicted"), F.avg(F.col("actual_positive").cast("int")).alias("mean_actual"))
+
+
+def grouped(preds: DataFrame, by: list[str] = GROUP, n_bins: int = 10) -> DataFrame:
+    """All metrics and counts per group, from one reading of the predictions: counts per score, running sums over scores,
+    sums per calibration bin, and sums of these.
+
+    auroc: probability that a positive has a higher score than a negative, ties counting half; null if either is missing.
+    auprc: average precision over distinct scores; null without a positive. ece: gaps of the bins weighted by their share.
+    """
+    p, pos, n = F.col("predicted_prob"), F.col("pos"), F.col("n")
+    neg = n - pos
+    bins = _ranked(preds, by).groupBy(*by, _bin(p, n_bins).alias("bin")).agg(
+        F.sum(pos * F.col("below") + pos * neg * 0.5).alias("wins"),
+        F.sum(pos * (F.col("tp") / F.col("seen"))).alias("precision"),
+        F.sum(pos * F.pow(p - 1, 2) + neg * F.pow(p, 2)).alias("square"),
+        F.sum(n * p).alias("predicted"),
+        F.sum("pos").alias("n_positive"),
+        F.sum(neg).alias("n_negative"),
+        F.sum("n").alias("n_total"),
+    )
+    gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("predicted") - F.col("n_positive")))
+    total = lambda c: F.sum(c)
+    return bins.groupBy(*by).agg(
+        F.when((total("n_positive") > 0) & (total("n_negative") > 0), total("wins") / (total("n_positive") * total("n_negative").cast("double"))).alias("auroc"),
+        F.when(total("n_positive") > 0, total("precision") / total("n_positive")).alias("auprc"),
+        (total("square") / total("n_total")).alias("brier"),
+        (F.coalesce(F.sum(gap), F.lit(0.0)) / total("n_total")).alias("ece"),
+        *[total(c).alias(c) for c in ("n_positive", "n_negative", "n_total")],
+    )
+
+
+def auroc(preds: DataFrame, by: list[str] = GROUP) -> DataFrame:
+    return grouped(preds, by).select(*by, "auroc")
 
 
 def auprc(preds: DataFrame, by: list[str] = GROUP) -> DataFrame:
-    """Average precision over distinct scores; null without a positive."""
-    w = Window.partitionBy(*by).orderBy(F.desc("predicted_prob")).rowsBetween(Window.unboundedPreceding, 0)
-    s = _scores(preds, by).withColumns({"tp": F.sum("pos").over(w), "seen": F.sum("n").over(w)})
-    return s.groupBy(*by).agg(F.when(F.sum("pos") > 0, F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos")).alias("auprc"))
+    return grouped(preds, by).select(*by, "auprc")
 
 
 def brier(preds: DataFrame, by: list[str] = GROUP) -> DataFrame:
-    return preds.groupBy(*by).agg(F.avg(F.pow(F.col("predicted_prob") - F.col("actual_positive").cast("int"), 2)).alias("brier"))
+    return grouped(preds, by).select(*by, "brier")
 
 
-def calibration(preds: DataFrame, by: list[str] = GROUP, n_bins: int = 10) -> DataFrame:
-    """(by, bin, n, mean_predicted, mean_actual) of equal bins on [0, 1], the last one closed; empty bins are left out."""
-    edges = [i * (1.0 / n_bins) for i in range(n_bins)] + [1.0]
-    # the index of the last lower edge that the score reaches
-    at = F.lit(None).cast("int")
-    for i in range(n_bins):
-        at = F.when((F.col("predicted_prob") >= edges[i]) & (F.col("predicted_prob") <= 1.0), i).otherwise(at)
-    rows = preds.withColumn("bin", at).where("bin is not null")
-    return rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("predicted_prob").alias("mean_predicted"), F.avg(F.col("actual_positive").cast("int")).alias("mean_actual"))
+def ece(preds: DataFrame, by: list[str] = GROUP, n_bins: int = 10) -> DataFrame:
+    return grouped(preds, by, n_bins).select(*by, "ece")
 
 
-def ece(preds: DataFrame, by: list[str] = GROUP, n_bins: int = 10) -> DataFrame:
-    """Expected calibration error: gaps of the bins weighted by their share of all rows."""
-    bins = calibration(preds, by, n_bins)
-    total = preds.groupBy(*by).agg(F.count("*").alias("total"))
-    gap = F.sum(F.abs(F.col("mean_predicted") - F.col("mean_actual")) * F.col("n"))
-    bins = bins.groupBy(*by).agg(gap.alias("gap"))
-    return total.join(bins, by, "left").select(*by, (F.coalesce("gap", F.lit(0.0)) / F.col("total")).alias("ece"))
+def _uniform(*key: Column | str) -> Column:
+    """A number between 0 and 1, the ends left out, from a hash."""
+    return (F.pmod(F.xxhash64(*key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def grouped(preds: DataFrame, by: list[str] = GROUP) -> DataFrame:
-    """All metrics and counts per group. Predictions are counted per score once; everything follows from these counts."""
-    counts = preds.groupBy(*by).agg(F.sum(F.col("actual_positive").cast("long")).alias("n_positive"), F.sum(1 - F.col("actual_positive").cast("long")).alias("n_negative"), F.count("*").alias("n_total"))
-    for part in (auroc(preds, by), auprc(preds, by), brier(preds, by), ece(preds, by)):
-        counts = counts.join(part, by, "left")
-    return counts.select(*by, "auroc", "auprc", "brier", "ece", "n_positive", "n_negative", "n_total")
+def _distribution(mean: int, upto: int = 40) -> list[float]:
+    """P(X <= k) of a Poisson variable for k below upto."""
+    term, total, found = math.exp(-mean), 0.0, []
+    for k in range(upto):
+        total += term
+        found.append(total)
+        term *= mean / (k + 1)
+    return found
+
+
+def poisson(mean: Column, u: Column, z: Column, exact: int = 8) -> Column:
+    """A Poisson number for a whole mean from a uniform u or a normal z: up to a mean of `exact` by the inverse of its
+    distribution, beyond it by the normal quantile corrected for skewness."""
+    tables = F.array(*[F.array(*[F.lit(c) for c in _distribution(m)]) for m in range(1, exact + 1)])
+    small = F.size(F.filter(F.get(tables, (mean - 1).cast("int")), lambda c: c < u)).cast("long")
+    large = F.greatest(F.lit(0).cast("long"), F.floor(mean + F.sqrt(mean) * z + (z * z - 1) / 6 + 0.5))
+    return F.when(mean <= 0, F.lit(0).cast("long")).when(mean <= exact, small).otherwise(large)
 
 
 def bootstrap_auroc(preds: DataFrame, by: list[str] = GROUP, n: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """(by, low, median, high) of AUROC over n resamples with replacement.
 
-    A resample weighs each row by a Poisson(1) count drawn from a hash of (seed, resample, row), so resamples need no
-    shuffle of rows and no driver loop; those that lack a class are left out, and without any all three are 0.
+    Rows of one group, score and class are alike, so a resample weighs their count by one Poisson number drawn from a hash
+    of (seed, resample, group, score, class): neither rows nor their partitioning matter, and what is multiplied by n are
+    distinct scores. Resamples that lack a class are left out, and without any all three are 0.
     """
-    rows = preds.select(*by, "predicted_prob", F.col("actual_positive").cast("long").alias("y"), F.xxhash64(F.lit(seed), *preds.columns, F.monotonically_increasing_id()).alias("key"))
-    draws = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
-    u = (F.pmod(F.xxhash64("key", "draw"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    total, term, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(12):
-        total += term
-        weight = weight + F.when(u > total, 1).otherwise(0)
-        term /= k + 1
-    draws = draws.withColumn("w", weight).where("w > 0")
-    keys = [*by, "draw"]
-    s = draws.groupBy(*keys, "predicted_prob").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum("w").alias("n"))
-    w = Window.partitionBy(*keys).orderBy("predicted_prob").rowsBetween(Window.unboundedPreceding, 0)
-    neg = F.col("n") - F.col("pos")
-    s = s.withColumn("below", F.sum(neg).over(w) - neg)
-    one = s.groupBy(*keys).agg(F.when((F.sum("pos") > 0) & (F.sum(neg) > 0), F.sum(F.col("pos") * (F.col("below") + neg * 0.5)) / (F.sum("pos") * F.sum(neg))).alias("auroc"))
+    counts = _scores(preds, by).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    key = [F.lit(seed), F.col("draw"), *[F.col(c) for c in by], F.col("predicted_prob")]
+    u = {name: _uniform(F.lit(name), *key) for name in ("u_pos", "u_neg", "v")}
+    radius, angle = F.sqrt(-2 * F.log("u_pos")), 2 * F.pi() * F.col("v")
+    # two independent normal numbers come of one radius and angle
+    drawn = counts.withColumns(u).withColumns({"z_pos": radius * F.cos(angle), "z_neg": radius * F.sin(angle)})
+    drawn = drawn.select(*by, "draw", "predicted_prob", poisson(F.col("pos"), F.col("u_pos"), F.col("z_pos")).alias("pos"), poisson(F.col("n") - F.col("pos"), F.col("u_neg"), F.col("z_neg")).alias("neg"))
+    w = Window.partitionBy(*by, "draw").orderBy("predicted_prob").rowsBetween(Window.unboundedPreceding, 0)
+    s = drawn.withColumn("below", F.sum("neg").over(w) - F.col("neg"))
+    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") * 0.5))
+    one = s.groupBy(*by, "draw").agg(F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), wins / (F.sum("pos") * F.sum("neg").cast("double"))).alias("auroc"))
     tail = (1 - confidence) / 2
-    q = F.percentile("auroc", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)))
-    found = one.groupBy(*by).agg(q.alias("q"))
+    found = one.groupBy(*by).agg(F.percentile("auroc", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail))).alias("q"))
     return found.select(*by, *[F.coalesce(F.get("q", F.lit(i)), F.lit(0.0)).alias(name) for i, name in enumerate(("low", "median", "high"))])

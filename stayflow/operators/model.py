@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayflow.functions import constants as C
+
+PAD = C.SPECIAL_TOKENS.index("[PAD]")
 SAMPLES = "hospitalization_id string, window_id int, sample_id int, tokens array<int>"
 
 
@@ -22,38 +25,46 @@ SAMPLES = "hospitalization_id string, window_id int, sample_id int, tokens array
 class Generation:
     """How continuations are sampled. clocks and clock_limit end a sample at the n-th clock token."""
 
-    n_samples: int = 20
-    max_new_tokens: int = 256
+    n_samples: int = 8
+    max_new_tokens: int = 500
     temperature: float = 1.0
-    top_k: int = 0
-    top_p: float = 1.0
+    top_k: int = 50
+    top_p: float = 0.95
     stop: tuple[int, ...] = ()
     clocks: tuple[int, ...] = ()
     clock_limit: int = 12
     seed: int = 42
 
 
-def train(rows: DataFrame, keep: int = 64) -> DataFrame:
-    """(token_id, next_id, n, share) from token rows of the training part: each token's `keep` most frequent successors.
+def train(rows: DataFrame, keep: int | None = None) -> DataFrame:
+    """(token_id, next_id, n, share) from token rows of the training part: how often each token follows another.
 
-    The model has at most keep rows per vocabulary entry, whatever the number of sequences.
+    The model has as many rows as there are pairs of tokens that stand side by side, whatever the number of sequences;
+    with `keep` only each token's most frequent successors are kept.
     """
     by = Window.partitionBy("hospitalization_id").orderBy("pos")
     pairs = rows.select("token_id", F.lead("token_id").over(by).alias("next_id")).where("next_id is not null")
     counts = pairs.groupBy("token_id", "next_id").agg(F.count("*").alias("n"))
     of = Window.partitionBy("token_id")
     ranked = counts.withColumns({"share": F.col("n") / F.sum("n").over(of), "rank": F.row_number().over(of.orderBy(F.desc("n"), "next_id"))})
-    return ranked.where(F.col("rank") <= keep).drop("rank")
+    return (ranked if keep is None else ranked.where(F.col("rank") <= keep)).drop("rank")
+
 
+def loss(rows: DataFrame, model: DataFrame, vocab_size: int, label_weight: float = 75.0, smooth: float = 1e-6, pad: int = PAD) -> DataFrame:
+    """One row (loss, tokens): negative log-likelihood of next tokens, weighted and divided by the sum of the weights (1 at
+    least).
 
-def loss(rows: DataFrame, model: DataFrame, vocab_size: int, label_weight: float = 1.0, smooth: float = 1e-6) -> DataFrame:
-    """One row (loss, tokens): mean negative log-likelihood of next tokens, labels (is_label of the next row) weighted."""
+    A label (is_label of the next row) weighs label_weight, others 1; where the next row's loss_mask is 0 (if rows have
+    one) nothing counts. Padding that comes next has no likelihood but its weight.
+    """
     by = Window.partitionBy("hospitalization_id").orderBy("pos")
-    pairs = rows.select("token_id", F.lead("token_id").over(by).alias("next_id"), F.lead("is_label").over(by).alias("is_label")).where("next_id is not null")
+    mask = F.lead("loss_mask").over(by) if "loss_mask" in rows.columns else F.lit(1)
+    pairs = rows.select("token_id", F.lead("token_id").over(by).alias("next_id"), F.lead("is_label").over(by).alias("is_label"), mask.alias("mask")).where("next_id is not null")
     joined = pairs.join(model.select("token_id", "next_id", "share"), ["token_id", "next_id"], "left")
     p = F.coalesce("share", F.lit(0.0)) * (1 - smooth) + smooth / vocab_size
-    weight = F.when(F.col("is_label"), F.lit(label_weight)).otherwise(1.0)
-    return joined.agg((F.sum(-F.log(p) * weight) / F.greatest(F.sum(weight), F.lit(1.0))).alias("loss"), F.count("*").alias("tokens"))
+    weight = F.when(F.col("is_label"), F.lit(float(label_weight))).otherwise(1.0) * F.col("mask")
+    surprise = F.when(F.col("next_id") == pad, 0.0).otherwise(-F.log(p))
+    return joined.agg((F.sum(surprise * weight) / F.greatest(F.sum(weight), F.lit(1.0))).alias("loss"), F.count("*").alias("tokens"))
 
 
 def choose(successors: list[tuple[int, float]], how: Generation, rng: random.Random) -> int:

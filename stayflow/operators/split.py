@@ -37,5 +37,5 @@ def sample_patients(split: DataFrame, n_patients: int, seed: int = 42) -> DataFr
     total = sum(counts.values()) or 1
     want = {s: max(1, int(n_patients * (counts.get(s, 0) / total))) for s in ("train", "val")}
     want["test"] = max(0, n_patients - sum(want.values()))
-    parts = [split.where(F.col("split") == s).orderBy(F.xxhash64(F.lit(seed), "patient_id"), "patient_id").limit(k) for s, k in want.items()]
+    parts = [split.where(F.col("split") == s).orderBy(F.md5(F.concat(F.lit(f"{seed}/"), "patient_id")), "patient_id").limit(k) for s, k in want.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

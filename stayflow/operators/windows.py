@@ -47,21 +47,27 @@ def truncate_at_clock(tokens: Column, clocks: list[int], n: int) -> Column:
     return F.when(F.size(tokens) > 0, F.slice(tokens, F.lit(1), F.coalesce(F.get(places, F.lit(n - 1)), F.size(tokens)))).otherwise(tokens)
 
 
-def probabilities(samples: DataFrame, label_tokens: DataFrame, clocks: list[int], death: int | None, horizons: tuple[int, ...] = (8, 24, 48)) -> DataFrame:
+def probabilities(samples: DataFrame, label_tokens: DataFrame, clocks: list[int], death: int | None, horizons: tuple[int, ...] = (8, 24, 48), clock_hours: int = C.CLOCK_HOURS) -> DataFrame:
     """(hospitalization_id, window_id, horizon_hours, label, predicted_prob) from samples (hospitalization_id, window_id,
     sample_id, tokens): the share of a window's samples that have the label's token within the horizon's clock tokens.
     Labels whose name has "mortality" take the token of death instead. A window without samples is not in `samples`.
+
+    Only tokens that some label wants leave the samples, each with the first place at which it stands.
     """
-    parts = []
-    for h in horizons:
-        n = C.HORIZON_CLOCKS.get(h)
-        cut = truncate_at_clock(F.col("tokens"), clocks, n) if clocks and n else F.col("tokens")
-        parts.append(F.struct(F.lit(h).alias("horizon_hours"), cut.alias("tokens")))
-    rows = samples.select("hospitalization_id", "window_id", "sample_id", F.inline(F.array(*parts)))
-    rows = rows.join(F.broadcast(label_tokens))  # labels are a fixed list
-    dead = F.array_contains("tokens", F.lit(death)) if death is not None else F.lit(False)
-    hit = F.when(F.col("label").contains("mortality"), dead).otherwise(F.array_contains("tokens", F.col("token_id")))
-    return rows.groupBy("hospitalization_id", "window_id", "horizon_hours", "label").agg(F.avg(hit.cast("int")).alias("predicted_prob"))
+    window = ["hospitalization_id", "window_id"]
+    size = F.size("tokens")
+    places = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.get("tokens", i).isin(clocks)) if clocks else F.array().cast("array<int>")
+    # the last place of a horizon is that of its n-th clock token; without so many all of the sample belongs to it
+    ends = F.array(*[F.struct(F.lit(h).alias("horizon_hours"), F.coalesce(F.get("places", F.lit(h // clock_hours - 1)), size).alias("end")) for h in horizons])
+    rows = samples.select(*window, "sample_id", "tokens", places.alias("places")).select(*window, "sample_id", ends.alias("ends"), F.posexplode("tokens").alias("place", "token"))
+    target = F.when(F.col("label").contains("mortality"), F.lit(death).cast("int")).otherwise(F.col("token_id"))
+    targets = label_tokens.select("label", target.alias("target"))  # a fixed list
+    hits = rows.join(F.broadcast(targets), F.col("token") == F.col("target")).groupBy(*window, "sample_id", "label").agg(F.min("place").alias("place"), F.first("ends").alias("ends"))
+    hits = hits.select(*window, "label", "place", F.inline("ends")).where("place <= end").groupBy(*window, "horizon_hours", "label").agg(F.count("*").alias("hits"))
+    grid = samples.groupBy(*window).agg(F.count("*").alias("n")).select("*", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon_hours"))
+    grid = grid.join(F.broadcast(label_tokens.select("label")))
+    keys = [*window, "horizon_hours", "label"]
+    return grid.join(hits, keys, "left").select(*keys, (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("predicted_prob"))
 
 
 def scored(predicted: DataFrame, truth: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property, lru_cache
 
@@ -9,17 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayflow.functions import constants as C
-from stayflow.functions.expressions import bin_of
-from stayflow.operators import bins, dataset, extract, insert, labels, metrics, profile, reports, split, tokens, windows
+from stayflow.functions.expressions import from_micros
+from stayflow.operators import bins, dataset, extract, insert, labels, metrics, model, profile, reports, split, tokens, windows
 from stayflow.plans.oracle import BUDGET, HORIZONS, MAX_LEN, MIN_EVENTS, MIN_STAYS, OVERLAP, SAMPLES
 from stayflow.sources.adapter import event_catalog
-from stayflow.sources.catalog import Catalog, id_map
-from stayflow.sources.store import written
+from stayflow.sources.catalog import Catalog, id_map, read_sequences, write_log
+from stayflow.sources.store import shared_dir, written
 
 EVENT = ("hospitalization_id", "time", "code", "value", "value_cat")
 LOG = ("hospitalization_id", "event_idx", *EVENT[1:])
 
 
+#: Events that the adapter makes stays of.
+USED = "user_id % 5 = 0 or user_id % 3 <> 1 or extract(week from ts) in (1, 4)"
+
+
 class Run:
     """The plans of one run, each made when first asked for."""
 
@@ -108,12 +113,11 @@ class Run:
     @cached_property
     def samples(self) -> DataFrame:
         """Stand-ins for a model's continuations: every other token of what came next."""
-        rows = self.windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("sample_id"))
-        after = self.kept_tokens.select(F.col("hospitalization_id").alias("h"), "pos", "token_id")
-        near = (F.col("h") == F.col("hospitalization_id")) & (F.col("pos") > F.col("end_pos")) & (F.col("pos") <= F.col("end_pos") + 60) & ((F.col("pos") + F.col("sample_id")) % 2 == 0)
-        rows = rows.join(after, near, "left").groupBy("hospitalization_id", "window_id", "sample_id")
-        items = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))))
-        return rows.agg(items.alias("items")).select("hospitalization_id", "window_id", "sample_id", F.col("items.token_id").alias("tokens"))
+        whole = tokens.sequences(self.kept_tokens).select("hospitalization_id", "token_ids")
+        rows = self.windows.join(whole, "hospitalization_id").withColumn("after", F.slice("token_ids", F.col("end_pos") + 2, F.size("token_ids")))
+        rows = rows.select("hospitalization_id", "window_id", "end_pos", "after", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("sample_id"))
+        kept = F.filter("after", lambda _, i: (F.col("end_pos") + 1 + i + F.col("sample_id")) % 2 == 0)
+        return rows.select("hospitalization_id", "window_id", "sample_id", kept.alias("tokens"))
 
     def ids(self, *prefixes: str) -> list[int]:
         """Token ids of a few fixed prefixes."""
@@ -131,12 +135,20 @@ class Run:
     def chunks(self) -> DataFrame:
         return written(dataset.chunks(tokens.sequences(self.kept_tokens), MAX_LEN, OVERLAP, self.ids(*C.LOSS_PREFIXES)), "chunks")
 
+    @cached_property
+    def similarity(self) -> DataFrame:
+        return bins.ecg_similarity_edges(self.t["ecg"])
+
+    @cached_property
+    def model(self) -> DataFrame:
+        return model.train(self.kept_tokens.join(self.train, "hospitalization_id", "left_semi"))
+
     @cached_property
     def preds(self) -> DataFrame:
         k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
         route = F.when(F.col("event_id") % 3 == 0, "no_ecg").when(F.col("event_id") % 3 == 1, "fusion_class").otherwise("all_branches")
         hours = F.when(k % 3 == 0, 8).when(k % 3 == 1, 24).otherwise(48)
-        return self.table("events").select(F.col("event_type").alias("label"), hours.alias("horizon_hours"), route.alias("route"), ((k % 11) / F.lit(10.0)).alias("predicted_prob"), (F.col("value") > 245).alias("actual_positive"))
+        return self.table("events").where(USED).select(F.col("event_type").alias("label"), hours.alias("horizon_hours"), route.alias("route"), ((k % 11) / F.lit(10.0)).alias("predicted_prob"), (F.col("value") > F.when(F.col("event_type") == "view", 245).otherwise(100)).alias("actual_positive"))
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -177,6 +189,16 @@ def _orders_log(r: Run) -> DataFrame:
     return extract.ordered(log).select("hospitalization_id", "event_idx", "time", "code", "value")
 
 
+def _stored(r: Run) -> DataFrame:
+    """The log written in two files by the sequence sink and read back as sequences."""
+    paths = []
+    for i in range(2):
+        paths.append(f"{shared_dir(r.spark)}/sequences-{uuid.uuid4().hex}")
+        write_log(r.kept_log.where(F.pmod(F.xxhash64("hospitalization_id"), F.lit(2)) == i).select(*LOG), paths[-1])
+    found = read_sequences(r.spark, *paths)
+    return found.select("hospitalization_id", F.size("events").cast("long").alias("n_events"), F.element_at("events", 1).code.alias("first_code"), F.element_at("events", -1).code.alias("last_code"), F.size(F.filter("events", lambda e: e.value.isNotNull())).cast("long").alias("n_values"))
+
+
 def _orders_edges(r: Run) -> DataFrame:
     lines = r.table("lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("code"), F.col("l_extendedprice").alias("value"))
     return _edge_rows(bins.quantile_edges(lines))
@@ -191,7 +213,9 @@ _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "quantile_edges": lambda r: _edge_rows(bins.bin_edges(bins.numeric_values(r.t, r.train), "quantile")),
     "bin_edges_hybrid": lambda r: _edge_rows(bins.bin_edges(bins.numeric_values(r.t, r.train))),
     "bin_edges_clinical": lambda r: _edge_rows(bins.bin_edges(bins.numeric_values(r.t, r.train), "clinical_only")),
-    "bin_lookup": lambda r: bins.with_bins(r.kept_log.where("value is not null"), r.edges, bin_of).select("hospitalization_id", "event_idx", "code", "value", "bin"),
+    "ecg_similarity_edges": lambda r: rounded(r.similarity.select("branch", F.posexplode("edges").alias("edge_idx", "edge")), "edge"),
+    "ecg_similarity_bins": lambda r: bins.with_similarity_bins(r.t["ecg"], r.similarity),
+    "bin_lookup": lambda r: bins.with_bins(r.kept_log.where("value is not null"), r.edges).select("hospitalization_id", "event_idx", "code", "value", "bin"),
     **{f"events_{name}": (lambda r, make=make: make(r.t, r.profile).select(*EVENT)) for name, make in extract.EXTRACTORS.items()},
     "event_log_base": lambda r: extract.ordered(r.base).select(*LOG),
     "labels_rows": lambda r: labels.row_labels(r.t),
@@ -209,16 +233,21 @@ _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "ecg_window_join": lambda r: r.ecg.select("hospitalization_id", "hadm_id", "ecg_time"),
     **{f"ecg_tokens_{route}": (lambda r, route=route: insert.ecg_events(r.ecg, route).select("hospitalization_id", "time", "code", "value")) for route in C.ECG_ROUTES},
     "clock_tokens": lambda r: insert.clock_events(r.stays).select("hospitalization_id", "time", "code"),
-    "gap_tokens": lambda r: r.log.where("modality = 'DT'").select("hospitalization_id", "event_idx", "time", "code"),
+    "gap_tokens": lambda r: r.kept_log.where("modality = 'DT'").select("hospitalization_id", "event_idx", "time", "code"),
     "event_log_full": lambda r: r.log.select(*LOG),
     "vocabulary": lambda r: r.vocab,
     "vocabulary_fused": lambda r: tokens.vocabulary(r.train_log, r.edges, fuse=True),
     "token_sequences": lambda r: r.tokens,
     "token_sequences_fused": lambda r: tokens.encoded_rows(r.kept_log, tokens.vocabulary(r.train_log, r.edges, fuse=True), r.edges, fuse=True),
+    "sequence_store": _stored,
+    "decoded_tokens": lambda r: tokens.decode(r.kept_tokens, r.vocab).select("hospitalization_id", "pos", "token", from_micros(F.col("ts_us")).alias("time")),
+    "model_shares": lambda r: rounded(r.model, "share", places=9),
+    "model_loss": lambda r: rounded(model.loss(dataset.label_mask(r.kept_tokens.join(r.train, "hospitalization_id", "left_anti"), dataset.label_ids(r.vocab)), r.model, r.vocab.count()), "loss"),
     "route_filter": lambda r: dataset.filter_route(r.kept_tokens, r.vocab, "fusion_class").select("hospitalization_id", "pos", "token_id"),
     "label_mask": lambda r: dataset.label_mask(r.kept_tokens, dataset.label_ids(r.vocab)).select("hospitalization_id", "pos", "token_id", "is_label"),
     "sequence_chunks": lambda r: r.chunks.select("hospitalization_id", "chunk", "start", F.size("ids").alias("n_ids"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"), _joined("ids").alias("ids"), F.aggregate("loss_mask", F.lit(0), lambda a, x: a + x).alias("n_loss")),
-    "dynamic_batches": lambda r: dataset.padded(dataset.token_batches(r.chunks, BUDGET)).select("batch", "hospitalization_id", "chunk", "length", "width"),
+    "dynamic_batches": lambda r: dataset.padded(dataset.token_batches(r.chunks, BUDGET)).groupBy("batch").agg(F.count("*").alias("n_chunks"), F.max(F.size("ids")).alias("width"), F.sum("length").alias("n_tokens"), F.sum(F.size("attention_mask") - F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("n_padding")),
+    "shuffled_batches": lambda r: dataset.token_batches(r.chunks, BUDGET, seed=42).select("batch", "hospitalization_id", "chunk", "length"),
     "midnight_windows": lambda r: r.windows,
     "window_contexts": lambda r: windows.contexts(r.windows, tokens.sequences(r.kept_tokens), 64).select("hospitalization_id", "window_id", _joined("context_ids").alias("context")),
     "horizon_truth": lambda r: r.truth,
@@ -233,14 +262,14 @@ _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "calibration_curve": lambda r: rounded(metrics.calibration(r.preds), "mean_predicted", "mean_actual"),
     "metrics_grouped": lambda r: rounded(r.metrics, "auroc", "auprc", "brier", "ece"),
     "metrics_json": lambda r: reports.metrics_json(rounded(r.metrics, "auroc", "auprc", "brier", "ece")),
-    "prefix_histogram": lambda r: reports.prefix_histogram(r.log),
-    "label_histogram": lambda r: reports.label_histogram(r.log),
-    "ecg_histogram": lambda r: reports.ecg_histogram(r.log),
-    "sequence_length_stats": lambda r: rounded(reports.length_stats(r.log), "mean"),
+    "prefix_histogram": lambda r: reports.prefix_histogram(r.kept_log),
+    "label_histogram": lambda r: reports.label_histogram(r.kept_log),
+    "ecg_histogram": lambda r: reports.ecg_histogram(r.kept_log),
+    "sequence_length_stats": lambda r: rounded(reports.length_stats(r.kept_log), "mean"),
     "describe_tokens": lambda r: rounded(reports.describe(tokens.sequences(r.kept_tokens), "token_count"), "value"),
     "stays_icu_and_vitals": lambda r: reports.stays_with_both(r.t["adt"].where("location_category = 'icu'"), r.t["vitals"]),
     "token_event_alignment": lambda r: reports.align_tokens(r.kept_tokens, r.vocab),
-    "run_statistics": lambda r: reports.run_statistics(r.log),
+    "run_statistics": lambda r: reports.run_statistics(r.kept_log),
     "prevalence": lambda r: rounded(reports.evaluable(r.metrics), "prevalence").select("label", "horizon_hours", "prevalence"),
     "metric_key_parse": lambda r: reports.parse_metric_keys(r.metrics.select(F.concat(F.lit("LABEL//"), "label", F.lit("_"), F.col("horizon_hours").cast("string"), F.lit("h")).alias("key"))),
     "route_summary": lambda r: reports.route_summary(r.route_metrics),

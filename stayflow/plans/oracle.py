@@ -1,9 +1,12 @@
-"""DuckDB SQL for the catalogue's queries, on the same test tables. Written apart from the Spark plans it is held against."""
+"""DuckDB SQL for the catalogue's queries, on the same test tables.
+
+Written apart from the Spark plans it is held against: rules, thresholds and buckets are spelled out here once more, so
+that a wrong one shows. Shared are the test tables, the names of special tokens and of clinical edges' codes.
+"""
 
 from __future__ import annotations
 
 from stayflow.functions import constants as C
-from stayflow.operators import labels as L
 from stayflow.sources.adapter import event_ctes
 
 MIN_EVENTS, MIN_STAYS, SAMPLES, MAX_LEN, OVERLAP, BUDGET = 20, 5, 4, 32, 8, 256
@@ -22,7 +25,57 @@ def quantile_ctes(name: str, values: str, key: str = "code", n_bins: int = 10) -
 {name}_edges as (select {key}, row_number() over (partition by {key} order by edge) - 1 as edge_idx, edge from (select distinct {key}, edge from {name}_q))"""
 
 
-_FAMILY = " ".join(f"when '{n}' then '{f}'" for n, f in C.FAMILIES.items())
+#: table, time and rules of the row labels.
+_RULES = """
+hospitalization discharge_dttm
+  mortality: discharge_category = 'Expired'
+  mortality_or_hospice: discharge_category = 'Expired' or discharge_category = 'Hospice'
+  discharge_home: discharge_category = 'Home'
+  discharge_snf: contains(discharge_category, 'Skilled Nursing')
+  discharge_ltach: discharge_category = 'LTACH'
+  discharge_hospice: discharge_category = 'Hospice'
+  discharge_acute: discharge_category = 'Acute Care Hospital'
+adt in_dttm
+  stepdown_admission: location_category = 'stepdown'
+respiratory_support recorded_dttm
+  mech_vent: device_category = 'IMV'
+  new_intubation: device_category = 'IMV' and not tracheostomy
+  nippv: device_category = 'NIPPV'
+  hfnc: device_category = 'High Flow NC'
+  high_fio2: fio2_set > 0.6::double
+vitals recorded_dttm
+  hypoxemia: vital_category = 'spo2' and vital_value < 88
+  hypotension: vital_category = 'mbp' and vital_value < 65
+  tachycardia: vital_category = 'hr' and vital_value > 120
+  bradycardia: vital_category = 'hr' and vital_value < 50
+position_t recorded_dttm
+  prone: position_category = 'prone'
+medication_admin_continuous admin_dttm
+  vasopressor: med_group = 'vasoactives' and mar_action_category not in ('stop', 'paused', 'held')
+ecmo_mcs recorded_dttm
+  ecmo: true
+crrt_therapy recorded_dttm
+  crrt: true
+labs lab_result_dttm
+  hyperkalemia: lab_category = 'potassium' and lab_value_numeric > 6
+  severe_hyperkalemia: lab_category = 'potassium' and lab_value_numeric > 6.5::double
+  hypoglycemia: lab_category = 'glucose' and lab_value_numeric < 50
+  severe_anemia: lab_category = 'hemoglobin' and lab_value_numeric < 7
+  thrombocytopenia: lab_category = 'platelets' and lab_value_numeric < 50000
+  lactate_elevated: lab_category = 'lactate' and lab_value_numeric > 2
+  lactate_severe: lab_category = 'lactate' and lab_value_numeric > 4
+  coagulopathy: lab_category = 'inr' and lab_value_numeric > 2
+  acidosis: lab_category = 'ph' and lab_value_numeric < 7.25::double
+  troponin_elevated: lab_category in ('troponin_t', 'troponin_i') and lab_value_numeric > 0.04::double
+  bnp_elevated: lab_category = 'bnp' and lab_value_numeric > 300
+patient_assessments recorded_dttm
+  gcs_low: assessment_category = 'gcs_total' and numerical_value < 8
+  braden_low: assessment_category = 'braden_total' and numerical_value <= 12
+  delirium: assessment_category = 'cam_icu' and (categorical_value ilike '%positive%' or numerical_value = 1)
+STAYS start_dttm
+  dnr: code_status_category in ('DNR', 'DNAR', 'CMO', 'Comfort Measures Only')
+"""
+_WHITELIST = "'LAB_RESULT//troponin_t', 'LAB_RESULT//troponin_i', 'LAB_RESULT//bnp', 'LAB_RESULT//procalcitonin', 'LAB_RESULT//lactate', 'LAB_RESULT//d_dimer', 'RESP//IMV', 'CRRT//cvvh', 'ECMO//ECMO', 'CODE_STATUS//DNR', 'POSITION//prone'"
 _COUNTS = " union all ".join(
     f"select '{p}//' || {c} as code, count(*) as event_count, count(distinct hospitalization_id) as admission_count from {t} where hospitalization_id in (select hospitalization_id from train) group by 1"
     for t, c, p in (("vitals", "vital_category", "VITAL"), ("labs", "lab_category", "LAB_RESULT"), ("medication_admin_continuous", "med_category", "MED_CONT"), ("medication_admin_intermittent", "med_category", "MED_BOLUS"), ("patient_assessments", "assessment_category", "ASSESS"), ("patient_procedures", "procedure_code", "PROC"), ("hospital_diagnosis", "diagnosis_code", "ICD"))
@@ -71,10 +124,19 @@ _BRANCHES = [
 _PRIORITY = "case split_part(code, '//', 1) when 'DEMO' then 0 when 'ICD_POA' then 1 when 'CLOCK' then 1 when 'ECG' then 2.5 when 'LABEL' then 3 when 'DISCH' then 4 when 'ICD' then 5 else 2 end"
 _ORDER = "time nulls first, prio, stage, src, code nulls first, value nulls first, value_cat nulls first"
 
-_ROW_LABELS = " union all ".join(
-    f"select hospitalization_id, '{s.code}' as code, min({s.time}) as time from {_STAY_CODES if s.table == 'code_status' else 'position_t' if s.table == 'position' else s.table} where {s.when} group by 1" for s in L.ROW_LABELS
-)
-_LEVEL = "case device_category " + " ".join(f"when '{d}' then {n}" for d, n in C.SEVERITY.items()) + " else 0 end"
+def _row_labels() -> str:
+    parts, table, time = [], "", ""
+    for line in _RULES.strip().splitlines():
+        if line[0] != " ":
+            table, time = line.replace("STAYS", _STAY_CODES).rsplit(" ", 1)
+        else:
+            name, rule = line.strip().split(": ", 1)
+            parts.append(f"select hospitalization_id, 'LABEL//{name}' as code, min({time}) as time from {table} where {rule} group by 1")
+    return " union all ".join(parts)
+
+
+_ROW_LABELS = _row_labels()
+_LEVEL = "case when device_category = 'IMV' then 4 when device_category = 'NIPPV' then 3 when device_category in ('CPAP', 'High Flow NC') then 2 when device_category in ('Nasal Cannula', 'Face Mask') then 1 else 0 end"
 
 
 def _prolonged(days: int) -> str:
@@ -107,9 +169,31 @@ def ecg_events(n: int) -> str:
     return " union all ".join(f"select hospitalization_id, ecg_time as time, {code} as code, ({value})::double as value, null::varchar as value_cat, {i} as src from ecg_in where {keep}" for i, (code, value, keep) in enumerate(_ECG[:n]))
 
 
-_GAP = "case when m is null or m < 1 then null " + " ".join(f"when m <= {b} then 'DT//{a}-{b}'" for a, b in zip(C.GAP_EDGES, C.GAP_EDGES[1:], strict=False)) + f" else 'DT//{C.GAP_EDGES[-1]}+' end"
+_GAP = "case when m >= 1 then 'DT//' || case when m <= 5 then '1-5' when m <= 15 then '5-15' when m <= 30 then '15-30' when m <= 60 then '30-60' when m <= 120 then '60-120' when m <= 240 then '120-240' when m <= 480 then '240-480' else '480+' end end"
 _SPECIAL = ", ".join(f"(0, {i}, '', '{t}')" for i, t in enumerate(C.SPECIAL_TOKENS))
-_CLINICAL = ", ".join(f"('{code}', {float(e)!r}::double)" for code, edges in C.CLINICAL_EDGES.items() for e in edges)
+_EDGES = """
+VITAL//hr 0 50 60 80 100 120 150 200
+VITAL//sbp 0 70 90 110 130 150 180 250
+VITAL//dbp 0 40 50 60 70 80 100 140
+VITAL//mbp 0 50 60 65 75 90 110 150
+VITAL//resp_rate 0 8 12 16 20 25 30 40
+VITAL//spo2 0 70 80 88 92 95 98 100
+VITAL//temp_c 33 35 36 36.5 37.5 38 39 42
+LAB_RESULT//potassium 0 2.5 3 3.5 4 5 5.5 6 7 10
+LAB_RESULT//sodium 0 120 125 130 135 140 145 150 155 180
+LAB_RESULT//glucose 0 40 60 70 100 140 200 300 500 1000
+LAB_RESULT//creatinine 0 0.4 0.7 1 1.3 1.8 2.5 4 8 20
+LAB_RESULT//lactate 0 0.5 1 1.5 2 4 6 10 20
+LAB_RESULT//hemoglobin 0 5 7 8 10 12 14 16 20
+LAB_RESULT//platelets 0 20 50 100 150 250 400 600 1000
+LAB_RESULT//wbc 0 1 4 7 11 15 20 30 50
+LAB_RESULT//troponin_t 0 0.01 0.03 0.05 0.1 0.5 1 5 50
+LAB_RESULT//inr 0 0.8 1 1.2 1.5 2 3 5 10
+LAB_RESULT//ph 6.8 7 7.15 7.25 7.35 7.45 7.55 7.65
+LAB_RESULT//pco2 0 20 30 35 40 45 50 60 80 120
+LAB_RESULT//bicarbonate 0 10 15 18 22 26 30 35 50
+"""
+_CLINICAL = ", ".join(f"('{code}', {edge}::double)" for code, *edges in map(str.split, _EDGES.strip().splitlines()) for edge in edges)
 
 
 def vocabulary_ctes(name: str, fuse: bool) -> str:
@@ -134,16 +218,16 @@ def tokens_ctes(name: str, vocab: str, fuse: bool) -> str:
   union all select hospitalization_id, n + 1, 3, ts_us from {name}_n where pos = n)"""
 
 
-CTES = f"""with {event_ctes().replace("position as (", "position_t as (", 1)},
+CTES = f"""with recursive {event_ctes().replace("position as (", "position_t as (", 1)},
 first_admit as (select patient_id, min(admission_dttm) as first_admit from hospitalization group by 1),
 split as (select patient_id, first_admit, case when rn <= floor(n * 0.77::double) then 'train' when rn <= floor(n * 0.77::double) + floor(n * 0.1::double) then 'val' else 'test' end as split
   from (select *, row_number() over (order by first_admit, patient_id) as rn, count(*) over () as n from first_admit)),
 train as (select hospitalization_id from hospitalization join split using (patient_id) where split = 'train'),
 counts as ({_COUNTS}),
-profile as (select *, code in ({", ".join(f"'{w}'" for w in C.WHITELIST)}) or (event_count >= {MIN_EVENTS} and admission_count >= {MIN_STAYS}) as included from counts),
+profile as (select *, code in ({_WHITELIST}) or (event_count >= {MIN_EVENTS} and admission_count >= {MIN_STAYS}) as included from counts),
 raw as ({" union all ".join(_BRANCHES)}),
 base as (select r.*, {_PRIORITY} as prio, 0 as stage from raw r join hospitalization h using (hospitalization_id) where time >= admission_dttm),
-base_log as (select hospitalization_id, (row_number() over (partition by hospitalization_id order by {_ORDER}) - 1)::int as event_idx, time, code, value, value_cat from base),
+base_log as materialized (select hospitalization_id, (row_number() over (partition by hospitalization_id order by {_ORDER}) - 1)::int as event_idx, time, code, value, value_cat from base),
 row_labels as (select * from ({_ROW_LABELS}) where time is not null),
 {"".join(f"{n}_labels as ({sql})," for n, sql in ORDER_LABELS.items())}
 labels_all as (select * from row_labels {" ".join(f"union all select * from {n}_labels" for n in ORDER_LABELS)}),
@@ -160,7 +244,7 @@ merged as (
 labelled as (select hospitalization_id, (row_number() over (partition by hospitalization_id order by {_ORDER}) - 1)::int as event_idx, time, code, value, value_cat from merged where stage < 2),
 placed as (select *, row_number() over (partition by hospitalization_id order by {_ORDER}) as rn, date_diff('microsecond', lag(time) over (partition by hospitalization_id order by {_ORDER}), time) / 60000000.0::double as m from merged),
 gapped as (select *, {_GAP} as gap from placed),
-log as (select hospitalization_id, (row_number() over (partition by hospitalization_id order by rn, sub) - 1)::int as event_idx, time, code, value, value_cat, split_part(code, '//', 1) as mod from (
+log as materialized (select hospitalization_id, (row_number() over (partition by hospitalization_id order by rn, sub) - 1)::int as event_idx, time, code, value, value_cat, split_part(code, '//', 1) as mod from (
   select hospitalization_id, rn, 1 as sub, time, code, value, value_cat from gapped union all select hospitalization_id, rn, 0, time, gap, null, null from gapped where gap is not null)),
 train_log as (select * from log where hospitalization_id in (select hospitalization_id from train)),
 {quantile_ctes("tq", "select code, value from train_log")},
@@ -169,8 +253,10 @@ clinical as (select * from (values {_CLINICAL}) as c(code, edge)),
 clinical_n as (select code, count(*) as n from clinical group by 1),
 hybrid as (select code, row_number() over (partition by code order by edge) - 1 as edge_idx, edge from (
   select code, edge from clinical union select e.code, edge from nv_edges e left join clinical_n c using (code) where c.n is null or c.n < 11)),
-edge_lists as (select code, list(edge order by edge_idx) as edges from tq_edges group by 1),
-log_bins as (select l.*, case when value is not null and edges is not null then coalesce(nullif(list_position(list_transform(edges[2:], lambda e: value <= e), true), 0), len(edges) - 1) - 1 end as bin from log l left join edge_lists using (code)),
+bin_bounds as (
+  select code, case when top = 0 then -1 else edge_idx end as bin, case when edge_idx > 0 then edge end as low, case when edge_idx < top - 1 then next end as high
+  from (select code, edge_idx, edge, lead(edge) over (partition by code order by edge_idx) as next, max(edge_idx) over (partition by code) as top from tq_edges) where edge_idx < top or top = 0),
+log_bins as (select l.*, b.bin from log l left join bin_bounds b on l.code = b.code and l.value is not null and (low is null or value > low) and (high is null or value <= high)),
 {vocabulary_ctes("vocab", False)},
 {vocabulary_ctes("vocab_fused", True)},
 {tokens_ctes("toks", "vocab", False)},
@@ -180,7 +266,7 @@ label_tokens as (select replace(token, 'LABEL//', '') as label, id as token_id f
 truth as (select w.hospitalization_id, window_id, h::int as horizon_hours, label, exists (select 1 from toks t where t.hospitalization_id = w.hospitalization_id and t.token_id = l.token_id and t.ts_us > w.end_us and t.ts_us <= w.end_us + h * 3600000000) as actual_positive
   from windows w, (values {", ".join(f"({h})" for h in HORIZONS)}) as hs(h), label_tokens l),
 samples as (select w.hospitalization_id, window_id, s::int as sample_id, coalesce(list(t.token_id order by t.pos) filter (t.token_id is not null), []) as tokens
-  from windows w cross join range(0, {SAMPLES}) ss(s) left join toks t on t.hospitalization_id = w.hospitalization_id and t.pos > w.end_pos and t.pos <= w.end_pos + 60 and (t.pos + s) % 2 = 0 group by 1, 2, 3),
+  from windows w cross join range(0, {SAMPLES}) ss(s) left join toks t on t.hospitalization_id = w.hospitalization_id and t.pos > w.end_pos and (t.pos + s) % 2 = 0 group by 1, 2, 3),
 clock_ids as (select list(id) as ids from vocab where starts_with(token, 'CLOCK//')),
 cut as (select hospitalization_id, window_id, sample_id, h::int as horizon_hours, case when p is null then tokens else tokens[:p] end as tokens from (
   select s.*, h, list_filter(range(1, len(tokens) + 1), lambda i: list_contains(ids, tokens[i]))[h // 4] as p from samples s, (values {", ".join(f"({h})" for h in HORIZONS)}) as hs(h), clock_ids)),
@@ -189,7 +275,17 @@ seqs as (select hospitalization_id, list(token_id order by pos) as ids, count(*)
 chunk_rows as (select hospitalization_id, ids, n, start, row_number() over (partition by hospitalization_id order by start) - 1 as chunk from (
   select *, unnest(case when n <= {MAX_LEN} then [0] else generate_series(0, (ceil((n - {MAX_LEN}) / {MAX_LEN - OVERLAP}.0) * {MAX_LEN - OVERLAP})::bigint, {MAX_LEN - OVERLAP}) end) as start from seqs)),
 chunk_list as (select hospitalization_id, chunk, start, case when start > 0 then list_concat([5], ids[start + 1:start + {MAX_LEN}])[:{MAX_LEN}] else ids[:{MAX_LEN}] end as ids from chunk_rows),
-preds as (select event_id, event_type as label, case k % 3 when 0 then 8 when 1 then 24 else 48 end as horizon_hours, case event_id % 3 when 0 then 'no_ecg' when 1 then 'fusion_class' else 'all_branches' end as route, (k % 11) / 10.0::double as p, value > 245 as y from ev)
+sim as (select hadm_id, ecg_time, unnest(['1D', '2D_Morphology', '2D_Global']) as branch, unnest([s1, s2, s3]) as value from ecg),
+sim_all as (select * from sim where value is not null),
+{quantile_ctes("sim", "select branch, value from sim_all", "branch").replace("sim_v as", "sim_w as").replace("from sim_v", "from sim_w")},
+follow as (select hospitalization_id, token_id, lead(token_id) over (partition by hospitalization_id order by pos) as next_id from toks qualify next_id is not null),
+bigrams as (select token_id, next_id, count(*) as n from follow where hospitalization_id in (select hospitalization_id from train) group by 1, 2),
+lens as (select len(ids) as len, row_number() over (order by len(ids)) as i from chunk_list),
+all_lens as (select list(len order by i) as ls from lens),
+greedy as (
+  select 1::bigint as i, 0::bigint as batch, ls[1] as used from all_lens where len(ls) > 0
+  union all select i + 1, case when used + ls[i + 1] > {BUDGET} then batch + 1 else batch end, case when used + ls[i + 1] > {BUDGET} then ls[i + 1] else used + ls[i + 1] end from greedy, all_lens where i < len(ls)),
+preds as (select event_id, event_type as label, case k % 3 when 0 then 8 when 1 then 24 else 48 end as horizon_hours, case event_id % 3 when 0 then 'no_ecg' when 1 then 'fusion_class' else 'all_branches' end as route, (k % 11) / 10.0::double as p, value > case when event_type = 'view' then 245 else 100 end as y from ev)
 """
 
 
@@ -208,11 +304,21 @@ _LH, _RLH = metric_ctes("label, horizon_hours"), metric_ctes("route, label, hori
 _EVENTS = "select hospitalization_id, time, code, value, value_cat from raw where src "
 _LOG = "select hospitalization_id, event_idx, time, code, value, value_cat from "
 
+_WEIGHED = "regexp_matches(token, '^(LABEL|DISCH|ICD|PROC|DRG)//')"
+
 #: Query name -> what follows the common table expressions.
 FINAL: dict[str, str] = {
     "scan_filtered_stays": "select hospitalization_id, count(*) as n_rows from vitals where hospitalization_id in (select hospitalization_id from train) group by 1",
     "id_map_join": "select hadm_id, ecg_time, m.hospitalization_id from ecg join id_map m using (hadm_id)",
     "patient_split": "select patient_id, first_admit, split from split",
+    "patient_sample": "select patient_id, first_admit, split from (select *, row_number() over (partition by split order by md5('42/' || patient_id), patient_id) as place, count(*) over (partition by split) as of_split, count(*) over () as of_all from split) where place <= case split when 'test' then 50 - (select sum(greatest(1, floor(50 * (n / total)))) from (select split, count(*) as n, (select count(*) from split) as total from split where split <> 'test' group by 1)) else greatest(1, floor(50 * (of_split / of_all))) end",
+    "ecg_similarity_edges": "select branch, edge_idx::int as edge_idx, round(edge, 6) as edge from sim_edges",
+    "ecg_similarity_bins": "select hadm_id, ecg_time, branch, value as similarity, (case when top is null then 5 when top = 0 then -1 else least(greatest(0, (select count(*) from sim_edges e where e.branch = s.branch and e.edge < s.value) - 1), top - 1) end)::int as bin from sim_all s left join (select branch, max(edge_idx) as top from sim_edges group by 1) using (branch)",
+    "sequence_store": "select hospitalization_id, count(*) as n_events, arg_min(code, event_idx) as first_code, arg_max(code, event_idx) as last_code, count(value) as n_values from log group by 1",
+    "decoded_tokens": "select hospitalization_id, pos::int as pos, token, make_timestamp(ts_us) as time from toks join vocab on token_id = id",
+    "model_shares": "select token_id::int as token_id, next_id::int as next_id, n, round(n / sum(n) over (partition by token_id), 9) as share from bigrams",
+    "model_loss": f"select round(sum(nll * w) / greatest(sum(w), 1), 6) as loss, count(*) as tokens from (select case when f.next_id = 0 then 0 else -ln(coalesce(b.n / b.total, 0) * (1 - 1e-6::double) + 1e-6::double / (select count(*) from vocab)) end as nll, case when f.next_id in (select id from vocab where {_WEIGHED}) then 75.0::double else 1.0::double end as w from follow f left join (select *, sum(n) over (partition by token_id) as total from bigrams) b on b.token_id = f.token_id and b.next_id = f.next_id where f.hospitalization_id not in (select hospitalization_id from train))",
+    "dynamic_batches": f"select batch, count(*) as n_chunks, max(len) as width, sum(len)::bigint as n_tokens, (max(len) * count(*) - sum(len))::bigint as n_padding from (select g.batch, l.len from greedy g join lens l on l.i = g.i) group by 1",
     "code_profile": "select code, event_count, admission_count, included from profile",
     "quantile_edges": "select code, edge_idx::int as edge_idx, round(edge, 6) as edge from nv_edges",
     "bin_edges_hybrid": "select code, edge_idx::int as edge_idx, round(edge, 6) as edge from hybrid",
@@ -259,7 +365,7 @@ FINAL: dict[str, str] = {
     "token_sequences": "select hospitalization_id, pos::int as pos, token_id::int as token_id, ts_us from toks",
     "token_sequences_fused": "select hospitalization_id, pos::int as pos, token_id::int as token_id, ts_us from toks_fused",
     "route_filter": "select hospitalization_id, pos::int as pos, token_id::int as token_id from toks where token_id not in (select id from vocab where starts_with(token, 'ECG//') and not starts_with(token, 'ECG//Class') and not starts_with(token, 'ECG//Prototype/1D') and not starts_with(token, 'ECG//Similarity/1D'))",
-    "label_mask": "select hospitalization_id, pos::int as pos, token_id::int as token_id, token_id in (select id from vocab where " + " or ".join(f"starts_with(token, '{p}')" for p in C.LOSS_PREFIXES) + ") as is_label from toks",
+    "label_mask": "select hospitalization_id, pos::int as pos, token_id::int as token_id, token_id in (select id from vocab where " + _WEIGHED + ") as is_label from toks",
     "sequence_chunks": f"select hospitalization_id, chunk::int as chunk, start::int as start, len(ids)::int as n_ids, list_sum(ids)::bigint as sum_ids, array_to_string(ids, ' ') as ids, (case when start > 0 then len(ids) - {OVERLAP} + 1 else len(ids) end)::int as n_loss from chunk_list",
     "midnight_windows": "select hospitalization_id, window_id, end_pos::int as end_pos, end_us from windows",
     "window_contexts": "select hospitalization_id, window_id, array_to_string(list_reverse(list_reverse(ids[:end_pos + 1])[:64]), ' ') as context from windows join seqs using (hospitalization_id)",
@@ -285,6 +391,7 @@ _METRICS: dict[str, str] = {
     "metrics_grouped": _LH + "select label, horizon_hours, round(auroc, 6) as auroc, round(auprc, 6) as auprc, round(brier, 6) as brier, round(ece, 6) as ece, n_positive, n_negative, n_total from metrics",
     "prevalence": _LH + "select label, horizon_hours, round(n_positive / n_total, 6) as prevalence from metrics where n_positive >= 20 and auroc is not null",
     "metric_key_parse": _LH + "select 'LABEL//' || label || '_' || horizon_hours || 'h' as key, label, horizon_hours from metrics",
+    "metrics_json": _LH + "select label || '_' || horizon_hours || 'h' as key, '{\"auroc\":' || coalesce(round(auroc, 6)::varchar, 'null') || ',\"auprc\":' || coalesce(round(auprc, 6)::varchar, 'null') || ',\"brier\":' || round(brier, 6) || ',\"ece\":' || round(ece, 6) || ',\"n_positive\":' || n_positive || ',\"n_total\":' || n_total || '}' as json from metrics",
     "route_summary": _RLH + "select route, horizon_hours, round(avg(auroc), 4) as mean_auroc, round(avg(auprc), 4) as mean_auprc, round(avg(brier), 4) as mean_brier, count(distinct label) as n_labels from metrics group by 1, 2",
     "route_pivot": _RLH + "select label, horizon_hours, round(a, 6) as no_ecg, round(b, 6) as fusion_class, round(c, 6) as all_branches, round(b - a, 6) as delta_fusion_class, round(c - a, 6) as delta_all_branches from (select label, horizon_hours, max(auroc) filter (route = 'no_ecg') as a, max(auroc) filter (route = 'fusion_class') as b, max(auroc) filter (route = 'all_branches') as c from metrics group by 1, 2)",
     "route_delta": _RLH + "select m.route, m.label, m.horizon_hours, round(m.auroc - b.auroc, 6) as delta_auroc, round(m.auprc - b.auprc, 6) as delta_auprc, round(m.brier - b.brier, 6) as delta_brier, round((m.auroc - b.auroc) / b.auroc * 100, 4) as percent_auroc from metrics m join metrics b on b.route = 'no_ecg' and b.label = m.label and b.horizon_hours = m.horizon_hours where m.route <> 'no_ecg'",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stayflow.functions import constants as C
 from stayflow.functions.expressions import age_bucket, bin_of, gap_token, priority
-from stayflow.operators import bins, dataset, metrics, windows
+from stayflow.operators import bins, dataset, metrics, model, windows
 
 
 def test_bin_lookup(spark):
@@ -148,8 +148,98 @@ def test_metrics_against_definitions(spark):
 def test_bootstrap_is_near_and_reproducible(spark):
     rng = random.Random(5)
     rows = [("a", 8, round(rng.random(), 2), rng.random() < 0.5) for _ in range(300)] + [("b", 8, 0.5, True)]
-    df = spark.createDataFrame(rows, "label string, horizon_hours int, predicted_prob double, actual_positive boolean").coalesce(1)
-    one, two = ({r["label"]: tuple(r) for r in metrics.bootstrap_auroc(df, n=200).collect()} for _ in range(2))
+    df = spark.createDataFrame(rows, "label string, horizon_hours int, predicted_prob double, actual_positive boolean")
+    one, two = ({r["label"]: tuple(r) for r in metrics.bootstrap_auroc(df.repartition(k), n=200).collect()} for k in (1, 7))
     assert one == two and one["b"][2:] == (0.0, 0.0, 0.0)
     whole = {r["label"]: r["auroc"] for r in metrics.auroc(df).collect()}["a"]
     assert one["a"][2] < whole < one["a"][4] and abs(one["a"][3] - whole) < 0.02
+
+
+def test_bootstrap_against_resampling(spark):
+    """Interval against resamples of rows drawn one by one."""
+    rng = np.random.default_rng(1)
+    p = np.round(rng.random(2000), 1)
+    y = rng.random(2000) < 0.2 + 0.5 * p
+    df = spark.createDataFrame([("a", 8, float(a), bool(b)) for a, b in zip(p, y)], "label string, horizon_hours int, predicted_prob double, actual_positive boolean")
+    got = metrics.bootstrap_auroc(df, n=400).first()
+    found = []
+    for _ in range(400):
+        at = rng.integers(0, 2000, 2000)
+        a, b = p[at][y[at]], p[at][~y[at]]
+        found.append(((a[:, None] > b).mean() + 0.5 * (a[:, None] == b).mean()))
+    assert np.allclose([got["low"], got["median"], got["high"]], np.quantile(found, [0.025, 0.5, 0.975]), atol=0.006)
+
+
+@pytest.mark.parametrize("mean", [0, 1, 5, 8, 9, 40, 5000])
+def test_poisson_numbers(spark, mean):
+    n = 20_000
+    df = spark.range(n).withColumns({"m": F.lit(mean).cast("long"), "u": metrics._uniform(F.lit("a"), "id"), "v": metrics._uniform(F.lit("b"), "id")})
+    z = F.sqrt(-2 * F.log("u")) * F.cos(2 * F.pi() * F.col("v"))
+    got = np.array([r[0] for r in df.select(metrics.poisson(F.col("m"), F.col("u"), z)).collect()])
+    assert abs(got.mean() - mean) <= 0.03 * max(mean, 1) and abs(got.var() - mean) <= 0.05 * max(mean, 1) and got.min() >= 0
+
+
+def test_running_sums_go_through_ranges(spark):
+    rng = random.Random(8)
+    rows = [("a", None if i % 50 == 0 else 8, rng.choice([rng.random(), 0.25, 0.0, 1.0]), rng.random() < 0.3) for i in range(900)]
+    got = {r["horizon_hours"]: r for r in metrics.grouped(spark.createDataFrame(rows, "label string, horizon_hours int, predicted_prob double, actual_positive boolean")).collect()}
+    for h in (8, None):
+        pos, neg = ([p for _, k, p, y in rows if k == h and y == side] for side in (True, False))
+        assert got[h]["auroc"] == pytest.approx(sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg)))
+
+
+def test_quantile_edges_of_hot_and_odd_values(spark):
+    rng = random.Random(4)
+    values = {"hot": [rng.gauss(80, 1e-3) for _ in range(5000)], "one": [3.5] * 2000, "two": [0.0] * 900 + [1.0] * 901, "few": [1.0] * 9, "huge": [10.0 ** rng.randint(-300, 300) * rng.choice([-1, 1]) for _ in range(700)]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("hot", None), (None, 1.0)], "code string, value double")
+    got = {r["code"]: r["edges"] for r in bins.quantile_edges(df, ranges=7).collect()}
+    assert set(got) == {"hot", "one", "two", "huge"}
+    for k in got:
+        want = np.unique(np.percentile(values[k], np.linspace(0, 100, 11)))
+        assert len(want) == len(got[k]) and np.allclose(got[k], want, rtol=1e-12, atol=0)
+
+
+def test_similarity_bins(spark):
+    edges = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
+    rows = spark.createDataFrame([(0.1, edges), (0.5, edges), (0.9, edges), (2.0, edges), (0.3, None)], "v double, e array<double>")
+    assert [r[0] for r in rows.select(bins.similarity_bin(F.col("e"), F.col("v"))).collect()] == [0, 2, 4, 4, 5]
+
+
+def test_loss_weights_masks_and_padding(spark):
+    rows = [("a", 0, 2, False, 1), ("a", 1, 7, False, 1), ("a", 2, 8, True, 1), ("a", 3, 9, False, 0), ("a", 4, 0, False, 1)]
+    df = spark.createDataFrame(rows, "hospitalization_id string, pos int, token_id int, is_label boolean, loss_mask int")
+    known = spark.createDataFrame([(2, 7, 1, 0.5), (7, 8, 1, 0.25), (8, 9, 1, 1.0)], "token_id int, next_id int, n long, share double")
+    p = lambda share: -math.log(share * (1 - 1e-6) + 1e-6 / 10)
+    got = model.loss(df, known, 10, label_weight=75).first()
+    assert got["tokens"] == 4 and got["loss"] == pytest.approx((p(0.5) + 75 * p(0.25)) / (1 + 75 + 0 + 1))
+    assert model.loss(df.drop("loss_mask"), known, 10).first()["loss"] == pytest.approx((p(0.5) + 75 * p(0.25) + p(1.0)) / (1 + 75 + 1 + 1))
+    assert model.loss(df.limit(0), known, 10).first()["loss"] is None
+    assert model.train(df).count() == 4 and model.train(df, keep=1).count() == 4
+
+
+def test_shuffled_batches(spark):
+    df = spark.createDataFrame([(f"h{i:03}", 0, [1] * (1 + i % 9)) for i in range(300)], "hospitalization_id string, chunk int, ids array<int>")
+    plain, mixed = (dataset.token_batches(df, 20, seed=s).collect() for s in (None, 3))
+    content = lambda rows: sorted(tuple(sorted(r["hospitalization_id"] for r in rows if r["batch"] == b)) for b in {r["batch"] for r in rows})
+    assert content(plain) == content(mixed) and {r["batch"] for r in mixed} == set(range(len(content(plain))))
+    order = {r["hospitalization_id"]: r["batch"] for r in plain}
+    assert [order[r["hospitalization_id"]] for r in mixed] != [r["batch"] for r in mixed]
+
+
+def test_probabilities_against_samples(spark):
+    rng = random.Random(6)
+    samples = [("h", w, s, [rng.choice([1, 2, 3, 9, 9, 7]) for _ in range(rng.randint(0, 12))]) for w in range(6) for s in range(4)]
+    labels = {"x": 1, "mortality_y": 2, "z": 3, "mortality_w": 4}
+    df = spark.createDataFrame(samples, "hospitalization_id string, window_id int, sample_id int, tokens array<int>")
+    names = spark.createDataFrame(list(labels.items()), "label string, token_id int")
+    for death in (7, None):
+        got = {(r["window_id"], r["horizon_hours"], r["label"]): r["predicted_prob"] for r in windows.probabilities(df, names, [9], death).collect()}
+        assert len(got) == 6 * 3 * 4
+        for (w, h, label), p in got.items():
+            hits = []
+            for _, ww, _, t in samples:
+                if ww == w:
+                    clocks = [i for i, x in enumerate(t) if x == 9]
+                    cut = t[: clocks[h // 4 - 1] + 1] if len(clocks) >= h // 4 else t
+                    hits.append((death if "mortality" in label else labels[label]) in cut)
+            assert p == pytest.approx(sum(hits) / 4)
