@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from stayflow.config import Config
 from stayflow.plans import runs
+from stayflow.sources.store import release_all
 
 COMMANDS = {"extract": runs.extract_run, "tokenize": runs.tokenize_run, "train": runs.train_run, "evaluate": runs.evaluate_run, "run-all": runs.run_all, "ablation": runs.ablation_run}
 
@@ -33,7 +34,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.n_patients:
         config.extraction.n_patients = args.n_patients
     spark = SparkSession.builder.appName("stayflow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    result = COMMANDS[args.command](spark, config)
+    try:
+        result = COMMANDS[args.command](spark, config)
+    finally:
+        release_all(spark)
     for r in result if isinstance(result, list) else [result]:
         print(runs.as_text(r) if isinstance(r, runs.StageResult) else r)
     return int(any(isinstance(r, runs.StageResult) and not r.success for r in (result if isinstance(result, list) else [result])))

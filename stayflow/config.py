@@ -41,6 +41,7 @@ class BinConfig:
 class EcgConfig:
     route: str = "all_branches"
     lookback_days: int = 7
+    n_similarity_bins: int = 10
 
 
 @dataclass
@@ -57,10 +58,22 @@ class TokenConfig:
 
 @dataclass
 class TrainingConfig:
-    max_len: int = 8192
+    model: str = "count"  # or "factor"
+    size: str = "tiny"
+    max_len: int | None = None  # None: that of the size
     overlap: int = 256
     token_budget: int = 32768
-    label_weight: float = 1.0
+    label_weight: float = 75.0
+    epochs: int = 1
+    learning_rate: float = 3e-4
+    weight_decay: float = 0.1
+    beta1: float = 0.9
+    beta2: float = 0.95
+    warmup_steps: int = 100
+    max_norm: float = 1.0
+    patience: int = 5
+    min_delta: float = 1e-3
+    seed: int = 42
 
 
 @dataclass
@@ -68,11 +81,13 @@ class EvaluationConfig:
     horizons: tuple[int, ...] = (8, 24, 48)
     max_days: int = 7
     max_context: int = 8192
-    n_samples: int = 20
-    max_new_tokens: int = 256
+    backend: str = "table"
+    model_path: str = ""
+    n_samples: int = 8
+    max_new_tokens: int = 500
     temperature: float = 1.0
-    top_k: int = 0
-    top_p: float = 1.0
+    top_k: int = 50
+    top_p: float = 0.95
     n_bootstrap: int = 1000
     confidence: float = 0.95
 

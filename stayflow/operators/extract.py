@@ -173,9 +173,10 @@ EXTRACTORS = {
 }
 
 
-def base_events(t: Catalog, profile: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+def base_events(t: Catalog, profile: DataFrame | None = None, ids: DataFrame | None = None, keep_unknown_action: bool = False) -> DataFrame:
     """All events from admission on; those before it, and those without a time, are dropped. There is no upper limit."""
-    union = reduce(DataFrame.unionByName, [make(t, profile) for make in EXTRACTORS.values()])
+    more = {continuous_medications: {"keep_unknown_action": keep_unknown_action}}
+    union = reduce(DataFrame.unionByName, [make(t, profile, **more.get(make, {})) for make in EXTRACTORS.values()])
     stays = t["hospitalization"].select("hospitalization_id", "admission_dttm")
     if ids is not None:
         stays = stays.join(ids.select("hospitalization_id"), "hospitalization_id", "left_semi")

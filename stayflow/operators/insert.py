@@ -87,7 +87,7 @@ def with_gaps(log: DataFrame, edges: list[int] | None = None, gaps: bool = True)
     return rows.select("hospitalization_id", F.inline(F.when(F.col("gap").isNull(), F.array(own)).otherwise(F.array(gap, own))))
 
 
-def full_log(base: DataFrame, stays: DataFrame, labels: DataFrame | None = None, ecg: DataFrame | None = None, time_tokens: bool = True, edges: list[int] | None = None) -> DataFrame:
+def full_log(base: DataFrame, stays: DataFrame, labels: DataFrame | None = None, ecg: DataFrame | None = None, time_tokens: bool = True, edges: list[int] | None = None, clock_hours: int = C.CLOCK_HOURS) -> DataFrame:
     """Labels, then waveforms, then clocks join the base events; gaps are taken over the merged order."""
     log = base.withColumn("stage", F.lit(0)).select(*LOG)
     known = stays.select("hospitalization_id").distinct()
@@ -96,5 +96,5 @@ def full_log(base: DataFrame, stays: DataFrame, labels: DataFrame | None = None,
     if ecg is not None:
         log = log.unionByName(ecg)
     if time_tokens:
-        log = log.unionByName(clock_events(stays))
+        log = log.unionByName(clock_events(stays, clock_hours))
     return with_gaps(log, edges, gaps=time_tokens)

@@ -1,15 +1,17 @@
 """A next-token model of counts, its loss, and sampled continuations: what the evaluation needs from a language model.
 
-Engines that generate elsewhere (on GPUs) exchange the same tables: windows with context_ids in, samples
-(hospitalization_id, window_id, sample_id, tokens) out.
+A backend turns windows with context_ids into samples (hospitalization_id, window_id, sample_id, tokens). "table" samples
+from a table of successors; `engine_backend` makes one of any engine with a generate method, which is built once on each
+Python worker; engines that run elsewhere exchange the same tables.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -87,6 +89,9 @@ def generate(contexts: DataFrame, model: DataFrame, how: Generation, bound: int
     """SAMPLES for windows (hospitalization_id, window_id, context_ids). A sample ends before a stop token's successor,
     at the clock limit, at a token without successors, or after max_new_tokens; its random numbers depend on the seed,
     the window and its own number alone, so that a repeated task gives the same."""
+    if how.top_k:  # what is below it is never drawn
+        of = Window.partitionBy("token_id").orderBy(F.desc("share"), "next_id")
+        model = model.withColumn("rank", F.row_number().over(of)).where(F.col("rank") <= how.top_k).drop("rank")
     rows = model.count()
     if rows > bound:
         raise ValueError(f"the model has {rows} rows; at most {bound} are sent to the executors")
@@ -113,3 +118,89 @@ def generate(contexts: DataFrame, model: DataFrame, how: Generation, bound: int
             yield pd.DataFrame(out, columns=["hospitalization_id", "window_id", "sample_id", "tokens"])
 
     return contexts.select("hospitalization_id", "window_id", "context_ids").mapInPandas(sample, SAMPLES)
+
+
+class Engine(Protocol):
+    """What generates: samples for one context, tokens after it only."""
+
+    def generate(self, context_ids: list[int], how: Generation) -> list[list[int]]: ...
+
+
+def ended(tokens: list[int], how: Generation) -> list[int]:
+    """A sample up to its first stop token or its clock limit, that token included, and to max_new_tokens."""
+    clocks = 0
+    for i, token in enumerate(tokens[: how.max_new_tokens]):
+        clocks += token in how.clocks
+        if token in how.stop or (how.clocks and clocks >= how.clock_limit):
+            return tokens[: i + 1]
+    return tokens[: how.max_new_tokens]
+
+
+Backend = Callable[[DataFrame, DataFrame | None, Generation], DataFrame]
+
+
+def engine_backend(factory: Callable[[], Engine]) -> Backend:
+    """A backend of an engine. factory is sent to the executors and called once in each Python worker that gets rows; samples
+    are cut at stop tokens and clock limits whether the engine does so or not."""
+
+    def run(contexts: DataFrame, model: DataFrame | None, how: Generation) -> DataFrame:
+        def sample(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            engine = None
+            for part in parts:
+                engine = engine or factory()
+                out = []
+                for stay, window, ids in zip(part["hospitalization_id"], part["window_id"], part["context_ids"], strict=True):
+                    found = engine.generate([int(i) for i in ids], how)
+                    out += [(stay, int(window), number, ended(list(tokens), how)) for number, tokens in enumerate(found[: how.n_samples])]
+                yield pd.DataFrame(out, columns=["hospitalization_id", "window_id", "sample_id", "tokens"])
+
+        return contexts.select("hospitalization_id", "window_id", "context_ids").mapInPandas(sample, SAMPLES)
+
+    return run
+
+
+class VllmEngine:
+    """An engine over vLLM, where that is installed."""
+
+    def __init__(self, path: str, memory: float = 0.9):
+        from vllm import LLM
+
+        self.model = LLM(model=path, skip_tokenizer_init=True, gpu_memory_utilization=memory)
+
+    def generate(self, context_ids: list[int], how: Generation) -> list[list[int]]:
+        from vllm import SamplingParams
+
+        wish = SamplingParams(n=how.n_samples, max_tokens=how.max_new_tokens, temperature=how.temperature, top_k=how.top_k or -1, top_p=how.top_p, stop_token_ids=list(how.stop), seed=how.seed, detokenize=False)
+        return [list(o.token_ids) for o in self.model.generate([{"prompt_token_ids": context_ids}], wish, use_tqdm=False)[0].outputs]
+
+
+class SglangEngine:
+    """An engine over SGLang, where that is installed."""
+
+    def __init__(self, path: str, memory: float = 0.9):
+        from sglang import Engine as Remote
+
+        self.model = Remote(model_path=path, skip_tokenizer_init=True, mem_fraction_static=memory)
+
+    def generate(self, context_ids: list[int], how: Generation) -> list[list[int]]:
+        wish = {"n": how.n_samples, "max_new_tokens": how.max_new_tokens, "temperature": how.temperature, "top_k": how.top_k or -1, "top_p": how.top_p, "stop_token_ids": list(how.stop)}
+        found = self.model.generate(input_ids=context_ids, sampling_params=wish)
+        return [list(o["output_ids"]) for o in (found if isinstance(found, list) else [found])]
+
+
+#: Backends by name; register() adds others.
+BACKENDS: dict[str, Backend] = {"table": lambda contexts, model, how: generate(contexts, model, how)}
+
+
+def register(name: str, backend: Backend) -> None:
+    BACKENDS[name] = backend
+
+
+def backend(name: str, path: str = "") -> Backend:
+    """A registered backend, or "vllm" or "sglang" over the model at path."""
+    if name in ("vllm", "sglang"):
+        kind = VllmEngine if name == "vllm" else SglangEngine
+        return engine_backend(lambda: kind(path))
+    if name not in BACKENDS:
+        raise ValueError(f"no backend {name}; known: {sorted([*BACKENDS, 'vllm', 'sglang'])}")
+    return BACKENDS[name]

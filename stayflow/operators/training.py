@@ -1,0 +1,205 @@
+"""Sizes of language models, the schedule and stopping rule of their training, and a trainer for a small one.
+
+The trained model scores the next token by the product of two vectors, one of the present token and one of the next, and a
+bias: a factored table of successors. It learns from the table of pairs that stand side by side, which Spark counts and
+weighs and which is as large as the vocabulary's pairs, not as the corpus; so training itself is a matter of the driver.
+Larger networks train elsewhere from the batches that a run writes, by the same schedule and stopping rule.
+"""
+
+from __future__ import annotations
+
+import io
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stayflow.functions import constants as C
+
+PAD = C.SPECIAL_TOKENS.index("[PAD]")
+
+
+@dataclass(frozen=True)
+class Preset:
+    """Shape of a decoder with grouped-query attention and gated feed-forward layers."""
+
+    d_model: int
+    layers: int
+    heads: int
+    kv_heads: int
+    d_ff: int
+    max_pos: int = 32768
+
+    def parameters(self, vocabulary: int) -> int:
+        """Weights of embedding, layers, norms and output."""
+        kv = self.d_model * self.kv_heads // self.heads
+        layer = 2 * self.d_model * self.d_model + 2 * self.d_model * kv + 3 * self.d_model * self.d_ff + 2 * self.d_model
+        return 2 * vocabulary * self.d_model + self.layers * layer + self.d_model
+
+
+#: The sizes by name.
+PRESETS = {
+    "tiny": Preset(128, 4, 4, 2, 512),
+    "small": Preset(256, 8, 8, 4, 1024),
+    "medium": Preset(512, 12, 16, 4, 2048),
+    "large": Preset(768, 12, 12, 4, 3072),
+}
+
+
+@dataclass
+class Optimiser:
+    """AdamW with a linear warm-up from a hundredth and a cosine decay to a tenth of the rate."""
+
+    learning_rate: float = 3e-4
+    weight_decay: float = 0.1
+    beta1: float = 0.9
+    beta2: float = 0.95
+    warmup_steps: int = 100
+    max_norm: float = 1.0
+    moments: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    step: int = 0
+
+    def rate(self, step: int, steps: int) -> float:
+        if step < self.warmup_steps:
+            return self.learning_rate * (0.01 + 0.99 * step / self.warmup_steps)
+        done = min(1.0, (step - self.warmup_steps) / max(steps - self.warmup_steps, 1))
+        return self.learning_rate * (0.1 + 0.9 * (1 + math.cos(math.pi * done)) / 2)
+
+    def update(self, weights: dict[str, np.ndarray], gradients: dict[str, np.ndarray], steps: int) -> None:
+        """One step; gradients are scaled down to max_norm together."""
+        rate = self.rate(self.step, steps)
+        self.step += 1
+        norm = math.sqrt(sum(float((g * g).sum()) for g in gradients.values()))
+        scale = min(1.0, self.max_norm / norm) if norm else 1.0
+        for name, g in gradients.items():
+            g = g * scale
+            m, v = self.moments.get(name, (np.zeros_like(g), np.zeros_like(g)))
+            m = self.beta1 * m + (1 - self.beta1) * g
+            v = self.beta2 * v + (1 - self.beta2) * g * g
+            self.moments[name] = m, v
+            ahead = m / (1 - self.beta1**self.step) / (np.sqrt(v / (1 - self.beta2**self.step)) + 1e-8)
+            weights[name] -= rate * (ahead + self.weight_decay * weights[name])
+
+
+@dataclass
+class EarlyStopping:
+    """Says when a loss has not fallen by min_delta for `patience` looks."""
+
+    patience: int = 5
+    min_delta: float = 1e-3
+    best: float = math.inf
+    waited: int = 0
+
+    def look(self, loss: float) -> tuple[bool, bool]:
+        """(is it the best so far, is it time to stop)."""
+        if loss < self.best - self.min_delta:
+            self.best, self.waited = loss, 0
+            return True, False
+        self.waited += 1
+        return False, self.waited >= self.patience
+
+
+def weighed_pairs(rows: DataFrame, label_weight: float) -> DataFrame:
+    """(token_id, next_id, n, weight): tokens side by side and what they weigh in the loss together. Padding that comes next
+    and places with a loss_mask of 0 are left out."""
+    by = Window.partitionBy("hospitalization_id").orderBy("pos")
+    mask = F.lead("loss_mask").over(by) if "loss_mask" in rows.columns else F.lit(1)
+    pairs = rows.select("token_id", F.lead("token_id").over(by).alias("next_id"), F.lead("is_label").over(by).alias("is_label"), mask.alias("mask"))
+    weight = F.when(F.col("is_label"), F.lit(float(label_weight))).otherwise(1.0)
+    return pairs.where((F.col("next_id") != PAD) & (F.col("mask") != 0)).groupBy("token_id", "next_id").agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
+
+
+class FactorModel:
+    """Scores next = here[token] @ there + bias."""
+
+    def __init__(self, vocabulary: int, width: int, seed: int = 42):
+        rng = np.random.default_rng(seed)
+        self.weights = {"here": rng.normal(0, 0.02, (vocabulary, width)), "there": rng.normal(0, 0.02, (width, vocabulary)), "bias": np.zeros(vocabulary)}
+
+    def log_shares(self, tokens: np.ndarray) -> np.ndarray:
+        scores = self.weights["here"][tokens] @ self.weights["there"] + self.weights["bias"]
+        scores -= scores.max(axis=1, keepdims=True)
+        return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+
+    def loss(self, table: Pairs) -> float:
+        total = sum(float(-(self.log_shares(tokens) * wanted).sum()) for tokens, wanted in table.batches(256))
+        return total / max(table.total, 1.0)
+
+    def gradients(self, tokens: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
+        mass = wanted.sum(axis=1, keepdims=True)
+        off = (np.exp(self.log_shares(tokens)) * mass - wanted) / max(float(mass.sum()), 1.0)
+        here = np.zeros_like(self.weights["here"])
+        here[tokens] = off @ self.weights["there"].T
+        return {"here": here, "there": self.weights["here"][tokens].T @ off, "bias": off.sum(axis=0)}
+
+    def saved(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **self.weights)
+        return out.getvalue()
+
+    @classmethod
+    def loaded(cls, data: bytes) -> FactorModel:
+        found = cls(1, 1)
+        with np.load(io.BytesIO(data)) as held:
+            found.weights = {name: held[name] for name in held.files}
+        return found
+
+    def table(self, spark: SparkSession, part: int = 256) -> DataFrame:
+        """(token_id, next_id, share) of all pairs."""
+        n = len(self.weights["bias"])
+        sent = spark.sparkContext.broadcast(self)
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), part):
+                    tokens = batch["id"].to_numpy()[at : at + part]
+                    shares = np.exp(sent.value.log_shares(tokens))
+                    yield pd.DataFrame({"token_id": np.repeat(tokens, n), "next_id": np.tile(np.arange(n), len(tokens)), "share": shares.ravel()})
+
+        return spark.range(n).mapInPandas(rows, "token_id int, next_id int, share double")
+
+
+class Pairs:
+    """Weights of successors, by token."""
+
+    def __init__(self, found: pd.DataFrame, vocabulary: int):
+        self.n = vocabulary
+        self.total = float(found["weight"].sum())
+        self.by = {t: (g["next_id"].to_numpy(), g["weight"].to_numpy(np.float64)) for t, g in found.groupby("token_id")}
+
+    def batches(self, size: int, rng: np.random.Generator | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        tokens = np.array(sorted(self.by), np.int64)
+        if rng is not None:
+            rng.shuffle(tokens)
+        for at in range(0, len(tokens), size):
+            part = tokens[at : at + size]
+            wanted = np.zeros((len(part), self.n))
+            for row, t in zip(wanted, part, strict=True):
+                row[self.by[t][0]] = self.by[t][1]
+            yield part, wanted
+
+
+def fit(train: Pairs, held: Pairs, width: int, epochs: int, batch: int = 64, optimiser: Optimiser | None = None, stopping: EarlyStopping | None = None, checkpoint=None, seed: int = 42) -> tuple[FactorModel, list[dict]]:
+    """The model of the lowest held-out loss and, for each epoch, epoch, train_loss, val_loss and learning_rate. checkpoint,
+    if given, gets the bytes of each model that is the best so far."""
+    model, optimiser, stopping = FactorModel(train.n, width, seed), optimiser or Optimiser(), stopping or EarlyStopping()
+    rng, history = np.random.default_rng(seed), []
+    steps = epochs * max(1, -(-len(train.by) // batch))
+    best = model.saved()
+    for epoch in range(epochs):
+        for tokens, wanted in train.batches(batch, rng):
+            optimiser.update(model.weights, model.gradients(tokens, wanted), steps)
+        losses = {"epoch": epoch, "train_loss": model.loss(train), "val_loss": model.loss(held), "learning_rate": optimiser.rate(optimiser.step, steps)}
+        history.append(losses)
+        better, stop = stopping.look(losses["val_loss"])
+        if better:
+            best = model.saved()
+            if checkpoint:
+                checkpoint(best)
+        if stop:
+            break
+    return FactorModel.loaded(best), history

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from stayflow.sources.store import delete
+
 #: Declared columns of each source table. Columns that a file lacks are added as nulls of their type.
 SCHEMAS: dict[str, str] = {
     "patient": "patient_id string, race_category string, sex_category string, birth_date timestamp_ntz, death_dttm timestamp_ntz",
@@ -132,6 +134,34 @@ def load_json(path: str):
     return json.loads(Path(path).read_text())
 
 
+#: Declared columns of the artifacts that a run leaves behind.
+ARTIFACTS: dict[str, str] = {
+    "splits": "patient_id string, first_admit timestamp_ntz, split string",
+    "code_profile": "code string, event_count bigint, admission_count bigint, included boolean",
+    "bin_edges": "code string, edges array<double>",
+    "token_edges": "code string, edges array<double>",
+    "similarity_edges": "branch string, edges array<double>",
+    "vocabulary": "token string, id int",
+    "training": "epoch int, train_loss double, val_loss double, learning_rate double",
+    "intervals": "label string, horizon_hours int, low double, median double, high double",
+}
+
+
+def load_artifact(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """An artifact with its declared columns and types; one that lacks a column or has another type is an error."""
+    schema = StructType.fromDDL(ARTIFACTS[name])
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    found = {f.name: f.dataType.simpleString() for f in df.schema}
+    if wrong := [f.name for f in schema if found.get(f.name) != f.dataType.simpleString()]:
+        raise ValueError(f"{name} in {folder}: no fitting column {', '.join(wrong)}")
+    return df.select(*schema.names)
+
+
+def export_artifact(spark: SparkSession, name: str, folder: str, path: str) -> None:
+    """An artifact as JSON lines, written by Spark."""
+    load_artifact(spark, name, folder).write.mode("overwrite").json(path)
+
+
 @dataclass
 class StageResult:
     """What a stage of a run reports."""
@@ -144,9 +174,14 @@ class StageResult:
     warnings: list[str] = None
 
 
-def write_log(log: DataFrame, path: str) -> None:
-    """An event log or token sequences to Parquet with zstd."""
+def write_log(log: DataFrame, path: str, keep_empty: bool = True) -> bool:
+    """An event log or token sequences to Parquet with zstd. Without keep_empty a log of no rows leaves no file; the result
+    says whether there is one."""
     log.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    if keep_empty or not log.sparkSession.read.schema(log.schema).parquet(path).isEmpty():
+        return True
+    delete(log.sparkSession, path)
+    return False
 
 
 def read_sequences(spark: SparkSession, *paths: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The log's incremental parts as structured streams: first-hit labels and gap tokens of events that arrive over time."""
+"""The log's incremental parts as structured streams: first-hit labels, and counts, of events that arrive over time."""
 
 from __future__ import annotations
 

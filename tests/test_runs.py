@@ -1,16 +1,19 @@
 """The commands of a run, settings and streams."""
 
 import json
+from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from stayflow import cli
 from stayflow.config import Config
-from stayflow.operators import labels, model
+from stayflow.operators import labels, model, training
 from stayflow.plans import runs
 from stayflow.sources.adapter import event_catalog
-from stayflow.sources.catalog import Catalog, load_json, read_sequences
+from stayflow.sources.catalog import Catalog, export_artifact, load_artifact, load_json, read_sequences, write_log
 from stayflow.streaming.first_hits import event_counts, first_hits
 
 
@@ -27,10 +30,98 @@ def test_commands_end_to_end(spark, sf_dir, tmp_path):
     assert read_sequences(spark, f"{config.data.output}/events.parquet").count() == log.select("hospitalization_id").distinct().count()
     assert all(k.rpartition("_")[2].endswith("h") for k in load_json(f"{config.data.output}/metrics.json"))
     assert 0 < results[2].metrics["loss"] < 20
+    t0 = {n: spark.read.parquet(f"{config.data.output}/{n}.parquet") for n in ("intervals", "metrics", "batches")}
+    assert t0["intervals"].count() == t0["metrics"].count() and t0["batches"].agg(F.max("length")).first()[0] <= 64
+    for name in ("splits", "code_profile", "bin_edges", "token_edges", "similarity_edges", "vocabulary", "intervals"):
+        assert load_artifact(spark, name, config.data.output).count() > 0
+    export_artifact(spark, "vocabulary", config.data.output, str(tmp_path / "vocabulary.json"))
+    assert spark.read.json(str(tmp_path / "vocabulary.json")).count() == results[1].metrics["vocabulary"]
+    with pytest.raises(ValueError, match="no fitting column"):
+        spark.range(3).write.parquet(str(tmp_path / "bad" / "splits.parquet"))
+        load_artifact(spark, "splits", str(tmp_path / "bad"))
     one, two = (model.generate(spark.createDataFrame([("a", 0, [2])], "hospitalization_id string, window_id int, context_ids array<int>"), spark.read.parquet(f"{config.data.output}/model.parquet"), model.Generation(4, 20)).collect() for _ in range(2))
     assert one == two and len(one) == 4 and all(len(r["tokens"]) <= 20 for r in one)
     table = runs.ablation_run(spark, config, t, ("no_ecg", "all_branches"))
     assert {r["route"] for r in table.select("route").distinct().collect()} == {"no_ecg", "all_branches"}
+    config.training.model, config.training.epochs, config.training.learning_rate, config.training.warmup_steps = "factor", 4, 0.05, 5
+    config.training.label_weight, config.training.patience = 1.0, 2
+    trained = runs.train_run(spark, config, t).metrics["loss"]
+    history = load_artifact(spark, "training", config.data.output).orderBy("epoch").collect()
+    assert history[0]["val_loss"] > history[-1]["val_loss"] and trained < 6
+    model.register("echo", model.engine_backend(Echo))
+    config.evaluation.backend = "echo"
+    assert runs.evaluate_run(spark, config, t).success
+    samples = spark.read.parquet(f"{config.data.output}/samples.parquet")
+    assert samples.groupBy("hospitalization_id", "window_id").count().agg(F.max("count")).first()[0] == 3
+    with pytest.raises(ValueError, match="no backend"):
+        model.backend("none")
+
+
+class Echo:
+    """An engine that says the last token again."""
+
+    def generate(self, context_ids, how):
+        return [context_ids[-1:] * 9] * (how.n_samples + 2)
+
+
+def test_samples_end():
+    how = model.Generation(max_new_tokens=5, stop=(7,), clocks=(9,), clock_limit=2)
+    assert model.ended([1, 9, 2, 9, 3], how) == [1, 9, 2, 9] and model.ended([1, 7, 2], how) == [1, 7] and model.ended([1] * 8, how) == [1] * 5 and model.ended([], how) == []
+
+
+def test_settings_act(spark, sf_dir, tmp_path):
+    t = event_catalog(spark, sf_dir)
+    logs = []
+    for hours, keep in ((4, False), (12, True)):
+        config = Config()
+        config.data.output = str(tmp_path / str(hours))
+        config.extraction.thresholds = {f: (1, 1) for f in config.extraction.thresholds}
+        config.time.clock_hours, config.extraction.keep_unknown_action = hours, keep
+        runs.extract_run(spark, config, t)
+        log = spark.read.parquet(f"{config.data.output}/events.parquet")
+        logs.append({r["code"]: r["n"] for r in log.groupBy("code").agg(F.count("*").alias("n")).collect()})
+    assert {c for c in logs[0] if c.startswith("CLOCK//")} == {f"CLOCK//{h:02}:00" for h in range(0, 24, 4)}
+    assert {c for c in logs[1] if c.startswith("CLOCK//")} == {"CLOCK//00:00", "CLOCK//12:00"}
+    active = [sum(n for c, n in log.items() if c.startswith("MED_CONT//")) for log in logs]
+    assert active[1] > active[0]
+    rows = t["hospitalization"].select("hospitalization_id").limit(0)
+    assert not write_log(rows, str(tmp_path / "none"), keep_empty=False) and not (tmp_path / "none").exists()
+    assert write_log(t["hospitalization"], str(tmp_path / "some"), keep_empty=False) and (tmp_path / "some").exists()
+
+
+def test_effective_defaults():
+    c = Config()
+    assert (c.training.label_weight, c.evaluation.n_samples, c.evaluation.max_new_tokens, c.evaluation.top_k, c.evaluation.top_p) == (75.0, 8, 500, 50, 0.95)
+    assert model.Generation() == model.Generation(8, 500, 1.0, 50, 0.95)
+
+
+def test_training_schedule_and_stopping():
+    o = training.Optimiser(learning_rate=1.0, warmup_steps=10)
+    rates = [o.rate(s, 110) for s in range(111)]
+    assert rates[0] == pytest.approx(0.01) and rates[10] == pytest.approx(1.0) and rates[110] == pytest.approx(0.1) and rates[60] == pytest.approx(0.55)
+    stop = training.EarlyStopping(patience=2, min_delta=0.1)
+    assert [stop.look(x) for x in (1.0, 0.95, 0.8, 0.79, 0.78)] == [(True, False), (False, False), (True, False), (False, False), (False, True)]
+    assert training.PRESETS["tiny"].parameters(500) < training.PRESETS["large"].parameters(500) and training.PRESETS["large"].max_pos == 32768
+
+
+def test_factors_learn_the_table():
+    rng = np.random.default_rng(0)
+    shares = rng.dirichlet(np.full(12, 0.3), 12)
+    rows = pd.DataFrame([(i, j, 1000 * shares[i, j]) for i in range(12) for j in range(12)], columns=["token_id", "next_id", "weight"])
+    table, kept = training.Pairs(rows, 12), []
+    found, history = training.fit(table, table, 16, 300, 4, training.Optimiser(0.05, 0.0, warmup_steps=20), training.EarlyStopping(50, 0.0), kept.append)
+    least = -(shares * np.log(shares)).sum() / 12
+    assert history[-1]["val_loss"] == pytest.approx(least, abs=0.02) and history[0]["val_loss"] > 2 and len(kept) > 3
+    assert training.FactorModel.loaded(kept[-1]).loss(table) == pytest.approx(found.loss(table))
+    # the gradient against differences
+    model = training.FactorModel(12, 3)
+    tokens, wanted = next(table.batches(12))
+    g = model.gradients(tokens, wanted)
+    for name, at in (("here", (3, 1)), ("there", (2, 5)), ("bias", (7,))):
+        before = model.loss(table)
+        model.weights[name][at] += 1e-5
+        assert (model.loss(table) - before) / 1e-5 == pytest.approx(g[name][at], abs=1e-4)
+        model.weights[name][at] -= 1e-5
 
 
 def test_choice():
@@ -79,7 +170,12 @@ def test_streams(spark, mini, tmp_path):
     query.stop()
     got = {(r["hospitalization_id"], r["code"]) for r in spark.table("hits").collect()}
     assert got == {(h, "LABEL//tachycardia") for h in ("H001", "H002", "H003")}
+    timed_rows = mini.tables["vitals"].select("hospitalization_id", F.col("recorded_dttm").cast("timestamp").alias("time"))
     timed = stream.select("hospitalization_id", F.col("recorded_dttm").cast("timestamp").alias("time"))
     query = event_counts(timed).writeStream.outputMode("append").format("memory").queryName("counts").trigger(availableNow=True).start()
     query.awaitTermination(60)
-    assert spark.table("counts").count() >= 0
+    # windows that end before the watermark (the latest time less an hour) are closed, with all their events
+    last = timed_rows.agg(F.max("time")).first()[0] - timedelta(hours=1)
+    closed = timed_rows.groupBy("hospitalization_id", F.window("time", "4 hours")).agg(F.count("*").alias("n")).where(F.col("window.end") <= F.lit(last))
+    found = {(r["hospitalization_id"], r["window"]["start"]): r["n"] for r in spark.table("counts").collect()}
+    assert found == {(r["hospitalization_id"], r["window"]["start"]): r["n"] for r in closed.collect()} and len(found) > 3
