@@ -21,7 +21,6 @@ from pyspark.sql.window import Window
 
 from stayflow.llm.common import ascii_lower
 from stayflow.llm.license_texts import PHRASES, TEMPLATES
-from stayflow.llm.quality import bound
 from stayflow.sources.store import scratch, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,25 +36,21 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _grams(words: Column, pairs_of: Column) -> Column:
-    """array<struct<pos, gram>> of an array of words: all 3-grams, and the 2-grams that begin with a word of the array pairs_of."""
-
-    def of(w: Column) -> Column:
-        def starts(k: int) -> Column:
-            return F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
-
-        def gram(k: int):
-            return lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]).alias("gram"))
-
-        two = F.when(F.arrays_overlap(w, pairs_of), F.filter(starts(2), lambda i: F.array_contains(pairs_of, F.get(w, i))))
-        return F.concat(F.transform(starts(3), gram(3)), F.transform(F.coalesce(two, F.array().cast("array<int>")), gram(2)))
-
-    return bound(words, of)
+def _grams(rows: DataFrame, columns: list[str], pairs_of: Column) -> DataFrame:
+    """rows (columns, words) -> (columns, pos, w1, w2, w3, hash): a row per 3-gram, and one per 2-gram that begins with a word
+    of the array pairs_of, of which w3 is null. Words are hashed after they have been dealt out, in generated code."""
+    w, n = F.col("words"), F.size("words")
+    side_by_side = F.arrays_zip(F.sequence(F.lit(0), n - 2), F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n), F.slice(w, F.lit(3), n))
+    trios = rows.where(n >= 2).select(*columns, F.inline(side_by_side).alias("pos", "w1", "w2", "third"))
+    kinds = F.when(F.array_contains(pairs_of, F.col("w1")), F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(3)))
+    found = trios.withColumn("k", F.explode(kinds)).where("k = 2 or third is not null")
+    found = found.withColumn("w3", F.when(F.col("k") == 3, F.col("third")))
+    return found.select(*columns, "pos", "w1", "w2", "w3", F.xxhash64("w1", "w2", "w3").alias("hash"))
 
 
 def _templates(spark: SparkSession, phrases, templates, short: int, least: float) -> tuple[DataFrame, DataFrame, Column, int]:
-    """(template, tpos, gram), the templates (template, label, base, size, total, edits, spelled), the first words of
-    those of two words, and how many grams there are."""
+    """(template, tpos, t1, t2, t3, thash), the templates (template, label, base, size, total, edits, spelled), the first words
+    of those of two words, and how many grams there are."""
     known = []
     for i, (label, text) in enumerate([*phrases, *templates]):
         found = [w for w in re.split(SEPARATORS, text.lower()) if w]
@@ -68,9 +63,9 @@ def _templates(spark: SparkSession, phrases, templates, short: int, least: float
     names = ("template", "label", "base", "size", "total", "edits", "spelled", "text")
     pairs_of = F.array(*[F.lit(x) for x in sorted({k[-1].split()[0] for k in known if k[3] == 2})]).cast("array<string>")
     facts = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, k, strict=True)]) for k in known])))
-    w = F.split("text", " ")
-    grams = facts.select("template", "size", F.inline(_grams(w, pairs_of))).withColumnRenamed("pos", "tpos")
-    grams = grams.where((F.col("size") == 2) | (F.size(F.split("gram", " ")) == 3)).select("template", "tpos", F.col("gram").alias("tgram"))
+    grams = _grams(facts.select("template", "size", F.split("text", " ").alias("words")), ["template", "size"], pairs_of)
+    grams = grams.where((F.col("size") == 2) | F.col("w3").isNotNull())
+    grams = grams.select("template", F.col("pos").alias("tpos"), F.col("w1").alias("t1"), F.col("w2").alias("t2"), F.col("w3").alias("t3"), F.col("hash").alias("thash"))
     return grams, facts.drop("text"), pairs_of, sum(k[4] for k in known)
 
 
@@ -90,9 +85,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", phrases=PH
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("copy"), license_words(F.col(text)).alias("words"))
     here = ["doc_id", "copy"]
     with scratch() as keep:
-        hashed = rows.select(*here, F.inline(_grams(F.col("words"), pairs_of))).withColumn("hash", F.xxhash64("gram"))
-        known = grams.withColumn("thash", F.xxhash64("tgram"))
-        hits = hashed.join(bounded(known), F.col("hash") == F.col("thash")).where(F.col("gram") == F.col("tgram"))
+        same = (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")) & F.col("w3").eqNullSafe(F.col("t3"))
+        hits = _grams(rows, here, pairs_of).join(bounded(grams), (F.col("hash") == F.col("thash")) & same)
         hits = written(hits.select(*here, "template", "pos", "tpos").distinct(), "hits")
         found = written(_found(hits, facts, bounded, slack), "found")
         keep(found)
