@@ -32,7 +32,7 @@ def numeric_values(t: Catalog, ids: DataFrame | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(*s) for s in NUMERIC_SOURCES])
 
 
-def quantile_edges(values: DataFrame, n_bins: int = 10, key: str = "code", ranges: int = 100) -> DataFrame:
+def quantile_edges(values: DataFrame, n_bins: int = 10, key: str = "code", ranges: int = 32) -> DataFrame:
     """(key, edges array<double>): distinct values of the linear-interpolated percentiles, for keys with n_bins values or more.
 
     Values are counted before they are ordered. Approximate percentiles cut the values of a key into ranges of about equal
