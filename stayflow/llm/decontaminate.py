@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,25 +85,40 @@ class Codes(dict):
         return code
 
 
-def template(text: str | None, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, values, kinds): hashes of the template tokens and of what stands there, and the kind of slot (0: a plain word)."""
-    found = _TOKENS(text) if text else []
+@dataclass
+class Templates:
+    """Template tokens of several texts, one after the other: a hash of the token and of what stands there, the kind of slot
+    (0: a plain word) and the text's number for each token; for each text where it begins and how many tokens it has."""
+
+    tokens: np.ndarray
+    values: np.ndarray
+    kinds: np.ndarray
+    text: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+
+def templates(texts: list[str | None], codes: Codes) -> Templates:
+    cut = [_TOKENS(t) if t else [] for t in texts]
+    found = list(chain.from_iterable(cut))
+    counts = np.fromiter(map(len, cut), np.int64, len(cut))
+    text = np.repeat(np.arange(len(cut)), counts)
     code = np.fromiter(map(codes.__getitem__, found), np.uint64, len(found))
-    if not len(code):
-        return code, code, code.astype(np.int8)
     is_ = (code & np.uint64(7)).astype(np.int8)
-    before = np.r_[np.int8(-1), is_[:-1]]
+    before = np.r_[np.int8(-1), is_[:-1]][: len(is_)]
+    before[np.flatnonzero(np.diff(text, prepend=-1))] = -1
     after_number = (before == NUMBER) | (before == NUMBER_WORD)
     unit = (is_ == SIGN) | (is_ == WORD) & after_number
     starts = np.flatnonzero(~((is_ == before) & ((is_ == NAME) | (is_ == NUMBER_WORD))))
-    values = np.add.reduceat(code & ~np.uint64(7), starts)
-    unit, is_ = unit[starts], is_[starts]
+    values = np.add.reduceat(code & ~np.uint64(7), starts) if len(starts) else code
+    unit, is_, text = unit[starts], is_[starts], text[starts]
     kinds = np.where(unit, 3, np.where(is_ == NAME, 2, np.where((is_ == NUMBER) | (is_ == NUMBER_WORD), 1, 0))).astype(np.int8)
     for i in np.flatnonzero(unit).tolist():
         word = found[starts[i]].lower()
         values[i] = _hash(word[:-1] if len(word) > 2 and word[-1] == "s" else word)
     values += SLOTS[kinds]
-    return np.where(kinds > 0, SLOTS[kinds], values), values, kinds
+    size = np.bincount(text, minlength=len(cut))
+    return Templates(np.where(kinds > 0, SLOTS[kinds], values), values, kinds, text, np.cumsum(size) - size, size)
 
 
 def _rolled(tokens: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -122,33 +139,37 @@ def windows(tokens: np.ndarray, values: np.ndarray, kinds: np.ndarray, width: in
     return np.where(few, _rolled(values, width, 1000 + width), found) if few.any() else found
 
 
-def _emit(rows: pa.RecordBatch, picks: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], keys: list[str]) -> pa.RecordBatch:
-    """Rows for picks (row, width, places, hashes, values, kinds) of texts: the keys of the row, then WINDOW."""
-    at = np.concatenate([np.full(len(p[2]), p[0]) for p in picks]) if picks else np.zeros(0, np.int64)
-    width = np.concatenate([np.full(len(p[2]), p[1], np.int32) for p in picks]) if picks else np.zeros(0, np.int32)
-    size = np.concatenate([np.full(len(p[2]), len(p[4]), np.int32) for p in picks]) if picks else np.zeros(0, np.int32)
-    place = np.concatenate([p[2].astype(np.int32) for p in picks]) if picks else np.zeros(0, np.int32)
-    hashes = np.concatenate([p[3][p[2]] for p in picks]).view(np.int64) if picks else np.zeros(0, np.int64)
-    slots = [v[i : i + w][k[i : i + w] > 0].view(np.int64) for _, w, places, _, v, k in picks for i in places.tolist()]
-    columns = [rows.column(c).take(pa.array(at)) for c in keys]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(size), pa.array(width), pa.array(place), pa.array(hashes), pa.array(slots, pa.list_(pa.int64()))], names=[*keys, "size", "width", "place", "hash", "slots"])
+WINDOW = "size int, width int, place int, hash long, slots array<long>"
 
 
-WINDOW = "size int, width int, place int, hash long, slots array<long>"
+def _emit(rows: pa.RecordBatch, t: Templates, picks: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(id, copy, WINDOW) for picks (width, places among all tokens, hashes)."""
+    none = np.zeros(0, np.int64)
+    at = np.concatenate([none, *[a for _, a, _ in picks]])
+    text = t.text[at] if len(at) else none
+    width = np.concatenate([none, *[np.full(len(a), w) for w, a, _ in picks]]).astype(np.int32)
+    hashes = np.concatenate([none, *[h.view(np.int64) for _, _, h in picks]])
+    slots = [t.values[i : i + w][t.kinds[i : i + w] > 0].view(np.int64) for w, a, _ in picks for i in a.tolist()]
+    columns = [rows.column(c).take(pa.array(text)) for c in ("id", "copy")]
+    own = [pa.array(t.size[text].astype(np.int32)), pa.array(width), pa.array((at - t.start[text]).astype(np.int32)), pa.array(hashes), pa.array(slots, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays([*columns, *own], names=["id", "copy", "size", "width", "place", "hash", "slots"])
 
 
-def _windows_of(rows: DataFrame, pick) -> DataFrame:
-    """rows (id, copy, text) -> (id, copy, WINDOW); pick gets a template and yields (width, places, hashes)."""
+def _windows_of(rows: DataFrame, pick, most: int = 1 << 20) -> DataFrame:
+    """rows (id, copy, text) -> (id, copy, WINDOW); pick gets Templates and yields (width, places, hashes). About `most`
+    characters are taken at once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                part, picks = whole.slice(at, 500), []
-                for row, text in enumerate(part.column("text").to_pylist()):
-                    tokens, values, kinds = template(text, codes)
-                    picks += [(row, width, places, hashes, values, kinds) for width, places, hashes in pick(tokens, values, kinds) if len(places)]
-                yield _emit(part, picks, ["id", "copy"])
+            texts, at = whole.column("text").to_pylist(), 0
+            while at < len(texts):
+                upto, held = at, 0
+                while upto < len(texts) and (upto == at or held < most):
+                    held, upto = held + len(texts[upto] or ""), upto + 1
+                t = templates(texts[at:upto], codes)
+                yield _emit(whole.slice(at, upto - at), t, list(pick(t)))
+                at = upto
 
     return rows.mapInArrow(emit, f"id {rows.schema['id'].dataType.simpleString()}, copy long, {WINDOW}")
 
@@ -156,11 +177,12 @@ def _windows_of(rows: DataFrame, pick) -> DataFrame:
 def item_windows(items: DataFrame, item_id: str, text: str, width: int, shortest: int) -> DataFrame:
     """(id, copy, WINDOW) for each window; items under `shortest` tokens have none, and those under `width` are one window."""
 
-    def pick(tokens, values, kinds):
-        if len(tokens) >= max(1, shortest):
-            wide = min(width, len(tokens))
-            found = windows(tokens, values, kinds, wide)
-            yield wide, np.arange(len(found)), found
+    def pick(t: Templates):
+        for start, size in zip(t.start.tolist(), t.size.tolist(), strict=True):
+            if size >= max(1, shortest):
+                part = slice(start, start + size)
+                found = windows(t.tokens[part], t.values[part], t.kinds[part], min(width, size))
+                yield min(width, size), start + np.arange(len(found)), found
 
     return _windows_of(items.select(F.col(item_id).alias("id"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text")), pick)
 
@@ -180,12 +202,15 @@ def bitmap(hashes: DataFrame, n: int, most: int = 29) -> tuple[int, np.ndarray]:
 def document_windows(docs: DataFrame, known, widths: list[int], doc_id: str, text: str) -> DataFrame:
     """(id, copy, WINDOW) for the windows of whole texts that the broadcast bitmap does not rule out."""
 
-    def pick(tokens, values, kinds):
+    def pick(t: Templates):
         m, words = known.value
         for width in widths:
-            found = windows(tokens, values, kinds, width)
+            found = windows(t.tokens, t.values, t.kinds, width)
             bit = found >> np.uint64(64 - m)
-            yield width, np.flatnonzero(words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)), found
+            hit = words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)
+            at = np.flatnonzero(hit)
+            at = at[t.text[at] == t.text[at + width - 1]]  # a window lies in one text
+            yield width, at, found[at]
 
     return _windows_of(docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text")), pick)
 
