@@ -30,8 +30,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: PATTERN for texts that have characters up to U+00FF only, of which it spells out the classes.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
 LATIN_PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Deterministic states, known pieces of a generation, and pairs of tokens that a worker keeps before it begins anew.
-STATES, PIECES, PAIRS = 200_000, 100_000, 250_000
+#: Deterministic states, moves between them, known pieces of a generation, and pairs of tokens that a worker keeps before it
+#: begins anew.
+STATES, MOVES, PIECES, PAIRS = 200_000, 1_000_000, 100_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,10 +44,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes byte strings by merge ranks, a byte at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], states: int = STATES):
+    def __init__(self, ranks: dict[bytes, int], states: int = STATES, moves: int = MOVES):
         if missing := [i for i in range(256) if bytes([i]) not in ranks]:
             raise ValueError(f"no token for {len(missing)} single bytes")
-        self.ranks, self.limit = ranks, states
+        self.ranks, self.limit, self.most = ranks, states, moves
         self.token = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.proper = {token[:n] for token in ranks for n in range(1, len(token))}
@@ -103,7 +104,7 @@ class Transducer:
                 ended = token
         longest = ways[1] if ways else 0
         ways = (read[len(read) - longest :], *ways, ended, 0)
-        if len(self.content) >= self.limit and ways not in self.known:
+        if len(self.content) >= self.limit and ways not in self.known or len(self.moves) >= self.most:
             self._clear()
             return self._state(ways), ended
         found = self.moves[state + byte] = self._state(ways), ended

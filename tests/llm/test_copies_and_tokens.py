@@ -232,10 +232,12 @@ def test_pattern_is_the_vocabularys():
 
 def test_transducer_equals_the_definition(known):
     rng = random.Random(2)
-    machine = bpe.Transducer(known[3], states=300)  # often begun anew
-    for _ in range(400):
-        data = bytes(rng.choices(b"aeinrst h\xc3\xa9\x00\xff", k=rng.randint(0, 50)))
-        assert machine.encode(data, at_once=8) == machine.merged(data)
+    for bounds in ({"states": 300}, {"moves": 200}):  # often begun anew
+        machine = bpe.Transducer(known[3], **bounds)
+        for _ in range(400):
+            data = bytes(rng.choices(b"aeinrst h\xc3\xa9\x00\xff", k=rng.randint(0, 50)))
+            assert machine.encode(data, at_once=8) == machine.merged(data)
+            assert len(machine.content) <= 200_000 and len(machine.moves) <= bounds.get("moves", 1 << 30)
     long = b"ab" * 50_000
     assert b"".join(machine.token[t] for t in machine.encode(long, 1 << 12)) == long
 
