@@ -30,6 +30,18 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: PATTERN for texts that have characters up to U+00FF only, of which it spells out the classes.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
 LATIN_PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+#: Letters and numbers that were assigned after Unicode 16, which the tokenizer library does not know as such
+#: and the regex module may.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 "
+    "187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 "
+    "1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E "
+    "2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+_NEWER = "".join("-".join(chr(int(c, 16)) for c in span.split("-")) for span in NEWER.split())
+#: PATTERN for texts that have such characters: they are neither letters nor numbers.
+NEWER_PATTERN = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?(?:(?![{_NEWER}])\p{{L}})+| ?(?:(?![{_NEWER}])\p{{N}})+| ?(?:[{_NEWER}]|[^\s\p{{L}}\p{{N}}])+|\s+(?!\S)|\s+"""
 #: Deterministic states, moves between them, known pieces of a generation, and pairs of tokens that a worker keeps before it
 #: begins anew.
 STATES, MOVES, PIECES, PAIRS = 200_000, 1_000_000, 100_000, 250_000
@@ -155,6 +167,8 @@ class Encoder(dict):
         self.machine, self.limit = Transducer(ranks, states), pieces
         self.any = regex.compile(pattern).findall
         self.latin = re.compile(LATIN_PATTERN).findall if pattern == PATTERN else self.any
+        self.newer = regex.compile(NEWER_PATTERN).findall if pattern == PATTERN else self.any
+        self.has_newer = re.compile(f"[{_NEWER}]").search
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -172,7 +186,7 @@ class Encoder(dict):
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.any(text)
+            return (self.newer if self.has_newer(text) else self.any)(text)
         return self.latin(text)
 
     def encode(self, text: str) -> bytes:

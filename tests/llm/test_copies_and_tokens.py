@@ -226,6 +226,16 @@ def test_encoding_equals_the_library(known, text):
     assert got == own.encode_ordinary(text) and decoder.decode(got) == text
 
 
+def test_every_character_is_of_the_librarys_kind(known):
+    own, encoder, _, _ = known
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(points), 2000):
+        text = "".join(f"a{c}1{c}'s {c}" for c in points[at : at + 2000])
+        if ids_of(encoder, text) != own.encode_ordinary(text):
+            bad = [c for c in points[at : at + 2000] if ids_of(encoder, t := f"a{c}1{c}'s {c}") != own.encode_ordinary(t)]
+            raise AssertionError([hex(ord(c)) for c in bad])
+
+
 def test_pattern_is_the_vocabularys():
     assert bpe.PATTERN == public_tokenizers.PATTERN
 
