@@ -318,7 +318,7 @@ FINAL: dict[str, str] = {
     "decoded_tokens": "select hospitalization_id, pos::int as pos, token, make_timestamp(ts_us) as time from toks join vocab on token_id = id",
     "model_shares": "select token_id::int as token_id, next_id::int as next_id, n, round(n / sum(n) over (partition by token_id), 9) as share from bigrams",
     "model_loss": f"select round(sum(nll * w) / greatest(sum(w), 1), 6) as loss, count(*) as tokens from (select case when f.next_id = 0 then 0 else -ln(coalesce(b.n / b.total, 0) * (1 - 1e-6::double) + 1e-6::double / (select count(*) from vocab)) end as nll, case when f.next_id in (select id from vocab where {_WEIGHED}) then 75.0::double else 1.0::double end as w from follow f left join (select *, sum(n) over (partition by token_id) as total from bigrams) b on b.token_id = f.token_id and b.next_id = f.next_id where f.hospitalization_id not in (select hospitalization_id from train))",
-    "dynamic_batches": f"select batch, count(*) as n_chunks, max(len) as width, sum(len)::bigint as n_tokens, (max(len) * count(*) - sum(len))::bigint as n_padding from (select g.batch, l.len from greedy g join lens l on l.i = g.i) group by 1",
+    "dynamic_batches": f"select batch, count(*) as n_chunks, max(len)::int as width, sum(len)::bigint as n_tokens, (max(len) * count(*) - sum(len))::bigint as n_padding from (select g.batch, l.len from greedy g join lens l on l.i = g.i) group by 1",
     "code_profile": "select code, event_count, admission_count, included from profile",
     "quantile_edges": "select code, edge_idx::int as edge_idx, round(edge, 6) as edge from nv_edges",
     "bin_edges_hybrid": "select code, edge_idx::int as edge_idx, round(edge, 6) as edge from hybrid",
