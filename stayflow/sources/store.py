@@ -12,6 +12,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 _made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+#: Folders that written() has used.
+_used: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     partitions AQE splits.
     """
     spark = df.sparkSession
+    _used.add(shared_dir(spark))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
@@ -77,8 +80,9 @@ def release(*tables: DataFrame) -> None:
 
 
 def release_all(spark: SparkSession) -> None:
-    """Delete all that this application wrote to the shared folder; results that read it must be stored by then."""
-    delete(spark, shared_dir(spark))
+    """Delete all that written() left in shared folders; results that read it must be stored by then."""
+    while _used:
+        delete(spark, _used.pop())
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -95,6 +95,35 @@ def test_effective_defaults():
     assert model.Generation() == model.Generation(8, 500, 1.0, 50, 0.95)
 
 
+def test_shared_folder(spark, monkeypatch):
+    from stayflow.sources import store
+
+    with store.scratch() as keep:
+        gone, kept = (store.written(spark.range(n), "test") for n in (3, 4))
+        keep(kept)
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
+        spark.read.parquet(gone.written_at).count()
+    store.release(kept, spark.range(2))
+    with pytest.raises(ValueError), store.scratch() as keep:
+        keep(lost := store.written(spark.range(5), "test"))
+        raise ValueError
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(lost.written_at)
+
+    class Elsewhere:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Elsewhere()
+        conf = spark.conf
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            store.shared_dir(Session())
+    assert store.qualified(spark, "/x/y") == "file:/x/y" and store.qualified(spark, "file:///x") == "file:/x"
+
+
 def test_training_schedule_and_stopping():
     o = training.Optimiser(learning_rate=1.0, warmup_steps=10)
     rates = [o.rate(s, 110) for s in range(111)]
