@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayflow.llm import bpe, chat, decontaminate, langid, license, linededup, quality, sharding, simhash, warc
+from stayflow.llm import bpe, chat, decontaminate, fim, langid, license, linededup, quality, scoring, search, sharding, simhash, warc
+from stayflow.sources.store import written
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # texts are read once; what follows reads a few numbers of each
+    stats = written(scoring.statistics(_documents(spark, sf_dir).select("doc_id", "text")).drop("text"), "statistics")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~langid.held_out())
+    found = scoring.predict(stats, scoring.fit(stats, labels.select("doc_id", "quality")))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "scored.score", "scored.predicted")
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(_documents(spark, sf_dir).select("doc_id", "text"))
+    rebuilt = fim.restore(F.col("fim.output"), F.col("fim.form"))
+    return found.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build(_documents(spark, sf_dir).select("doc_id", "text"))
+    return search.rank(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language": op2_language,
@@ -96,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_license": op9_license,
     "op10_simhash": op10_simhash,
+    "op11_quality_score": op11_quality_score,
+    "op12_fim": op12_fim,
+    "op13_search": op13_search,
 }
 SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
@@ -103,4 +126,6 @@ SQL: dict[str, str] = {
     "op6_quality": quality.SQL + "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_lines, n_removed_words from q_all",
     "op8_chat": chat.SQL,
     "op9_license": license.sql(),
+    "op12_fim": fim.SQL,
+    "op13_search": search.SQL,
 }
