@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayflow.llm.bits import Bits, flat
 from stayflow.llm.common import ascii_lower
 from stayflow.sources.store import written
 
@@ -32,8 +33,12 @@ from stayflow.sources.store import written
 PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TERMS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _NO_TERM = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
-#: Bytes of a text that are cut into terms at once, postings that are buffered, and queries that are scored side by side.
-SLICE, BUFFER, SIDE = 1 << 22, 2_000_000, 256
+_IN_TERM = np.zeros(256, bool)
+_IN_TERM[128:] = True
+_IN_TERM[[ord(c) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+#: Bytes of a text that are cut into terms at once, postings that are buffered, blocks of a batch, and queries that are
+#: scored side by side.
+SLICE, BUFFER, BATCH, SIDE = 1 << 22, 500_000, 16, 256
 _EXACT = 1 << 53
 BLOCKS = "docs array<long>, terms array<string>, df array<int>, top binary, start binary, term binary, impact binary"
 
@@ -53,6 +58,18 @@ def term_counts(text: str | None) -> Counter[bytes]:
     return found
 
 
+def term_numbers(texts: pa.Array) -> pa.Array:
+    """How many terms each text of an array without nulls has, from the bytes that begin one."""
+    raw, offsets = flat(texts)
+    if not len(raw):
+        return pa.array(np.zeros(len(texts), np.int64))
+    begins = _IN_TERM[raw]
+    before = np.empty(len(raw), bool)
+    before[1:] = begins[:-1]
+    before[offsets[:-1][offsets[:-1] < len(raw)]] = False
+    return pa.array(np.diff(Bits(begins & ~before).rank(offsets)))
+
+
 def impacts(tf: np.ndarray, n: int, docs: int, terms: int) -> np.ndarray:
     """What a weight is multiplied with: tf against the length n of the document relative to the mean length terms / docs."""
     m = 50 + 50 * n * docs // terms
@@ -73,8 +90,8 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_doc
 
     Repeated rows are documents of their own. Texts are read twice: mean length first, so that impacts are final.
     """
-    number = F.regexp_count(F.col(text), F.lit(PATTERN))
-    n_docs, n_terms = docs.select(number.cast("long").alias("n")).agg(F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    number = F.arrow_udf(term_numbers, "long")(F.coalesce(F.col(text), F.lit("")))
+    n_docs, n_terms = docs.select(number.alias("n")).agg(F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -89,32 +106,35 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_doc
                     held.append((common, i, at, impacts(tf, int(tf.sum()), n_docs, n_terms).astype(np.int32)))
                     postings += len(at)
                 if postings >= BUFFER:
-                    yield _blocks(held, known, block_docs)
+                    yield from _blocks(held, known, block_docs)
                     known, held, postings = {}, [], 0
         if held:
-            yield _blocks(held, known, block_docs)
+            yield from _blocks(held, known, block_docs)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null").mapInArrow(cut, BLOCKS)
     return Index(written(rows.withColumn("block", F.monotonically_increasing_id()), "index"), n_docs, n_terms)
 
 
-def _blocks(held: list[tuple[tuple[int, ...], int | None, np.ndarray, np.ndarray]], known: dict[bytes, int], block_docs: int) -> pa.RecordBatch:
+def _blocks(held: list[tuple[tuple[int, ...], int | None, np.ndarray, np.ndarray]], known: dict[bytes, int], block_docs: int) -> Iterator[pa.RecordBatch]:
     """The blocks of some documents, those with the same commonest terms side by side."""
     words = pa.array([w.decode("utf-8", "replace") for w in known], pa.string())
     held.sort(key=lambda d: d[0])
-    columns: list[list] = [[] for _ in range(7)]
-    for i in range(0, len(held), block_docs):
-        part = held[i : i + block_docs]
-        start = np.cumsum([0, *(len(at) for _, _, at, _ in part)], dtype=np.int32)
-        at, impact = (np.concatenate([d[j] for d in part]) for j in (2, 3))
-        used, term = np.unique(at, return_inverse=True)
-        top = np.zeros(len(used), np.int32)
-        np.maximum.at(top, term, impact)
-        row = ([d[1] for d in part], words.take(pa.array(used)).to_pylist(), np.bincount(term, minlength=len(used)).astype(np.int32), top.tobytes(), start.tobytes(), term.astype(np.int32).tobytes(), impact.tobytes())
-        for c, x in zip(columns, row, strict=True):
-            c.append(x)
-    types = (pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["docs", "terms", "df", "top", "start", "term", "impact"])
+    for first in range(0, len(held), block_docs * BATCH):
+        docs, terms, df, packed = [], [], [], []
+        for i in range(first, min(first + block_docs * BATCH, len(held)), block_docs):
+            part = held[i : i + block_docs]
+            start = np.cumsum([0, *(len(at) for _, _, at, _ in part)], dtype=np.int32)
+            at, impact = (np.concatenate([d[j] for d in part]) for j in (2, 3))
+            used, term = np.unique(at, return_inverse=True)
+            top = np.zeros(len(used), np.int32)
+            np.maximum.at(top, term, impact)
+            docs.append([d[1] for d in part])
+            terms.append(used)
+            df.append(np.bincount(term, minlength=len(used)).astype(np.int32))
+            packed.append([x.tobytes() for x in (top, start, term.astype(np.int32), impact)])
+        ends = pa.array(np.cumsum([0, *map(len, terms)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, words.take(pa.array(np.concatenate(terms)))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(df)))]
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.int64())), *lists, *[pa.array(c, pa.binary()) for c in zip(*packed, strict=True)]], names=["docs", "terms", "df", "top", "start", "term", "impact"])
 
 
 def query_terms(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stayflow.llm import catalogue, fim, langid, scoring, search
+from stayflow.llm import bits, catalogue, fim, langid, scoring, search
 
 # --- fill-in-middle ---
 
@@ -20,10 +20,10 @@ from stayflow.llm import catalogue, fim, langid, scoring, search
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.booleans(), max_size=3000), st.integers(0, 5))
 def test_rank_and_select(found, stretch):
-    bits = np.array(found * stretch, bool)
-    b = fim.Bits(bits)
-    assert b.rank(np.arange(len(bits) + 1)).tolist() == np.concatenate([[0], bits.cumsum()]).tolist()
-    assert b.select(np.arange(1, bits.sum() + 1)).tolist() == np.flatnonzero(bits).tolist()
+    ones = np.array(found * stretch, bool)
+    b = bits.Bits(ones)
+    assert b.rank(np.arange(len(ones) + 1)).tolist() == np.concatenate([[0], ones.cumsum()]).tolist()
+    assert b.select(np.arange(1, ones.sum() + 1)).tolist() == np.flatnonzero(ones).tolist()
 
 
 TOKENS = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -236,6 +236,12 @@ def test_search_of_nothing(spark):
     assert search.rank(search.build(spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, score int")), items.limit(0)).collect() == []
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("aB1é日😀 .-_\x00", max_size=20)))
+def test_numbers_of_terms(texts):
+    assert search.term_numbers(pa.array(["x y", *texts], pa.string())[1:]).to_pylist() == [sum(search.term_counts(t).values()) for t in texts]
+
+
 def test_long_texts_are_cut_between_terms(monkeypatch):
     text = "ab é,日本 x" * 500
     whole = search.term_counts(text)
