@@ -36,16 +36,17 @@ _NO_TERM = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 _IN_TERM = np.zeros(256, bool)
 _IN_TERM[128:] = True
 _IN_TERM[[ord(c) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
-#: Bytes of a text that are cut into terms at once, postings that are buffered, blocks of a batch, and queries that are
-#: scored side by side.
-SLICE, BUFFER, BATCH, SIDE = 1 << 22, 500_000, 16, 256
+#: Bytes of a text that are cut into terms at once, texts that are counted at once, postings that are buffered, blocks of a
+#: batch, and queries that are scored side by side.
+SLICE, ROWS, BUFFER, BATCH, SIDE = 1 << 22, 500, 500_000, 16, 256
 _EXACT = 1 << 53
+PACKED = ("top", "start", "term", "impact")
 BLOCKS = "docs array<long>, terms array<string>, df array<int>, top binary, start binary, term binary, impact binary"
 
 
-def term_counts(text: str | None) -> Counter[bytes]:
-    """How often a text has each term, A-Z in lower case; long texts are cut in slices that end between terms."""
-    raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+def term_counts(raw: bytes) -> Counter[bytes]:
+    """How often a text in UTF-8 has each term, A-Z in lower case; long texts are cut in slices that end between terms."""
+    raw = raw.lower()
     if len(raw) <= SLICE:
         return Counter(_TERMS.findall(raw))
     found: Counter[bytes] = Counter()
@@ -60,14 +61,15 @@ def term_counts(text: str | None) -> Counter[bytes]:
 
 def term_numbers(texts: pa.Array) -> pa.Array:
     """How many terms each text of an array without nulls has, from the bytes that begin one."""
-    raw, offsets = flat(texts)
-    if not len(raw):
-        return pa.array(np.zeros(len(texts), np.int64))
-    begins = _IN_TERM[raw]
-    before = np.empty(len(raw), bool)
-    before[1:] = begins[:-1]
-    before[offsets[:-1][offsets[:-1] < len(raw)]] = False
-    return pa.array(np.diff(Bits(begins & ~before).rank(offsets)))
+    found = [np.zeros(0, np.int64)]
+    for i in range(0, len(texts), ROWS):
+        raw, offsets = flat(texts[i : i + ROWS])
+        begins = _IN_TERM[raw]
+        before = np.zeros(len(raw), bool)
+        before[1:] = begins[:-1]
+        before[offsets[:-1][offsets[:-1] < len(raw)]] = False
+        found.append(np.diff(Bits(begins & ~before).rank(offsets)))
+    return pa.array(np.concatenate(found))
 
 
 def impacts(tf: np.ndarray, n: int, docs: int, terms: int) -> np.ndarray:
@@ -98,8 +100,9 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_doc
         held: list[tuple[tuple[int, ...], int | None, np.ndarray, np.ndarray]] = []
         postings = 0
         for b in batches:
-            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if counts := term_counts(t):
+            raw, offsets = flat(b.column("text"))
+            for n, i in enumerate(b.column("id").to_pylist()):
+                if counts := term_counts(raw[offsets[n] : offsets[n + 1]].tobytes()):
                     at = np.fromiter((known.setdefault(w, len(known)) for w in counts), np.int32, len(counts))
                     tf = np.fromiter(counts.values(), np.int64, len(counts))
                     common = tuple(at[np.lexsort((at, -tf))[:3]].tolist())
@@ -230,8 +233,8 @@ def _bounded(index: Index, queries: Queries, n: int) -> DataFrame:
         top = Best(np.ones(len(q.items), np.int64), n)
         every = np.arange(len(q.items))
         for b in batches:
-            for block, terms, most in _rows(b, "block", "terms", "top"):
-                bound, _ = q.bounds(terms, np.frombuffer(most, np.int32))
+            for block, terms, top_impact in _rows(b, "block", "terms", "top"):
+                bound, _ = q.bounds(terms, top_impact)
                 on = every[bound >= top.least]
                 top.add(on, bound[on], np.ones(len(on), np.int64), np.full(len(on), block))
         top.settle()
@@ -241,11 +244,16 @@ def _bounded(index: Index, queries: Queries, n: int) -> DataFrame:
 
 
 def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    """The rows of a batch; terms as Arrow arrays, which are not made into objects."""
+    """The rows of a batch; terms as Arrow arrays and packed numbers as NumPy arrays, neither copied."""
     columns = []
     for name in names:
         c = batch.column(name)
-        columns.append([c[i].values for i in range(len(c))] if name == "terms" else c.to_pylist())
+        if name == "terms":
+            columns.append([c[i].values for i in range(len(c))])
+        elif name in PACKED:
+            columns.append([np.frombuffer(c[i].as_buffer(), np.int32) for i in range(len(c))])
+        else:
+            columns.append(c.to_pylist())
     return zip(*columns, strict=True)
 
 
@@ -261,7 +269,7 @@ def _scored(blocks: DataFrame, queries: Queries, least: np.ndarray, k: int) -> D
         for b in batches:
             here = []
             for row in _rows(b, *names):
-                bound, place = q.bounds(row[0], np.frombuffer(row[1], np.int32))
+                bound, place = q.bounds(row[0], row[1])
                 if len(row) == 7:
                     only = np.zeros(len(bound), bool)
                     only[row[6]] = True
@@ -270,7 +278,7 @@ def _scored(blocks: DataFrame, queries: Queries, least: np.ndarray, k: int) -> D
             here.sort(key=lambda x: -x[0])
             for greatest, bound, place, row in here:
                 on = np.flatnonzero(bound >= best.least)
-                docs, start, term, impact = row[2], *(np.frombuffer(x, np.int32) for x in row[3:6])
+                docs, start, term, impact = row[2:6]
                 ids = np.array([d or 0 for d in docs], np.int64)
                 is_id = np.array([d is not None for d in docs], np.int64)
                 for i in range(0, len(on), SIDE):
