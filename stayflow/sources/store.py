@@ -33,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stayflow-{context.applicationId}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back.
+def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet (with options of the writer) in the shared folder and read it back.
 
     Lost executors lose nothing of it, the plans that follow are short, and Spark knows its size, so that joins with it
     are broadcast only under spark.sql.autoBroadcastJoinThreshold; beyond it they are sort-merge joins whose hot
@@ -43,7 +43,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     _used.add(shared_dir(spark))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_at = path
     if (made := _made.get()) is not None:
