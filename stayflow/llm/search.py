@@ -37,8 +37,8 @@ _IN_TERM = np.zeros(256, bool)
 _IN_TERM[128:] = True
 _IN_TERM[[ord(c) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
 #: Bytes of a text that are cut into terms at once, texts that are counted at once, postings that are buffered, blocks of a
-#: batch, and queries that are scored side by side.
-SLICE, ROWS, BUFFER, BATCH, SIDE = 1 << 22, 500, 500_000, 16, 256
+#: batch, queries that are scored side by side, and bytes of a row group of the index.
+SLICE, ROWS, BUFFER, BATCH, SIDE, ROW_GROUP = 1 << 22, 500, 500_000, 16, 256, 8 << 20
 _EXACT = 1 << 53
 PACKED = ("top", "start", "term", "impact")
 BLOCKS = "docs array<long>, terms array<string>, df array<int>, top binary, start binary, term binary, impact binary"
@@ -115,7 +115,8 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_doc
             yield from _blocks(held, known, block_docs)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null").mapInArrow(cut, BLOCKS)
-    return Index(written(rows.withColumn("block", F.monotonically_increasing_id()), "index"), n_docs, n_terms)
+    # rows are large, and a reader holds as many at once as a row group has
+    return Index(written(rows.withColumn("block", F.monotonically_increasing_id()), "index", **{"parquet.block.size": str(ROW_GROUP)}), n_docs, n_terms)
 
 
 def _blocks(held: list[tuple[tuple[int, ...], int | None, np.ndarray, np.ndarray]], known: dict[bytes, int], block_docs: int) -> Iterator[pa.RecordBatch]:
