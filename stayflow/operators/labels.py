@@ -1,11 +1,14 @@
 """Outcome labels: a registry of rules, compiled to one aggregation per source table.
 
-A rule is a row condition on one table; the label's time is the first time at which it holds. Labels that depend on the
-order of rows have builders of their own. All give (hospitalization_id, code, time).
+A row rule is a condition on the rows of one table; the label's time is the first time at which it holds. An order rule is
+a fold over a stay's rows of one table, sorted by its columns (time first, the others break ties). All rules of a table,
+of both kinds, come from one scan and one shuffle. Labels that look beyond a stay have builders of their own. All give
+(hospitalization_id, code, time).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,6 +35,16 @@ class Label:
         return f"LABEL//{self.name}"
 
 
+@dataclass(frozen=True)
+class OrderLabel(Label):
+    """An order rule: `fold` makes the label's time (or null) of a stay's rows that meet `when`, an array of structs of
+    `columns`, sorted by them with nulls first. With `stay`, fold gets columns of the stay as well."""
+
+    columns: tuple[str, ...] = ()
+    fold: Callable[..., Column] | None = None
+    stay: tuple[str, ...] = ()
+
+
 def _vital(name: str, test: str) -> str:
     return f"vital_category = '{name}' and vital_value {test}"
 
@@ -94,8 +107,95 @@ _ROWS: dict[tuple[str, str], dict[str, str]] = {
     ("code_status", "start_dttm"): {"dnr": "code_status_category in ('DNR', 'DNAR', 'CMO', 'Comfort Measures Only')"},
 }
 ROW_LABELS = tuple(Label(name, table, when, time) for (table, time), rules in _ROWS.items() for name, when in rules.items())
-#: Names whose rules look at the order of rows; see the functions below.
-ORDER_LABELS = tuple(Label(n) for n in ("icu_admission", "prolonged_icu_7d", "prolonged_icu_14d", "resp_escalation", "reintubation_48h", "creatinine_rise"))
+
+
+def _never() -> Column:
+    return F.lit(None).cast("timestamp_ntz")
+
+
+def first_in_icu(rows: Column) -> Column:
+    """First time in intensive care of stays that did not begin there. A stay whose first location is null counts as not."""
+    there = F.filter(rows, lambda x: x.location_category == "icu")
+    began = F.coalesce(F.get(rows, F.lit(0)).location_category == "icu", F.lit(False))
+    return F.when(~began, F.get(there, F.lit(0)).in_dttm)
+
+
+def icu_lasts(days: int) -> Callable[[Column, dict[str, Column]], Column]:
+    """When the summed time in intensive care reaches the limit; open ends close at discharge."""
+    limit = days * 24 * 3_600_000_000
+
+    def fold(rows: Column, stay: dict[str, Column]) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            lasted = F.coalesce(F.timestamp_diff("MICROSECOND", x.in_dttm, F.coalesce(x.out_dttm, stay["discharge_dttm"])), F.lit(0))
+            reached = F.timestamp_add("MICROSECOND", F.lit(limit) - a.spent, x.in_dttm)
+            return F.struct((a.spent + lasted).alias("spent"), F.when(a.at.isNull() & (a.spent + lasted >= limit), reached).otherwise(a.at).alias("at"))
+
+        start = F.struct(F.lit(0).cast("long").alias("spent"), _never().alias("at"))
+        return F.aggregate(F.filter(rows, lambda x: x.location_category == "icu"), start, step, lambda a: a.at)
+
+    return fold
+
+
+def _severity(device: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in C.SEVERITY.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.coalesce(device, F.lit(""))), F.lit(0))
+
+
+def escalates(rows: Column) -> Column:
+    """Two levels of respiratory support or more between neighbouring rows within a day."""
+
+    def step(a: Column, x: Column) -> Column:
+        level, time = _severity(x.device_category), x.recorded_dttm
+        hit = (level - a.level >= 2) & (time <= a.since + F.expr("interval '24' hour"))
+        return F.struct(level.alias("level"), time.alias("since"), F.coalesce(a.at, F.when(hit, time)).alias("at"))
+
+    start = F.struct(F.lit(None).cast("int").alias("level"), _never().alias("since"), _never().alias("at"))
+    return F.aggregate(rows, start, step, lambda a: a.at)
+
+
+def reintubated(hours: int = 48) -> Callable[[Column], Column]:
+    """Ventilated again within hours of the row that ended ventilation; stays with three rows or more."""
+
+    def step(a: Column, x: Column) -> Column:
+        vent, time = x.device_category.eqNullSafe(F.lit("IMV")), x.recorded_dttm
+        hit = vent & ~a.vent & (time <= a.ended + F.expr(f"interval '{hours}' hour"))
+        ended = F.when(~vent & a.vent, time).otherwise(a.ended)
+        return F.struct(vent.alias("vent"), ended.alias("ended"), F.coalesce(a.at, F.when(hit, time)).alias("at"))
+
+    start = lambda: F.struct(F.lit(False).alias("vent"), _never().alias("ended"), _never().alias("at"))
+    return lambda rows: F.when(F.size(rows) >= 3, F.aggregate(rows, start(), step, lambda a: a.at))
+
+
+def rises(factor: float = 1.5) -> Callable[[Column], Column]:
+    """First value of `factor` times the first one or more; the first must be positive and not the only one."""
+
+    def fold(rows: Column) -> Column:
+        base = F.get(rows, F.lit(0)).lab_value_numeric
+        hits = F.filter(rows, lambda x: x.lab_value_numeric >= base * factor)
+        return F.when((F.size(rows) >= 2) & (base > 0), F.array_min(F.transform(hits, lambda x: x.lab_result_dttm)))
+
+    return fold
+
+
+_PLACES, _DEVICES = ("in_dttm", "location_category", "out_dttm"), ("recorded_dttm", "device_category")
+
+
+def order_labels() -> tuple[OrderLabel, ...]:
+    """The order rules of the data model."""
+    placed = {"table": "adt", "when": "in_dttm is not null", "time": "in_dttm", "columns": _PLACES}
+    devices = {"table": RESP, "when": "true", "columns": _DEVICES}
+    creatinine = "lab_category = 'creatinine' and lab_value_numeric is not null"
+    return (
+        OrderLabel("icu_admission", fold=first_in_icu, **placed),
+        OrderLabel("prolonged_icu_7d", fold=icu_lasts(7), stay=("discharge_dttm",), **placed),
+        OrderLabel("prolonged_icu_14d", fold=icu_lasts(14), stay=("discharge_dttm",), **placed),
+        OrderLabel("resp_escalation", fold=escalates, **devices),
+        OrderLabel("reintubation_48h", fold=reintubated(), **devices),
+        OrderLabel("creatinine_rise", LABS, creatinine, "lab_result_dttm", columns=("lab_result_dttm", "lab_value_numeric"), fold=rises()),
+    )
+
+
+ORDER_LABELS = order_labels()
 PARTIAL_LABELS = tuple(Label(n, category="partial") for n in ("readmit_30d", "readmit_7d", "abnormal_troponin_30d"))
 #: Registered without a rule: they need sources that are not among the tables, and are never found.
 EXTERNAL_LABELS = tuple(
@@ -109,7 +209,7 @@ REGISTRY: dict[str, Label] = {s.name: s for s in (*ROW_LABELS, *ORDER_LABELS, *P
 
 
 def register(label: Label) -> None:
-    """Add a row rule of one's own; it is computed with the others of its table."""
+    """Add a row rule or an order rule of one's own; it is computed with the others of its table."""
     REGISTRY[label.name] = label
 
 
@@ -121,111 +221,69 @@ def tokens(categories: tuple[str, ...] = ("source_only", "partial")) -> list[str
     return [REGISTRY[n].code for n in names(categories)]
 
 
-def row_labels(t: Catalog, table: str | None = None) -> DataFrame:
-    """All row rules, one pass and one aggregation per table. Null times do not count."""
+def _of_table(t: Catalog, name: str, rules: list[Label]) -> DataFrame:
+    """The labels of one table: one aggregation by stay, of first times and of sorted rows, which order rules fold."""
+    rows = code_status_rows(t) if name == "code_status" else t[name]
+    if name == RESP and "tracheostomy" not in t.own.get(RESP, {"tracheostomy"}):
+        rows = rows.withColumn("tracheostomy", F.lit(False))  # without the column any intubation counts
+    ordered = [s for s in rules if isinstance(s, OrderLabel)]
+    kept = list(dict.fromkeys((s.when, s.columns) for s in ordered))
+    first = [F.min(F.when(F.expr(s.when), F.col(s.time))).alias(s.name) for s in rules if not isinstance(s, OrderLabel)]
+    arrays = [F.sort_array(F.collect_list(F.when(F.expr(when), F.struct(*columns)))).alias(f"rows_{i}") for i, (when, columns) in enumerate(kept)]
+    found = rows.groupBy("hospitalization_id").agg(*first, *arrays)
+    stay = sorted({c for s in ordered for c in s.stay})
+    if stay:
+        found = found.join(t[HOSP].select("hospitalization_id", *stay), "hospitalization_id")
+
+    def time(s: Label) -> Column:
+        if not isinstance(s, OrderLabel):
+            return F.col(s.name)
+        own = F.col(f"rows_{kept.index((s.when, s.columns))}")
+        return s.fold(own, {c: F.col(c) for c in s.stay}) if s.stay else s.fold(own)
+
+    long = F.array(*[F.struct(F.lit(s.code).alias("code"), time(s).alias("time")) for s in rules])
+    return found.select("hospitalization_id", F.inline(F.filter(long, lambda x: x.time.isNotNull())))
+
+
+def of(t: Catalog, wanted: Iterable[str]) -> DataFrame:
+    """The labels of these names that have a rule, at most one row per stay and label. Null times do not count."""
     tables: dict[str, list[Label]] = {}
-    for s in REGISTRY.values():
-        if s.table and (table is None or s.table == table):
+    for s in (REGISTRY[n] for n in dict.fromkeys(wanted)):
+        if s.table:
             tables.setdefault(s.table, []).append(s)
-
-    def one(name: str, rules: list[Label]) -> DataFrame:
-        rows = code_status_rows(t) if name == "code_status" else t[name]
-        if name == RESP and "tracheostomy" not in t.own.get(RESP, {"tracheostomy"}):
-            rows = rows.withColumn("tracheostomy", F.lit(False))  # without the column any intubation counts
-        first = rows.groupBy("hospitalization_id").agg(*[F.min(F.when(F.expr(s.when), F.col(s.time))).alias(s.name) for s in rules])
-        long = F.array(*[F.struct(F.lit(s.code).alias("code"), F.col(s.name).alias("time")) for s in rules])
-        return first.select("hospitalization_id", F.inline(F.filter(long, lambda x: x.time.isNotNull())))
-
-    return reduce(DataFrame.unionByName, [one(n, rules) for n, rules in tables.items()])
-
-
-def icu_admission(t: Catalog) -> DataFrame:
-    """First time in intensive care of stays that did not begin there. A stay whose first location is null counts as not."""
-    rows = t["adt"].groupBy("hospitalization_id").agg(F.min_by(F.struct("location_category"), "in_dttm").alias("first"), F.min(F.when(F.col("location_category") == "icu", F.col("in_dttm"))).alias("time"))
-    rows = rows.where(F.col("time").isNotNull() & ~F.coalesce(F.col("first.location_category") == "icu", F.lit(False)))
-    return rows.select("hospitalization_id", F.lit("LABEL//icu_admission").alias("code"), "time")
+    parts = [_of_table(t, n, rules) for n, rules in tables.items()]
+    if days := [d for n, d in READMISSIONS.items() if n in set(wanted)]:
+        parts.append(readmission(t, *days))
+    none = t.spark.createDataFrame([], "hospitalization_id string, code string, time timestamp_ntz")
+    return reduce(DataFrame.unionByName, parts) if parts else none
 
 
-def prolonged_icu(t: Catalog, days: int) -> DataFrame:
-    """When the summed time in intensive care reaches the limit; open ends close at discharge."""
-    stays = t["hospitalization"].select("hospitalization_id", "discharge_dttm")
-    icu = t["adt"].where("location_category = 'icu'").join(stays, "hospitalization_id")
-    lasted = F.timestamp_diff("MICROSECOND", F.col("in_dttm"), F.coalesce("out_dttm", "discharge_dttm"))
-    by = Window.partitionBy("hospitalization_id").orderBy("in_dttm").rowsBetween(Window.unboundedPreceding, 0)
-    limit = days * 24 * 3_600_000_000
-    icu = icu.withColumn("lasted", lasted).withColumn("sum", F.sum("lasted").over(by)).where(F.col("sum") >= limit)
-    reached = F.timestamp_add("MICROSECOND", F.lit(limit) - (F.col("sum") - F.col("lasted")), F.col("in_dttm"))
-    return icu.groupBy("hospitalization_id").agg(F.lit(f"LABEL//prolonged_icu_{days}d").alias("code"), F.min_by(reached, "in_dttm").alias("time"))
-
-
-def _severity(device: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in C.SEVERITY.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, device), F.lit(0))
-
-
-def resp_escalation(t: Catalog) -> DataFrame:
-    """Two levels of respiratory support or more between neighbouring rows within a day."""
-    by = Window.partitionBy("hospitalization_id").orderBy("recorded_dttm")
-    rows = t[RESP].withColumn("level", _severity(F.coalesce("device_category", F.lit(""))))
-    rows = rows.withColumns({"rise": F.col("level") - F.lag("level").over(by), "since": F.lag("recorded_dttm").over(by)})
-    hit = (F.col("rise") >= 2) & (F.col("recorded_dttm") <= F.col("since") + F.expr("interval '24' hour"))
-    return rows.where(hit).groupBy("hospitalization_id").agg(F.lit("LABEL//resp_escalation").alias("code"), F.min("recorded_dttm").alias("time"))
-
-
-def reintubation(t: Catalog, hours: int = 48) -> DataFrame:
-    """Ventilated again within hours of the row that ended ventilation; stays with three rows or more."""
-    whole = Window.partitionBy("hospitalization_id")
-    by = whole.orderBy("recorded_dttm")
-    vent = F.col("device_category").eqNullSafe(F.lit("IMV"))
-    rows = t[RESP].withColumn("vent", vent).withColumns({"rows": F.count("*").over(whole), "was": F.lag("vent").over(by)})
-    rows = rows.withColumn("ended", F.when(~F.col("vent") & F.col("was"), F.col("recorded_dttm")))
-    rows = rows.withColumn("ended", F.last("ended", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    hit = (F.col("rows") >= 3) & F.col("vent") & ~F.coalesce("was", F.lit(False)) & (F.col("recorded_dttm") <= F.col("ended") + F.expr(f"interval '{hours}' hour"))
-    return rows.where(hit).groupBy("hospitalization_id").agg(F.lit("LABEL//reintubation_48h").alias("code"), F.min("recorded_dttm").alias("time"))
+def row_labels(t: Catalog, table: str | None = None) -> DataFrame:
+    """All row rules, or those of one table."""
+    return of(t, [s.name for s in REGISTRY.values() if s.table and not isinstance(s, OrderLabel) and table in (None, s.table)])
 
 
-def creatinine_rise(t: Catalog, factor: float = 1.5) -> DataFrame:
-    """First value of `factor` times the first one or more; the first must be positive and not the only one."""
-    rows = t[LABS].where("lab_category = 'creatinine' and lab_value_numeric is not null")
-    whole = Window.partitionBy("hospitalization_id")
-    first = F.first("lab_value_numeric").over(whole.orderBy(F.col("lab_result_dttm").asc_nulls_first(), "lab_value_numeric"))
-    rows = rows.withColumns({"base": first, "rows": F.count("*").over(whole)})
-    hit = (F.col("rows") >= 2) & (F.col("base") > 0) & (F.col("lab_value_numeric") >= F.col("base") * factor)
-    found = rows.where(hit).groupBy("hospitalization_id").agg(F.lit("LABEL//creatinine_rise").alias("code"), F.min("lab_result_dttm").alias("time"))
-    return found.where("time is not null")
+#: Labels that look at a patient's later stays, and their days.
+READMISSIONS = {"readmit_30d": 30, "readmit_7d": 7}
 
 
-def readmission(t: Catalog, days: int) -> DataFrame:
+def readmission(t: Catalog, *days: int) -> DataFrame:
     """Stays whose patient is admitted again after discharge and within days of it; the time is the discharge.
 
     A self-join on the patient would pair all stays of a patient; the next admission after the discharge decides alone,
-    so the admissions and discharges of a patient are merged in order and looked ahead.
+    so the admissions and discharges of a patient are merged in order and looked ahead, once for all limits.
     """
-    stays = t["hospitalization"]
+    stays = t[HOSP]
     ends = stays.where("discharge_dttm is not null").select("patient_id", "hospitalization_id", F.col("discharge_dttm").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("admit"))
     begins = stays.where("admission_dttm is not null").select("patient_id", F.lit(None).cast("string").alias("hospitalization_id"), F.col("admission_dttm").alias("at"), F.lit(0).alias("kind"), F.col("admission_dttm").alias("admit"))
     # from the last to the first, so that the frame only grows; an admission at the time of the discharge is not after it
     by = Window.partitionBy("patient_id").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     marks = ends.unionByName(begins).withColumn("next", F.last("admit", ignorenulls=True).over(by))
-    hit = (F.col("kind") == 1) & (F.col("next") <= F.col("at") + F.expr(f"interval '{days}' day")) & F.col("patient_id").isNotNull()
-    return marks.where(hit).select("hospitalization_id", F.lit(f"LABEL//readmit_{days}d").alias("code"), F.col("at").alias("time")).distinct()
-
-
-BUILDERS = {
-    "icu_admission": icu_admission,
-    "prolonged_icu_7d": lambda t: prolonged_icu(t, 7),
-    "prolonged_icu_14d": lambda t: prolonged_icu(t, 14),
-    "resp_escalation": resp_escalation,
-    "reintubation_48h": reintubation,
-    "creatinine_rise": creatinine_rise,
-    "readmit_30d": lambda t: readmission(t, 30),
-    "readmit_7d": lambda t: readmission(t, 7),
-}
+    within = [F.when(F.col("next") <= F.col("at") + F.expr(f"interval '{d}' day"), F.lit(f"LABEL//readmit_{d}d")) for d in days]
+    rows = marks.where((F.col("kind") == 1) & F.col("next").isNotNull() & F.col("patient_id").isNotNull())
+    return rows.select("hospitalization_id", F.explode(F.array_compact(F.array(*within))).alias("code"), F.col("at").alias("time")).distinct()
 
 
 def all_labels(t: Catalog, categories: tuple[str, ...] = ("source_only", "partial")) -> DataFrame:
     """Every label of the categories, at most one row per stay and label."""
-    wanted = set(names(categories))
-    parts = [row_labels(t)] + [make(t) for n, make in BUILDERS.items() if n in wanted]
-    found = reduce(DataFrame.unionByName, parts)
-    return found.where(F.col("code").isin(*[REGISTRY[n].code for n in wanted]) & F.col("time").isNotNull())
+    return of(t, names(categories))

@@ -21,10 +21,6 @@ EVENT = ("hospitalization_id", "time", "code", "value", "value_cat")
 LOG = ("hospitalization_id", "event_idx", *EVENT[1:])
 
 
-#: Events that the adapter makes stays of.
-USED = "user_id % 5 = 0 or user_id % 3 <> 1 or extract(week from ts) in (1, 4)"
-
-
 class Run:
     """The plans of one run, each made when first asked for."""
 
@@ -148,7 +144,7 @@ class Run:
         k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
         route = F.when(F.col("event_id") % 3 == 0, "no_ecg").when(F.col("event_id") % 3 == 1, "fusion_class").otherwise("all_branches")
         hours = F.when(k % 3 == 0, 8).when(k % 3 == 1, 24).otherwise(48)
-        return self.table("events").where(USED).select(F.col("event_type").alias("label"), hours.alias("horizon_hours"), route.alias("route"), ((k % 11) / F.lit(10.0)).alias("predicted_prob"), (F.col("value") > F.when(F.col("event_type") == "view", 245).otherwise(100)).alias("actual_positive"))
+        return self.table("events").select(F.col("event_type").alias("label"), hours.alias("horizon_hours"), route.alias("route"), ((k % 11) / F.lit(10.0)).alias("predicted_prob"), (F.col("value") > F.when(F.col("event_type") == "view", 245).otherwise(100)).alias("actual_positive"))
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -221,12 +217,12 @@ _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "labels_rows": lambda r: labels.row_labels(r.t),
     "labels_discharge": lambda r: labels.row_labels(r.t, "hospitalization"),
     "labels_dnr": lambda r: labels.row_labels(r.t, "code_status"),
-    "labels_icu_first": lambda r: labels.icu_admission(r.t),
-    "labels_prolonged_icu": lambda r: labels.prolonged_icu(r.t, 7).unionByName(labels.prolonged_icu(r.t, 14)),
-    "labels_resp_escalation": lambda r: labels.resp_escalation(r.t),
-    "labels_reintubation": lambda r: labels.reintubation(r.t),
-    "labels_creatinine_rise": lambda r: labels.creatinine_rise(r.t),
-    "labels_readmission": lambda r: labels.readmission(r.t, 30).unionByName(labels.readmission(r.t, 7)),
+    "labels_icu_first": lambda r: labels.of(r.t, ["icu_admission"]),
+    "labels_prolonged_icu": lambda r: labels.of(r.t, ["prolonged_icu_7d", "prolonged_icu_14d"]),
+    "labels_resp_escalation": lambda r: labels.of(r.t, ["resp_escalation"]),
+    "labels_reintubation": lambda r: labels.of(r.t, ["reintubation_48h"]),
+    "labels_creatinine_rise": lambda r: labels.of(r.t, ["creatinine_rise"]),
+    "labels_readmission": lambda r: labels.readmission(r.t, 30, 7),
     "labels_all": lambda r: r.labels,
     "label_first_occurrence": lambda r: insert.first_occurrences(r.labels),
     "log_with_labels": lambda r: insert.full_log(r.base, r.stays, r.labels, time_tokens=False).select(*LOG),

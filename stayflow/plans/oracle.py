@@ -141,9 +141,9 @@ _LEVEL = "case when device_category = 'IMV' then 4 when device_category = 'NIPPV
 
 def _prolonged(days: int) -> str:
     us = days * 86_400_000_000
-    return f"""select hospitalization_id, 'LABEL//prolonged_icu_{days}d' as code, arg_min(in_dttm + to_microseconds({us} - (upto - lasted)), in_dttm) as time from (
-  select *, sum(lasted) over (partition by hospitalization_id order by in_dttm rows unbounded preceding)::bigint as upto from (
-    select a.hospitalization_id, in_dttm, date_diff('microsecond', in_dttm, coalesce(out_dttm, discharge_dttm)) as lasted from adt a join hospitalization h using (hospitalization_id) where location_category = 'icu')
+    return f"""select hospitalization_id, 'LABEL//prolonged_icu_{days}d' as code, (list(in_dttm + to_microseconds({us} - (upto - lasted)) order by upto))[1] as time from (
+  select *, sum(lasted) over (partition by hospitalization_id order by in_dttm, out_dttm nulls first rows unbounded preceding)::bigint as upto from (
+    select a.hospitalization_id, in_dttm, out_dttm, date_diff('microsecond', in_dttm, coalesce(out_dttm, discharge_dttm)) as lasted from adt a join hospitalization h using (hospitalization_id) where location_category = 'icu')
   ) where upto >= {us} group by 1"""
 
 
@@ -152,10 +152,10 @@ def _readmit(days: int) -> str:
 
 
 ORDER_LABELS = {
-    "icu": "select hospitalization_id, 'LABEL//icu_admission' as code, min(in_dttm) filter (location_category = 'icu') as time from adt group by 1 having arg_min(location_category, in_dttm) <> 'icu' and time is not null",
+    "icu": "select hospitalization_id, 'LABEL//icu_admission' as code, min(in_dttm) filter (location_category = 'icu') as time from adt where in_dttm is not null group by 1 having (list(location_category order by in_dttm, location_category nulls first, out_dttm nulls first))[1] is distinct from 'icu' and time is not null",
     "prolonged": _prolonged(7) + " union all " + _prolonged(14),
-    "escalation": f"select hospitalization_id, 'LABEL//resp_escalation' as code, min(recorded_dttm) as time from (select *, {_LEVEL} as lv, lag({_LEVEL}) over w as lp, lag(recorded_dttm) over w as tp from respiratory_support window w as (partition by hospitalization_id order by recorded_dttm)) where lv - lp >= 2 and recorded_dttm - tp <= interval 24 hour group by 1",
-    "reintubation": "select hospitalization_id, 'LABEL//reintubation_48h' as code, min(recorded_dttm) as time from (select *, last_value(case when dev is distinct from 'IMV' and was is not distinct from 'IMV' then recorded_dttm end ignore nulls) over (partition by hospitalization_id order by recorded_dttm rows between unbounded preceding and 1 preceding) as ended from (select hospitalization_id, recorded_dttm, device_category as dev, lag(device_category) over (partition by hospitalization_id order by recorded_dttm) as was, count(*) over (partition by hospitalization_id) as n from respiratory_support)) where n >= 3 and dev = 'IMV' and was is distinct from 'IMV' and recorded_dttm - ended <= interval 48 hour group by 1",
+    "escalation": f"select hospitalization_id, 'LABEL//resp_escalation' as code, min(recorded_dttm) as time from (select *, {_LEVEL} as lv, lag({_LEVEL}) over w as lp, lag(recorded_dttm) over w as tp from respiratory_support window w as (partition by hospitalization_id order by recorded_dttm nulls first, device_category nulls first)) where lv - lp >= 2 and recorded_dttm - tp <= interval 24 hour group by 1",
+    "reintubation": "select hospitalization_id, 'LABEL//reintubation_48h' as code, min(recorded_dttm) as time from (select *, last_value(case when dev is distinct from 'IMV' and was is not distinct from 'IMV' then recorded_dttm end ignore nulls) over (partition by hospitalization_id order by recorded_dttm nulls first, dev nulls first rows between unbounded preceding and 1 preceding) as ended from (select hospitalization_id, recorded_dttm, device_category as dev, lag(device_category) over (partition by hospitalization_id order by recorded_dttm nulls first, device_category nulls first) as was, count(*) over (partition by hospitalization_id) as n from respiratory_support)) where n >= 3 and dev = 'IMV' and was is distinct from 'IMV' and recorded_dttm - ended <= interval 48 hour group by 1",
     "creatinine": "select hospitalization_id, 'LABEL//creatinine_rise' as code, min(lab_result_dttm) as time from (select *, first_value(lab_value_numeric) over (partition by hospitalization_id order by lab_result_dttm nulls first, lab_value_numeric) as base, count(*) over (partition by hospitalization_id) as n from labs where lab_category = 'creatinine' and lab_value_numeric is not null) where n >= 2 and base > 0 and lab_value_numeric >= base * 1.5::double group by 1 having min(lab_result_dttm) is not null",
     "readmission": _readmit(30) + " union all " + _readmit(7),
 }
@@ -256,7 +256,7 @@ hybrid as (select code, row_number() over (partition by code order by edge) - 1
 bin_bounds as (
   select code, case when top = 0 then -1 else edge_idx end as bin, case when edge_idx > 0 then edge end as low, case when edge_idx < top - 1 then next end as high
   from (select code, edge_idx, edge, lead(edge) over (partition by code order by edge_idx) as next, max(edge_idx) over (partition by code) as top from tq_edges) where edge_idx < top or top = 0),
-log_bins as (select l.*, b.bin from log l left join bin_bounds b on l.code = b.code and l.value is not null and (low is null or value > low) and (high is null or value <= high)),
+log_bins as materialized (select l.*, b.bin from log l left join bin_bounds b on l.code = b.code and l.value is not null and (low is null or value > low) and (high is null or value <= high)),
 {vocabulary_ctes("vocab", False)},
 {vocabulary_ctes("vocab_fused", True)},
 {tokens_ctes("toks", "vocab", False)},
