@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayflow.functions import constants as C
-from stayflow.functions.expressions import age_bucket, in_stay
+from stayflow.functions.expressions import age_bucket
+from stayflow.operators.intervals import interval_join
 from stayflow.sources.catalog import Catalog
 
 COLUMNS = ("hospitalization_id", "time", "code", "value", "value_cat", "modality", "src")
@@ -123,8 +124,8 @@ def assessments(t: Catalog, profile: DataFrame | None = None) -> DataFrame:
 def within_stays(df: DataFrame, stays: DataFrame, time: str) -> DataFrame:
     """Rows that have a patient only, put into the patient's stays whose interval holds their time."""
     stays = stays.select("patient_id", F.col("hospitalization_id").alias("stay"), "admission_dttm", "discharge_dttm")
-    joined = df.join(stays, "patient_id").where(in_stay(F.col(time), F.col("admission_dttm"), F.col("discharge_dttm")))
-    return joined.withColumn("hospitalization_id", F.col("stay")).drop("stay", "admission_dttm", "discharge_dttm")
+    joined = interval_join(df, stays, "patient_id", time, "admission_dttm", "discharge_dttm", ["stay"])
+    return joined.withColumn("hospitalization_id", F.col("stay")).drop("stay")
 
 
 def code_status_rows(t: Catalog) -> DataFrame:

@@ -71,12 +71,15 @@ def clock_events(stays: DataFrame, hours: int = C.CLOCK_HOURS) -> DataFrame:
     return _row(rows, F.col("clock"), F.date_format("clock", "'CLOCK//'HH:mm"), "CLOCK", CLOCK_STAGE)
 
 
-def with_gaps(log: DataFrame, edges: list[int] | None = None, gaps: bool = True) -> DataFrame:
+def with_gaps(log: DataFrame, edges: list[int] | None = None, gaps: bool = True, parts: int | None = None) -> DataFrame:
     """The final log: events in order, before each a gap token if a minute or more went by, numbered from 0.
 
     One window by stay orders the events; a gap stands at its event's time, right before it, and the numbers are running
-    counts of what each event brings, so nothing is sorted again.
+    counts of what each event brings, so nothing is sorted again. With `parts`, stays are dealt into so many partitions, as
+    a table in buckets wants them.
     """
+    if parts:
+        log = log.repartition(parts, "hospitalization_id")
     by = Window.partitionBy("hospitalization_id").orderBy(*ordering())
     rows = log.withColumn("priority", modality_priority(F.col("modality")))
     minutes = F.timestamp_diff("MICROSECOND", F.lag("time").over(by), F.col("time")) / 60_000_000.0
@@ -87,7 +90,7 @@ def with_gaps(log: DataFrame, edges: list[int] | None = None, gaps: bool = True)
     return rows.select("hospitalization_id", F.inline(F.when(F.col("gap").isNull(), F.array(own)).otherwise(F.array(gap, own))))
 
 
-def full_log(base: DataFrame, stays: DataFrame, labels: DataFrame | None = None, ecg: DataFrame | None = None, time_tokens: bool = True, edges: list[int] | None = None, clock_hours: int = C.CLOCK_HOURS) -> DataFrame:
+def full_log(base: DataFrame, stays: DataFrame, labels: DataFrame | None = None, ecg: DataFrame | None = None, time_tokens: bool = True, edges: list[int] | None = None, clock_hours: int = C.CLOCK_HOURS, parts: int | None = None) -> DataFrame:
     """Labels, then waveforms, then clocks join the base events; gaps are taken over the merged order."""
     log = base.withColumn("stage", F.lit(0)).select(*LOG)
     known = stays.select("hospitalization_id").distinct()
@@ -97,4 +100,4 @@ def full_log(base: DataFrame, stays: DataFrame, labels: DataFrame | None = None,
         log = log.unionByName(ecg)
     if time_tokens:
         log = log.unionByName(clock_events(stays, clock_hours))
-    return with_gaps(log, edges, gaps=time_tokens)
+    return with_gaps(log, edges, gaps=time_tokens, parts=parts)

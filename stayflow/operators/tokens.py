@@ -37,8 +37,8 @@ def vocabulary(log: DataFrame, edges: DataFrame | None = None, n_bins: int = 10,
     return parts.select("token", place.alias("id"))
 
 
-def token_rows(log: DataFrame, edges: DataFrame, fuse: bool = False) -> DataFrame:
-    """(hospitalization_id, event_idx, part, token, ts_us): one or two tokens per event.
+def event_tokens(log: DataFrame, edges: DataFrame, fuse: bool = False) -> DataFrame:
+    """The log with `token` and `second`, null where an event has one token.
 
     A numeric value adds the token of its bin, or is fused with its code; of waveform events only similarities have bins,
     and those are never fused; clock and gap tokens have none.
@@ -47,27 +47,31 @@ def token_rows(log: DataFrame, edges: DataFrame, fuse: bool = False) -> DataFram
     ecg, time = F.col("modality") == "ECG", F.col("modality").isin("CLOCK", "DT")
     binned = F.col("bin").isNotNull() & ~time & (~ecg | F.col("code").startswith("ECG//Similarity/"))
     q = F.concat(F.lit("Q_"), F.col("bin"))
-    two = F.array(F.col("code"), q)
-    parts = F.when(~binned, F.array("code"))
-    parts = (parts.when(~ecg, F.array(F.concat("code", F.lit("/"), q))) if fuse else parts).otherwise(two)
-    return rows.select("hospitalization_id", "event_idx", F.posexplode(parts).alias("part", "token"), micros(F.col("time")).alias("ts_us"))
+    fused = binned & ~ecg & F.lit(fuse)
+    return rows.withColumns({"token": F.when(fused, F.concat("code", F.lit("/"), q)).otherwise(F.col("code")), "second": F.when(binned & ~fused, q)})
 
 
 def encoded_rows(log: DataFrame, vocab: DataFrame, edges: DataFrame, fuse: bool = False, stays: DataFrame | None = None) -> DataFrame:
     """(hospitalization_id, pos, token_id, ts_us): [BOS], the tokens, [EOS]; unknown tokens are [UNK].
 
-    The ends have the times of the first and last event; stays without an event (if `stays` are given) 2000-01-01.
+    The ends have the times of the first and last event; stays without an event (if `stays` are given) 2000-01-01. Positions
+    are running counts over events in their order, so that a log in buckets is neither shuffled nor sorted.
     """
     special = {t: i for i, t in enumerate(C.SPECIAL_TOKENS)}
-    rows = token_rows(log, edges, fuse).join(vocab.withColumnRenamed("token", "known"), F.col("token") == F.col("known"), "left")
-    rows = rows.select("hospitalization_id", "event_idx", "part", F.coalesce("id", F.lit(special["[UNK]"])).alias("token_id"), "ts_us")
-    by = Window.partitionBy("hospitalization_id").orderBy("event_idx", "part")
-    rows = rows.withColumns({"pos": F.row_number().over(by), "last": F.lead("event_idx").over(by).isNull()})
-    one = F.struct(F.col("pos"), F.col("token_id"), F.col("ts_us"))
-    bos = F.struct(F.lit(0).alias("pos"), F.lit(special["[BOS]"]).alias("token_id"), F.col("ts_us"))
-    eos = F.struct((F.col("pos") + 1).alias("pos"), F.lit(special["[EOS]"]).alias("token_id"), F.col("ts_us"))
-    pieces = F.concat(F.when(F.col("pos") == 1, F.array(bos)).otherwise(F.array().cast("array<struct<pos:int,token_id:int,ts_us:bigint>>")), F.array(one), F.when(F.col("last"), F.array(eos)).otherwise(F.array().cast("array<struct<pos:int,token_id:int,ts_us:bigint>>")))
-    out = rows.select("hospitalization_id", F.inline(pieces))
+    rows = event_tokens(log, edges, fuse).select("hospitalization_id", "event_idx", "token", "second", micros(F.col("time")).alias("ts_us"))
+    for name in ("token", "second"):
+        known = vocab.select(F.col("token").alias("known"), F.col("id").alias(f"{name}_id"))
+        rows = rows.join(known, F.col(name) == F.col("known"), "left").drop("known")
+    unknown = F.lit(special["[UNK]"])
+    ids = F.concat(F.array(F.coalesce("token_id", unknown)), F.when(F.col("second").isNull(), F.array().cast("array<int>")).otherwise(F.array(F.coalesce("second_id", unknown))))
+    by = Window.partitionBy("hospitalization_id").orderBy("event_idx")
+    rows = rows.withColumn("ids", ids)
+    rows = rows.withColumns({"first": F.lag("event_idx").over(by).isNull(), "last": F.lead("event_idx").over(by).isNull(), "upto": F.sum(F.size("ids")).over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    none = F.array().cast("array<int>")
+    pieces = F.concat(F.when(F.col("first"), F.array(F.lit(special["[BOS]"]))).otherwise(none), "ids", F.when(F.col("last"), F.array(F.lit(special["[EOS]"]))).otherwise(none))
+    start = F.col("upto") - F.size("ids") + F.when(F.col("first"), 0).otherwise(1)
+    out = rows.select("hospitalization_id", F.posexplode(pieces).alias("at", "token_id"), start.alias("start"), "ts_us")
+    out = out.select("hospitalization_id", (F.col("start") + F.col("at")).cast("int").alias("pos"), "token_id", "ts_us")
     if stays is not None:
         none = stays.select("hospitalization_id").distinct().join(log.select("hospitalization_id").distinct(), "hospitalization_id", "left_anti")
         start = F.lit(946_684_800_000_000)

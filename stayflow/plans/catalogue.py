@@ -15,7 +15,7 @@ from stayflow.operators import bins, dataset, extract, insert, labels, metrics,
 from stayflow.plans.oracle import BUDGET, HORIZONS, MAX_LEN, MIN_EVENTS, MIN_STAYS, OVERLAP, SAMPLES
 from stayflow.sources.adapter import event_catalog
 from stayflow.sources.catalog import Catalog, id_map, read_sequences, write_log
-from stayflow.sources.store import shared_dir, written
+from stayflow.sources.store import bucketed, buckets, shared_dir, written
 
 EVENT = ("hospitalization_id", "time", "code", "value", "value_cat")
 LOG = ("hospitalization_id", "event_idx", *EVENT[1:])
@@ -71,8 +71,9 @@ class Run:
 
     @cached_property
     def kept_log(self) -> DataFrame:
-        """The log for what reads it several times."""
-        return written(self.log, "log")
+        """The log for what reads it several times, in buckets of stays."""
+        log = insert.full_log(self.base, self.stays, self.labels, insert.ecg_events(self.ecg), parts=buckets(self.spark))
+        return bucketed(log, "log", "hospitalization_id", "event_idx")
 
     @cached_property
     def train_log(self) -> DataFrame:
@@ -92,7 +93,7 @@ class Run:
 
     @cached_property
     def kept_tokens(self) -> DataFrame:
-        return written(self.tokens, "tokens")
+        return bucketed(self.tokens, "tokens", "hospitalization_id", "pos")
 
     @cached_property
     def windows(self) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 _made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 #: Folders that written() has used.
 _used: set[str] = set()
+#: (path, name) of tables that bucketed() has made.
+_tables: set[tuple[str, str]] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +53,33 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return found
 
 
+def buckets(spark: SparkSession) -> int:
+    """Into how many buckets tables of stays are dealt: as many as a shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, tag: str, key: str, order: str) -> DataFrame:
+    """As written(), in one file for each bucket of `key`, sorted by key and `order`: windows and aggregations by key over
+    what is read neither shuffle nor sort.
+
+    df should be dealt by key in buckets() partitions already, as df.repartition(buckets(spark), key) and all windows after it
+    are; otherwise a bucket has several files, which are right but sorted again when read. Spark trusts the order of a bucket's file only with
+    spark.sql.legacy.bucketedTableScan.outputOrdering, which is set for the session.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    _used.add(shared_dir(spark))
+    name = f"{tag}_{uuid.uuid4().hex}"
+    path, n = f"{shared_dir(spark)}/{name}", buckets(spark)
+    df.write.format("parquet").bucketBy(n, key).sortBy(key, order).option("path", path).saveAsTable(name)
+    found = spark.table(name)
+    found.written_at = path
+    _tables.add((path, name))
+    if (made := _made.get()) is not None:
+        made.append(found)
+    return found
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[..., None]]:
     """What written() gives inside is deleted at the end, but for the tables that the function yielded is called with.
@@ -76,13 +105,23 @@ def release(*tables: DataFrame) -> None:
     """Delete tables that written() gave and that nothing reads any more."""
     for table in tables:
         if path := vars(table).get("written_at"):
+            _forget(table.sparkSession, path)
             delete(table.sparkSession, path)
 
 
 def release_all(spark: SparkSession) -> None:
     """Delete all that written() left in shared folders; results that read it must be stored by then."""
     while _used:
-        delete(spark, _used.pop())
+        folder = _used.pop()
+        _forget(spark, folder)
+        delete(spark, folder)
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Tables that lie in a folder leave the session's list of tables."""
+    for path, name in [x for x in _tables if x[0] == folder or x[0].startswith(f"{folder}/")]:
+        _tables.discard((path, name))
+        spark.sql(f"drop table if exists {name}")
 
 
 def delete(spark: SparkSession, path: str) -> None:
