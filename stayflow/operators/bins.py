@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stayflow.functions import constants as C
 from stayflow.functions.expressions import bin_of
 from stayflow.sources.catalog import Catalog
+from stayflow.sources.store import written
 
 NUMERIC_SOURCES = (
     ("vitals", "vital_category", "VITAL", "vital_value"),
@@ -32,36 +33,66 @@ def numeric_values(t: Catalog, ids: DataFrame | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(*s) for s in NUMERIC_SOURCES])
 
 
-def quantile_edges(values: DataFrame, n_bins: int = 10, key: str = "code", ranges: int = 32) -> DataFrame:
+def _cell(cuts: Column, value: Column) -> Column:
+    """Where a value stands among ascending cuts: 2j + 1 on cut j, 2j between the cuts before and at j. NaN is above all."""
+    below = F.size(F.filter(cuts, lambda c: c < value))
+    return 2 * below + F.when(F.get(cuts, below) == value, 1).otherwise(0)
+
+
+def rank_brackets(values: DataFrame, key: str, n_bins: int, k: int, error: float) -> DataFrame:
+    """(known, total, cuts, inside): cuts around each percentile's rank from a mergeable rank sketch of k items, and which of
+    the gaps between cuts (the first below them, the last above) lie in a bracket. Keys of up to k values are one gap."""
+    ranks = [(max(0.0, i / n_bins - error), min(1.0, i / n_bins + error)) for i in range(n_bins + 1)]
+    sketch = values.groupBy(F.col(key).alias("known")).agg(F.count("*").alias("total"), F.kll_sketch_agg_double("value", F.lit(k)).alias("sketch"))
+    sketch = sketch.where(F.col("total") >= n_bins)
+    large = (F.col("total") > k) & (F.kll_sketch_get_n_double("sketch") > 0)
+    at = F.when(large, F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(r) for pair in ranks for r in pair]))).otherwise(F.array().cast("array<double>"))
+    # nothing of a sketch stays in the table: a few numbers a key
+    found = sketch.select("known", "total", at.alias("at")).withColumn("cuts", F.array_sort(F.array_distinct("at")))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(n_bins)), lambda i: F.struct(F.get("at", 2 * i).alias("low"), F.get("at", 2 * i + 1).alias("high")))
+    gap = lambda j: F.exists(ends, lambda e: (e.low <= F.get("cuts", j - 1)) & (e.high >= F.get("cuts", j)))
+    inside = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda j: F.coalesce(gap(j), F.lit(False)) | (F.size("cuts") == 0))
+    return found.select("known", "total", "cuts", inside.alias("inside"))
+
+
+def quantile_edges(values: DataFrame, n_bins: int = 10, key: str = "code", k: int = 2048, error: float = 0.003) -> DataFrame:
     """(key, edges array<double>): distinct values of the linear-interpolated percentiles, for keys with n_bins values or more.
 
-    Values are counted before they are ordered. Approximate percentiles cut the values of a key into ranges of about equal
-    numbers; the counts of the ranges say which of them hold the two values on either side of each percentile, and only
-    these ranges are ordered, each by itself. The two values are interpolated exactly as a + d*t for t < 0.5, else
-    b - d*(1 - t).
+    A first reading sketches the ranks of each key's values. A second one counts values by the gaps between the sketch's
+    brackets, and single values inside brackets only, so that a few per cent of the distinct values are shuffled and ordered.
+    The counts say where each wanted rank truly lies; should one lie outside its bracket, that gap's values are counted in
+    a third reading. The two values around each rank are interpolated exactly as a + d*t for t < 0.5, else b - d*(1 - t).
     """
-    counted = values.where(F.col("value").isNotNull()).groupBy(key, "value").agg(F.count("*").alias("n"))
-    cuts = F.approx_percentile("value", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges))
-    known = counted.groupBy(F.col(key).alias("known")).agg(F.sum("n").alias("total"), cuts.alias("cuts")).where(F.col("total") >= n_bins)
-    ranged = counted.join(known, F.col(key) == F.col("known")).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).select(key, "value", "n", "total", "range")
-    sums = ranged.groupBy(F.col(key).alias("known"), F.col("range").alias("at"), "total").agg(F.sum("n").alias("held"))
-    sums = sums.withColumn("before", F.sum("held").over(Window.partitionBy("known").orderBy("at")) - F.col("held"))
-    rank = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(100.0 * i / n_bins / 100).alias("p")) for i in range(n_bins + 1)])
+    held = values.where(F.col("value").isNotNull()).select(F.col(key).alias("key"), F.col("value").cast("double").alias("value"))
+    brackets = written(rank_brackets(held, "key", n_bins, k, error), "brackets")
+    placed = held.join(brackets, F.col("key") == F.col("known")).withColumn("cell", _cell(F.col("cuts"), F.col("value")))
+    single = (F.col("cell") % 2 == 1) | F.get("inside", F.shiftright("cell", 1))
+    counted = placed.withColumn("value", F.when(single, F.col("value"))).groupBy("key", "cell", "value").agg(F.count("*").alias("n"))
+    counted = written(counted, "counts")
+    # at most two cells for each of the few cuts of a key
+    before = F.sum("held").over(Window.partitionBy("key").orderBy("cell")) - F.col("held")
+    cells = counted.groupBy("key", "cell").agg(F.sum("n").alias("held"), F.count("value").alias("singles")).withColumn("before", before)
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(100.0 * i / n_bins / 100).alias("p")) for i in range(n_bins + 1)])
     h = (F.col("total") - 1) * F.col("q.p")
-    ranks = {"low": F.floor(h), "t": h - F.floor(h), "high": F.least(F.floor(h) + 1, F.col("total") - 1)}
-    # a range answers for the ranks [before, before + held), and so does a row
-    in_range = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("held"))
-    wanted = sums.withColumn("q", F.explode(rank)).withColumns(ranks).where(in_range(F.col("low")) | in_range(F.col("high")))
-    wanted = wanted.groupBy("known", "at", "before").agg(F.collect_list(F.struct("q.i", "low", "high", "t")).alias("ranks"))
-    by = Window.partitionBy(key, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranged.join(wanted, (F.col(key) == F.col("known")) & (F.col("range") == F.col("at")))
-    rows = rows.withColumn("upto", F.col("before") + F.sum("n").over(by)).select(key, "value", "n", "upto", F.inline("ranks"))
-    has = lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto"))
-    rows = rows.where(has(F.col("low")) | has(F.col("high")))
-    ends = rows.groupBy(key, "i").agg(F.max(F.when(has(F.col("low")), F.col("value"))).alias("a"), F.max(F.when(has(F.col("high")), F.col("value"))).alias("b"), F.first("t").alias("t"))
+    wanted = brackets.select("known", "total", F.explode(ranks).alias("q"))
+    wanted = wanted.select("known", F.col("q.i").alias("i"), F.floor(h).alias("low"), F.least(F.floor(h) + 1, F.col("total") - 1).alias("high"), (h - F.floor(h)).alias("t"))
+    holds = lambda r, upto, n: (r >= upto - n) & (r < upto)
+    upto, size = F.col("before") + F.col("held"), F.col("held")
+    asked = cells.join(wanted, F.col("key") == F.col("known")).where(holds(F.col("low"), upto, size) | holds(F.col("high"), upto, size))
+    asked = written(asked.groupBy("key", "cell", "before", "singles").agg(F.collect_list(F.struct("i", "low", "high", "t")).alias("ranks")), "asked")
+    rows = counted.where("value is not null")
+    missed = asked.where("singles = 0").select("key", "cell")
+    if not missed.isEmpty():
+        more = placed.join(missed, ["key", "cell"]).groupBy("key", "cell", "value").agg(F.count("*").alias("n"))
+        rows = rows.unionByName(more)
+    by = Window.partitionBy("key", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(asked, ["key", "cell"]).withColumn("upto", F.col("before") + F.sum("n").over(by))
+    rows = rows.select("key", "value", "n", "upto", F.inline("ranks"))
+    has = lambda r: holds(F.col(r), F.col("upto"), F.col("n"))
+    ends = rows.where(has("low") | has("high")).groupBy("key", "i").agg(F.max(F.when(has("low"), F.col("value"))).alias("a"), F.max(F.when(has("high"), F.col("value"))).alias("b"), F.first("t").alias("t"))
     d = F.col("b") - F.col("a")
     edge = F.when(F.col("t") < 0.5, F.col("a") + d * F.col("t")).otherwise(F.col("b") - d * (1 - F.col("t")))
-    return ends.groupBy(key).agg(F.array_sort(F.collect_set(edge)).alias("edges"))
+    return ends.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_set(edge)).alias("edges"))
 
 
 def clinical_edges(like: DataFrame) -> DataFrame:

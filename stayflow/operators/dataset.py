@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from stayflow.functions import constants as C
 
-SLICES = 64
 UNK, PAD, CONT = (C.SPECIAL_TOKENS.index(t) for t in ("[UNK]", "[PAD]", "[CONT]"))
 
 
@@ -109,7 +108,7 @@ def token_batches(chunk_rows: DataFrame, budget: int, seed: int | None = None) -
 
     steps = counts.coalesce(1).mapInPandas(plan, "length int, `from` long, upto long, first long, each long")
     # a length may hold most chunks, so they are numbered in slices, and slices are counted up within their length
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("hospitalization_id", "chunk"), F.lit(SLICES)).cast("int"))
+    rows = rows.withColumn("slice", F.substring(F.md5(F.concat_ws("/", "hospitalization_id", "chunk")), 1, 2))
     sizes = rows.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = sizes.select(F.col("length").alias("sl"), F.col("slice").alias("ss"), (F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("length", "slice").orderBy("hospitalization_id", "chunk"))
@@ -125,8 +124,8 @@ def token_batches(chunk_rows: DataFrame, budget: int, seed: int | None = None) -
 def shuffled(batch_rows: DataFrame, seed: int) -> DataFrame:
     """Batches numbered anew in the order of a seeded hash. Batches, not rows, are numbered: in ranges of the hash, and
     ranges are counted up, so that no task orders all batches."""
-    batches = batch_rows.select("batch").distinct().withColumn("hash", F.xxhash64(F.lit(seed), "batch"))
-    batches = batches.withColumn("range", F.shiftright("hash", 52))
+    batches = batch_rows.select("batch").distinct().withColumn("hash", F.md5(F.concat_ws("/", F.lit(str(seed)), "batch")))
+    batches = batches.withColumn("range", F.substring("hash", 1, 3))
     sizes = batches.groupBy(F.col("range").alias("r")).agg(F.count("*").alias("n"))
     before = sizes.select("r", (F.sum("n").over(Window.orderBy("r")) - F.col("n")).alias("before"))  # 4096 rows at most
     place = F.row_number().over(Window.partitionBy("range").orderBy("hash", "batch")) - 1

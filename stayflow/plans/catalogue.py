@@ -255,7 +255,7 @@ _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "metric_auprc": lambda r: rounded(metrics.auprc(r.preds), "auprc"),
     "metric_brier": lambda r: rounded(metrics.brier(r.preds), "brier"),
     "metric_ece": lambda r: rounded(metrics.ece(r.preds), "ece"),
-    "metric_bootstrap": lambda r: metrics.bootstrap_auroc(r.preds, n=100),
+    "metric_bootstrap": lambda r: rounded(metrics.bootstrap_auroc(r.preds, n=100), "low", "median", "high"),
     "calibration_curve": lambda r: rounded(metrics.calibration(r.preds), "mean_predicted", "mean_actual"),
     "metrics_grouped": lambda r: rounded(r.metrics, "auroc", "auprc", "brier", "ece"),
     "metrics_json": lambda r: reports.metrics_json(rounded(r.metrics, "auroc", "auprc", "brier", "ece")),

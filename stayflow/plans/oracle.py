@@ -6,6 +6,8 @@ that a wrong one shows. Shared are the test tables, the names of special tokens
 
 from __future__ import annotations
 
+import math
+
 from stayflow.functions import constants as C
 from stayflow.sources.adapter import event_ctes
 
@@ -289,6 +291,37 @@ preds as (select event_id, event_type as label, case k % 3 when 0 then 8 when 1
 """
 
 
+def _mixed(key: str) -> str:
+    """A key of 28 bits with the number d of a draw."""
+    return f"(({key} * 48271 + d * 69621 + 1) % 2147483647)"
+
+
+def _poisson(mean: str, u: str, z: str) -> str:
+    tables = "[" + ", ".join("[" + ", ".join(f"{c!r}::double" for c in _poisson_table(m)) + "]" for m in range(1, 9)) + "]"
+    return f"case when {mean} <= 0 then 0 when {mean} <= 8 then len(list_filter({tables}[{mean}], lambda c: c < {u})) else greatest(0, floor({mean} + sqrt({mean}) * {z} + ({z} * {z} - 1) / 6 + 0.5)) end"
+
+
+def _poisson_table(mean: int) -> list[float]:
+    found, term = [], math.exp(-mean)
+    for k in range(40):
+        found.append((found[-1] if found else 0.0) + term)
+        term *= mean / (k + 1)
+    return found
+
+
+#: Bootstrap of AUROC: 100 resamples, each count per (group, score, class) weighed by a Poisson number of its digest.
+_ROUND = lambda c: f"(((({c} * ({c} + 2 * d + 1)) % 2147483647) * 48271 + d) % 2147483647) as {c}"
+BOOTSTRAP = f""", bs as (select label, horizon_hours, p, sum(y::int)::bigint as pos, (count(*) - sum(y::int))::bigint as neg, md5('42/' || label || '/' || horizon_hours || '/' || floor(p * 1e15)::bigint) as h from preds group by 1, 2, 3),
+b0 as (select *, d, {", ".join(f"{_mixed(f"('0x' || h[{7 * i + 1}:{7 * i + 7}])::bigint")} as x{i}" for i in range(3))} from bs, range(1, 101) r(d)),
+{", ".join(f"b{k} as (select * exclude (x0, x1, x2), {', '.join(_ROUND(f'x{i}') for i in range(3))} from b{k - 1})" for k in (1, 2, 3))},
+bu as (select *, (x0 + 0.5::double) / 2147483647 as u, (x1 + 0.5::double) / 2147483647 as v, (x2 + 0.5::double) / 2147483647 as w from b3),
+bz as (select *, sqrt(-2 * ln(u)) * cos(2 * pi() * w) as z0, sqrt(-2 * ln(u)) * sin(2 * pi() * w) as z1 from bu),
+bp as (select label, horizon_hours, d, p, {_poisson("pos", "u", "z0")} as dp, {_poisson("neg", "v", "z1")} as dn from bz),
+br as (select *, sum(dn) over (partition by label, horizon_hours, d order by p rows unbounded preceding) - dn / 2 as below from bp),
+ba as (select label, horizon_hours, d, case when sum(dp) > 0 and sum(dn) > 0 then sum(dp * below) / (sum(dp) * sum(dn)) end as auroc from br group by 1, 2, 3)
+select label, horizon_hours, {", ".join(f"round(coalesce(quantile_cont(auroc, {q}), 0), 6) as {n}" for q, n in ((0.025, "low"), (0.5, "median"), (0.975, "high")))} from ba group by 1, 2"""
+
+
 def metric_ctes(by: str) -> str:
     join = lambda t: f"left join {t} using ({by})"
     return f""", ms as (select {by}, p, sum(y::int) as pos, count(*) as n from preds group by all),
@@ -318,6 +351,8 @@ FINAL: dict[str, str] = {
     "decoded_tokens": "select hospitalization_id, pos::int as pos, token, make_timestamp(ts_us) as time from toks join vocab on token_id = id",
     "model_shares": "select token_id::int as token_id, next_id::int as next_id, n, round(n / sum(n) over (partition by token_id), 9) as share from bigrams",
     "model_loss": f"select round(sum(nll * w) / greatest(sum(w), 1), 6) as loss, count(*) as tokens from (select case when f.next_id = 0 then 0 else -ln(coalesce(b.n / b.total, 0) * (1 - 1e-6::double) + 1e-6::double / (select count(*) from vocab)) end as nll, case when f.next_id in (select id from vocab where {_WEIGHED}) then 75.0::double else 1.0::double end as w from follow f left join (select *, sum(n) over (partition by token_id) as total from bigrams) b on b.token_id = f.token_id and b.next_id = f.next_id where f.hospitalization_id not in (select hospitalization_id from train))",
+    "shuffled_batches": f"""select new as batch, hospitalization_id, chunk, len as length from (select *, row_number() over (order by md5('42/' || batch), batch) - 1 as new from (select distinct batch from greedy))
+      join greedy using (batch) join (select hospitalization_id, chunk::int as chunk, len(ids)::int as len, row_number() over (order by len(ids), md5(hospitalization_id || '/' || chunk)[1:2], hospitalization_id, chunk) as i from chunk_list) using (i)""",
     "dynamic_batches": f"select batch, count(*) as n_chunks, max(len)::int as width, sum(len)::bigint as n_tokens, (max(len) * count(*) - sum(len))::bigint as n_padding from (select g.batch, l.len from greedy g join lens l on l.i = g.i) group by 1",
     "code_profile": "select code, event_count, admission_count, included from profile",
     "quantile_edges": "select code, edge_idx::int as edge_idx, round(edge, 6) as edge from nv_edges",
@@ -383,6 +418,7 @@ FINAL: dict[str, str] = {
     "run_statistics": "select count(distinct hospitalization_id) as stays, count(*) as events, count(*) filter (mod = 'LABEL') as labels, count(*) filter (mod = 'ECG') as ecg_events, count(*) filter (mod = 'CLOCK') as clock_tokens, count(*) filter (mod = 'DT') as gap_tokens from log",
 }
 _METRICS: dict[str, str] = {
+    "metric_bootstrap": BOOTSTRAP,
     "metric_auroc": _LH + "select label, horizon_hours, round(auroc, 6) as auroc from metrics",
     "metric_auprc": _LH + "select label, horizon_hours, round(auprc, 6) as auprc from metrics",
     "metric_brier": _LH + "select label, horizon_hours, round(brier, 6) as brier from metrics",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stayflow.functions import constants as C
 from stayflow.functions.expressions import age_bucket, bin_of, gap_token, priority
 from stayflow.operators import bins, dataset, metrics, model, windows
+from stayflow.sources import store
 
 
 def test_bin_lookup(spark):
@@ -172,11 +173,27 @@ def test_bootstrap_against_resampling(spark):
 
 @pytest.mark.parametrize("mean", [0, 1, 5, 8, 9, 40, 5000])
 def test_poisson_numbers(spark, mean):
-    n = 20_000
-    df = spark.range(n).withColumns({"m": F.lit(mean).cast("long"), "u": metrics._uniform(F.lit("a"), "id"), "v": metrics._uniform(F.lit("b"), "id")})
-    z = F.sqrt(-2 * F.log("u")) * F.cos(2 * F.pi() * F.col("v"))
-    got = np.array([r[0] for r in df.select(metrics.poisson(F.col("m"), F.col("u"), z)).collect()])
+    keys, draws = np.random.default_rng(2).integers(0, 1 << 28, (3, 200)), np.arange(1, 101)
+    u, w = (metrics.uniform(k, draws) for k in keys[:2])
+    got = metrics.poisson(np.full(200, mean), u, np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * w))
     assert abs(got.mean() - mean) <= 0.03 * max(mean, 1) and abs(got.var() - mean) <= 0.05 * max(mean, 1) and got.min() >= 0
+    assert abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u.ravel(), w.ravel())[0, 1]) < 0.02 and abs(np.corrcoef(u[:, :-1].ravel(), u[:, 1:].ravel())[0, 1]) < 0.02
+
+
+def test_ranges_are_of_equal_depth_however_scores_lie(spark):
+    """99 % of the scores below 0.001: no range holds many more of them than its share."""
+    df = spark.range(60_000).selectExpr("'a' as label", "8 as horizon_hours", "case when id % 100 = 0 then rand(1) else rand(2) / 1000 end as predicted_prob", "id % 7 = 0 as actual_positive")
+    sizes = metrics.in_ranges(df, metrics.GROUP).groupBy("range").count().toPandas()["count"]
+    assert len(sizes) == metrics.RANGES and sizes.max() < 2 * 60_000 / metrics.RANGES
+
+
+def test_bootstrap_shuffles_scores_not_draws(spark):
+    df = spark.range(3000).selectExpr("'a' as label", "8 as horizon_hours", "rand(1) as predicted_prob", "rand(3) < 0.3 as actual_positive")
+    plan = metrics.bootstrap_auroc(df, n=500)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "explode" not in below and "Generate" not in below
+    found, whole = metrics.bootstrap_auroc(df, n=500).first(), metrics.auroc(df).first()["auroc"]
+    assert found["low"] < whole < found["high"] and abs(found["median"] - whole) < 0.01
 
 
 def test_running_sums_go_through_ranges(spark):
@@ -192,13 +209,41 @@ def test_quantile_edges_of_hot_and_odd_values(spark):
     rng = random.Random(4)
     values = {"hot": [rng.gauss(80, 1e-3) for _ in range(5000)], "one": [3.5] * 2000, "two": [0.0] * 900 + [1.0] * 901, "few": [1.0] * 9, "huge": [10.0 ** rng.randint(-300, 300) * rng.choice([-1, 1]) for _ in range(700)]}
     df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("hot", None), (None, 1.0)], "code string, value double")
-    got = {r["code"]: r["edges"] for r in bins.quantile_edges(df, ranges=7).collect()}
+    got = {r["code"]: r["edges"] for r in bins.quantile_edges(df, k=64, error=0.02).collect()}
     assert set(got) == {"hot", "one", "two", "huge"}
     for k in got:
         want = np.unique(np.percentile(values[k], np.linspace(0, 100, 11)))
         assert len(want) == len(got[k]) and np.allclose(got[k], want, rtol=1e-12, atol=0)
 
 
+@pytest.mark.parametrize(("k", "error"), [(8, 0.0), (64, 0.0), (64, 0.05), (4096, 0.003)])
+def test_quantile_edges_when_brackets_miss(spark, k, error):
+    """Brackets of no width, or of a sketch that is too coarse, miss ranks; edges are exact all the same."""
+    rng = np.random.default_rng(k)
+    values = {"a": rng.normal(0, 1, 20_000), "b": np.exp(rng.normal(0, 4, 9_000)), "c": rng.integers(0, 40, 9_000).astype(float), "d": np.concatenate([np.full(8_000, 2.5), rng.normal(0, 1, 2_000)])}
+    df = spark.createDataFrame([(c, float(v)) for c, vs in values.items() for v in vs], "code string, value double").repartition(4)
+    got = {r["code"]: r["edges"] for r in bins.quantile_edges(df, k=k, error=error).collect()}
+    for c, vs in values.items():
+        assert got[c] == np.unique(np.percentile(vs, np.linspace(0, 100, 11))).tolist(), c
+
+
+def test_quantile_edges_read_values_twice_and_shuffle_few(spark, tmp_path, monkeypatch):
+    spark.range(200_000).selectExpr("concat('c', id % 3) as code", "rand(5) as value").write.parquet(f"{tmp_path}/v.parquet")
+    seen = []
+
+    def written(df, tag):
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        paths = [leaves.apply(i).relation().location().rootPaths().mkString() for i in range(leaves.size())]
+        seen.append((tag, sum(p.endswith("/v.parquet") for p in paths), store.written(df, tag)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(bins, "written", written)
+    assert len(bins.quantile_edges(spark.read.parquet(f"{tmp_path}/v.parquet")).collect()) == 3
+    assert sum(n for _, n, _ in seen) == 2
+    counts = next(df for tag, _, df in seen if tag == "counts")
+    assert counts.count() < 200_000 * 0.12
+
+
 def test_similarity_bins(spark):
     edges = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
     rows = spark.createDataFrame([(0.1, edges), (0.5, edges), (0.9, edges), (2.0, edges), (0.3, None)], "v double, e array<double>")
