@@ -58,21 +58,10 @@ class TokenConfig:
 
 @dataclass
 class TrainingConfig:
-    model: str = "count"  # or "factor"
-    size: str = "tiny"
-    max_len: int | None = None  # None: that of the size
+    max_len: int = 32768
     overlap: int = 256
     token_budget: int = 32768
     label_weight: float = 75.0
-    epochs: int = 1
-    learning_rate: float = 3e-4
-    weight_decay: float = 0.1
-    beta1: float = 0.9
-    beta2: float = 0.95
-    warmup_steps: int = 100
-    max_norm: float = 1.0
-    patience: int = 5
-    min_delta: float = 1e-3
     seed: int = 42
 
 
@@ -81,8 +70,6 @@ class EvaluationConfig:
     horizons: tuple[int, ...] = (8, 24, 48)
     max_days: int = 7
     max_context: int = 8192
-    backend: str = "table"
-    model_path: str = ""
     n_samples: int = 8
     max_new_tokens: int = 500
     temperature: float = 1.0

@@ -1,26 +1,21 @@
 """A next-token model of counts, its loss, and sampled continuations: what the evaluation needs from a language model.
 
-A backend turns windows with context_ids into samples (hospitalization_id, window_id, sample_id, tokens). "table" samples
-from a table of successors; `engine_backend` makes one of any engine with a generate method, which is built once on each
-Python worker; engines that run elsewhere exchange the same tables.
+Model and samples are tables. Engines that run elsewhere give samples (hospitalization_id, window_id, sample_id, tokens) for
+windows with context_ids, and evaluation takes them as it takes those of generate().
 """
 
 from __future__ import annotations
 
-import math
-import random
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Protocol
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayflow.functions import constants as C
+from stayflow.sources.store import written
 
 PAD = C.SPECIAL_TOKENS.index("[PAD]")
-SAMPLES = "hospitalization_id string, window_id int, sample_id int, tokens array<int>"
 
 
 @dataclass(frozen=True)
@@ -69,138 +64,110 @@ def loss(rows: DataFrame, model: DataFrame, vocab_size: int, label_weight: float
     return joined.agg((F.sum(surprise * weight) / F.greatest(F.sum(weight), F.lit(1.0))).alias("loss"), F.count("*").alias("tokens"))
 
 
-def choose(successors: list[tuple[int, float]], how: Generation, rng: random.Random) -> int:
-    """One of the successors (most likely first) after temperature, top-k and top-p."""
-    if how.top_k:
-        successors = successors[: how.top_k]
-    if how.temperature <= 0:
-        return successors[0][0]
-    weights = [math.exp(math.log(p) / how.temperature) for _, p in successors]
-    total, kept, mass = sum(weights), [], 0.0
-    for (token, _), w in zip(successors, weights, strict=True):
-        kept.append((token, w))
-        mass += w / total
-        if mass >= how.top_p:
+def _alias(weights: list[float]) -> tuple[list[float], list[int]]:
+    """An alias table: slot j is kept with the first number, else the slot of the second number is taken."""
+    n = len(weights)
+    left = [w * n for w in weights]
+    keep, other = [1.0] * n, list(range(n))
+    small, large = [j for j, w in enumerate(left) if w < 1], [j for j, w in enumerate(left) if w >= 1]
+    while small and large:
+        j, k = small.pop(), large[-1]
+        keep[j], other[j] = left[j], k
+        left[k] -= 1 - left[j]
+        if left[k] < 1:
+            small.append(large.pop())
+    return keep, other
+
+
+def successors(model: DataFrame, how: Generation) -> DataFrame:
+    """(token_id, next_id, share): what temperature, top-k and top-p leave of each token's successors, with shares that sum to
+    1. The most likely come first, equal ones by id; the last one that top-p keeps is that which reaches it. A temperature
+    of 0 or below leaves the most likely one."""
+    of = Window.partitionBy("token_id").orderBy(F.desc("share"), "next_id")
+    rows = model.where("share > 0").withColumn("rank", F.row_number().over(of))
+    most = 1 if how.temperature <= 0 else how.top_k
+    rows = rows.where(F.col("rank") <= most) if most else rows
+    rows = rows.withColumn("w", F.pow("share", F.lit(1.0 / how.temperature)) if how.temperature > 0 else F.lit(1.0))
+    whole = Window.partitionBy("token_id")
+    before = F.sum("w").over(of.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
+    rows = rows.withColumn("before", before / F.sum("w").over(whole)).where((F.col("before") < how.top_p) | (F.col("rank") == 1))
+    return rows.select("token_id", "next_id", (F.col("w") / F.sum("w").over(whole)).alias("share"))
+
+
+def alias_tables(chosen: DataFrame) -> DataFrame:
+    """(token_id, nexts, keep, other) of successors(): a row for each token, from which one slot number and one coin draw a
+    successor. Its arrays are as long as the token has successors."""
+
+    def tables(rows: pa.Array) -> pa.Array:
+        made = [_alias([x["share"] for x in r]) for r in rows.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([m[0] for m in made], pa.list_(pa.float64())), pa.array([m[1] for m in made], pa.list_(pa.int32()))], names=["keep", "other"])
+
+    items = F.sort_array(F.collect_list(F.struct("next_id", "share")))
+    rows = chosen.groupBy("token_id").agg(items.alias("items"))
+    made = F.arrow_udf(tables, "struct<keep: array<double>, other: array<int>>")(F.col("items"))
+    return rows.select("token_id", F.col("items.next_id").alias("nexts"), made.alias("t")).select("token_id", "nexts", "t.keep", "t.other")
+
+
+def _uniform(*key: Column | str) -> Column:
+    """A number of [0, 1) from a hash."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 52)) / float(1 << 52)
+
+
+def generate(contexts: DataFrame, model: DataFrame, how: Generation, steps: int = 16) -> DataFrame:
+    """(hospitalization_id, window_id, sample_id, tokens) for windows (hospitalization_id, window_id, context_ids).
+
+    All samples go a token further with each join with the alias tables, a row for each token. After `steps` joins samples
+    are written, and those that have ended leave. A sample ends with a stop token, at the clock limit, at a token without
+    successors (as an empty context is), or after max_new_tokens. Its random numbers are hashes of the seed, the window, its
+    own number and the step, so that a repeated task gives the same.
+    """
+    tables = written(alias_tables(successors(model, how)).withColumnRenamed("token_id", "of"), "alias")
+    key = ["hospitalization_id", "window_id", "sample_id"]
+    rows = contexts.select("hospitalization_id", "window_id", F.try_element_at("context_ids", F.lit(-1)).alias("last"), F.explode(F.sequence(F.lit(0), F.lit(how.n_samples - 1))).alias("sample_id"))
+    rows = rows.select(*key, "last", F.array().cast("array<int>").alias("tokens"), F.lit(0).alias("clocks"), F.lit(how.max_new_tokens > 0).alias("open"))
+    ended = None
+    for first in range(0, max(1, how.max_new_tokens), steps):
+        for step in range(first, min(first + steps, how.max_new_tokens)):
+            rows = _advanced(rows, tables, how, step, key)
+        rows = written(rows, "samples")
+        done = rows.where("not open").select(*key, "tokens")
+        ended = done if ended is None else ended.unionByName(done)
+        rows = rows.where("open")
+        if rows.isEmpty():
             break
-    return rng.choices([t for t, _ in kept], [w for _, w in kept])[0]
-
-
-def generate(contexts: DataFrame, model: DataFrame, how: Generation, bound: int = 2_000_000) -> DataFrame:
-    """SAMPLES for windows (hospitalization_id, window_id, context_ids). A sample ends before a stop token's successor,
-    at the clock limit, at a token without successors, or after max_new_tokens; its random numbers depend on the seed,
-    the window and its own number alone, so that a repeated task gives the same."""
-    if how.top_k:  # what is below it is never drawn
-        of = Window.partitionBy("token_id").orderBy(F.desc("share"), "next_id")
-        model = model.withColumn("rank", F.row_number().over(of)).where(F.col("rank") <= how.top_k).drop("rank")
-    rows = model.count()
-    if rows > bound:
-        raise ValueError(f"the model has {rows} rows; at most {bound} are sent to the executors")
-    after: dict[int, list[tuple[int, float]]] = {}
-    for r in model.orderBy(F.desc("share"), "next_id").toLocalIterator():
-        after.setdefault(r["token_id"], []).append((r["next_id"], r["share"]))
-    sent = contexts.sparkSession.sparkContext.broadcast(after)
-
-    def sample(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value
-        for part in parts:
-            out = []
-            for stay, window, ids in zip(part["hospitalization_id"], part["window_id"], part["context_ids"], strict=True):
-                for number in range(how.n_samples):
-                    rng, tokens, clocks = random.Random(f"{how.seed}/{stay}/{window}/{number}"), [], 0
-                    last = int(ids[-1]) if len(ids) else -1
-                    while len(tokens) < how.max_new_tokens and known.get(last):
-                        last = choose(known[last], how, rng)
-                        tokens.append(last)
-                        clocks += last in how.clocks
-                        if last in how.stop or (how.clocks and clocks >= how.clock_limit):
-                            break
-                    out.append((stay, int(window), number, tokens))
-            yield pd.DataFrame(out, columns=["hospitalization_id", "window_id", "sample_id", "tokens"])
-
-    return contexts.select("hospitalization_id", "window_id", "context_ids").mapInPandas(sample, SAMPLES)
-
-
-class Engine(Protocol):
-    """What generates: samples for one context, tokens after it only."""
-
-    def generate(self, context_ids: list[int], how: Generation) -> list[list[int]]: ...
-
-
-def ended(tokens: list[int], how: Generation) -> list[int]:
-    """A sample up to its first stop token or its clock limit, that token included, and to max_new_tokens."""
-    clocks = 0
-    for i, token in enumerate(tokens[: how.max_new_tokens]):
-        clocks += token in how.clocks
-        if token in how.stop or (how.clocks and clocks >= how.clock_limit):
-            return tokens[: i + 1]
-    return tokens[: how.max_new_tokens]
-
-
-Backend = Callable[[DataFrame, DataFrame | None, Generation], DataFrame]
-
-
-def engine_backend(factory: Callable[[], Engine]) -> Backend:
-    """A backend of an engine. factory is sent to the executors and called once in each Python worker that gets rows; samples
-    are cut at stop tokens and clock limits whether the engine does so or not."""
-
-    def run(contexts: DataFrame, model: DataFrame | None, how: Generation) -> DataFrame:
-        def sample(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            engine = None
-            for part in parts:
-                engine = engine or factory()
-                out = []
-                for stay, window, ids in zip(part["hospitalization_id"], part["window_id"], part["context_ids"], strict=True):
-                    found = engine.generate([int(i) for i in ids], how)
-                    out += [(stay, int(window), number, ended(list(tokens), how)) for number, tokens in enumerate(found[: how.n_samples])]
-                yield pd.DataFrame(out, columns=["hospitalization_id", "window_id", "sample_id", "tokens"])
-
-        return contexts.select("hospitalization_id", "window_id", "context_ids").mapInPandas(sample, SAMPLES)
-
-    return run
-
-
-class VllmEngine:
-    """An engine over vLLM, where that is installed."""
-
-    def __init__(self, path: str, memory: float = 0.9):
-        from vllm import LLM
-
-        self.model = LLM(model=path, skip_tokenizer_init=True, gpu_memory_utilization=memory)
-
-    def generate(self, context_ids: list[int], how: Generation) -> list[list[int]]:
-        from vllm import SamplingParams
-
-        wish = SamplingParams(n=how.n_samples, max_tokens=how.max_new_tokens, temperature=how.temperature, top_k=how.top_k or -1, top_p=how.top_p, stop_token_ids=list(how.stop), seed=how.seed, detokenize=False)
-        return [list(o.token_ids) for o in self.model.generate([{"prompt_token_ids": context_ids}], wish, use_tqdm=False)[0].outputs]
-
-
-class SglangEngine:
-    """An engine over SGLang, where that is installed."""
-
-    def __init__(self, path: str, memory: float = 0.9):
-        from sglang import Engine as Remote
-
-        self.model = Remote(model_path=path, skip_tokenizer_init=True, mem_fraction_static=memory)
-
-    def generate(self, context_ids: list[int], how: Generation) -> list[list[int]]:
-        wish = {"n": how.n_samples, "max_new_tokens": how.max_new_tokens, "temperature": how.temperature, "top_k": how.top_k or -1, "top_p": how.top_p, "stop_token_ids": list(how.stop)}
-        found = self.model.generate(input_ids=context_ids, sampling_params=wish)
-        return [list(o["output_ids"]) for o in (found if isinstance(found, list) else [found])]
-
-
-#: Backends by name; register() adds others.
-BACKENDS: dict[str, Backend] = {"table": lambda contexts, model, how: generate(contexts, model, how)}
-
-
-def register(name: str, backend: Backend) -> None:
-    BACKENDS[name] = backend
-
-
-def backend(name: str, path: str = "") -> Backend:
-    """A registered backend, or "vllm" or "sglang" over the model at path."""
-    if name in ("vllm", "sglang"):
-        kind = VllmEngine if name == "vllm" else SglangEngine
-        return engine_backend(lambda: kind(path))
-    if name not in BACKENDS:
-        raise ValueError(f"no backend {name}; known: {sorted([*BACKENDS, 'vllm', 'sglang'])}")
-    return BACKENDS[name]
+    return ended
+
+
+def _advanced(rows: DataFrame, tables: DataFrame, how: Generation, step: int, key: list[str]) -> DataFrame:
+    joined = rows.join(tables, F.col("open") & (F.col("last") == F.col("of")), "left")
+    drawn = lambda what: _uniform(F.lit(how.seed), F.lit(what), F.lit(step), *key)
+    slot = F.floor(drawn("slot") * F.size("nexts")).cast("int")
+    chosen = F.when(drawn("coin") < F.get("keep", slot), slot).otherwise(F.get("other", slot))
+    joined = joined.withColumn("next", F.get("nexts", chosen))
+    found = F.col("next").isNotNull()
+    clocks = F.col("clocks") + F.when(found & F.col("next").isin(*how.clocks), 1).otherwise(0) if how.clocks else F.col("clocks")
+    stops = F.col("next").isin(*how.stop) if how.stop else F.lit(False)
+    full = (clocks >= how.clock_limit) if how.clocks else F.lit(False)
+    goes = found & ~stops & ~full & F.lit(step + 1 < how.max_new_tokens)
+    return joined.select(*key, F.coalesce("next", "last").alias("last"), F.when(found, F.array_append("tokens", F.col("next"))).otherwise(F.col("tokens")).alias("tokens"), clocks.alias("clocks"), goes.alias("open"))
+
+
+def step_shares(contexts: DataFrame, model: DataFrame, how: Generation, steps: int) -> DataFrame:
+    """(step, token_id, expected): how many samples have a token at each of the first steps in the mean, exactly: the counts
+    of last tokens, multiplied by the successors' shares step by step. Stop tokens and clocks are not looked at."""
+    chosen = successors(model, how).withColumnRenamed("token_id", "of")
+    mass = contexts.select(F.try_element_at("context_ids", F.lit(-1)).alias("token_id")).groupBy("token_id").agg((F.count("*") * F.lit(float(how.n_samples))).alias("expected"))
+    found = None
+    for step in range(steps):
+        mass = mass.join(chosen, F.col("token_id") == F.col("of")).groupBy(F.col("next_id").alias("token_id")).agg(F.sum(F.col("expected") * F.col("share")).alias("expected"))
+        one = mass.select(F.lit(step).alias("step"), "token_id", "expected")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def generated_shares(samples: DataFrame, expected: DataFrame, steps: int, deviations: float = 6.0) -> DataFrame:
+    """(step, token_id, expected, n, within): how often samples have a token at a step, and whether that lies within
+    `deviations` standard deviations (of independent draws, at most the square root of what is expected) and one of it."""
+    rows = samples.select(F.posexplode(F.slice("tokens", 1, steps)).alias("step", "token_id")).groupBy("step", "token_id").agg(F.count("*").alias("n"))
+    joined = expected.join(rows, ["step", "token_id"], "full").select("step", "token_id", F.coalesce("expected", F.lit(0.0)).alias("expected"), F.coalesce("n", F.lit(0)).alias("n"))
+    return joined.withColumn("within", F.abs(F.col("n") - F.col("expected")) <= deviations * F.sqrt("expected") + 1)

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import time
 from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayflow.config import Config
 from stayflow.functions import constants as C
-from stayflow.operators import bins, dataset, extract, insert, labels, metrics, model, profile, reports, split, tokens, training, windows
-from stayflow.sources.catalog import ARTIFACTS, Catalog, StageResult, id_map, load_artifact, read_ecg_csv, save_json, write_log
+from stayflow.operators import bins, dataset, extract, insert, labels, metrics, model, profile, reports, split, tokens, windows
+from stayflow.sources.catalog import Catalog, StageResult, id_map, load_artifact, read_ecg_csv, save_json, write_log
 
 
 def _save(df: DataFrame, config: Config, name: str) -> DataFrame:
@@ -74,39 +73,20 @@ def _part(spark: SparkSession, config: Config, t: Catalog, name: str) -> DataFra
 
 
 def train_run(spark: SparkSession, config: Config, t: Catalog | None = None) -> StageResult:
-    """A model of successors (counted, or trained in factors with schedule, early stopping and checkpoints), its loss on the
-    validation part, and chunked batches for trainers elsewhere."""
+    """A model of counted successors, its loss on the validation part, and chunked batches for trainers elsewhere."""
     began, how = time.time(), config.training
     t = t or Catalog.from_parquet(spark, config.data.tables, config.data.prefix)
     vocab = load_artifact(spark, "vocabulary", config.data.output)
     labelled = dataset.label_ids(vocab)
     fit, held = (dataset.label_mask(dataset.filter_route(_token_rows(_part(spark, config, t, p)), vocab, config.ecg.route), labelled) for p in ("train", "val"))
-    if how.model == "factor":
-        learned = _train_factors(spark, config, fit, held, vocab.count())
-    elif how.model == "count":
-        learned = model.train(fit)
-    else:
-        raise ValueError(f"no model {how.model}")
-    learned = _save(learned, config, "model")
+    learned = _save(model.train(fit), config, "model")
     score = model.loss(held, learned, vocab.count(), how.label_weight).first()
     important = [r["id"] for r in labelled.collect()]
-    chunked = dataset.chunks(_part(spark, config, t, "train"), how.max_len or training.PRESETS[how.size].max_pos, how.overlap, important)
+    chunked = dataset.chunks(_part(spark, config, t, "train"), how.max_len, how.overlap, important)
     _save(dataset.token_batches(chunked, how.token_budget, how.seed), config, "batches")
     return StageResult(True, f"{config.data.output}/model.parquet", time.time() - began, score.asDict())
 
 
-def _train_factors(spark: SparkSession, config: Config, fit: DataFrame, held: DataFrame, vocabulary: int) -> DataFrame:
-    how = config.training
-    # a row for each pair of tokens that stand side by side: as large as the vocabulary's pairs, not as the log
-    tables = [training.Pairs(training.weighed_pairs(rows, how.label_weight).toPandas(), vocabulary) for rows in (fit, held)]
-    optimiser = training.Optimiser(how.learning_rate, how.weight_decay, how.beta1, how.beta2, how.warmup_steps, how.max_norm)
-    best = Path(config.data.output) / "checkpoint.npz"
-    best.parent.mkdir(parents=True, exist_ok=True)
-    found, history = training.fit(*tables, training.PRESETS[how.size].d_model, how.epochs, optimiser=optimiser, stopping=training.EarlyStopping(how.patience, how.min_delta), checkpoint=best.write_bytes, seed=how.seed)
-    _save(spark.createDataFrame(history, ARTIFACTS["training"]), config, "training")
-    return found.table(spark)
-
-
 def evaluate_run(spark: SparkSession, config: Config, t: Catalog | None = None, samples: DataFrame | None = None) -> StageResult:
     """Windows, truth, probabilities from samples (the count model's, if none are given) and metrics."""
     began, how = time.time(), config.evaluation
@@ -123,8 +103,7 @@ def evaluate_run(spark: SparkSession, config: Config, t: Catalog | None = None,
         stop = tuple(i for name, i in ids.items() if not name.startswith("CLOCK//"))
         limit = max(h // config.time.clock_hours for h in how.horizons)
         wish = model.Generation(how.n_samples, how.max_new_tokens, how.temperature, how.top_k, how.top_p, stop, tuple(clocks), limit)
-        learned = _read(spark, config, "model") if how.backend == "table" else None
-        samples = model.backend(how.backend, how.model_path)(windows.contexts(found, seqs, how.max_context), learned, wish)
+        samples = model.generate(windows.contexts(found, seqs, how.max_context), _read(spark, config, "model"), wish)
     samples = _save(samples, config, "samples")
     truth = windows.horizon_truth(found, rows, label_tokens, how.horizons)
     predicted = windows.probabilities(samples, label_tokens, clocks, ids.get(windows.DEATH), how.horizons, config.time.clock_hours)
@@ -133,7 +112,7 @@ def evaluate_run(spark: SparkSession, config: Config, t: Catalog | None = None,
     if how.n_bootstrap:
         _save(metrics.bootstrap_auroc(scored, n=how.n_bootstrap, confidence=how.confidence), config, "intervals")
     groups = result.count()
-    save_json({r["key"]: r["json"] for r in reports.metrics_json(result).collect()}, f"{config.data.output}/metrics.json")
+    save_json(spark, {r["key"]: r["json"] for r in reports.metrics_json(result).collect()}, f"{config.data.output}/metrics.json")
     return StageResult(True, f"{config.data.output}/metrics.parquet", time.time() - began, {"groups": groups, "windows": found.count()})
 
 
@@ -156,7 +135,7 @@ def ablation_run(spark: SparkSession, config: Config, t: Catalog | None = None,
         evaluate_run(spark, config, t)
         own = _save(_read(spark, config, "metrics").withColumn("route", F.lit(route)), config, f"metrics_{route}")
         parts = own if parts is None else parts.unionByName(own)
-    save_json(reports.route_summary(parts), f"{out}/ablation_summary.json")
+    save_json(spark, reports.route_summary(parts), f"{out}/ablation_summary.json")
     return parts
 
 

@@ -6,13 +6,12 @@ import json
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, is_dataclass
 from functools import cache
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stayflow.sources.store import delete
+from stayflow.sources.store import delete, write_text
 
 #: Declared columns of each source table. Columns that a file lacks are added as nulls of their type.
 SCHEMAS: dict[str, str] = {
@@ -122,16 +121,14 @@ def id_map(stays: DataFrame) -> DataFrame:
     return ids.where("hadm_id is not null").join(F.broadcast(bad), F.col("bad") == 0).select("hadm_id", "hospitalization_id")
 
 
-def save_json(artifact, path: str) -> None:
-    """A small artifact (dataclass, dictionary or collected rows) as JSON."""
+def save_json(spark: SparkSession, artifact, path: str) -> None:
+    """A small artifact (dataclass, dictionary or collected rows) as JSON, in whatever file system the path names."""
     data = asdict(artifact) if is_dataclass(artifact) else [r.asDict(recursive=True) for r in artifact.collect()] if isinstance(artifact, DataFrame) else artifact
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps(data, indent=2, default=str))
+    write_text(spark, path, json.dumps(data, indent=2, default=str))
 
 
-def load_json(path: str):
-    return json.loads(Path(path).read_text())
+def load_json(spark: SparkSession, path: str):
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 #: Declared columns of the artifacts that a run leaves behind.
@@ -142,7 +139,6 @@ ARTIFACTS: dict[str, str] = {
     "token_edges": "code string, edges array<double>",
     "similarity_edges": "branch string, edges array<double>",
     "vocabulary": "token string, id int",
-    "training": "epoch int, train_loss double, val_loss double, learning_rate double",
     "intervals": "label string, horizon_hours int, low double, median double, high double",
 }
 

@@ -130,6 +130,16 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in the file system that the path names; one that is there is replaced."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """A path with its scheme, resolved as Spark does it: without one it lies in the default file system."""
     jvm = spark.sparkContext._jvm

@@ -3,14 +3,12 @@
 import json
 from datetime import timedelta
 
-import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from stayflow import cli
 from stayflow.config import Config
-from stayflow.operators import labels, model, training
+from stayflow.operators import labels, model
 from stayflow.plans import runs
 from stayflow.sources.adapter import event_catalog
 from stayflow.sources.catalog import Catalog, export_artifact, load_artifact, load_json, read_sequences, write_log
@@ -28,7 +26,7 @@ def test_commands_end_to_end(spark, sf_dir, tmp_path):
     assert [r.success for r in results] == [True] * 4 and results[0].metrics["labels"] > 0 and results[1].metrics["tokens"] > 0
     log = spark.read.parquet(f"{config.data.output}/events.parquet")
     assert read_sequences(spark, f"{config.data.output}/events.parquet").count() == log.select("hospitalization_id").distinct().count()
-    assert all(k.rpartition("_")[2].endswith("h") for k in load_json(f"{config.data.output}/metrics.json"))
+    assert all(k.rpartition("_")[2].endswith("h") for k in load_json(spark, f"{config.data.output}/metrics.json"))
     assert 0 < results[2].metrics["loss"] < 20
     t0 = {n: spark.read.parquet(f"{config.data.output}/{n}.parquet") for n in ("intervals", "metrics", "batches")}
     assert t0["intervals"].count() == t0["metrics"].count() and t0["batches"].agg(F.max("length")).first()[0] <= 64
@@ -43,30 +41,9 @@ def test_commands_end_to_end(spark, sf_dir, tmp_path):
     assert one == two and len(one) == 4 and all(len(r["tokens"]) <= 20 for r in one)
     table = runs.ablation_run(spark, config, t, ("no_ecg", "all_branches"))
     assert {r["route"] for r in table.select("route").distinct().collect()} == {"no_ecg", "all_branches"}
-    config.training.model, config.training.epochs, config.training.learning_rate, config.training.warmup_steps = "factor", 4, 0.05, 5
-    config.training.label_weight, config.training.patience = 1.0, 2
-    trained = runs.train_run(spark, config, t).metrics["loss"]
-    history = load_artifact(spark, "training", config.data.output).orderBy("epoch").collect()
-    assert history[0]["val_loss"] > history[-1]["val_loss"] and trained < 6
-    model.register("echo", model.engine_backend(Echo))
-    config.evaluation.backend = "echo"
-    assert runs.evaluate_run(spark, config, t).success
-    samples = spark.read.parquet(f"{config.data.output}/samples.parquet")
-    assert samples.groupBy("hospitalization_id", "window_id").count().agg(F.max("count")).first()[0] == 3
-    with pytest.raises(ValueError, match="no backend"):
-        model.backend("none")
-
-
-class Echo:
-    """An engine that says the last token again."""
-
-    def generate(self, context_ids, how):
-        return [context_ids[-1:] * 9] * (how.n_samples + 2)
-
-
-def test_samples_end():
-    how = model.Generation(max_new_tokens=5, stop=(7,), clocks=(9,), clock_limit=2)
-    assert model.ended([1, 9, 2, 9, 3], how) == [1, 9, 2, 9] and model.ended([1, 7, 2], how) == [1, 7] and model.ended([1] * 8, how) == [1] * 5 and model.ended([], how) == []
+    known = spark.createDataFrame([("none", 0, 0, [1])], "hospitalization_id string, window_id int, sample_id int, tokens array<int>")
+    assert runs.evaluate_run(spark, config, t, known).success  # samples of an engine elsewhere
+    assert load_json(spark, f"{config.data.output}/ablation_summary.json")
 
 
 def test_settings_act(spark, sf_dir, tmp_path):
@@ -124,45 +101,6 @@ def test_shared_folder(spark, monkeypatch):
     assert store.qualified(spark, "/x/y") == "file:/x/y" and store.qualified(spark, "file:///x") == "file:/x"
 
 
-def test_training_schedule_and_stopping():
-    o = training.Optimiser(learning_rate=1.0, warmup_steps=10)
-    rates = [o.rate(s, 110) for s in range(111)]
-    assert rates[0] == pytest.approx(0.01) and rates[10] == pytest.approx(1.0) and rates[110] == pytest.approx(0.1) and rates[60] == pytest.approx(0.55)
-    stop = training.EarlyStopping(patience=2, min_delta=0.1)
-    assert [stop.look(x) for x in (1.0, 0.95, 0.8, 0.79, 0.78)] == [(True, False), (False, False), (True, False), (False, False), (False, True)]
-    assert training.PRESETS["tiny"].parameters(500) < training.PRESETS["large"].parameters(500) and training.PRESETS["large"].max_pos == 32768
-
-
-def test_factors_learn_the_table():
-    rng = np.random.default_rng(0)
-    shares = rng.dirichlet(np.full(12, 0.3), 12)
-    rows = pd.DataFrame([(i, j, 1000 * shares[i, j]) for i in range(12) for j in range(12)], columns=["token_id", "next_id", "weight"])
-    table, kept = training.Pairs(rows, 12), []
-    found, history = training.fit(table, table, 16, 300, 4, training.Optimiser(0.05, 0.0, warmup_steps=20), training.EarlyStopping(50, 0.0), kept.append)
-    least = -(shares * np.log(shares)).sum() / 12
-    assert history[-1]["val_loss"] == pytest.approx(least, abs=0.02) and history[0]["val_loss"] > 2 and len(kept) > 3
-    assert training.FactorModel.loaded(kept[-1]).loss(table) == pytest.approx(found.loss(table))
-    # the gradient against differences
-    model = training.FactorModel(12, 3)
-    tokens, wanted = next(table.batches(12))
-    g = model.gradients(tokens, wanted)
-    for name, at in (("here", (3, 1)), ("there", (2, 5)), ("bias", (7,))):
-        before = model.loss(table)
-        model.weights[name][at] += 1e-5
-        assert (model.loss(table) - before) / 1e-5 == pytest.approx(g[name][at], abs=1e-4)
-        model.weights[name][at] -= 1e-5
-
-
-def test_choice():
-    import random
-
-    how = model.Generation(top_k=1)
-    assert model.choose([(7, 0.6), (8, 0.4)], how, random.Random(1)) == 7
-    assert model.choose([(7, 0.6), (8, 0.4)], model.Generation(temperature=0), random.Random(1)) == 7
-    assert {model.choose([(7, 0.6), (8, 0.4)], model.Generation(top_p=0.5), random.Random(i)) for i in range(20)} == {7}
-    assert {model.choose([(7, 0.6), (8, 0.4)], model.Generation(), random.Random(i)) for i in range(40)} == {7, 8}
-
-
 def test_config(tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps({"split": {"val_fraction": 0.2}, "evaluation": {"horizons": [8]}}))
