@@ -115,6 +115,11 @@ def bin_edges(values: DataFrame, mode: str = "hybrid", n_bins: int = 10) -> Data
     return both.select("code", merged.alias("edges"))
 
 
+def bin_counts(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """(code, bin, n): how many values of each code that has edges lie in each of its bins."""
+    return with_bins(values, edges).where("bin is not null").groupBy("code", "bin").agg(F.count("*").alias("n"))
+
+
 def ecg_similarity_edges(ecg: DataFrame, n_bins: int = 10) -> DataFrame:
     """(branch, edges) of the three similarity columns."""
     long = ecg.select(F.inline(F.array(*[F.struct(F.lit(b).alias("branch"), F.col(f"`{c}`").alias("value")) for b, c in BRANCHES.items()])))

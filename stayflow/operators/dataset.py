@@ -24,10 +24,17 @@ def dropped_by_route(vocab: DataFrame, route: str) -> DataFrame:
     return ecg.select("id")
 
 
-def filter_route(rows: DataFrame, vocab: DataFrame, route: str) -> DataFrame:
+def filter_route(rows: DataFrame, vocab: DataFrame, route: str, drop_orphans: bool = False) -> DataFrame:
     """Token rows (hospitalization_id, pos, token_id, ...) that the route keeps; positions stay as they were. Bin tokens
-    behind a dropped similarity stay."""
-    return rows.join(dropped_by_route(vocab, route).withColumnRenamed("id", "token_id"), "token_id", "left_anti")
+    behind a dropped similarity stay, unless drop_orphans."""
+    dropped = dropped_by_route(vocab, route)
+    if not drop_orphans:
+        return rows.join(dropped.withColumnRenamed("id", "token_id"), "token_id", "left_anti")
+    bins = vocab.where(F.col("token").rlike("^Q_-?[0-9]+$")).select(F.col("id").alias("of"), F.lit("bin").alias("kind"))
+    marked = rows.join(dropped.select(F.col("id").alias("of"), F.lit("dropped").alias("kind")).unionByName(bins), F.col("token_id") == F.col("of"), "left")
+    before = F.lag("kind").over(Window.partitionBy("hospitalization_id").orderBy("pos"))
+    marked = marked.withColumn("orphan", (F.col("kind") == "bin") & before.eqNullSafe(F.lit("dropped")))
+    return marked.where(~F.coalesce((F.col("kind") == "dropped") | F.col("orphan"), F.lit(False))).drop("of", "kind", "orphan")
 
 
 def filter_arrays(seqs: DataFrame, drop: list[int]) -> DataFrame:

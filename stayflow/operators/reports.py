@@ -91,6 +91,15 @@ def route_delta(metrics: DataFrame, baseline: str = "no_ecg", values: tuple[str,
     return rows.select("route", "label", "horizon_hours", *deltas, percent)
 
 
+def route_macro(metrics: DataFrame, baseline: str = "no_ecg", value: str = "auroc") -> DataFrame:
+    """Per route and horizon the mean over labels that route and baseline both have, the baseline's, their difference and the
+    relative change in percent."""
+    base = metrics.where(F.col("route") == baseline).select("label", "horizon_hours", F.col(value).alias("base"))
+    rows = metrics.where(F.col("route") != baseline).join(base, ["label", "horizon_hours"]).where(F.col(value).isNotNull() & F.col("base").isNotNull())
+    means = rows.groupBy("route", "horizon_hours").agg(F.count("*").alias("n_labels"), F.avg(value).alias("macro"), F.avg("base").alias("macro_base"))
+    return means.withColumns({"delta": F.col("macro") - F.col("macro_base"), "percent": F.try_divide(F.col("macro") - F.col("macro_base"), F.col("macro_base")) * 100})
+
+
 def top_labels(metrics: DataFrame, n: int = 8) -> DataFrame:
     """The n labels with the highest mean AUROC (ties by name)."""
     return metrics.groupBy("label").agg(F.avg("auroc").alias("mean_auroc")).orderBy(F.desc("mean_auroc"), "label").limit(n)

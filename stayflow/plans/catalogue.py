@@ -201,6 +201,22 @@ def _orders_edges(r: Run) -> DataFrame:
     return _edge_rows(bins.quantile_edges(lines))
 
 
+def _route_counts(r: Run) -> DataFrame:
+    """Events of each route; the route without waveforms has none."""
+    parts = [insert.ecg_events(r.ecg, route).agg(F.count("*").alias("n_events")).select(F.lit(route).alias("route"), "n_events") for route in C.ECG_ROUTES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _generation_shares(r: Run) -> DataFrame:
+    """Three tokens for each window and sample, held against the exact probabilities of the model."""
+    how = model.Generation(max_new_tokens=3, top_k=0, top_p=1.0)
+    contexts = windows.contexts(r.windows, tokens.sequences(r.kept_tokens), 64)
+    learned = written(r.model, "model")
+    expected = model.step_shares(contexts, learned, how, how.max_new_tokens)
+    found = model.generated_shares(model.generate(contexts, learned, how), expected, how.max_new_tokens)
+    return rounded(found, "expected", places=4).select("step", "token_id", "expected", "within")
+
+
 _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "scan_filtered_stays": lambda r: r.t.for_stays("vitals", r.train).groupBy("hospitalization_id").agg(F.count("*").alias("n_rows")),
     "id_map_join": lambda r: r.t["ecg"].join(id_map(r.stays), "hadm_id").select("hadm_id", "ecg_time", "hospitalization_id"),
@@ -209,7 +225,7 @@ _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "code_profile": lambda r: r.profile,
     "quantile_edges": lambda r: _edge_rows(bins.bin_edges(bins.numeric_values(r.t, r.train), "quantile")),
     "bin_edges_hybrid": lambda r: _edge_rows(bins.bin_edges(bins.numeric_values(r.t, r.train))),
-    "bin_edges_clinical": lambda r: _edge_rows(bins.bin_edges(bins.numeric_values(r.t, r.train), "clinical_only")),
+    "bin_edges_clinical": lambda r: bins.bin_counts(bins.numeric_values(r.t, r.train), bins.bin_edges(bins.numeric_values(r.t, r.train), "clinical_only")),
     "ecg_similarity_edges": lambda r: rounded(r.similarity.select("branch", F.posexplode("edges").alias("edge_idx", "edge")), "edge"),
     "ecg_similarity_bins": lambda r: bins.with_similarity_bins(r.t["ecg"], r.similarity),
     "bin_lookup": lambda r: bins.with_bins(r.kept_log.where("value is not null"), r.edges).select("hospitalization_id", "event_idx", "code", "value", "bin"),
@@ -228,7 +244,8 @@ _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "label_first_occurrence": lambda r: insert.first_occurrences(r.labels),
     "log_with_labels": lambda r: insert.full_log(r.base, r.stays, r.labels, time_tokens=False).select(*LOG),
     "ecg_window_join": lambda r: r.ecg.select("hospitalization_id", "hadm_id", "ecg_time"),
-    **{f"ecg_tokens_{route}": (lambda r, route=route: insert.ecg_events(r.ecg, route).select("hospitalization_id", "time", "code", "value")) for route in C.ECG_ROUTES},
+    **{f"ecg_tokens_{route}": (lambda r, route=route: insert.ecg_events(r.ecg, route).select("hospitalization_id", "time", "code", "value")) for route in ("fusion_class", "all_branches")},
+    "ecg_route_counts": _route_counts,
     "clock_tokens": lambda r: insert.clock_events(r.stays).select("hospitalization_id", "time", "code"),
     "gap_tokens": lambda r: r.kept_log.where("modality = 'DT'").select("hospitalization_id", "event_idx", "time", "code"),
     "event_log_full": lambda r: r.log.select(*LOG),
@@ -241,6 +258,7 @@ _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "model_shares": lambda r: rounded(r.model, "share", places=9),
     "model_loss": lambda r: rounded(model.loss(dataset.label_mask(r.kept_tokens.join(r.train, "hospitalization_id", "left_anti"), dataset.label_ids(r.vocab)), r.model, r.vocab.count()), "loss"),
     "route_filter": lambda r: dataset.filter_route(r.kept_tokens, r.vocab, "fusion_class").select("hospitalization_id", "pos", "token_id"),
+    "route_filter_orphans": lambda r: dataset.filter_route(r.kept_tokens, r.vocab, "fusion_class", drop_orphans=True).select("hospitalization_id", "pos", "token_id"),
     "label_mask": lambda r: dataset.label_mask(r.kept_tokens, dataset.label_ids(r.vocab)).select("hospitalization_id", "pos", "token_id", "is_label"),
     "sequence_chunks": lambda r: r.chunks.select("hospitalization_id", "chunk", "start", F.size("ids").alias("n_ids"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"), _joined("ids").alias("ids"), F.aggregate("loss_mask", F.lit(0), lambda a, x: a + x).alias("n_loss")),
     "dynamic_batches": lambda r: dataset.padded(dataset.token_batches(r.chunks, BUDGET)).groupBy("batch").agg(F.count("*").alias("n_chunks"), F.max(F.size("ids")).alias("width"), F.sum("length").alias("n_tokens"), F.sum(F.size("attention_mask") - F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("n_padding")),
@@ -251,6 +269,8 @@ _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "clock_truncation": lambda r: r.samples.select("hospitalization_id", "window_id", "sample_id", F.inline(F.array(*[F.struct(F.lit(h).alias("horizon_hours"), F.array_join(windows.truncate_at_clock(F.col("tokens"), r.ids("CLOCK//"), C.HORIZON_CLOCKS[h]).cast("array<string>"), " ").alias("tokens")) for h in HORIZONS]))),
     "mc_probability": lambda r: rounded(r.probabilities, "predicted_prob"),
     "scored_predictions": lambda r: rounded(windows.scored(r.probabilities, r.truth), "predicted_prob").select("hospitalization_id", "window_id", "horizon_hours", "label", "predicted_prob", "actual_positive"),
+    "generation_shares": _generation_shares,
+    "prediction_metrics": lambda r: rounded(metrics.grouped(windows.scored(r.probabilities, r.truth)), "auroc", "auprc", "brier", "ece"),
     "metric_auroc": lambda r: rounded(metrics.auroc(r.preds), "auroc"),
     "metric_auprc": lambda r: rounded(metrics.auprc(r.preds), "auprc"),
     "metric_brier": lambda r: rounded(metrics.brier(r.preds), "brier"),
@@ -272,6 +292,7 @@ _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "route_summary": lambda r: reports.route_summary(r.route_metrics),
     "route_pivot": lambda r: rounded(reports.route_pivot(r.route_metrics, list(C.ECG_ROUTES)), "no_ecg", "fusion_class", "all_branches", "delta_fusion_class", "delta_all_branches"),
     "route_delta": lambda r: rounded(rounded(reports.route_delta(r.route_metrics), "delta_auroc", "delta_auprc", "delta_brier"), "percent_auroc", places=4),
+    "route_macro": lambda r: rounded(reports.route_macro(r.route_metrics), "macro", "macro_base", "delta", "percent", places=4),
     "top_labels": lambda r: rounded(reports.top_labels(r.route_metrics), "mean_auroc"),
     "quantile_edges_orders": _orders_edges,
     "patient_split_orders": lambda r: split.patient_split(r.orders["hospitalization"]),

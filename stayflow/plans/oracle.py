@@ -282,6 +282,11 @@ sim_all as (select * from sim where value is not null),
 {quantile_ctes("sim", "select branch, value from sim_all", "branch").replace("sim_v as", "sim_w as").replace("from sim_v", "from sim_w")},
 follow as (select hospitalization_id, token_id, lead(token_id) over (partition by hospitalization_id order by pos) as next_id from toks qualify next_id is not null),
 bigrams as (select token_id, next_id, count(*) as n from follow where hospitalization_id in (select hospitalization_id from train) group by 1, 2),
+chain as (select token_id, next_id, n / sum(n) over (partition by token_id) as share from bigrams),
+step0 as (select next_id as token_id, sum(c.n * share) as expected from (select t.token_id as last, count(*) * 8.0::double as n from windows w join toks t on t.hospitalization_id = w.hospitalization_id and t.pos = w.end_pos group by 1) c join chain on token_id = last group by 1),
+step1 as (select next_id as token_id, sum(expected * share) as expected from step0 join chain using (token_id) group by 1),
+step2 as (select next_id as token_id, sum(expected * share) as expected from step1 join chain using (token_id) group by 1),
+steps as (select 0::int as step, * from step0 union all select 1::int, * from step1 union all select 2::int, * from step2),
 lens as (select len(ids) as len, row_number() over (order by len(ids)) as i from chunk_list),
 all_lens as (select list(len order by i) as ls from lens),
 greedy as (
@@ -334,6 +339,7 @@ metrics as (select {by}, auroc, auprc, brier, ece, n_positive, n_negative, n_tot
 
 
 _LH, _RLH = metric_ctes("label, horizon_hours"), metric_ctes("route, label, horizon_hours")
+_PREDICTED = ", spreds as (select label, horizon_hours, predicted_prob as p, actual_positive as y from truth join probs using (hospitalization_id, window_id, horizon_hours, label))" + metric_ctes("label, horizon_hours").replace("preds", "spreds")
 _EVENTS = "select hospitalization_id, time, code, value, value_cat from raw where src "
 _LOG = "select hospitalization_id, event_idx, time, code, value, value_cat from "
 
@@ -357,7 +363,7 @@ FINAL: dict[str, str] = {
     "code_profile": "select code, event_count, admission_count, included from profile",
     "quantile_edges": "select code, edge_idx::int as edge_idx, round(edge, 6) as edge from nv_edges",
     "bin_edges_hybrid": "select code, edge_idx::int as edge_idx, round(edge, 6) as edge from hybrid",
-    "bin_edges_clinical": "select code, (row_number() over (partition by code order by edge) - 1)::int as edge_idx, edge from clinical",
+    "bin_edges_clinical": "select code, least(len(list_filter(es[2:], lambda e: e < value)), len(es) - 2)::int as bin, count(*) as n from nv_v join (select code, list(edge order by edge) as es from clinical group by 1) using (code) where value is not null group by 1, 2",
     "bin_lookup": "select hospitalization_id, event_idx, code, value, bin::int as bin from log_bins where value is not null",
     "events_demographics": _EVENTS + "in (11, 12, 13)",
     "events_poa_diagnoses": _EVENTS + "= 20",
@@ -389,7 +395,7 @@ FINAL: dict[str, str] = {
     "label_first_occurrence": "select hospitalization_id, code, time from first_labels",
     "log_with_labels": _LOG + "labelled",
     "ecg_window_join": "select hospitalization_id, hadm_id, ecg_time from ecg_in",
-    "ecg_tokens_no_ecg": "select hospitalization_id, time, code, value from ecg_all where false",
+    "ecg_route_counts": f"select 'no_ecg' as route, 0::bigint as n_events union all select 'fusion_class', count(*) from ({ecg_events(3)}) union all select 'all_branches', count(*) from ecg_all",
     "ecg_tokens_fusion_class": f"select hospitalization_id, time, code, value from ({ecg_events(3)})",
     "ecg_tokens_all_branches": "select hospitalization_id, time, code, value from ecg_all",
     "clock_tokens": "select hospitalization_id, time, code from clocks",
@@ -400,6 +406,7 @@ FINAL: dict[str, str] = {
     "token_sequences": "select hospitalization_id, pos::int as pos, token_id::int as token_id, ts_us from toks",
     "token_sequences_fused": "select hospitalization_id, pos::int as pos, token_id::int as token_id, ts_us from toks_fused",
     "route_filter": "select hospitalization_id, pos::int as pos, token_id::int as token_id from toks where token_id not in (select id from vocab where starts_with(token, 'ECG//') and not starts_with(token, 'ECG//Class') and not starts_with(token, 'ECG//Prototype/1D') and not starts_with(token, 'ECG//Similarity/1D'))",
+    "route_filter_orphans": "select hospitalization_id, pos::int as pos, token_id::int as token_id from (select *, lag(token_id) over (partition by hospitalization_id order by pos) as was from toks) where token_id not in (select id from vocab where starts_with(token, 'ECG//') and not starts_with(token, 'ECG//Class') and not starts_with(token, 'ECG//Prototype/1D') and not starts_with(token, 'ECG//Similarity/1D')) and not (token_id in (select id from vocab where regexp_matches(token, '^Q_-?[0-9]+$')) and coalesce(was in (select id from vocab where starts_with(token, 'ECG//') and not starts_with(token, 'ECG//Class') and not starts_with(token, 'ECG//Prototype/1D') and not starts_with(token, 'ECG//Similarity/1D')), false))",
     "label_mask": "select hospitalization_id, pos::int as pos, token_id::int as token_id, token_id in (select id from vocab where " + _WEIGHED + ") as is_label from toks",
     "sequence_chunks": f"select hospitalization_id, chunk::int as chunk, start::int as start, len(ids)::int as n_ids, list_sum(ids)::bigint as sum_ids, array_to_string(ids, ' ') as ids, (case when start > 0 then len(ids) - {OVERLAP} + 1 else len(ids) end)::int as n_loss from chunk_list",
     "midnight_windows": "select hospitalization_id, window_id, end_pos::int as end_pos, end_us from windows",
@@ -407,6 +414,7 @@ FINAL: dict[str, str] = {
     "horizon_truth": "select hospitalization_id, window_id, horizon_hours, label, actual_positive from truth",
     "clock_truncation": "select hospitalization_id, window_id, sample_id, horizon_hours, array_to_string(tokens, ' ') as tokens from cut",
     "mc_probability": "select hospitalization_id, window_id, horizon_hours, label, round(predicted_prob, 6) as predicted_prob from probs",
+    "generation_shares": "select step, token_id::int as token_id, round(expected, 4) as expected, true as within from steps",
     "scored_predictions": "select hospitalization_id, window_id, horizon_hours, label, round(predicted_prob, 6) as predicted_prob, actual_positive from truth join probs using (hospitalization_id, window_id, horizon_hours, label)",
     "prefix_histogram": "select mod as prefix, count(*) as n from log group by 1",
     "label_histogram": "select code, count(*) as n from log where mod = 'LABEL' group by 1 order by n desc, code limit 20",
@@ -419,6 +427,8 @@ FINAL: dict[str, str] = {
 }
 _METRICS: dict[str, str] = {
     "metric_bootstrap": BOOTSTRAP,
+    "prediction_metrics": _PREDICTED + "select label, horizon_hours, round(auroc, 6) as auroc, round(auprc, 6) as auprc, round(brier, 6) as brier, round(ece, 6) as ece, n_positive, n_negative, n_total from metrics",
+    "route_macro": _RLH + "select route, horizon_hours, n_labels, round(macro, 4) as macro, round(base, 4) as macro_base, round(macro - base, 4) as delta, round((macro - base) / base * 100, 4) as percent from (select m.route, m.horizon_hours, count(*) as n_labels, avg(m.auroc) as macro, avg(b.auroc) as base from metrics m join metrics b on b.route = 'no_ecg' and b.label = m.label and b.horizon_hours = m.horizon_hours where m.route <> 'no_ecg' and m.auroc is not null and b.auroc is not null group by 1, 2)",
     "metric_auroc": _LH + "select label, horizon_hours, round(auroc, 6) as auroc from metrics",
     "metric_auprc": _LH + "select label, horizon_hours, round(auprc, 6) as auprc from metrics",
     "metric_brier": _LH + "select label, horizon_hours, round(brier, 6) as brier from metrics",
