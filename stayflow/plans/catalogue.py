@@ -173,6 +173,11 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
+def _rounded_metrics(df: DataFrame) -> DataFrame:
+    """Means over a few hundred rows often end in a 5 at the seventh place, where engines round apart."""
+    return rounded(df, "auroc", "auprc", "brier", "ece", places=9)
+
+
 def _edge_rows(edges: DataFrame) -> DataFrame:
     return rounded(edges.select("code", F.posexplode("edges").alias("edge_idx", "edge")), "edge")
 
@@ -270,15 +275,15 @@ _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "mc_probability": lambda r: rounded(r.probabilities, "predicted_prob"),
     "scored_predictions": lambda r: rounded(windows.scored(r.probabilities, r.truth), "predicted_prob").select("hospitalization_id", "window_id", "horizon_hours", "label", "predicted_prob", "actual_positive"),
     "generation_shares": _generation_shares,
-    "prediction_metrics": lambda r: rounded(metrics.grouped(windows.scored(r.probabilities, r.truth)), "auroc", "auprc", "brier", "ece"),
+    "prediction_metrics": lambda r: _rounded_metrics(metrics.grouped(windows.scored(r.probabilities, r.truth))),
     "metric_auroc": lambda r: rounded(metrics.auroc(r.preds), "auroc"),
     "metric_auprc": lambda r: rounded(metrics.auprc(r.preds), "auprc"),
-    "metric_brier": lambda r: rounded(metrics.brier(r.preds), "brier"),
-    "metric_ece": lambda r: rounded(metrics.ece(r.preds), "ece"),
+    "metric_brier": lambda r: rounded(metrics.brier(r.preds), "brier", places=9),
+    "metric_ece": lambda r: rounded(metrics.ece(r.preds), "ece", places=9),
     "metric_bootstrap": lambda r: rounded(metrics.bootstrap_auroc(r.preds, n=100), "low", "median", "high"),
     "calibration_curve": lambda r: rounded(metrics.calibration(r.preds), "mean_predicted", "mean_actual"),
-    "metrics_grouped": lambda r: rounded(r.metrics, "auroc", "auprc", "brier", "ece"),
-    "metrics_json": lambda r: reports.metrics_json(rounded(r.metrics, "auroc", "auprc", "brier", "ece")),
+    "metrics_grouped": lambda r: _rounded_metrics(r.metrics),
+    "metrics_json": lambda r: reports.metrics_json(_rounded_metrics(r.metrics)),
     "prefix_histogram": lambda r: reports.prefix_histogram(r.kept_log),
     "label_histogram": lambda r: reports.label_histogram(r.kept_log),
     "ecg_histogram": lambda r: reports.ecg_histogram(r.kept_log),

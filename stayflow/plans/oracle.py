@@ -427,17 +427,17 @@ FINAL: dict[str, str] = {
 }
 _METRICS: dict[str, str] = {
     "metric_bootstrap": BOOTSTRAP,
-    "prediction_metrics": _PREDICTED + "select label, horizon_hours, round(auroc, 6) as auroc, round(auprc, 6) as auprc, round(brier, 6) as brier, round(ece, 6) as ece, n_positive, n_negative, n_total from metrics",
+    "prediction_metrics": _PREDICTED + "select label, horizon_hours, round(auroc, 9) as auroc, round(auprc, 9) as auprc, round(brier, 9) as brier, round(ece, 9) as ece, n_positive, n_negative, n_total from metrics",
     "route_macro": _RLH + "select route, horizon_hours, n_labels, round(macro, 4) as macro, round(base, 4) as macro_base, round(macro - base, 4) as delta, round((macro - base) / base * 100, 4) as percent from (select m.route, m.horizon_hours, count(*) as n_labels, avg(m.auroc) as macro, avg(b.auroc) as base from metrics m join metrics b on b.route = 'no_ecg' and b.label = m.label and b.horizon_hours = m.horizon_hours where m.route <> 'no_ecg' and m.auroc is not null and b.auroc is not null group by 1, 2)",
     "metric_auroc": _LH + "select label, horizon_hours, round(auroc, 6) as auroc from metrics",
     "metric_auprc": _LH + "select label, horizon_hours, round(auprc, 6) as auprc from metrics",
-    "metric_brier": _LH + "select label, horizon_hours, round(brier, 6) as brier from metrics",
-    "metric_ece": _LH + "select label, horizon_hours, round(ece, 6) as ece from metrics",
+    "metric_brier": _LH + "select label, horizon_hours, round(brier, 9) as brier from metrics",
+    "metric_ece": _LH + "select label, horizon_hours, round(ece, 9) as ece from metrics",
     "calibration_curve": _LH + "select label, horizon_hours, bin::int as bin, n, round(mean_predicted, 6) as mean_predicted, round(mean_actual, 6) as mean_actual from mb",
-    "metrics_grouped": _LH + "select label, horizon_hours, round(auroc, 6) as auroc, round(auprc, 6) as auprc, round(brier, 6) as brier, round(ece, 6) as ece, n_positive, n_negative, n_total from metrics",
+    "metrics_grouped": _LH + "select label, horizon_hours, round(auroc, 9) as auroc, round(auprc, 9) as auprc, round(brier, 9) as brier, round(ece, 9) as ece, n_positive, n_negative, n_total from metrics",
     "prevalence": _LH + "select label, horizon_hours, round(n_positive / n_total, 6) as prevalence from metrics where n_positive >= 20 and auroc is not null",
     "metric_key_parse": _LH + "select 'LABEL//' || label || '_' || horizon_hours || 'h' as key, label, horizon_hours from metrics",
-    "metrics_json": _LH + "select label || '_' || horizon_hours || 'h' as key, '{\"auroc\":' || coalesce(round(auroc, 6)::varchar, 'null') || ',\"auprc\":' || coalesce(round(auprc, 6)::varchar, 'null') || ',\"brier\":' || round(brier, 6) || ',\"ece\":' || round(ece, 6) || ',\"n_positive\":' || n_positive || ',\"n_total\":' || n_total || '}' as json from metrics",
+    "metrics_json": _LH + "select label || '_' || horizon_hours || 'h' as key, '{\"auroc\":' || coalesce(round(auroc, 9)::varchar, 'null') || ',\"auprc\":' || coalesce(round(auprc, 9)::varchar, 'null') || ',\"brier\":' || round(brier, 9) || ',\"ece\":' || round(ece, 9) || ',\"n_positive\":' || n_positive || ',\"n_total\":' || n_total || '}' as json from metrics",
     "route_summary": _RLH + "select route, horizon_hours, round(avg(auroc), 4) as mean_auroc, round(avg(auprc), 4) as mean_auprc, round(avg(brier), 4) as mean_brier, count(distinct label) as n_labels from metrics group by 1, 2",
     "route_pivot": _RLH + "select label, horizon_hours, round(a, 6) as no_ecg, round(b, 6) as fusion_class, round(c, 6) as all_branches, round(b - a, 6) as delta_fusion_class, round(c - a, 6) as delta_all_branches from (select label, horizon_hours, max(auroc) filter (route = 'no_ecg') as a, max(auroc) filter (route = 'fusion_class') as b, max(auroc) filter (route = 'all_branches') as c from metrics group by 1, 2)",
     "route_delta": _RLH + "select m.route, m.label, m.horizon_hours, round(m.auroc - b.auroc, 6) as delta_auroc, round(m.auprc - b.auprc, 6) as delta_auprc, round(m.brier - b.brier, 6) as delta_brier, round((m.auroc - b.auroc) / b.auroc * 100, 4) as percent_auroc from metrics m join metrics b on b.route = 'no_ecg' and b.label = m.label and b.horizon_hours = m.horizon_hours where m.route <> 'no_ecg'",
