@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, benchmark decontamination, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, in order.
-run() writes each stage as Parquet in the shared folder and reads it again for the next.
+run() writes each stage as Parquet in the shared folder and reads it again for the next, after which it is deleted.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stayflow.llm import bpe, decontaminate, linededup, quality, simhash
 from stayflow.llm.common import BLANKS, free_name
-from stayflow.sources.store import written
+from stayflow.sources.store import release, scratch, written
 
 
 def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
@@ -67,5 +67,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as keep:  # what a stage has written for itself goes with it
+            kept = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep(kept)
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -62,12 +62,13 @@ def frequent_lines(docs: DataFrame, text: str, host: str, min_docs: int, max_sha
     return written(over.groupBy("host").agg(F.collect_set("line").alias("bad")), "lines")
 
 
-def rules(docs: DataFrame, text: str = "text", host: str = "source", out: str = "quality", min_docs: int = 20, max_share: float = 0.1, max_lost: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+def rules(docs: DataFrame, text: str = "text", host: str = "source", out: str = "quality", min_docs: int = 3, max_share: float = 0.05, max_lost: float = 0.25, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """Add a struct `out` (a column of that name is replaced): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_removed_lines, n_removed_words, kept and text, the text without boilerplate lines.
 
     Exact copies count as one document of their host, and only lines with a word are counted or removed. A null text has
     no words (base_failed, not kept, text null); a null host is a host of its own. Rows, repeats and other columns stay.
+    min_docs is a floor for small hosts; in larger ones the share decides, so that the limit grows with the host.
     """
     named = docs.drop(out)
     key, bad, lines, found = (free_name(named, n) for n in ("host_key", "bad_lines", "all_lines", "all_words"))
@@ -122,7 +123,7 @@ with q_doc as (
 ), q_host as (select source, count(distinct md5(t)) as docs from q_doc where text is not null group by source
 ), q_bad as (
   select l.source, l.norm from (select source, norm, count(distinct copy) as n from q_line where w > 0 group by source, norm) l
-  join q_host h on l.source is not distinct from h.source where n > 20 and n > docs * 0.1
+  join q_host h on l.source is not distinct from h.source where n > 3 and n > docs * 0.05::double
 ), q_lost as (
   select rid, count(*) as lost_lines, sum(w) as lost_words from q_line l join q_bad b on l.norm = b.norm and l.source is not distinct from b.source where w > 0 group by rid
 ), q_clean as (
@@ -142,6 +143,6 @@ with q_doc as (
   from q_doc d left join q_dup using (rid) left join q_rep using (rid) left join q_lost using (rid) left join q_clean c using (rid)
 ), q_all as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-         not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_removed_words <= n_words * 0.5 as kept from q_fig
+         not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_removed_words <= n_words * 0.25::double as kept from q_fig
 )
 """

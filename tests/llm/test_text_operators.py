@@ -89,10 +89,11 @@ def test_quality_figures_against_brute_force(spark):
 
 
 def test_boilerplate_lines_and_depleted_documents(spark):
-    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    name = lambda n: "".join(chr(97 + int(c)) for c in str(n))  # noqa: E731  digits count as one another in lines
+    body = lambda i: " ".join(f"w{name(i)}x{name(k)}" for k in range(60))
     banner, big = "Accept all 17 cookies", " ".join(["menu"] + [f"m{k}" for k in range(70)])
     rows = [(i, f"{banner}\n{body(i)}", "en", "host", None) for i in range(30)]
-    rows += [(100 + i, f"{big}\n{' '.join(f'u{i}v{k}' for k in range(55))}", "en", "host", None) for i in range(40)]
+    rows += [(100 + i, f"{big}\n{' '.join(f'u{name(i)}v{name(k)}' for k in range(55))}", "en", "host", None) for i in range(40)]
     rows += [(200 + i, f"{body(999)}\ncopy", "en", "host", None) for i in range(40)]  # copies of one text are one document
     rows += [(300, f"accept ALL 42 cookies\n{body(300)}", "en", "other", None), (301, f"accept ALL 42 cookies\n{body(301)}", "en", None, None)]
     got = {r["doc_id"]: r["quality"] for r in quality.rules(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -102,6 +103,14 @@ def test_boilerplate_lines_and_depleted_documents(spark):
     assert got[300]["n_removed_lines"] == 0 and got[301]["kept"]
 
 
+def test_lines_go_and_documents_are_rejected(spark):
+    """The line rule acts at the size that queries are compared at, and rejects documents that the base rules keep."""
+    found = quality.rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    q = found.select("quality.*").toPandas()
+    assert (q["n_removed_lines"] > 0).sum() > 100 and ((~q["base_failed"]) & ~q["kept"]).sum() > 0
+    assert (q["n_removed_words"][~q["base_failed"] & ~q["kept"]] > 0.25 * q["n_words"][~q["base_failed"] & ~q["kept"]]).all()
+
+
 def test_quality_odd_rows(spark):
     df = docs(spark, ["a b", None, LONG]).withColumns({c: F.lit(1) for c in ("figures", "host_key", "bad_lines", "all_lines", "all_words", "n_words", "quality", "bad", "h")})
     got = quality.rules(df)
