@@ -4,8 +4,9 @@ The encoding of a byte string ends, for each of its prefixes, in exactly one tok
 side exactly if encoding their concatenation gives the two again. So a nondeterministic transducer that has read a
 prefix is in one state for each way to go on: the last token of a shorter prefix and the bytes read since, as long as
 some token begins with them. Its subsets become deterministic states when a text first needs them. A step from state to
-state gives the token that ends with the byte read. Tokens are emitted as soon as all ways still open go back to the
-same end of a token, which is at most a few tokens' length after it was read.
+state gives the token that ends with the byte read. A state with a single open way says so, and all tokens before that
+way are emitted with the step that leads to it; where several ways stay open for LOOK bytes, the tokens that all of them go
+back to are emitted. So tokens leave a few tokens' length after they were read: tests measure it.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ NEWER_PATTERN = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?(?:(?![{_NEWER}])\p{{L}})+| ?(?:(
 #: Deterministic states, moves between them, known pieces of a generation, and pairs of tokens that a worker keeps before it
 #: begins anew.
 STATES, MOVES, PIECES, PAIRS = 200_000, 1_000_000, 100_000, 250_000
+#: Bytes for which several ways may stay open before they are traced back to what they have in common.
+LOOK = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -71,7 +74,7 @@ class Transducer:
         # bytes read since the end of a token, then for each way the last token and how many of these bytes came since.
         self.known: dict[tuple, int] = {}
         self.content: list[tuple] = []
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: dict[int, tuple[int, int, int]] = {}
         self.start = self._state((b"", -1, 0))
 
     def _state(self, ways: tuple) -> int:
@@ -104,7 +107,8 @@ class Transducer:
             self.pairs[last, token] = found
         return found
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
+    def _move(self, state: int, byte: int) -> tuple[int, int, int]:
+        """The next state, the token that ends with byte (or -1), and the bytes since the only open way began (or -1)."""
         since, *old = self.content[state >> 8]
         read, ways, ended = since + bytes((byte,)), [], -1
         for last, n in zip(old[::2], old[1::2], strict=True):
@@ -115,11 +119,12 @@ class Transducer:
             if token is not None and ended < 0 and self.fits(last, token):
                 ended = token
         longest = ways[1] if ways else 0
-        ways = (read[len(read) - longest :], *ways, ended, 0)
+        ways = (read[len(read) - longest :], *ways, ended, 0) if ended >= 0 else (read[len(read) - longest :], *ways)
+        since = ways[2] if len(ways) == 3 else -1
         if len(self.content) >= self.limit and ways not in self.known or len(self.moves) >= self.most:
             self._clear()
-            return self._state(ways), ended
-        found = self.moves[state + byte] = self._state(ways), ended
+            return self._state(ways), ended, since
+        found = self.moves[state + byte] = self._state(ways), ended, since
         return found
 
     def settled(self, state: int, ended: list[int]) -> int:
@@ -136,17 +141,28 @@ class Transducer:
             common = min(common, at)
         return common
 
-    def encode(self, data: bytes, at_once: int = 1 << 16) -> list[int]:
-        state, ended, out = self.start, [], []
-        for at in range(0, len(data), at_once):
-            for byte in data[at : at + at_once]:
-                state, token = self.moves.get(state + byte) or self._move(state, byte)
-                ended.append(token)
-            if at + at_once < len(data):
+    def pieces(self, data: bytes) -> Iterator[tuple[int, list[int]]]:
+        """(bytes read, tokens) whenever tokens are certain; the last with the end of the data."""
+        state, ended, moves, wait = self.start, [], self.moves, LOOK
+        for read, byte in enumerate(data, 1):
+            state, token, since = moves.get(state + byte) or self._move(state, byte)
+            moves = self.moves
+            ended.append(token)
+            if since >= 0:
+                cut = len(ended) - since
+            elif len(ended) >= wait:
                 cut = self.settled(state, ended)
-                out += self._back(ended[:cut])
+            else:
+                continue
+            if cut:
+                yield read, self._back(ended[:cut])
                 del ended[:cut]
-        return out + self._back(ended)
+            wait = len(ended) + LOOK
+        if ended:
+            yield len(data), self._back(ended)
+
+    def encode(self, data: bytes) -> list[int]:
+        return [token for _, tokens in self.pieces(data) for token in tokens]
 
     def _back(self, ended: list[int]) -> list[int]:
         at, tokens = len(ended), []

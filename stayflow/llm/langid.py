@@ -3,8 +3,8 @@ with that of its longest known character n-grams.
 
 A word is a run of letters and combining marks that begins with a letter, in lower case; fitting and prediction cut texts
 by the same function. The model is fitted on a bounded sample of labelled documents of each language (docs_per_lang) and
-keeps a bounded number of words and n-grams of each, so it grows with the number of languages and not with the corpus.
-Predictions read whole texts and nothing else.
+keeps all words and n-grams of it, so it grows with the number of languages and not with the corpus. Predictions read whole
+texts and nothing else.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 
 from stayflow.sources.store import scratch, written
 
-#: Bounds of the sample and the model, each by language; documented parameters of fit().
-DOCS_PER_LANG, WORDS, GRAMS = 3000, 20_000, 5_000
+#: Documents of each language that are learned from, at most: a documented parameter of fit().
+DOCS_PER_LANG = 1000
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 UNKNOWN = "und"
 
@@ -34,17 +34,59 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS(text.lower()) if text else []
 
 
+class Level:
+    """Terms with their scores by language: a dictionary of rows, and packed pairs of a row."""
+
+    def __init__(self, terms: dict[str, list[tuple[int, float]]]):
+        self.row = {term: i for i, term in enumerate(terms)}
+        self.start = np.cumsum([0, *map(len, terms.values())], dtype=np.int32)
+        pairs = [pair for found in terms.values() for pair in found]
+        self.lang, self.above = np.array([x for x, _ in pairs], np.int32), np.array([x for _, x in pairs], np.float64)
+
+    @classmethod
+    def of(cls, terms: np.ndarray, lang: np.ndarray, above: np.ndarray) -> Level:
+        """From rows in order of terms."""
+        found = cls({})
+        new = np.ones(len(terms), bool)
+        new[1:] = terms[1:] != terms[:-1]
+        found.start = np.append(np.flatnonzero(new), len(terms)).astype(np.int32)
+        found.row = {term: i for i, term in enumerate(terms[new].tolist())}
+        found.lang, found.above = lang.astype(np.int32), above
+        return found
+
+    def get(self, term: str) -> list[tuple[int, float]] | None:
+        at = self.row.get(term)
+        if at is None:
+            return None
+        here = slice(self.start[at], self.start[at + 1])
+        return list(zip(self.lang[here].tolist(), self.above[here].tolist(), strict=True))
+
+    def items(self) -> Iterator[tuple[str, list[tuple[int, float]]]]:
+        return ((term, self.get(term)) for term in self.row)
+
+
 class Model:
-    """levels[0] has words, levels[n] n-grams: text -> [(language, log frequency above the language's floor)]."""
+    """levels[0] has words, levels[n] n-grams: text -> [(language, log frequency above the language's floor)].
+
+    A level is a dictionary of term -> row and, for each row, the languages and numbers from start[row] to start[row + 1].
+    """
 
     def __init__(self, langs: list[str], levels: list[dict[str, list[tuple[int, float]]]], floors: list[list[float]], common: int, cells: int = 1_000_000):
-        self.langs, self.levels, self.floors, self.common = langs, levels, floors, common
+        self.langs, self.floors, self.common = langs, floors, common
+        self.levels = [Level(terms) for terms in levels]
         # words met have a row of the table: their scores by language, then a 1 for the level that scored them
         self.width = len(langs) + len(levels)
         self.limit = max(1000, cells // max(1, self.width))
         self.rows: dict[str, int] = {}
         self.table: np.ndarray | None = None
 
+    @classmethod
+    def counted(cls, langs: list[str], levels: list[Level], floors: list[list[float]], common: int) -> Model:
+        found = cls(langs, [], floors, common)
+        found.levels, found.width = levels, len(langs) + len(levels)
+        found.limit = max(1000, 1_000_000 // found.width)
+        return found
+
     def word(self, word: str) -> tuple[int, list[tuple[int, float]]] | None:
         """The level that scores a word and its scores above that level's floors; None if not even a letter is known."""
         found = self.levels[0].get(word)
@@ -96,12 +138,12 @@ class Model:
         return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, words: int = WORDS, grams: int = GRAMS, longest: int = 5) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, longest: int = 5) -> Model:
     """Learn from rows with text and language; others are ignored.
 
-    Of each language about docs_per_lang whole texts are drawn by a hash of the text (all, if there are no more). Of each
-    language the `words` most frequent words and the `grams` most frequent n-grams of each length up to `longest` are kept,
-    of equally frequent ones the first; the driver gets no more than these. No labelled rows give a model without languages.
+    Of each language at most docs_per_lang whole texts are drawn by a hash of the text (all, if there are no more; repeated
+    texts one by one). All their words and n-grams up to `longest` are kept; the driver gets no more than these. No labelled
+    rows give a model without languages.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     with scratch():
@@ -111,19 +153,25 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_la
             return Model([], [{}], [[]], 0)
         names = sorted(counts)
         scale = 1 << 30
-        share = F.least(F.lit(scale), F.ceil(F.lit(scale * docs_per_lang) / F.col("docs")))
-        sample = rows.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(scale)) < share)
+        # about twice the documents that are wanted pass a hash; the first of them by another hash are taken, so that a text
+        # that is repeated does not exceed the bound
+        share = F.least(F.lit(scale), F.ceil(F.lit(2 * scale * docs_per_lang) / F.col("docs")))
+        passed = rows.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(scale)) < share)
+        order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("order"), "text"), "text")
+        sample = passed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_lang)
         terms = written(_terms(sample, longest), "terms")
         totals = {(r["lang"], r["level"]): (r["t"], r["v"]) for r in terms.groupBy("lang", "level").agg(F.sum("n").alias("t"), F.count("*").alias("v")).collect()}
-        order = Window.partitionBy("lang", "level").orderBy(F.desc("n"), "term")
-        top = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("level") == 0, words).otherwise(grams)).drop("rank").toPandas()
-    index = {name: i for i, name in enumerate(names)}
+        index = {name: i for i, name in enumerate(names)}
+        levels = [_level(terms.where(F.col("level") == n), index) for n in range(longest + 1)]
     size = {(name, n): math.log(t + 0.5 * (v + 1)) for name in names for n in range(longest + 1) for t, v in [totals.get((name, n), (0, 0))]}
     floors = [[math.log(0.5) - size[name, n] for name in names] for n in range(longest + 1)]
-    levels: list[dict[str, list[tuple[int, float]]]] = [{} for _ in floors]
-    for name, n, term, times in top.sort_values(["level", "lang", "term"])[["lang", "level", "term", "n"]].itertuples(index=False):
-        levels[n].setdefault(term, []).append((index[name], math.log(times + 0.5) - math.log(0.5)))
-    return Model(names, levels, floors, index[max(names, key=lambda name: counts[name])])
+    return Model.counted(names, levels, floors, index[max(names, key=lambda name: counts[name])])
+
+
+def _level(rows: DataFrame, index: dict[str, int]) -> Level:
+    found = rows.select("term", "lang", "n").orderBy("term", "lang").toArrow()
+    lang = np.array([index[x] for x in found.column("lang").to_pylist()], np.int32)
+    return Level.of(np.array(found.column("term").to_pylist(), object), lang, np.log(found.column("n").to_numpy() + 0.5) - math.log(0.5))
 
 
 def _terms(sample: DataFrame, longest: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows of the shards are balanced jointly.
 
 Rows with equal texts are a group and stay in one shard. Only a group that holds more than a whole shard's share of bytes,
-tokens or rows can't, and is cut into pieces of an eighth of a share. A piece (of a group, or a whole one) goes to the
+tokens or rows can't, and is cut into pieces of an eighth of a share; rows that are equal in id as well are counted first
+and their copies dealt evenly to pieces, so that a single row repeated any number of times is cut like any other group. A piece (of a group, or a whole one) goes to the
 shard where the dot product of the piece and the shard's residual capacity is highest.
 
 Pieces are packed in classes from the heaviest to the lightest, so that the lighter ones fill what the heavier ones left
@@ -15,7 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,6 +26,8 @@ from stayflow.sources.store import scratch, written
 DIMENSIONS = ("bytes", "tokens", "rows")
 #: What the dimensions count in the dot product; the law is that bytes are near equal.
 WEIGHTS = np.array([4.0, 1.0, 1.0])
+#: Copies of a row that one task makes from a count.
+MANY = 4096
 #: The heaviest piece of a class weighs up to so many times the lightest.
 STEP = 16
 
@@ -69,13 +72,12 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
     full = F.coalesce(F.col(text), F.lit(""))
     blank = F.translate(full, BLANKS, "      ")
     tokens = F.when(F.length(F.trim(blank)) > 0, F.regexp_count(blank, F.lit(r"[^ ]+"))).otherwise(0)
-    rows = docs.select(
+    found = docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(full) + 1).cast("long").alias("size"), tokens.cast("long").alias("tokens"), F.crc32(full.cast("binary")).alias("text_crc32"), F.xxhash64(full).alias("h")
     )
     with scratch() as keep:
-        rows = written(rows, "sizes")
-        sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
-        total = rows.agg(*sums).first()
+        rows = written(found.groupBy(*found.columns).agg(F.count("*").alias("copies")), "sizes")
+        total = rows.agg(*_sums()).first()
         if not total["rows"]:
             keep(rows)
             return rows.select("doc_id", "size", "tokens", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
@@ -84,13 +86,22 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
         # slots: rows are numbered in small ranges of hashes, and ranges are counted up within their shard
         ranges = max(1, round(total["rows"] / (shards * 20_000)))
         rows = written(rows.withColumn("range", F.pmod(F.xxhash64(F.lit("range"), "h", "piece", "doc_id"), F.lit(ranges)).cast("int")), "shards")
-        counts = rows.groupBy("shard", "range").agg(F.count("*").alias("n"))
+        counts = rows.groupBy("shard", "range").agg(F.sum("copies").alias("n"))
         before = counts.select("shard", "range", (F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).alias("before"))
         before = written(before, "ranges")
         keep(rows, before)
-    order = Window.partitionBy("shard", "range").orderBy("h", "piece", F.col("doc_id").asc_nulls_first(), "size")
-    rows = rows.withColumn("slot", F.row_number().over(order) - 1).join(before, ["shard", "range"])
-    return rows.select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("slot") + F.col("before")).cast("long").alias("slot"))
+    order = Window.partitionBy("shard", "range").orderBy("h", "text_crc32", "piece", F.col("doc_id").asc_nulls_first(), "size")
+    upto = F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("first", upto - F.col("copies")).join(before, ["shard", "range"]).withColumn("first", F.col("first") + F.col("before"))
+    few = rows.where(F.col("copies") <= MANY).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    many = rows.where(F.col("copies") > MANY).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(MANY).cast("long"))))
+    many = many.repartition("h", "piece", "doc_id", "from").withColumn("i", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + MANY, F.col("copies")) - 1))).drop("from")
+    return few.unionByName(many).select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first") + F.col("i")).cast("long").alias("slot"))
+
+
+def _sums() -> list[Column]:
+    """The dimensions of rows that stand for `copies` rows each."""
+    return [F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("rows")]
 
 
 def _packer(shards: int, number: int, left: np.ndarray):
@@ -107,16 +118,20 @@ def _packer(shards: int, number: int, left: np.ndarray):
 def _placed(rows: DataFrame, total: np.ndarray, shards: int, cell: int) -> tuple[DataFrame, DataFrame]:
     """(h, text_crc32, piece, shard) of all pieces, and rows with their piece."""
     group, piece = ["h", "text_crc32"], ["h", "text_crc32", "piece"]
-    sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     weight = F.greatest(*[F.col(d) / max(1.0, t) for d, t in zip(DIMENSIONS, total, strict=True)])
-    groups = rows.groupBy(*group).agg(*sums)
+    groups = rows.groupBy(*group).agg(*_sums())
     # at most 3 * shards groups have more than a shard's share of something, whatever the size of the table
     cut = F.least(F.ceil(weight * shards * 8), F.col("rows")).cast("int")
     large = written(groups.where((weight > 1 / shards) & (F.col("rows") > 1)).select(*group, cut.alias("pieces")), "large")
-    by = F.pmod(F.xxhash64(F.lit("piece"), "doc_id", "size"), F.coalesce("pieces", F.lit(1))).cast("int")
-    rows = rows.join(F.broadcast(large), group, "left").withColumn("piece", by).drop("pieces")
+    rows = rows.join(F.broadcast(large), group, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    # the copies of a row go to as many pieces as there are, beginning with that of its hash
+    among = F.least("copies", "pieces").cast("int")
+    rows = rows.withColumns({"among": among, "j": F.explode(F.sequence(F.lit(0), among - 1))})
+    by = F.pmod(F.pmod(F.xxhash64(F.lit("piece"), "doc_id", "size"), F.col("pieces")) + F.col("j"), F.col("pieces")).cast("int")
+    share = F.floor(F.col("copies") / F.col("among")) + F.when(F.col("j") < F.col("copies") % F.col("among"), 1).otherwise(0)
+    rows = rows.withColumns({"piece": by, "copies": share}).drop("pieces", "among", "j")
     level = F.greatest(F.lit(0), F.floor(-F.log(float(STEP), weight))).cast("int")
-    parts = written(rows.groupBy(*piece).agg(*sums).withColumn("level", level), "pieces")
+    parts = written(rows.groupBy(*piece).agg(*_sums()).withColumn("level", level), "pieces")
     counts = {r["level"]: r["n"] for r in parts.groupBy("level").agg(F.count("*").alias("n")).collect()}
     load, done = np.zeros((shards, len(DIMENSIONS))), []
     for number, (first, last, n) in enumerate(classes_of(counts, cell)):

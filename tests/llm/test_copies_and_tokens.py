@@ -246,10 +246,31 @@ def test_transducer_equals_the_definition(known):
         machine = bpe.Transducer(known[3], **bounds)
         for _ in range(400):
             data = bytes(rng.choices(b"aeinrst h\xc3\xa9\x00\xff", k=rng.randint(0, 50)))
-            assert machine.encode(data, at_once=8) == machine.merged(data)
+            assert machine.encode(data) == machine.merged(data)
             assert len(machine.content) <= 200_000 and len(machine.moves) <= bounds.get("moves", 1 << 30)
     long = b"ab" * 50_000
-    assert b"".join(machine.token[t] for t in machine.encode(long, 1 << 12)) == long
+    assert b"".join(machine.token[t] for t in machine.encode(long)) == long
+
+
+def test_tokens_leave_after_bounded_lookahead(spark, sf_dir, known):
+    """How many bytes are read beyond the end of a token before it is emitted, over the whole table and long pieces."""
+    machine, most = bpe.Transducer(known[3]), 0
+    rng = random.Random(4)
+    longest = max(map(len, known[3]))
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    words = {w for t in texts for w in known[1].find(t)}
+    pieces = [w.encode() for w in words] + [bytes(rng.choices(b"abcdefghij", k=5000)), b"ab" * 5000, b"a" * 5000, bytes(rng.choices(range(256), k=5000)), ("é日本" * 2000).encode()]
+    for data in pieces:
+        done, tokens = 0, []
+        for read, some in machine.pieces(data):
+            for t in some:
+                done += len(machine.token[t])
+                most = max(most, read - done)
+            tokens += some
+        assert b"".join(machine.token[t] for t in tokens) == data
+        if len(data) <= 60:
+            assert tokens == machine.merged(data)
+    assert most <= 2 * longest + bpe.LOOK
 
 
 def test_utf8_machine():
@@ -306,21 +327,69 @@ def test_held_out_accuracy_and_odd_rows(spark, sf_dir):
 
 
 def test_fit_against_counts(spark):
-    """Each language keeps its own most frequent words and n-grams, however many languages there are."""
+    """Each language keeps all its words and n-grams, however many languages there are."""
     rng = random.Random(3)
     rows = [(f"l{k:03}", " ".join(f"w{k}{'abcdef'[rng.randint(0, 5)]}q" for _ in range(30))) for k in range(600)] + [(None, "x"), ("l001", None)]
-    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), words=2, grams=3, longest=2)
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), longest=2)
     assert len(model.langs) == 600 and model.predict("w599")[1] > 0
     for k in (0, 321, 599):
         for level in range(3):
             counts = Counter()
             for w in langid.words_of(rows[k][1]):
                 counts.update([w] if not level else [f" {w} "[i : i + level] for i in range(len(w) + 3 - level)])
-            best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: 3 if level else 2]
-            assert {t: h for t, hits in model.levels[level].items() for i, h in hits if i == k} == pytest.approx({t: math.log((n + 0.5) / 0.5) for t, n in best})
+            assert {t: h for t, hits in model.levels[level].items() for i, h in hits if i == k} == pytest.approx({t: math.log((n + 0.5) / 0.5) for t, n in counts.items()})
             assert model.floors[level][k] == pytest.approx(math.log(0.5 / (sum(counts.values()) + 0.5 * (len(counts) + 1))))
 
 
+def slow_predict(text, learned, longest=5):
+    """The language and score of a text from plain counts: {lang: [counters of words and n-grams]}."""
+    words = langid.words_of(text)
+    langs = sorted(learned)
+    if not words:
+        return "und", 0.0
+    floor = {(g, n): math.log(0.5 / (sum(learned[g][n].values()) + 0.5 * (len(learned[g][n]) + 1))) for g in langs for n in range(longest + 1)}
+    total, used = dict.fromkeys(langs, 0.0), 0
+    for w in words:
+        for n in [0, *range(longest, 0, -1)]:
+            padded = f" {w} "
+            parts = [p for p in ([w] if n == 0 else [padded[i : i + n] for i in range(len(padded) - n + 1)]) if any(p in learned[g][n] for g in langs)]
+            if parts:
+                used += 1
+                for g in langs:
+                    total[g] += floor[g, n] + sum(math.log((learned[g][n][p] + 0.5) / 0.5) if p in learned[g][n] else 0.0 for p in parts) / len(parts)
+                break
+    if not used:
+        return None
+    mean = {g: total[g] / used for g in langs}
+    best = max(langs, key=lambda g: (mean[g], [-ord(c) for c in g]))
+    return best, 1 / sum(math.exp(mean[g] - mean[best]) for g in langs)
+
+
+def test_predictions_against_plain_counts(spark, sf_dir):
+    """The whole table, row by row, learned and predicted without Spark, NumPy or caches."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learned: dict = {}
+    for r in docs.where(~langid.held_out()).collect():
+        if r["text"] is not None and r["lang"] is not None:
+            counters = learned.setdefault(r["lang"], [Counter() for _ in range(6)])
+            for w in langid.words_of(r["text"]):
+                counters[0][w] += 1
+                for n in range(1, 6):
+                    counters[n].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
+    got = langid.predict(docs, langid.fit(docs.where(~langid.held_out()))).select("text", "predicted.*").collect()
+    for r in got:
+        want = slow_predict(r["text"], learned)
+        assert want is not None and r["lang_pred"] == want[0] and r["score"] == pytest.approx(want[1])
+
+
+def test_repeated_texts_do_not_exceed_the_sample(spark, monkeypatch):
+    rows = [("a", "again and again")] * 300 + [("a", f"word{c}") for c in "bcdefgh"] + [("b", "other words")] * 2
+    seen = []
+    monkeypatch.setattr(langid, "_terms", lambda sample, longest, real=langid._terms: seen.append(sample.groupBy("lang").count().collect()) or real(sample, longest))
+    langid.fit(spark.createDataFrame(rows, "lang string, text string"), docs_per_lang=10)
+    assert {r["lang"]: r["count"] for r in seen[0]}.get("a", 0) <= 10
+
+
 # --- sharding ---
 
 
@@ -365,6 +434,50 @@ def test_shards_of_the_table(spark, sf, cell, of_bytes, of_others):
     assert uneven[0] < of_bytes and uneven[1:].max() < of_others
 
 
+@pytest.mark.parametrize("ids", [1, 3])
+def test_shards_of_repeated_rows(spark, monkeypatch, ids):
+    """Rows that are equal in id and text are dealt evenly as well, by a task that makes 50 copies at most."""
+    monkeypatch.setattr(sharding, "MANY", 50)
+    rows = [(7 + i % ids, "same row again") for i in range(4000)] + [(100 + i, f"text {i} é") for i in range(4000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shards=8).toPandas()
+    assert sorted(got["doc_id"]) == sorted(i for i, _ in rows)
+    sums = got.groupby("shard")["size"].agg(["sum", "count"])
+    assert sums["sum"].max() / sums["sum"].mean() < 1.02 and sums["count"].max() / sums["count"].mean() < 1.1
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
+def slow_placement(sizes, shards):
+    """{group: shard}: the heaviest first, each to the shard with the highest dot product of its shares and what is left."""
+    total = [sum(s[k] for s in sizes.values()) for k in range(3)]
+    share = {g: [s[k] / total[k] if total[k] else 0.0 for k in range(3)] for g, s in sizes.items()}
+    left, found = [[1 / shards] * 3 for _ in range(shards)], {}
+    for g in sorted(sizes, key=lambda g: (-max(share[g]), *g)):
+        dots = [4 * left[i][0] * share[g][0] + left[i][1] * share[g][1] + left[i][2] * share[g][2] for i in range(shards)]
+        best = max(range(shards), key=lambda i: (round(dots[i], 15), -i))
+        found[g] = best
+        for k in range(3):
+            left[best][k] -= share[g][k]
+    return found
+
+
+def test_placement_against_brute_force(spark):
+    """Every row's shard, for a table that is one cell."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["a", "bb", "ccc", "日本"], k=rng.randint(0, 60))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, rng.choice(texts)) for i in range(400)] + [(None, None), (None, "")], "doc_id long, text string")
+    got = sharding.shard(docs, shards=5).toPandas()
+    keys = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"), F.coalesce("text", F.lit("")).alias("t")).collect()
+    sizes: dict = {}
+    for r in keys:
+        s = sizes.setdefault((r["h"], r["c"]), [0, 0, 0])
+        for k, x in enumerate((len(r["t"].encode()) + 1, len(r["t"].split()), 1)):
+            s[k] += x
+    want = slow_placement(sizes, 5)
+    by_id = {r["doc_id"]: want[r["h"], r["c"]] for r in keys}
+    assert all(by_id[None if i != i else int(i)] == s for i, s in zip(got["doc_id"], got["shard"], strict=True))
+
+
 def test_shards_of_a_hot_group(spark):
     rows = [(i, "the same text everywhere") for i in range(3000)] + [(5000 + i, f"text {i} " * (i % 7 + 1)) for i in range(6000)] + [(None, None), (None, None), (1, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("shard", "slot", "piece", "h", "size", "cell")})
