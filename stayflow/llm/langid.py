@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -54,12 +55,18 @@ class Level:
         found.lang, found.above = lang.astype(np.int32), above
         return found
 
+    @cached_property
+    def plain(self) -> tuple[list[int], list[int], list[float]]:
+        """The arrays as lists, of which single numbers are read faster."""
+        return self.start.tolist(), self.lang.tolist(), self.above.tolist()
+
     def get(self, term: str) -> list[tuple[int, float]] | None:
         at = self.row.get(term)
         if at is None:
             return None
-        here = slice(self.start[at], self.start[at + 1])
-        return list(zip(self.lang[here].tolist(), self.above[here].tolist(), strict=True))
+        start, lang, above = self.plain
+        a, b = start[at], start[at + 1]
+        return [(lang[a], above[a])] if b == a + 1 else list(zip(lang[a:b], above[a:b], strict=True))
 
     def items(self) -> Iterator[tuple[str, list[tuple[int, float]]]]:
         return ((term, self.get(term)) for term in self.row)
@@ -94,14 +101,16 @@ class Model:
             return 0, found
         padded = f" {word} "
         for n in range(len(self.levels) - 1, 0, -1):
-            known = self.levels[n]
-            hits = [h for i in range(len(padded) - n + 1) if (h := known.get(padded[i : i + n]))]
-            if hits:
+            level = self.levels[n]
+            row = level.row
+            at = [row[p] for i in range(len(padded) - n + 1) if (p := padded[i : i + n]) in row]
+            if at:
+                start, langs, scores = level.plain
                 total: dict[int, float] = {}
-                for h in hits:
-                    for lang, above in h:
-                        total[lang] = total.get(lang, 0.0) + above
-                return n, [(lang, above / len(hits)) for lang, above in total.items()]
+                for k in at:
+                    for j in range(start[k], start[k + 1]):
+                        total[langs[j]] = total.get(langs[j], 0.0) + scores[j]
+                return n, [(lang, above / len(at)) for lang, above in total.items()]
         return None
 
     def _row(self, word: str) -> int:
