@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, is_dataclass
 from functools import cache
 
@@ -34,6 +34,10 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+#: Ids that are sent to the readers as a predicate, and bytes of a row group of files by stay.
+FEW, ROW_GROUP = 10_000, 4 << 20
+
+
 @cache
 def declared(name: str) -> StructType:
     return StructType.fromDDL(SCHEMAS[name])
@@ -85,6 +89,16 @@ class Catalog:
         """Rows of the stays in ids (hospitalization_id); unknown ids give no rows."""
         return self[name].join(ids.select("hospitalization_id").distinct(), "hospitalization_id", "left_semi")
 
+    def for_ids(self, name: str, ids: Sequence[str]) -> DataFrame:
+        """Rows of the stays in a list. Up to FEW ids are a predicate that reaches the Parquet reader: of files written by
+        write_by_stay() it skips row groups whose Bloom filter knows none of them. Longer lists are a semi-join, to which
+        Spark adds its own runtime filter."""
+        wanted = sorted({i for i in ids if i is not None})
+        if len(wanted) > FEW:
+            return self.for_stays(name, self.spark.createDataFrame([(i,) for i in wanted], "hospitalization_id string"))
+        self.spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(FEW))
+        return self[name].where(F.col("hospitalization_id").isin(wanted))
+
     def patient_ids(self) -> DataFrame:
         return self["patient"].select("patient_id").distinct().orderBy("patient_id")
 
@@ -180,6 +194,13 @@ def write_log(log: DataFrame, path: str, keep_empty: bool = True) -> bool:
     return False
 
 
+def write_by_stay(df: DataFrame, path: str, row_group: int = ROW_GROUP) -> None:
+    """A table as Parquet sorted by stay, with a Bloom filter of the stays for each of its small row groups."""
+    sorted_rows = df.repartitionByRange("hospitalization_id").sortWithinPartitions("hospitalization_id")
+    options = {"parquet.bloom.filter.enabled#hospitalization_id": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.block.size": str(row_group), "compression": "zstd"}
+    sorted_rows.write.mode("overwrite").options(**options).parquet(path)
+
+
 def read_sequences(spark: SparkSession, *paths: str) -> DataFrame:
     """One row per stay with its events in order, from one or several files of an event log."""
     log = spark.read.parquet(*paths)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from stayflow.operators import dataset, insert, tokens
 from stayflow.operators.intervals import interval_join
 from stayflow.plans import catalogue
+from stayflow.sources import catalog
+from stayflow.sources.catalog import Catalog, write_by_stay
 from stayflow.sources.store import bucketed, buckets
 
 T0 = datetime(2024, 1, 1)
@@ -75,3 +77,24 @@ def test_buckets_of_several_files_are_right(spark):
     for h in range(7):
         rows = sorted((x["pos"], x["r"]) for x in ranked if x["hospitalization_id"] == str(h))
         assert [r for _, r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_loads_by_ids_skip_row_groups(spark, tmp_path, monkeypatch):
+    """Of 100,000 rows of 2,000 stays, 1 % of the stays, spread over all files, need a small part of the row groups."""
+    rows = spark.range(100_000).selectExpr("concat('s', lpad(cast(id % 2000 as string), 5, '0')) as hospitalization_id", "timestamp_ntz'2024-01-01 00:00:00' + id * interval '1' second as recorded_dttm", "md5(cast(id as string)) as vital_category", "rand(1) as vital_value")
+    write_by_stay(rows, str(tmp_path / "vitals.parquet"), row_group=1 << 15)
+    t = Catalog.from_parquet(spark, str(tmp_path))
+    ids = [f"s{i:05}" for i in range(0, 2000, 100)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = t.for_ids("vitals", [*ids, "unknown", None])
+        assert sorted(r["hospitalization_id"] for r in found.collect()) == sorted(i for i in ids for _ in range(50))
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        assert "PushedFilters: [In(hospitalization_id" in found._jdf.queryExecution().executedPlan().toString()
+        scanned = found._jdf.queryExecution().executedPlan()
+        found._jdf.queryExecution().toRdd().count()
+        assert 0 < leaf.metrics().apply("numOutputRows").value() < 2 * 30_000, scanned.toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    monkeypatch.setattr(catalog, "FEW", 3)
+    assert t.for_ids("vitals", ids).count() == 1000 and t.for_ids("vitals", []).count() == 0
