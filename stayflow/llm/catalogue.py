@@ -21,10 +21,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
     names = ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
     # responses are digested anew; of revisits only the headers are read, which state digest and length
-    responses = warc.read(spark, path, ["record_id", "record_type", "payload"], {"record_type": ["response"]})
+    responses = warc.read_filtered(spark, path, F.col("record_type") == "response", ["record_id", "record_type", "payload"])
     digest, length = warc.base32(F.unhex(F.sha1("payload"))), F.octet_length("payload").cast("long")
     responses = responses.withColumns({"refers_to": F.lit(None).cast("string"), "payload_bytes": length, "payload_digest": digest})
-    revisits = warc.read(spark, path, names, {"record_type": ["revisit"]})
+    revisits = warc.read_filtered(spark, path, F.col("record_type") == "revisit", names)
     return responses.select(*names).unionByName(revisits).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
     )

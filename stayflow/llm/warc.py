@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
@@ -461,6 +461,18 @@ def read(spark: SparkSession, path: str, columns: list[str] | None = None, where
     return spark.read.format("warc").schema(schema).option("predicates", predicates).option("damaged", damaged).load(qualified(spark, path))
 
 
+def read_filtered(spark: SparkSession, path: str, condition: Column, columns: list[str] | None = None, damaged: str = "error") -> DataFrame:
+    """Records that meet a condition, which Spark pushes into the source: header predicates are tested before a payload is
+    touched. The load serves this one condition, as Spark 4.1 keeps pushed filters with a loaded table; what is filtered
+    further on is filtered by Spark above it. Sets spark.sql.python.filterPushdown.enabled for the session."""
+    register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    schema = T.StructType([f for f in SCHEMA.fields if columns is None or f.name in columns])
+    loaded = spark.read.format("warc").schema(schema).option("pushdown", "true").option("damaged", damaged).load(qualified(spark, path))
+    # generated, so that no later filter is moved below and pushed as well
+    return loaded.where(condition).select(F.explode(F.array(F.struct(*schema.names))).alias("r")).select("r.*")
+
+
 def write(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", least_revisit: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> str:
     """Write a record per row and return the folder.
 

@@ -158,6 +158,18 @@ def test_filters_that_spark_pushes(spark):
         load().count()
 
 
+def test_pushed_conditions_serve_later_queries(spark):
+    """The condition reaches the source; other filters on the same DataFrame, and plain reads, lose no rows by it."""
+    path = warc.write(spark.createDataFrame(ROWS, "page_id long, url string, html string"))
+    every = warc.read(spark, path).collect()
+    found = warc.read_filtered(spark, path, F.col("record_type") == "response", ["record_id", "record_type", "target_uri", "payload"])
+    responses = [r for r in every if r["record_type"] == "response"]
+    for _ in range(2):
+        assert found.count() == len(responses) and found.where("target_uri = 'u'").count() == sum(r["target_uri"] == "u" for r in responses)
+        assert sorted(r["record_id"] for r in found.collect()) == sorted(r["record_id"] for r in responses) and found.where("record_type = 'revisit'").count() == 0
+    assert warc.read(spark, path).count() == len(every)
+
+
 def test_appends_do_not_meet(spark, tmp_path):
     path = str(tmp_path / "both")
     for i in (1, 2):
