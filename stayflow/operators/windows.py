@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayflow.functions import constants as C
 
 MIDNIGHT, DEATH = "CLOCK//00:00", "DISCH//Expired"
+#: Columns that name a window.
+WINDOW = ("hospitalization_id", "window_id")
 
 
 def midnight_windows(rows: DataFrame, vocab: DataFrame, max_days: int = 7) -> DataFrame:
@@ -26,19 +30,40 @@ def contexts(windows: DataFrame, seqs: DataFrame, max_len: int | None = None) ->
     return joined.withColumn("context_ids", F.slice("token_ids", start, size - start + 1)).drop("token_ids")
 
 
-def horizon_truth(windows: DataFrame, rows: DataFrame, label_tokens: DataFrame, horizons: tuple[int, ...] = (8, 24, 48)) -> DataFrame:
-    """(hospitalization_id, window_id, horizon_hours, label, actual_positive): does the label's token stand after the
-    window's end, at most horizon hours later? label_tokens: (label, token_id).
+def _by_label(found: DataFrame, label_tokens: DataFrame, horizons: tuple[int, ...], *of_label: Column | str, **values: Callable[[int], Column]) -> DataFrame:
+    """A row for each window of found, horizon and label, of which there are many times more than windows: they are made where
+    the window is, as the last step, and never shuffled. values: from a horizon's place to a column of it, which may use of_label."""
+    rows = found.join(F.broadcast(label_tokens.select("label"))).select(*WINDOW, "label", *of_label)  # labels are a fixed list
+    each = [F.struct(F.lit(h).alias("horizon_hours"), *[value(i).alias(name) for name, value in values.items()]) for i, h in enumerate(horizons)]
+    return rows.select(*WINDOW, "label", F.inline(F.array(*each))).select(*WINDOW, "horizon_hours", "label", *values)
+
+
+def label_times(windows: DataFrame, rows: DataFrame, label_tokens: DataFrame) -> DataFrame:
+    """(hospitalization_id, window_id, after_us): for each window a map from labels that follow it to the time until the first
+    token. label_tokens: (label, token_id).
 
     Only label tokens are joined to the windows of their stay; times are taken to be in order.
     """
-    hits = rows.join(label_tokens, "token_id").select("hospitalization_id", "label", "ts_us")
-    after = windows.join(hits, "hospitalization_id").where("ts_us > end_us")
-    first = after.groupBy("hospitalization_id", "window_id", "label").agg(F.min(F.col("ts_us") - F.col("end_us")).alias("after_us"))
-    grid = windows.select("hospitalization_id", "window_id", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon_hours"))
-    grid = grid.join(F.broadcast(label_tokens.select("label")))  # labels are a fixed list
-    joined = grid.join(first, ["hospitalization_id", "window_id", "label"], "left")
-    return joined.select("hospitalization_id", "window_id", "horizon_hours", "label", F.coalesce(F.col("after_us") <= F.col("horizon_hours") * 3_600_000_000, F.lit(False)).alias("actual_positive"))
+    hits = rows.join(label_tokens, "token_id").select(F.col("hospitalization_id").alias("stay"), "label", "ts_us")
+    after = windows.join(hits, (F.col("hospitalization_id") == F.col("stay")) & (F.col("ts_us") > F.col("end_us")), "left")
+    first = after.groupBy(*WINDOW, "label").agg(F.min(F.col("ts_us") - F.col("end_us")).alias("us"))
+    return first.groupBy(*WINDOW).agg(_map("label", F.col("us")).alias("after_us"))
+
+
+def _map(key: str, value: Column) -> Column:
+    """Aggregate to a map; rows whose key is null add nothing."""
+    return F.map_from_entries(F.collect_list(F.when(F.col(key).isNotNull(), F.struct(F.col(key), value))))
+
+
+def _positive(horizons: tuple[int, ...]) -> Callable[[int], Column]:
+    return lambda i: F.coalesce(F.col("after") <= horizons[i] * 3_600_000_000, F.lit(False))
+
+
+def horizon_truth(windows: DataFrame, rows: DataFrame, label_tokens: DataFrame, horizons: tuple[int, ...] = (8, 24, 48)) -> DataFrame:
+    """(hospitalization_id, window_id, horizon_hours, label, actual_positive): does the label's token stand after the
+    window's end, at most horizon hours later? label_tokens: (label, token_id)."""
+    times = label_times(windows, rows, label_tokens)
+    return _by_label(times, label_tokens, horizons, F.try_element_at("after_us", F.col("label")).alias("after"), actual_positive=_positive(horizons))
 
 
 def truncate_at_clock(tokens: Column, clocks: list[int], n: int) -> Column:
@@ -47,30 +72,46 @@ def truncate_at_clock(tokens: Column, clocks: list[int], n: int) -> Column:
     return F.when(F.size(tokens) > 0, F.slice(tokens, F.lit(1), F.coalesce(F.get(places, F.lit(n - 1)), F.size(tokens)))).otherwise(tokens)
 
 
-def probabilities(samples: DataFrame, label_tokens: DataFrame, clocks: list[int], death: int | None, horizons: tuple[int, ...] = (8, 24, 48), clock_hours: int = C.CLOCK_HOURS) -> DataFrame:
-    """(hospitalization_id, window_id, horizon_hours, label, predicted_prob) from samples (hospitalization_id, window_id,
-    sample_id, tokens): the share of a window's samples that have the label's token within the horizon's clock tokens.
-    Labels whose name has "mortality" take the token of death instead. A window without samples is not in `samples`.
+def label_hits(samples: DataFrame, label_tokens: DataFrame, clocks: list[int], death: int | None, horizons: tuple[int, ...] = (8, 24, 48), clock_hours: int = C.CLOCK_HOURS) -> DataFrame:
+    """(hospitalization_id, window_id, n, hits) from samples (hospitalization_id, window_id, sample_id, tokens): how many a
+    window has, and a map from labels to how many of them have the label's token within each horizon's clock tokens. Labels
+    whose name has "mortality" take the token of death instead. A window without samples is not in `samples`.
 
-    Only tokens that some label wants leave the samples, each with the first place at which it stands.
+    Only tokens that some label wants leave the samples, each with the first place at which it stands, and a null before
+    them by which samples are counted, so that all comes from one reading.
     """
-    window = ["hospitalization_id", "window_id"]
+    tokens = F.coalesce("tokens", F.array().cast(samples.schema["tokens"].dataType))
     size = F.size("tokens")
     places = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.get("tokens", i).isin(clocks)) if clocks else F.array().cast("array<int>")
     # the last place of a horizon is that of its n-th clock token; without so many all of the sample belongs to it
-    ends = F.array(*[F.struct(F.lit(h).alias("horizon_hours"), F.coalesce(F.get("places", F.lit(h // clock_hours - 1)), size).alias("end")) for h in horizons])
-    rows = samples.select(*window, "sample_id", "tokens", places.alias("places")).select(*window, "sample_id", ends.alias("ends"), F.posexplode("tokens").alias("place", "token"))
+    ends = F.array(*[F.coalesce(F.get("places", F.lit(h // clock_hours - 1)), size) for h in horizons])
+    rows = samples.select(*WINDOW, "sample_id", tokens.alias("tokens")).select(*WINDOW, "sample_id", "tokens", places.alias("places"))
+    rows = rows.select(*WINDOW, "sample_id", ends.alias("ends"), F.posexplode(F.concat(F.array(F.lit(None).cast("int")), "tokens")).alias("at", "token"))
     target = F.when(F.col("label").contains("mortality"), F.lit(death).cast("int")).otherwise(F.col("token_id"))
     targets = label_tokens.select("label", target.alias("target"))  # a fixed list
-    hits = rows.join(F.broadcast(targets), F.col("token") == F.col("target")).groupBy(*window, "sample_id", "label").agg(F.min("place").alias("place"), F.first("ends").alias("ends"))
-    hits = hits.select(*window, "label", "place", F.inline("ends")).where("place <= end").groupBy(*window, "horizon_hours", "label").agg(F.count("*").alias("hits"))
-    grid = samples.groupBy(*window).agg(F.count("*").alias("n")).select("*", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon_hours"))
-    grid = grid.join(F.broadcast(label_tokens.select("label")))
-    keys = [*window, "horizon_hours", "label"]
-    return grid.join(hits, keys, "left").select(*keys, (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("predicted_prob"))
-
-
-def scored(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """Predictions beside what came true; windows without samples have probability 0."""
-    keys = ["hospitalization_id", "window_id", "horizon_hours", "label"]
-    return truth.join(predicted, keys, "left").withColumn("predicted_prob", F.coalesce("predicted_prob", F.lit(0.0)))
+    rows = rows.join(F.broadcast(targets), F.col("token") == F.col("target"), "left").where("at = 0 or label is not null")
+    found = rows.groupBy(*WINDOW, "sample_id", "label").agg((F.min("at") - 1).alias("place"), F.first("ends").alias("ends"), F.count("*").alias("n"))
+    within = F.array(*[F.count_if(F.col("place") <= F.get("ends", F.lit(i))) for i in range(len(horizons))])
+    found = found.groupBy(*WINDOW, "label").agg(within.alias("within"), F.sum("n").alias("n"))
+    return found.groupBy(*WINDOW).agg(F.max(F.when(F.col("label").isNull(), F.col("n"))).alias("n"), _map("label", F.col("within")).alias("hits"))
+
+
+def _within(i: int) -> Column:
+    return F.coalesce(F.get("within", F.lit(i)), F.lit(0)) / F.col("n")
+
+
+def probabilities(samples: DataFrame, label_tokens: DataFrame, clocks: list[int], death: int | None, horizons: tuple[int, ...] = (8, 24, 48), clock_hours: int = C.CLOCK_HOURS) -> DataFrame:
+    """(hospitalization_id, window_id, horizon_hours, label, predicted_prob): the share of a window's samples that have the
+    label, as label_hits() counts them."""
+    hits = label_hits(samples, label_tokens, clocks, death, horizons, clock_hours)
+    return _by_label(hits, label_tokens, horizons, "n", F.try_element_at("hits", F.col("label")).alias("within"), predicted_prob=_within)
+
+
+def scored(hits: DataFrame, times: DataFrame, label_tokens: DataFrame, horizons: tuple[int, ...] = (8, 24, 48)) -> DataFrame:
+    """Predictions beside what came true, from label_hits() and label_times(); windows without samples have probability 0.
+
+    Windows are joined, a row each, before they are taken apart by horizon and label.
+    """
+    of_label = [F.try_element_at(c, F.col("label")).alias(name) for c, name in (("after_us", "after"), ("hits", "within"))]
+    share = lambda i: F.coalesce(_within(i), F.lit(0.0))
+    return _by_label(times.join(hits, list(WINDOW), "left"), label_tokens, horizons, "n", *of_label, actual_positive=_positive(horizons), predicted_prob=share)

@@ -123,10 +123,18 @@ class Run:
             test = test | F.col("token").startswith(p)
         return [r["id"] for r in self.vocab.where(test).select("id").collect()]
 
+    def clocks_and_death(self) -> tuple[list[int], int | None]:
+        death = self.ids(windows.DEATH)
+        return self.ids("CLOCK//"), death[0] if death else None
+
     @cached_property
     def probabilities(self) -> DataFrame:
-        death = self.ids(windows.DEATH)
-        return windows.probabilities(self.samples, self.label_tokens, self.ids("CLOCK//"), death[0] if death else None, HORIZONS)
+        return windows.probabilities(self.samples, self.label_tokens, *self.clocks_and_death(), HORIZONS)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        hits = windows.label_hits(self.samples, self.label_tokens, *self.clocks_and_death(), HORIZONS)
+        return windows.scored(hits, windows.label_times(self.windows, self.kept_tokens, self.label_tokens), self.label_tokens, HORIZONS)
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -273,9 +281,9 @@ _PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "horizon_truth": lambda r: r.truth,
     "clock_truncation": lambda r: r.samples.select("hospitalization_id", "window_id", "sample_id", F.inline(F.array(*[F.struct(F.lit(h).alias("horizon_hours"), F.array_join(windows.truncate_at_clock(F.col("tokens"), r.ids("CLOCK//"), C.HORIZON_CLOCKS[h]).cast("array<string>"), " ").alias("tokens")) for h in HORIZONS]))),
     "mc_probability": lambda r: rounded(r.probabilities, "predicted_prob"),
-    "scored_predictions": lambda r: rounded(windows.scored(r.probabilities, r.truth), "predicted_prob").select("hospitalization_id", "window_id", "horizon_hours", "label", "predicted_prob", "actual_positive"),
+    "scored_predictions": lambda r: rounded(r.scored, "predicted_prob").select("hospitalization_id", "window_id", "horizon_hours", "label", "predicted_prob", "actual_positive"),
     "generation_shares": _generation_shares,
-    "prediction_metrics": lambda r: _rounded_metrics(metrics.grouped(windows.scored(r.probabilities, r.truth))),
+    "prediction_metrics": lambda r: _rounded_metrics(metrics.grouped(r.scored)),
     "metric_auroc": lambda r: rounded(metrics.auroc(r.preds), "auroc"),
     "metric_auprc": lambda r: rounded(metrics.auprc(r.preds), "auprc"),
     "metric_brier": lambda r: rounded(metrics.brier(r.preds), "brier", places=9),

@@ -105,9 +105,9 @@ def evaluate_run(spark: SparkSession, config: Config, t: Catalog | None = None,
         wish = model.Generation(how.n_samples, how.max_new_tokens, how.temperature, how.top_k, how.top_p, stop, tuple(clocks), limit)
         samples = model.generate(windows.contexts(found, seqs, how.max_context), _read(spark, config, "model"), wish)
     samples = _save(samples, config, "samples")
-    truth = windows.horizon_truth(found, rows, label_tokens, how.horizons)
-    predicted = windows.probabilities(samples, label_tokens, clocks, ids.get(windows.DEATH), how.horizons, config.time.clock_hours)
-    scored = _save(windows.scored(predicted, truth), config, "predictions")
+    times = windows.label_times(found, rows, label_tokens)
+    hits = windows.label_hits(samples, label_tokens, clocks, ids.get(windows.DEATH), how.horizons, config.time.clock_hours)
+    scored = _save(windows.scored(hits, times, label_tokens, how.horizons), config, "predictions")
     result = _save(metrics.grouped(scored), config, "metrics")
     if how.n_bootstrap:
         _save(metrics.bootstrap_auroc(scored, n=how.n_bootstrap, confidence=how.confidence), config, "intervals")

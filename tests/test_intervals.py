@@ -67,6 +67,13 @@ def test_stay_steps_in_buckets_neither_shuffle_nor_sort(spark, sf_dir):
     assert "REPARTITION_BY_NUM" in first
 
 
+def test_rows_by_horizon_and_label_are_not_shuffled(spark, sf_dir):
+    """They are windows times horizons times labels: each is made where its window is."""
+    for name in ("scored_predictions", "mc_probability", "horizon_truth"):
+        plan = _plan(catalogue.QUERIES[name](spark, sf_dir))
+        assert "horizon_hours" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "horizon_hours" in x], name
+
+
 def test_buckets_of_several_files_are_right(spark):
     """A table that is not dealt by its key has several files a bucket; windows over it must sort."""
     df = spark.range(1000).select((F.col("id") % 7).cast("string").alias("hospitalization_id"), (F.lit(1000) - F.col("id")).alias("pos")).repartition(5)

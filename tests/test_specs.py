@@ -288,3 +288,33 @@ def test_probabilities_against_samples(spark):
                     cut = t[: clocks[h // 4 - 1] + 1] if len(clocks) >= h // 4 else t
                     hits.append((death if "mortality" in label else labels[label]) in cut)
             assert p == pytest.approx(sum(hits) / 4)
+
+
+def test_scored_against_tokens(spark):
+    """Windows without samples, without a label after them and without tokens in a sample; a sample that is given twice counts
+    once as a hit and twice as a sample."""
+    rng, hour = random.Random(8), 3_600_000_000
+    labels = {"x": 1, "mortality_y": 2, "z": 3}
+    made = [(h, w, 4 * w, 12 * hour * w) for h in "abc" for w in range(3)]
+    rows = [(h, p, rng.choice([1, 2, 3, 9, 7]), rng.randint(0, 60) * hour) for h in "ab" for p in range(20)]
+    samples = [(h, w, s, None if s == 2 else [rng.choice([1, 3, 9, 9, 7, -1, None]) for _ in range(rng.randint(0, 12))]) for h, w, _, _ in made if w for s in range(4)]
+    samples.append(samples[0])
+    found = spark.createDataFrame(made, "hospitalization_id string, window_id int, end_pos int, end_us long")
+    df = spark.createDataFrame(samples, "hospitalization_id string, window_id int, sample_id int, tokens array<int>")
+    log = spark.createDataFrame(rows, "hospitalization_id string, pos int, token_id int, ts_us long")
+    names = spark.createDataFrame(list(labels.items()), "label string, token_id int")
+    for death in (7, None):
+        hits, times = windows.label_hits(df, names, [9], death), windows.label_times(found, log, names)
+        got = {(r["hospitalization_id"], r["window_id"], r["horizon_hours"], r["label"]): (r["predicted_prob"], r["actual_positive"]) for r in windows.scored(hits, times, names).collect()}
+        truth = {tuple(r)[:4]: r["actual_positive"] for r in windows.horizon_truth(found, log, names).collect()}
+        assert len(got) == len(truth) == 9 * 3 * 3 and {k: v[1] for k, v in got.items()} == truth
+        for (stay, w, h, label), (p, y) in got.items():
+            end = 12 * hour * w
+            assert y == any(s == stay and t == labels[label] and end < us <= end + h * hour for s, _, t, us in rows)
+            mine, wanted = [x for x in samples if x[:2] == (stay, w)], death if "mortality" in label else labels[label]
+            true = set()
+            for _, _, sample, t in mine:
+                clocks = [i for i, x in enumerate(t or []) if x == 9]
+                if wanted is not None and wanted in ((t or [])[: clocks[h // 4 - 1] + 1] if len(clocks) >= h // 4 else t or []):
+                    true.add(sample)
+            assert p == pytest.approx(len(true) / len(mine) if mine else 0)
