@@ -7,12 +7,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stayflow.operators import dataset, insert, tokens
+from stayflow.operators import dataset, insert, metrics, tokens
 from stayflow.operators.intervals import interval_join
 from stayflow.plans import catalogue
 from stayflow.sources import catalog
 from stayflow.sources.catalog import Catalog, write_by_stay
-from stayflow.sources.store import bucketed, buckets
+from stayflow.sources.store import bucketed, buckets, written
 
 T0 = datetime(2024, 1, 1)
 SPANS = "patient string, stay string, start timestamp_ntz, end timestamp_ntz"
@@ -74,6 +74,15 @@ def test_rows_by_horizon_and_label_are_not_shuffled(spark, sf_dir):
         assert "horizon_hours" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "horizon_hours" in x], name
 
 
+def test_metrics_of_predictions_shuffle_counts_per_score(spark, sf_dir, monkeypatch):
+    """What metrics read of scored predictions is summed by score where it is made."""
+    plans = []
+    monkeypatch.setattr(metrics, "written", lambda df, tag: plans.append(_plan(df)) or written(df, tag))
+    assert catalogue.QUERIES["prediction_metrics"](spark, sf_dir).count() > 0
+    by_score = [x for x in plans[0].splitlines() if "Exchange hashpartitioning" in x and "horizon_hours" in x]
+    assert len(by_score) == 1 and "predicted_prob" in by_score[0] and "hospitalization_id" not in by_score[0]
+
+
 def test_buckets_of_several_files_are_right(spark):
     """A table that is not dealt by its key has several files a bucket; windows over it must sort."""
     df = spark.range(1000).select((F.col("id") % 7).cast("string").alias("hospitalization_id"), (F.lit(1000) - F.col("id")).alias("pos")).repartition(5)
