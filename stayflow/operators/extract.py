@@ -174,10 +174,15 @@ EXTRACTORS = {
 }
 
 
-def base_events(t: Catalog, profile: DataFrame | None = None, ids: DataFrame | None = None, keep_unknown_action: bool = False) -> DataFrame:
-    """All events from admission on; those before it, and those without a time, are dropped. There is no upper limit."""
+def base_events(t: Catalog, profile: DataFrame | None = None, ids: DataFrame | None = None, keep_unknown_action: bool = False, parts: int | None = None) -> DataFrame:
+    """All events from admission on; those before it, and those without a time, are dropped. There is no upper limit.
+
+    With `parts`, stays are dealt into so many partitions, by the one shuffle that also finds their admission.
+    """
     more = {continuous_medications: {"keep_unknown_action": keep_unknown_action}}
     union = reduce(DataFrame.unionByName, [make(t, profile, **more.get(make, {})) for make in EXTRACTORS.values()])
+    if parts:
+        union = union.repartition(parts, "hospitalization_id")
     stays = t["hospitalization"].select("hospitalization_id", "admission_dttm")
     if ids is not None:
         stays = stays.join(ids.select("hospitalization_id"), "hospitalization_id", "left_semi")

@@ -110,8 +110,11 @@ def probabilities(samples: DataFrame, label_tokens: DataFrame, clocks: list[int]
 def scored(hits: DataFrame, times: DataFrame, label_tokens: DataFrame, horizons: tuple[int, ...] = (8, 24, 48)) -> DataFrame:
     """Predictions beside what came true, from label_hits() and label_times(); windows without samples have probability 0.
 
-    Windows are joined, a row each, before they are taken apart by horizon and label.
+    Windows get a row each before they are taken apart by horizon and label. Both sides are grouped, not joined, by window:
+    where both are dealt by stay already, a group finds its rows there, and a join by two columns would shuffle them.
     """
+    both = times.withColumn("found", F.lit(True)).unionByName(hits, allowMissingColumns=True)
+    whole = both.groupBy(*WINDOW).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("found", "after_us", "n", "hits")]).where("found")
     of_label = [F.try_element_at(c, F.col("label")).alias(name) for c, name in (("after_us", "after"), ("hits", "within"))]
     share = lambda i: F.coalesce(_within(i), F.lit(0.0))
-    return _by_label(times.join(hits, list(WINDOW), "left"), label_tokens, horizons, "n", *of_label, actual_positive=_positive(horizons), predicted_prob=share)
+    return _by_label(whole, label_tokens, horizons, "n", *of_label, actual_positive=_positive(horizons), predicted_prob=share)

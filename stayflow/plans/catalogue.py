@@ -15,7 +15,7 @@ from stayflow.operators import bins, dataset, extract, insert, labels, metrics,
 from stayflow.plans.oracle import BUDGET, HORIZONS, MAX_LEN, MIN_EVENTS, MIN_STAYS, OVERLAP, SAMPLES
 from stayflow.sources.adapter import event_catalog
 from stayflow.sources.catalog import Catalog, id_map, read_sequences, write_log
-from stayflow.sources.store import bucketed, buckets, shared_dir, written
+from stayflow.sources.store import bucketed, buckets, release, shared_dir, written
 
 EVENT = ("hospitalization_id", "time", "code", "value", "value_cat")
 LOG = ("hospitalization_id", "event_idx", *EVENT[1:])
@@ -32,9 +32,10 @@ class Run:
 
     @cached_property
     def t(self) -> Catalog:
-        """Stays are made of all events and joined to everything, so they are written once."""
+        """Stays are made of all events and joined to everything, so they are written once, in buckets as the log is."""
         made = event_catalog(self.spark, self.sf_dir)
-        return Catalog(self.spark, made.tables | {"hospitalization": written(made["hospitalization"], "stays")})
+        stays = made["hospitalization"].repartition(buckets(self.spark), "hospitalization_id")
+        return Catalog(self.spark, made.tables | {"hospitalization": bucketed(stays, "stays", "hospitalization_id", "admission_dttm")})
 
     @cached_property
     def stays(self) -> DataFrame:
@@ -71,9 +72,27 @@ class Run:
 
     @cached_property
     def kept_log(self) -> DataFrame:
-        """The log for what reads it several times, in buckets of stays."""
-        log = insert.full_log(self.base, self.stays, self.labels, insert.ecg_events(self.ecg), parts=buckets(self.spark))
-        return bucketed(log, "log", "hospitalization_id", "event_idx")
+        """The log for what reads it several times, in buckets of stays.
+
+        Its parts are dealt by stay one after another, each before it is taken apart into events, so that the shuffles of
+        one part at a time lie on disk and the log itself needs none.
+        """
+        parts = self.log_parts()
+        try:
+            return bucketed(self.log_of(*parts), "log", "hospitalization_id", "event_idx")
+        finally:
+            release(*parts)
+
+    def log_parts(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Labels, recordings and base events in buckets of stays, the largest last."""
+        n = buckets(self.spark)
+        labels = bucketed(insert.first_occurrences(self.labels).repartition(n, "hospitalization_id"), "labels", "hospitalization_id", "time")
+        ecg = bucketed(self.ecg.repartition(n, "hospitalization_id"), "ecg", "hospitalization_id", "ecg_time")
+        base = extract.base_events(self.t, self.profile, parts=n)
+        return labels, ecg, bucketed(base, "base", "hospitalization_id", "time")
+
+    def log_of(self, labels: DataFrame, ecg: DataFrame, base: DataFrame) -> DataFrame:
+        return insert.full_log(base, self.stays, labels, insert.ecg_events(ecg))
 
     @cached_property
     def train_log(self) -> DataFrame:
@@ -97,7 +116,7 @@ class Run:
 
     @cached_property
     def windows(self) -> DataFrame:
-        return written(windows.midnight_windows(self.kept_tokens, self.vocab), "windows")
+        return bucketed(windows.midnight_windows(self.kept_tokens, self.vocab), "windows", "hospitalization_id", "window_id")
 
     @cached_property
     def label_tokens(self) -> DataFrame:

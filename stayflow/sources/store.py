@@ -64,15 +64,19 @@ def bucketed(df: DataFrame, tag: str, key: str, order: str) -> DataFrame:
 
     df should be dealt by key in buckets() partitions already, as df.repartition(buckets(spark), key) and all windows after it
     are; otherwise a bucket has several files, which are right but sorted again when read. Spark trusts the order of a bucket's file only with
-    spark.sql.legacy.bucketedTableScan.outputOrdering, which is set for the session.
+    spark.sql.legacy.bucketedTableScan.outputOrdering, which is set for the session. What was shuffled for the table is deleted
+    when it is written. In the table the key has another name: renamed when read, it has lost the table's name, with which
+    Spark 4.1 does not see that branches of a union are dealt alike.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
     _used.add(shared_dir(spark))
     name = f"{tag}_{uuid.uuid4().hex}"
     path, n = f"{shared_dir(spark)}/{name}", buckets(spark)
-    df.write.format("parquet").bucketBy(n, key).sortBy(key, order).option("path", path).saveAsTable(name)
-    found = spark.table(name)
+    with _shuffles_deleted(spark):
+        named = df.withColumnRenamed(key, f"{key}_of")
+        named.write.format("parquet").option("compression", "zstd").bucketBy(n, f"{key}_of").sortBy(f"{key}_of", order).option("path", path).saveAsTable(name)
+    found = spark.table(name).withColumnRenamed(f"{key}_of", key)
     found.written_at = path
     _tables.add((path, name))
     if (made := _made.get()) is not None:
@@ -80,6 +84,18 @@ def bucketed(df: DataFrame, tag: str, key: str, order: str) -> DataFrame:
     return found
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[..., None]]:
     """What written() gives inside is deleted at the end, but for the tables that the function yielded is called with.

@@ -12,7 +12,7 @@ from stayflow.operators.intervals import interval_join
 from stayflow.plans import catalogue
 from stayflow.sources import catalog
 from stayflow.sources.catalog import Catalog, write_by_stay
-from stayflow.sources.store import bucketed, buckets, written
+from stayflow.sources.store import bucketed, buckets, release, written
 
 T0 = datetime(2024, 1, 1)
 SPANS = "patient string, stay string, start timestamp_ntz, end timestamp_ntz"
@@ -83,6 +83,31 @@ def test_metrics_of_predictions_shuffle_counts_per_score(spark, sf_dir, monkeypa
     assert len(by_score) == 1 and "predicted_prob" in by_score[0] and "hospitalization_id" not in by_score[0]
 
 
+def test_log_and_predictions_are_made_in_buckets(spark, sf_dir):
+    """The parts of the log are dealt by stay one after another; the log of them and all up to the predictions shuffle nothing."""
+    r = catalogue.run(spark, sf_dir)
+    parts = r.log_parts()
+    for name, df in {"log": r.log_of(*parts), "windows": r.windows, "predictions": r.scored}.items():
+        assert "Exchange hashpartitioning" not in _plan(df), name
+    assert r.log_of(*parts).count() == r.kept_log.count() == r.log.count() > 0
+    release(*parts)
+
+
+def test_shuffles_of_a_bucketed_table_are_deleted(spark):
+    """They would stay until the driver collects its garbage, beside those of the next table."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    df = spark.range(10_000).select((F.col("id") % 70).alias("key"), "id").repartition(buckets(spark), "key")
+    before = files()
+    table = bucketed(df, "short", "key", "id")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert table.columns == ["key", "id"] and table.count() == 10_000 and table.groupBy("key").count().count() == 70
+
+
 def test_buckets_of_several_files_are_right(spark):
     """A table that is not dealt by its key has several files a bucket; windows over it must sort."""
     df = spark.range(1000).select((F.col("id") % 7).cast("string").alias("hospitalization_id"), (F.lit(1000) - F.col("id")).alias("pos")).repartition(5)
